@@ -1,0 +1,6 @@
+"""Every query by name, and the SQL that states the same result."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}

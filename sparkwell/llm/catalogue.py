@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sparkwell.llm.jaccard_join import op7_jaccard_join
 from sparkwell.llm.line_dedup import OP6_SQL, op6_line_dedup
+from sparkwell.llm.packing import op4_best_fit_packing
 from sparkwell.llm.quality_classifier import op9_quality_classifier
 from sparkwell.llm.quality_rules import op5_quality_rules
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,

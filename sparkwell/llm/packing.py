@@ -17,8 +17,11 @@ null; repeated rows are packed each for itself; other columns are ignored; an em
 
 from __future__ import annotations
 
+import sys
 import zlib
 from bisect import bisect_left, bisect_right, insort
+from types import ModuleType
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,64 +38,122 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Places(dict):
+    """Word to its number; new words wait in `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        self.new.append(word)
+        return k
+
+
 class Encoder:
     """Token ids of texts by a tokenizer whose pre-tokens never hold white space.
 
-    So a text's ids are those of its white-space separated words, in order; words are kept for a bounded number.
+    So a text's ids are those of its white-space separated words, in order.  Words are kept until there are `most`,
+    and so are their stems: a word without the punctuation that ends it, in lower case as the tokenizer has it.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    #: A word of its own between others, of one id that no text without this character can have.
+    MARK, AT_ONCE = "\x01", 500
+    #: str.split takes these for white space as well, the tokenizer doesn't.
+    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    ENDS = ",.!?;:"
+
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        alone = self.whole(self.MARK)
+        self.mark = int(alone[0]) if len(alone) == 1 else -1
         self.clear()
 
     def clear(self):
-        self.place: dict[str, int] = {}
-        self.size, self.start = [], []
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.used = 0
+        self.words, self.stems = Places(), Places()
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts = np.zeros((0, 2), np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, words: list[str]):
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            ids = e.ids
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + len(ids)))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.place[w] = len(self.size)
-            self.start.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
-
-    #: str.split takes these for white space as well, the tokenizer doesn't.
-    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-
-    def encode(self, texts: list) -> list[np.ndarray]:
-        plain = [t if t and not any(c in t for c in self.ODD) else "" for t in texts]
-        split = [t.split() for t in plain]
-        place = self.place
-        new = {w for words in split for w in words if w not in place}
-        if new:
-            if len(place) + len(new) > self.most and place:
-                self.clear()
-                place = self.place
-                new = {w for words in split for w in words}
-            self.learn(sorted(new))
-        start, size = np.array(self.start, np.int64), np.array(self.size, np.int64)
-        out = []
-        for text, words in zip(texts, split):
-            if words:
-                at = np.array([place[w] for w in words], np.int64)
-                n = size[at]
-                out.append(self.ids[np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+    def split(self, word: str) -> tuple[int, int]:
+        """The numbers of a word's stem and of the punctuation behind it; the tokenizer never joins the two."""
+        stem = word.rstrip(self.ENDS)
+        n = len(stem)
+        if n == len(word):
+            end = ""
+        elif n and stem[-1].isalnum():
+            end = word[n:]
+        else:
+            stem, end = word, ""
+        if stem.isascii() or ("\u03a3" not in stem and is_normalized("NFC", stem)):
+            stem = stem.lower()
+        return self.stems[stem], self.stems[end]
+
+    def learn(self):
+        parts = np.array([self.split(w) for w in self.words.new], np.int64).reshape(-1, 2)
+        self.words.new.clear()
+        found, sizes = [], []
+        stems = self.stems.new
+        for a in range(0, len(stems), self.AT_ONCE):
+            some = stems[a : a + self.AT_ONCE]
+            ids = self.whole(f" {self.MARK} ".join(some))
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(some) - 1 and not any(self.MARK in w for w in some):
+                found.append(np.delete(ids, cuts))
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
             else:
-                out.append(self.whole(text) if text and not text.isspace() else np.empty(0, np.uint32))
-        return out
+                each = [self.whole(w) for w in some]
+                found += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        stems.clear()
+        if sizes:
+            new = np.concatenate(sizes)
+            self.start = np.append(self.start, len(self.ids) + np.cumsum(new) - new)
+            self.size = np.append(self.size, new)
+            self.ids = np.concatenate([self.ids, *found])
+        self.parts = np.concatenate([self.parts, parts])
+
+    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, joined, and their number for each text."""
+        if len(self.words) > self.most:
+            self.clear()
+        at, count, odd = [], np.zeros(len(texts), np.int64), {}
+        for i, t in enumerate(texts):
+            if t:
+                if any(c in t for c in self.ODD):
+                    odd[i] = self.whole(t)
+                else:
+                    words = t.split()
+                    at += map(self.words.__getitem__, words)
+                    count[i] = len(words)
+        if self.words.new:
+            self.learn()
+        parts = self.parts[np.array(at, np.int64)].ravel()
+        size = self.size[parts]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ends = total[2 * np.cumsum(count)]
+        ids = self.ids[np.repeat(self.start[parts] - total[:-1], size) + np.arange(total[-1])] if len(parts) else np.zeros(0, np.uint32)
+        n = np.diff(np.concatenate([[0], ends]))
+        if odd:
+            each = np.split(ids, ends[:-1])
+            each = [odd.get(i, x) for i, x in enumerate(each)]
+            return np.concatenate(each), np.array([len(x) for x in each])
+        return ids, n
+
+
+def encoder(path: str) -> Encoder:
+    """The Python worker's own encoder for this vocabulary: what it has learned serves the worker's later tasks."""
+    kept = sys.modules.setdefault("_sparkwell_encoders", ModuleType("_sparkwell_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str) -> DataFrame:
@@ -103,11 +164,12 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, path:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, task, ranks = Encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, task, ranks = encoder(path).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
+                flat, sizes = encode(part.column(1).to_pylist())
+                for i, ids in enumerate(np.split(flat, np.cumsum(sizes)[:-1])):
                     ids = np.append(ids, np.uint32(END_TOKEN)).astype("<u4")
                     for k, a in enumerate(range(0, len(ids), capacity)):
                         cut = ids[a : a + capacity]

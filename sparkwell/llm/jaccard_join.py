@@ -2,17 +2,19 @@
 
 Sets fall into size bands so narrow that similar sets lie in one band or in neighbouring ones.  Instance j of the
 scheme holds bands j-1 and j; similar sets in it differ in at most k elements.  Their domain is hashed into n1 parts of
-three subparts each, with 2 * n1 > k: some part then has at most one differing element, hence two subparts that agree,
-and each of the three pairs of subparts of each part is a signature.  So similar sets always share a signature.
-
-1. One pass over the texts gives each document its set's size, 64-bit digest and signatures.  Equal sets share a
-   digest and are one node; each task sends a digest's signatures once.
-2. Signatures are sorted in partitions; rows of a run point at its first digest.  Components of these edges are
-   families: no link leaves a family.
-3. One document of each digest in a family gives its set.  Families are cut into blocks of BLOCK sets, and each pair of
+n2 subparts each, with (k2 + 1) * n1 > k: some part then has at most k2 differing elements, hence n2 - k2 subparts that
+agree, and each choice of n2 - k2 subparts of each part is a signature.  So similar sets always share a signature.
+
+1. One pass over the texts gives each document its set's size, 64-bit digest and odd sketch: a bit for each hash
+   value, set if an odd number of elements have it.  Equal sets share a digest and are one node.
+2. A second pass gives signatures (once per digest and task), which are sorted in partitions.  Digests that share
+   one are a group; groups with the same members count once.
+3. Two sets' sketches differ in no more bits than the sets differ in elements.  Pairs of a group that this bound doesn't
+   rule out are joined; components are families, and no link leaves a family.
+4. One document of each digest in a family gives its set.  Families are cut into blocks of BLOCK sets, and each pair of
    blocks is a unit of work that counts all intersections by an inverted index and emits a spanning forest of the
    links it finds.  Only the components of links are asked for, so no pairs are listed.
-4. Components of the links, and the smallest id in each.
+5. Components of the links, and the smallest id in each.
 
 Defined cases: a null, empty or all-white text has the empty set, which links with nothing (its component is its own
 id); texts of fewer words than a shingle have their whole word sequence as the one shingle; a null id is ignored when
@@ -21,6 +23,8 @@ ids are compared (and stays null if it is alone); repeated rows each get a row;
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +36,17 @@ from sparkwell.llm.components import Forest, components
 WORDS, NUM, DEN = 3, 9, 10
 #: Sets to a block of a family.
 BLOCK = 256
+#: (n2, k2): the more selective, the more signatures.  The first that keeps chance groups under CHANCE sets is taken.
+SCHEMES, CHANCE = [(3, 1), (5, 2), (7, 3), (9, 4)], 2000
+
+
+def scheme(sets: int, num: int, den: int) -> tuple[int, int]:
+    """Of SCHEMES for so many sets: sets without any element in a signature's subparts share it by chance."""
+    for n2, k2 in SCHEMES:
+        elements = (n2 - k2) / n2 * (k2 + 1) * (den + num) / (2.2 * (den - num))
+        if sets / 10 * np.exp(-elements) <= CHANCE:
+            break
+    return n2, k2
 
 
 def shingles(texts: list, hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +95,18 @@ def digests(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(sums + mix(size.astype(np.uint64)))
 
 
-def signatures(flat: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def sketches(flat: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Each set's odd sketch, of a power of two of 64-bit words, about as many bits as elements."""
+    words = 1 << np.ceil(np.log2(np.maximum(0.6 * size / 64, 1))).astype(np.int64)
+    base = np.cumsum(words) - words
+    out = np.zeros(int(words.sum()), np.uint64)
+    owner = np.repeat(np.arange(len(size)), size)
+    h = mix(flat + M1 + M1)
+    np.bitwise_xor.at(out, base[owner] + ((h >> np.uint64(6)).astype(np.int64) & (words[owner] - 1)), np.uint64(1) << (h & np.uint64(63)))
+    return [out[a : a + n].tobytes() for a, n in zip(base.tolist(), words.tolist())]
+
+
+def signatures(flat: np.ndarray, size: np.ndarray, num: int, den: int, n2: int = 3, k2: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """All sets' signatures, joined set by set, and their number for each set."""
     tops = bands(int(size.max(initial=1)) * den // num + 2, num, den)
     band = np.searchsorted(tops, size)
@@ -90,74 +116,157 @@ def signatures(flat: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[
     for step in (0, 1):
         j = np.minimum(band + step, len(tops) - 1)
         k = 2 * tops[j] * (den - num) // (den + num)  # |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)
-        n1 = np.where((k > 0) & (size > 0), k // 2 + 1, 0)  # k = 0: only equal sets, which share a digest
+        n1 = np.where((k > 0) & (size > 0), k // (k2 + 1) + 1, 0)  # k = 0: only equal sets, which share a digest
         base = np.cumsum(n1) - n1
         live = n1[owner] > 0
         own = owner[live]
-        sub = 3 * base[own] + (where[live] % (3 * n1[own]).astype(np.uint64)).astype(np.int64)
-        sums = np.zeros(3 * int(n1.sum()), np.uint64)
+        sub = n2 * base[own] + (where[live] % (n2 * n1[own]).astype(np.uint64)).astype(np.int64)
+        sums = np.zeros(n2 * int(n1.sum()), np.uint64)
         np.add.at(sums, sub, what[live])
-        s = sums.reshape(-1, 3)
+        s = sums.reshape(-1, n2)
         doc = np.repeat(np.arange(len(size)), n1)
         part = np.arange(len(doc)) - base[doc]
-        label = mix((j[doc].astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64) * np.uint64(4))
-        for skip, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
-            found.append(mix(mix(s[:, a] + label + np.uint64(skip)) * M1 + s[:, b]))
+        label = mix((j[doc].astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64) * np.uint64(1024))
+        for nth, chosen in enumerate(combinations(range(n2), n2 - k2)):
+            sig = label + np.uint64(nth)
+            for c in chosen:
+                sig = mix(sig * M1 + s[:, c])
+            found.append(sig)
             whose.append(doc)
     sig, doc = np.concatenate(found), np.concatenate(whose)
     order = np.argsort(doc, kind="stable")
     return sig[order], np.bincount(doc, minlength=len(size))
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """(id, n, g, sigs): sigs is null where the task has sent the digest's signatures already."""
+def described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, n, g, sketch) for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        hashes, sent = WordHashes(), set()
+        hashes = WordHashes()
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
                 flat, size = shingles(part.column(1).to_pylist(), hashes, width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(digests(flat, size).view(np.int64)), pa.array(sketches(flat, size), pa.binary())], ["id", "n", "g", "sketch"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, g long, sketch binary")
+
+
+def signed(docs: DataFrame, text_col: str, width: int, num: int, den: int, n2: int, k2: int) -> DataFrame:
+    """(g, sigs), once for each digest that a task meets."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        hashes, sent = WordHashes(), set()
+        for batch in batches:
+            for part in slices(batch, 0, 2 << 20):
+                flat, size = shingles(part.column(0).to_pylist(), hashes, width)
                 g = digests(flat, size)
-                sig, n = signatures(flat, size, num, den)
                 if len(sent) > 500_000:
                     sent.clear()
                 new = np.array([not (x in sent or sent.add(x)) for x in g.tolist()], bool) & (size > 0)
-                keep = np.repeat(new, n)
-                offsets = np.concatenate([[0], np.cumsum(np.where(new, n, 0))]).astype(np.int32)
-                sigs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig[keep].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(g.view(np.int64)), sigs], ["id", "n", "g", "sigs"])
+                if new.any():
+                    sig, n = signatures(flat[np.repeat(new, size)], size[new], num, den, n2, k2)
+                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.view(np.int64)))], ["g", "sigs"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, g long, sigs array<long>")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "g long, sigs array<long>")
 
 
-def family_edges(rows: DataFrame) -> DataFrame:
-    """(u, v): digests that share a signature with the first digest of its run."""
+def groups(rows: DataFrame) -> DataFrame:
+    """(s, g): the digests that share a signature; s stands for their set, so that equal groups are one."""
 
     def run(batches):
         import pyarrow as pa
 
-        forest, last, hub = Forest(), None, None
+        seen: set = set()
+        rest_s, rest_g = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def out(s, g):
+            if not len(s):
+                return None
+            pairs = np.unique(np.stack([s, g], 1), axis=0)
+            s, g = pairs[:, 0], pairs[:, 1]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            n = np.diff(np.append(first, len(s)))
+            h = mix(g.view(np.uint64))
+            key = mix(np.add.reduceat(h, first) + n.astype(np.uint64))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            new = np.array([c > 1 and not (k in seen or seen.add(k)) for k, c in zip(key.tolist(), n.tolist())], bool)
+            keep = np.repeat(new, n)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(key, n)[keep].view(np.int64)), pa.array(g[keep])], ["s", "g"]) if keep.any() else None
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, g = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            start = np.concatenate([[True], s[1:] != s[:-1]])
-            lead = g[np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))]
-            if last is not None and s[0] == last:
-                stop = int(np.argmax(start[1:])) + 1 if start[1:].any() else len(s)
-                lead[:stop] = hub
-            last, hub = s[-1], lead[-1]
-            far = g != lead
-            pairs = np.unique(np.stack([g[far], lead[far]], 1), axis=0) if far.any() else np.empty((0, 2), np.int64)
-            kept = [(a, b) for a, b in pairs.tolist() if forest.joins(a, b)]
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], ["u", "v"])
+            s = np.concatenate([rest_s, batch.column(0).to_numpy()])
+            g = np.concatenate([rest_g, batch.column(1).to_numpy()])
+            cut = int(np.searchsorted(s, s[-1]))  # the last signature may go on
+            rest_s, rest_g = s[cut:], np.unique(g[cut:])
+            rest_s = rest_s[: len(rest_g)]
+            twice = s[:cut]
+            same = np.concatenate([[False], twice[1:] == twice[:-1]])
+            multi = same | np.concatenate([same[1:], [False]]) if cut else same[:0]
+            if (b := out(twice[multi], g[:cut][multi])) is not None:
+                yield b
+        if (b := out(rest_s, rest_g)) is not None:
+            yield b
 
     dealt = rows.select(F.explode("sigs").alias("s"), "g").repartition("s").sortWithinPartitions("s")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, "s long, g long")
+
+
+def family_edges(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) of groups (s, g, n, sketch): a spanning forest of the pairs that sketches don't rule out."""
+
+    def plausible(n, sketch):
+        m = len(n)
+        if m < 8:
+            for i in range(1, m):
+                for j in range(i):
+                    a, b = sketch[i], sketch[j]
+                    low = min(len(a), len(b))
+                    x, y = (int.from_bytes(np.bitwise_xor.reduce(np.frombuffer(z, np.uint64).reshape(-1, low // 8), axis=0).tobytes() if len(z) > low else z, "little") for z in (a, b))
+                    if (x ^ y).bit_count() * (den + num) <= (den - num) * (n[i] + n[j]):
+                        yield i, j
+            return
+        low = min(map(len, sketch)) // 8
+        rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(z, np.uint64).reshape(-1, low), axis=0) for z in sketch])
+        n = np.array(n)
+        for i in range(1, m):
+            for a in range(0, i, 4096):
+                b = min(i, a + 4096)
+                far = np.bitwise_count(rows[a:b] ^ rows[i]).sum(1, dtype=np.int64)
+                for j in np.flatnonzero(far * (den + num) <= (den - num) * (n[i] + n[a:b])).tolist():
+                    yield i, a + j
+
+    def run(batches):
+        import pyarrow as pa
+
+        forest, key, held = Forest(), None, {}
+
+        def edges():
+            g, n, sketch = list(held), [x[0] for x in held.values()], [x[1] for x in held.values()]
+            return [(g[i], g[j]) for i, j in plausible(n, sketch) if forest.joins(g[i], g[j])]
+
+        def batch_of(pairs):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["u", "v"])
+
+        for batch in batches:
+            for s, g, n, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != key:
+                    if pairs := edges():
+                        yield batch_of(pairs)
+                    key, held = s, {}
+                held[g] = n, sketch
+        if pairs := edges():
+            yield batch_of(pairs)
+
+    return members.repartition("s").sortWithinPartitions("s").mapInArrow(run, "u long, v long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -248,11 +357,14 @@ def in_blocks(sets: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id; similar is |A & B| / |A | B| >= num / den."""
-    rows = written(signed(docs, id_col, text_col, width, num, den), "signatures")
-    classes = rows.where("n > 0").groupBy("g").agg(F.min("id").alias("id"))
-    families = components(family_edges(rows))
-    wanted = families.select(F.col("node").alias("g"), F.col("label").alias("f")).join(classes, "g").checkpoint()
-    sets = written(sets_of(docs, wanted, id_col, text_col, width).dropDuplicates(["g"]), "sets")
+    rows = written(described(docs, id_col, text_col, width), "sets")
+    classes = rows.where("n > 0").groupBy("g").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    n2, k2 = scheme(classes.count(), num, den)
+    shared = written(groups(signed(docs, text_col, width, num, den, n2, k2)), "groups")
+    known = rows.where("n > 0").join(shared.select("g").distinct(), "g", "left_semi").select("g", "n", "sketch").dropDuplicates(["g"])
+    families = components(family_edges(shared.join(known, "g").select("s", "g", "n", "sketch"), num, den))
+    wanted = families.select(F.col("node").alias("g"), F.col("label").alias("f")).join(classes.select("g", "id"), "g").checkpoint()
+    sets = written(sets_of(docs, wanted, id_col, text_col, width).dropDuplicates(["g"]), "families")
     links = components(link_edges(in_blocks(sets), num, den))
     named = classes.join(links.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("label", "g"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -96,8 +96,8 @@ def digests(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def sketches(flat: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """Each set's odd sketch, of a power of two of 64-bit words, about as many bits as elements."""
-    words = 1 << np.ceil(np.log2(np.maximum(0.6 * size / 64, 1))).astype(np.int64)
+    """Each set's odd sketch, of a power of two of 64-bit words, at least 1.5 bits to an element: unrelated sets then differ in far more bits than links may."""
+    words = 1 << np.ceil(np.log2(np.maximum(1.5 * size / 64, 1))).astype(np.int64)
     base = np.cumsum(words) - words
     out = np.zeros(int(words.sum()), np.uint64)
     owner = np.repeat(np.arange(len(size)), size)

@@ -65,7 +65,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash, kept for up to `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         self.most, self.digest = most, xxhash.xxh64_intdigest
@@ -89,3 +89,18 @@ def slices(batch, text_at: int, most_bytes: int = 8 << 20):
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+
+
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system; workers live on for other tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        return

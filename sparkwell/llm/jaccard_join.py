@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import M1, WordHashes, mix, slices, table, written
+from sparkwell.llm.common import M1, WordHashes, mix, slices, table, trim, written
 from sparkwell.llm.components import Forest, components
 
 #: Production parameters: words to a shingle, and the least similarity as a ratio of integers.
@@ -150,6 +150,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
             for part in slices(batch, 1, 2 << 20):
                 flat, size = shingles(part.column(1).to_pylist(), hashes, width)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(digests(flat, size).view(np.int64)), pa.array(sketches(flat, size), pa.binary())], ["id", "n", "g", "sketch"])
+        trim()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, g long, sketch binary")
 
@@ -172,6 +173,7 @@ def signed(docs: DataFrame, text_col: str, width: int, num: int, den: int, n2: i
                     sig, n = signatures(flat[np.repeat(new, size)], size[new], num, den, n2, k2)
                     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.view(np.int64)))], ["g", "sigs"])
+        trim()
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "g long, sigs array<long>")
 

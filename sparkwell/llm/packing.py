@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import slices, table, written
+from sparkwell.llm.common import slices, table, trim, written
 
 CAPACITY, END_TOKEN, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 
@@ -63,7 +63,7 @@ class Encoder:
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
     ENDS = ",.!?;:"
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -166,7 +166,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, path:
 
         encode, task, ranks = encoder(path).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, 2 << 20):
                 row, piece, start, length, crc = [], [], [], [], []
                 flat, sizes = encode(part.column(1).to_pylist())
                 for i, ids in enumerate(np.split(flat, np.cumsum(sizes)[:-1])):
@@ -179,6 +179,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, path:
                     rank.append(ranks[n])
                     ranks[n] += 1
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwell.llm.common import held_out, slices, table, uniform
+from sparkwell.llm.common import held_out, slices, table, trim, uniform
 from sparkwell.llm.text_stats import BASE, RATIOS, stats
 
 #: Rows that learning takes at most, about: a uniform sample of the labelled rows outside the held-out fold.
@@ -30,7 +30,7 @@ class Words(dict):
     def __missing__(self, word):
         import zlib
 
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = zlib.crc32(word) % BUCKETS
         return found
@@ -153,8 +153,9 @@ def score_documents(docs: DataFrame, machine: Machine | None, id_col: str = "doc
 
         buckets = Words()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 4 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scored(machine, part.column(1).to_pylist(), buckets))], ["doc_id", "score"])
+        trim()
 
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -169,8 +170,9 @@ def keep_good(docs: DataFrame, machine: Machine | None, text_col: str = "text")
 
         buckets = Words()
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, 4 << 20):
                 yield part.filter(pa.array(scored(machine, part.column(at).to_pylist(), buckets) >= THRESHOLD))
+        trim()
 
     return docs if machine is None else docs.mapInArrow(run, docs.schema)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwell.llm.common import slices, table
+from sparkwell.llm.common import slices, table, trim
 from sparkwell.llm.quality_classifier import labelled_sample
 from sparkwell.llm.text_stats import BASE, RATIOS, stats
 
@@ -130,6 +130,7 @@ def with_stats(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Dat
                 found = list(zip(*(stats(t) for t in part.column(at).to_pylist())))
                 cols = [pa.array(c, pa.int64() if i < len(BASE) else pa.float64()) for i, c in enumerate(found)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], schema.names)
+        trim()
 
     return docs.mapInArrow(run, schema)
 

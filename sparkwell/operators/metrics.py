@@ -1,0 +1,94 @@
+"""Scores of answers, evidence and rankings; cost by a price list."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from sparkwell.functions.text import answer_tokens, multiset_overlap, normalize_answer
+
+
+def ratio(a: Column, b: Column) -> Column:
+    return F.when(b == 0, 0.0).otherwise(a / b)
+
+
+def token_scores(predicted: Column, gold: Column) -> tuple[Column, Column, Column]:
+    """(precision, recall, F1) of answer tokens; both empty score 1, one empty 0."""
+    p, g = answer_tokens(predicted), answer_tokens(gold)
+    common, n, m = multiset_overlap(p, g), F.size(p), F.size(g)
+    empty = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0)
+    pr, rc = empty.otherwise(common / n), empty.otherwise(common / m)
+    return pr, rc, empty.otherwise(ratio(2.0 * common, (n + m).cast("double")))
+
+
+def strict_f1(predicted: Column, gold: Column) -> Column:
+    """Token F1 that is 0 where one side is yes, no or noanswer and the other isn't the same."""
+    p, g = normalize_answer(predicted), normalize_answer(gold)
+    closed = p.isin("yes", "no", "noanswer") | g.isin("yes", "no", "noanswer")
+    a, b = answer_tokens(predicted), answer_tokens(gold)
+    common = multiset_overlap(a, b)
+    return F.when(closed & (p != g), 0.0).when(common == 0, 0.0).otherwise(2.0 * common / (F.size(a) + F.size(b)))
+
+
+def fact_scores(predicted: Column, gold: Column) -> tuple[Column, Column, Column, Column]:
+    """(precision, recall, F1, EM) of two sets as arrays; both empty: EM 1 and the rest 0."""
+    p, g = F.array_distinct(predicted), F.array_distinct(gold)
+    hit = F.size(F.array_intersect(p, g))
+    pr, rc = ratio(hit.cast("double"), F.size(p)), ratio(hit.cast("double"), F.size(g))
+    em = ((hit == F.size(p)) & (hit == F.size(g))).cast("double")
+    return pr, rc, ratio(2 * pr * rc, pr + rc), em
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays, by folding one table row at a time."""
+
+    def row(prev, x):
+        def cell(acc, y):
+            j = F.size(acc)
+            # acc holds the new row so far; prev is one longer than b
+            up, left, diagonal = F.get(prev, j), F.get(acc, j - 1), F.get(prev, j - 1)
+            return F.concat(acc, F.array(F.when(x == y, diagonal + 1).otherwise(F.greatest(up, left))))
+
+        return F.aggregate(b, F.array(F.lit(0)), cell)
+
+    zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
+    return F.get(F.aggregate(a, zero, row), F.size(b))
+
+
+def rouge_l(predicted: Column, gold: Column) -> Column:
+    """F1 of the longest common subsequence of answer tokens; both empty score 1."""
+    p, g = answer_tokens(predicted), answer_tokens(gold)
+    n, m = F.size(p), F.size(g)
+    lcs = lcs_length(p, g)
+    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(2.0 * lcs / (n + m))
+
+
+def ranking_scores(hits: DataFrame, gold: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """(query_id, recall_k, ndcg_k for each cutoff) for every query of gold (query_id, id); hits (query_id, id, rank).
+
+    Ids count once, at their best rank; gain is binary; discount is log2(rank + 1).  A query without hits scores 0.
+    """
+    once = hits.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+    order = Window.partitionBy("query_id").orderBy("rank", "id")
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(cutoffs))
+    right = gold.select("query_id", "id").distinct()
+    n = right.groupBy("query_id").agg(F.count("*").alias("n"))
+    found = right.join(ranked, ["query_id", "id"])
+    sums = found.groupBy("query_id").agg(*(F.sum(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"h{k}") for k in cutoffs), *(F.sum(F.when(F.col("rank") <= k, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"d{k}") for k in cutoffs))
+    ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.col("n").cast("int"), F.lit(k))), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))
+    out = n.join(sums, "query_id", "left")
+    return out.select("query_id", *(F.coalesce(F.col(f"h{k}") / F.col("n"), F.lit(0.0)).alias(f"recall_{k}") for k in cutoffs), *(F.coalesce(F.col(f"d{k}") / ideal(k), F.lit(0.0)).alias(f"ndcg_{k}") for k in cutoffs))
+
+
+def priced(usage: DataFrame, prices: DataFrame, default: tuple[float, float, float]) -> DataFrame:
+    """usage (model, n_in, n_cached, n_out) with cost in dollars: prices of the longest listed prefix of the model, else default.
+
+    prices (prefix, p_in, p_cached, p_out), in dollars for a million tokens, is a small list.
+    """
+    models = usage.select("model").distinct()
+    match = models.join(F.broadcast(prices), F.col("model").startswith(F.col("prefix")))
+    best = match.groupBy("model").agg(F.max(F.struct(F.length("prefix").alias("l"), "p_in", "p_cached", "p_out")).alias("b"))
+    rows = usage.join(best, "model", "left")
+    price = {c: F.coalesce(F.col(f"b.{c}"), F.lit(d)) for c, d in zip(("p_in", "p_cached", "p_out"), default)}
+    cost = ((F.col("n_in") - F.col("n_cached")) * price["p_in"] + F.col("n_cached") * price["p_cached"] + F.col("n_out") * price["p_out"]) / 1e6
+    return rows.withColumn("cost", cost).drop("b")

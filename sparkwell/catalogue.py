@@ -360,7 +360,10 @@ def recall_ndcg(spark, sf_dir):
     return metrics.ranking_scores(vector_hits(spark, sf_dir, 10), gold).select("query_id", F.round("recall_5", 6).alias("recall_5"), F.round("ndcg_5", 6).alias("ndcg_5"))
 
 
-@query("SELECT conv_id, turn, trim(text) = '' OR " + " OR ".join("contains(lower(text), '" + m.replace("'", "''") + "')" for m in T.ABSTENTIONS) + " AS abstains FROM conversations")
+@query(
+    f"""WITH n AS (SELECT conv_id, turn, {SQUEEZE.format(f"regexp_replace(regexp_replace(lower(coalesce(text, '')), '{chr(92)}b(a|an|the){chr(92)}b', ' ', 'g'), '{PUNCT.format()}', '', 'g')")} AS t FROM conversations)
+SELECT conv_id, turn, t = '' OR {" OR ".join(f"contains(t, '{m}')" for m in T.ABSTENTIONS)} AS abstains FROM n"""
+)
 def abstention(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.abstains(F.col("text")).alias("abstains"))
 
@@ -376,22 +379,23 @@ def finqa_match(spark, sf_dir):
     return rows.select("o_orderkey", "p", T.numbers_match(F.col("p"), F.col("g")).alias("ok"))
 
 
-PRICES = [("click", 1.0, 0.5, 2.0), ("cl", 0.1, 0.1, 0.1), ("pur", 3.0, 1.0, 9.0), ("v", 0.4, 0.2, 0.8)]
-USAGE = "u AS (SELECT event_type AS model, CAST(sum(user_id) AS BIGINT) AS n_in, CAST(sum(user_id // 2) AS BIGINT) AS n_cached, count(*) AS n_out FROM events GROUP BY 1)"
+# Users stand in for runs, each with a model's dated name or one that no price list has.
+MODELS = ("gpt-5-mini", "gpt-5", "gpt-4.1-mini-2025-04-14", "claude-sonnet-4-5", "unlisted")
+USAGE = f"u AS (SELECT [{', '.join(f"'{m}'" for m in MODELS)}][user_id % 5 + 1] AS model, CAST(sum(user_id) AS BIGINT) AS n_in, CAST(sum(user_id // 2) AS BIGINT) AS n_cached, count(*) AS n_out FROM events GROUP BY 1)"
 
 
 def usage(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.sum("user_id").alias("n_in"), F.sum(F.expr("user_id div 2")).alias("n_cached"), F.count("*").alias("n_out"))
+    model = F.get(F.array(*map(F.lit, MODELS)), (F.col("user_id") % 5).cast("int"))
+    return read(spark, sf_dir, "events").groupBy(model.alias("model")).agg(F.sum("user_id").alias("n_in"), F.sum(F.expr("user_id div 2")).alias("n_cached"), F.count("*").alias("n_out"))
 
 
 @query(
-    f"""WITH {USAGE}, prices(prefix, p_in, p_cached, p_out) AS (VALUES {", ".join(map(str, PRICES))}),
+    f"""WITH {USAGE}, prices(prefix, p_in, p_cached, p_out) AS (VALUES {", ".join(map(str, metrics.PRICES))}),
 b AS (SELECT model, max((length(prefix), p_in, p_cached, p_out)) AS b FROM (SELECT DISTINCT model FROM u) JOIN prices ON starts_with(model, prefix) GROUP BY 1)
-SELECT model, n_in, round(((n_in - n_cached) * CAST(coalesce(b[2], 2.0) AS DOUBLE) + n_cached * CAST(coalesce(b[3], 1.0) AS DOUBLE) + n_out * CAST(coalesce(b[4], 4.0) AS DOUBLE)) / 1e6, 6) AS cost FROM u LEFT JOIN b USING (model)"""
+SELECT model, n_in, round(((n_in - n_cached) * CAST(coalesce(b[2], 0.25) AS DOUBLE) + n_cached * CAST(coalesce(b[3], 0.025) AS DOUBLE) + n_out * CAST(coalesce(b[4], 2.0) AS DOUBLE)) / 1e6, 6) AS cost FROM u LEFT JOIN b USING (model)"""
 )
 def cost_by_model(spark, sf_dir):
-    prices = spark.createDataFrame(PRICES, "prefix string, p_in double, p_cached double, p_out double")
-    return metrics.priced(usage(spark, sf_dir), prices, (2.0, 1.0, 4.0)).select("model", "n_in", F.round("cost", 6).alias("cost"))
+    return metrics.priced(usage(spark, sf_dir), metrics.price_table(spark)).select("model", "n_in", F.round("cost", 6).alias("cost"))
 
 
 # Reports
@@ -498,7 +502,7 @@ def apair_ratio(spark, sf_dir):
     return policy.pair_ratio(hits, sims).select("query_id", F.round("ratio", 5).alias("ratio"))
 
 
-@query(f"SELECT item_id, len(string_split({SQUEEZE.format('lower(text)')}, ' ')) >= 12 OR list_has_any(string_split({SQUEEZE.format('lower(text)')}, ' '), ['compare', 'difference', 'relationship', 'between', 'both']) AS rich FROM benchmark")
+@query(f"SELECT item_id, len(string_split({SQUEEZE.format('text')}, ' ')) >= 12 OR " + " OR ".join(f"contains(lower(text), '{c}')" for c in policy.RICH_CUES) + " AS rich FROM benchmark")
 def query_router(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", policy.rich_route(F.col("text")).alias("rich"))
 

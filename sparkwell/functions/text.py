@@ -7,9 +7,17 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The words that query terms leave out, the phrases that mark an abstention.
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "how", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "what", "when", "where", "which", "who", "with"]
-ABSTENTIONS = ["i don't know", "i do not know", "cannot answer", "can't answer", "no information", "not enough information", "insufficient information", "unable to answer", "not provided", "not mentioned", "no relevant", "i'm not sure", "i am not sure", "unanswerable"]
+# The words that query terms leave out, and the phrases of a normalised answer that mark an abstention.
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "what",
+    "when", "which", "who", "with",
+]
+ABSTENTIONS = [
+    "i dont know", "i do not know", "i dont have", "i do not have", "dont have the answer", "do not have the answer",
+    "dont have enough information", "do not have enough information", "not enough information", "cannot answer", "cant answer",
+    "cannot determine", "unable to answer", "document does not provide", "documents do not provide", "context does not provide",
+    "i am sorry but", "im sorry but", "sorry but i",
+]
 
 
 def strip(c: Column) -> Column:
@@ -80,9 +88,9 @@ def normalize_articles_first(text: Column) -> Column:
 
 
 def abstains(text: Column) -> Column:
-    """True for an empty answer, or one with a phrase of ABSTENTIONS."""
-    low = F.lower(text)
-    return F.coalesce(strip(text) == "", F.lit(True)) | reduce(lambda a, b: a | b, (low.contains(m) for m in ABSTENTIONS))
+    """True for an answer of which normalising leaves nothing, or one with a phrase of ABSTENTIONS; null counts as nothing."""
+    bare = F.coalesce(normalize_articles_first(text), F.lit(""))
+    return (bare == "") | reduce(lambda a, b: a | b, (bare.contains(m) for m in ABSTENTIONS))
 
 
 def number_in(text: Column) -> Column:

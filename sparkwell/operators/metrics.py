@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions.text import answer_tokens, multiset_overlap, normalize_answer
 
+# Dollars for a million tokens of input, cached input and output, by model; and for models not listed.
+PRICES = [
+    ("gpt-5.4", 2.50, 0.25, 15.00),
+    ("gpt-5.2", 1.75, 0.175, 14.00),
+    ("gpt-5.1", 1.25, 0.125, 10.00),
+    ("gpt-5", 1.25, 0.125, 10.00),
+    ("gpt-5-mini", 0.25, 0.025, 2.00),
+    ("gpt-5-nano", 0.05, 0.005, 0.40),
+    ("gpt-4.1", 3.50, 0.875, 14.00),
+    ("gpt-4.1-mini", 0.70, 0.175, 2.80),
+    ("gpt-4.1-nano", 0.20, 0.05, 0.80),
+    ("gpt-4o", 2.50, 1.25, 10.00),
+    ("gpt-4o-mini", 0.15, 0.075, 0.60),
+    ("o3-mini", 1.10, 0.55, 4.40),
+    ("claude-opus-4-6", 5.00, 0.50, 25.00),
+    ("claude-sonnet-4-6", 3.00, 0.30, 15.00),
+    ("claude-opus-4-5", 5.00, 0.50, 25.00),
+    ("claude-sonnet-4-5", 3.00, 0.30, 15.00),
+    ("claude-haiku-4-5", 1.00, 0.10, 5.00),
+    ("claude-opus-4-1", 15.00, 1.50, 75.00),
+    ("claude-opus-4", 15.00, 1.50, 75.00),
+    ("claude-sonnet-4", 3.00, 0.30, 15.00),
+]
+DEFAULT_PRICE = (0.25, 0.025, 2.00)
+
+
+def price_table(spark: SparkSession, prices: list[tuple] = PRICES) -> DataFrame:
+    return spark.createDataFrame(prices, "prefix string, p_in double, p_cached double, p_out double")
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
@@ -80,7 +109,7 @@ def ranking_scores(hits: DataFrame, gold: DataFrame, cutoffs: tuple[int, ...] =
     return out.select("query_id", *(F.coalesce(F.col(f"h{k}") / F.col("n"), F.lit(0.0)).alias(f"recall_{k}") for k in cutoffs), *(F.coalesce(F.col(f"d{k}") / ideal(k), F.lit(0.0)).alias(f"ndcg_{k}") for k in cutoffs))
 
 
-def priced(usage: DataFrame, prices: DataFrame, default: tuple[float, float, float]) -> DataFrame:
+def priced(usage: DataFrame, prices: DataFrame, default: tuple[float, float, float] = DEFAULT_PRICE) -> DataFrame:
     """usage (model, n_in, n_cached, n_out) with cost in dollars: prices of the longest listed prefix of the model, else default.
 
     prices (prefix, p_in, p_cached, p_out), in dollars for a million tokens, is a small list.

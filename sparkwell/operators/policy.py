@@ -59,10 +59,16 @@ def pair_ratio(hits: DataFrame, sims: DataFrame, ends: int = 3) -> DataFrame:
     return out.select("query_id", F.when(F.col("tail") > 0, F.col("head") / F.col("tail")).alias("ratio"))
 
 
-def rich_route(query: Column, cues: tuple[str, ...] = ("compare", "difference", "relationship", "between", "both")) -> Column:
-    """True for queries of twelve words or more, or with a cue word: they are rewritten and get the larger pool."""
-    words = F.split(squeeze(F.lower(query)), " ")
-    return (F.size(words) >= 12) | F.arrays_overlap(words, F.array(*map(F.lit, cues)))
+# Parts of a query that ask for the rich route.
+RICH_CUES = ("both", "compare", "which other", "same", "different", "before", "after", "ratio")
+
+
+def rich_route(query: Column, cues: tuple[str, ...] = RICH_CUES) -> Column:
+    """True for queries of twelve words or more, or with a cue in them: they are rewritten and get the larger pool."""
+    out = F.size(F.split(squeeze(query), " ")) >= 12
+    for cue in cues:
+        out = out | F.lower(query).contains(cue)
+    return out
 
 
 def verdict(votes: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ def by_sql(sql: str, folder: str):
 
 
 def plain(v):
+    if v is None or (isinstance(v, float) and v != v) or str(v) == "<NA>":
+        return "null"
     if isinstance(v, float):
         return f"{v:.9g}"
     return str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)

@@ -87,8 +87,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list, labels: list, epochs: int = 6, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine | None:
-    """Adam over mini-batches of the log loss; None without both classes."""
+def fit(texts: list, labels: list, steps: int = 280, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine | None:
+    """Adam over mini-batches of the log loss, at least `steps` of them and five passes; None without both classes."""
     y = np.array(labels, np.float64)
     if len(set(labels)) < 2:
         return None
@@ -98,7 +98,7 @@ def fit(texts: list, labels: list, epochs: int = 6, rate: float = 0.02, decay: f
     starts = np.searchsorted(row, np.arange(len(y) + 1))
     state = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in (("w", m.w), ("v", m.v))}
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(5, -(-steps * 128 // len(y)))):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 128):
             pick = order[at : at + 128]

@@ -423,12 +423,16 @@ def test_language_id(spark, docs, awkward):
     assert language_id.learn(empty(spark)) == {}
 
 
-def test_quality_classifier(spark, docs, labels, awkward):
+def test_quality_classifier(spark, data, docs, labels, awkward):
     model = quality_classifier.learn(docs, labels)
     got = quality_classifier.score_documents(docs, model).join(labels, "doc_id").toPandas()
     assert ((got.score >= 0.7).astype(int) == got.predicted).all()
+    # 64 rows to learn from and 23 to judge by at the smallest size; the bound on accuracy holds at the next
     held = got[got.held_out]
-    assert (held.predicted == held.quality).mean() > 0.93
+    assert (held.predicted == held.quality).mean() > 0.8
+    larger = data.replace("sf0.001", "sf0.01")
+    more = QUERIES["op9_quality_classifier"](spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert (more.predicted == more.quality).mean() > 0.93
     out = quality_classifier.score_documents(awkward, model).toPandas()
     assert len(out) == 12 and out.score.between(0, 1).all()
     assert quality_classifier.keep_good(awkward, model).columns == awkward.columns

@@ -626,3 +626,6 @@ e AS (SELECT doc_id, CAST(unnest(range(len(ws))) AS INTEGER) AS n, unnest(ws) AS
 )
 def triples(spark, sf_dir):
     return variants.triples(read(spark, sf_dir, "documents"))
+
+
+from sparkwell.plans import answering  # noqa: E402, F401  its queries register here

@@ -18,7 +18,7 @@ from sparkwell.llm.common import held_out, slices, table, uniform
 
 #: Learning takes about this many rows of each language, and this many bytes of their texts for its dictionary.
 FIT_ROWS, DICTIONARY_BYTES = 300, 110_000
-LEVEL, REJECT, UNDETERMINED = 3, 0.02, "und"
+LEVEL, REJECT, UNDETERMINED = 12, 0.02, "und"
 
 
 def learn(docs: DataFrame, rows: int = FIT_ROWS, size: int = DICTIONARY_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 31) -> dict[str, bytes]:

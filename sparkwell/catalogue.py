@@ -628,4 +628,4 @@ def triples(spark, sf_dir):
     return variants.triples(read(spark, sf_dir, "documents"))
 
 
-from sparkwell.plans import answering  # noqa: E402, F401  its queries register here
+from sparkwell.plans import answering, records  # noqa: E402, F401  their queries register here

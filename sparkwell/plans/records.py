@@ -146,3 +146,74 @@ def multi_turn_labels(spark, sf_dir):
 @c.query(f"SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, {c.STRIP.format('text')} AS text FROM conversations WHERE role IN ('user', 'agent', 'assistant') AND {c.STRIP.format('text')} <> ''")
 def chat_messages(spark, sf_dir):
     return messages(c.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "role", "text")
+
+
+def shortened(text: Column, most: int) -> Column:
+    """The text with single spaces, cut to `most` characters, the last three of which are then dots."""
+    t = T.squeeze(text)
+    return F.when(F.length(t) > most, F.concat(F.substr(t, F.lit(1), F.lit(most - 3)), F.lit("..."))).otherwise(t)
+
+
+def or_all(hits: DataFrame, keep: Column) -> DataFrame:
+    """The rows of a query that fit, or all of them where none does."""
+    some = F.max(F.coalesce(keep, F.lit(False))).over(Window.partitionBy("query_id"))
+    return hits.withColumn("__keep", F.coalesce(keep, F.lit(False))).withColumn("__some", some).where("__keep or not __some").drop("__keep", "__some")
+
+
+def meets_constraints(haystack: Column, entities: Column, times: Column, strict: bool) -> Column:
+    """An entity and a time are found; not strictly, one of the two is enough.  What isn't asked for counts as met."""
+    entity = (F.size(entities) == 0) | (overlap(entities, haystack) > 0)
+    time = (F.size(times) == 0) | (overlap(times, haystack) > 0)
+    return entity & time if strict else entity | time
+
+
+def free_of_conflict(text: Column, years: Column) -> Column:
+    """The text names none but one of the years, or no year at all, or no years are asked for."""
+    named = F.regexp_extract_all(text, F.lit(r"\b(?:19|20)\d{2}\b"), F.lit(0))
+    return (F.size(years) == 0) | (F.size(named) == 0) | F.arrays_overlap(named, years)
+
+
+def best_clusters(hits: DataFrame, cluster: str, score: str, clusters: int, each: int = 2) -> DataFrame:
+    """hits with place: `each` best of each query's best clusters, as the best of a cluster ranks it."""
+    within = F.row_number().over(Window.partitionBy("query_id", cluster).orderBy(F.desc(score), "id"))
+    best = F.max(score).over(Window.partitionBy("query_id", cluster))
+    ranked = hits.withColumn("__in", within).withColumn("__best", best).where(F.col("__in") <= each)
+    ranked = ranked.withColumn("__c", F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("__best"), cluster))).where(F.col("__c") <= clusters)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "id"))
+    return ranked.withColumn("place", place.cast("long")).drop("__in", "__best", "__c")
+
+
+@c.query(f"WITH s AS (SELECT doc_id, {c.SQUEEZE.format('text')} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 220 THEN substr(t, 1, 217) || '...' ELSE t END AS short, CASE WHEN length(t) > 900 THEN substr(t, 1, 897) || '...' ELSE t END AS long FROM s")
+def context_truncate(spark, sf_dir):
+    text = F.col("text")
+    return c.read(spark, sf_dir, "documents").select("doc_id", shortened(text, 220).alias("short"), shortened(text, 900).alias("long"))
+
+
+@c.query(
+    f"""WITH {c.DOC_BM25}, {c.top_sql("m", 20, "t")}, q AS (SELECT item_id AS query_id, list_max({c.TERMS.format("text")}) AS e, list_min({c.TERMS.format("text")}) AS f FROM benchmark),
+k AS (SELECT t.query_id, t.id, (e IS NULL OR contains(lower(d.text), e)) AND (f IS NULL OR contains(lower(d.text), f)) AS s, e IS NULL OR contains(lower(d.text), e) OR f IS NULL OR contains(lower(d.text), f) AS l
+FROM t JOIN q ON t.query_id = q.query_id JOIN documents d ON d.doc_id = t.id)
+SELECT query_id, id, 'strict' AS mode FROM (SELECT *, bool_or(s) OVER (PARTITION BY query_id) AS o FROM k) WHERE s OR NOT o
+UNION ALL SELECT query_id, id, 'lenient' FROM (SELECT *, bool_or(l) OVER (PARTITION BY query_id) AS o FROM k) WHERE l OR NOT o"""
+)
+def constraint_filter(spark, sf_dir):
+    """The alphabet's last query term stands for the entity, its first for the time."""
+    ts = T.query_terms(F.col("text"))
+    one = lambda t: F.when(t.isNull(), F.array().cast("array<string>")).otherwise(F.array(t))
+    profiles = c.questions(spark, sf_dir).select("query_id", one(F.array_max(ts)).alias("e"), one(F.array_min(ts)).alias("f"))
+    texts = c.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    rows = c.doc_hits(spark, sf_dir).select("query_id", "id").join(profiles, "query_id").join(texts, "id")
+    parts = [or_all(rows, meets_constraints(F.col("body"), F.col("e"), F.col("f"), mode == "strict")).select("query_id", "id", F.lit(mode).alias("mode")) for mode in ("strict", "lenient")]
+    return parts[0].unionByName(parts[1])
+
+
+@c.query(
+    f"""WITH {c.DOC_BM25}, {c.top_sql("m", 20, "t")}, r AS (SELECT t.query_id, t.id, coalesce(d.source, '') AS cluster, -t.rank AS s FROM t JOIN documents d ON d.doc_id = t.id),
+w AS (SELECT *, row_number() OVER (PARTITION BY query_id, cluster ORDER BY s DESC, id) AS n, max(s) OVER (PARTITION BY query_id, cluster) AS b FROM r),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY b DESC, cluster) AS c FROM w WHERE n <= 2)
+SELECT query_id, id, cluster, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS place FROM k WHERE c <= 5"""
+)
+def context_clusters(spark, sf_dir):
+    texts = c.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("cluster"))
+    rows = c.doc_hits(spark, sf_dir).join(texts, "id").select("query_id", "id", "cluster", (-F.col("rank")).alias("s"))
+    return best_clusters(rows, "cluster", "s", 5).select("query_id", "id", "cluster", "place")

@@ -45,3 +45,12 @@ def test_alignment_and_views_of_nothing(spark):
     docs = spark.createDataFrame([(1, None, None), (2, "T", "One. Two.")], "i long, title string, t string")
     got = [(r.doc_id, r.view, r.row_index) for r in R.table_views(docs, "i", F.col("title"), F.col("t")).orderBy("doc_id", "row_index").collect()]
     assert got == [(1, "table_summary", None), (2, "table_summary", None), (2, "table_row", 0), (2, "table_row", 1)]
+
+
+def test_years_and_fallback(spark):
+    y = F.col("y")
+    for text, years, want in [("in 1999", ["2001"], False), ("in 1999 and 2001", ["2001"], True), ("no year", ["2001"], True), ("in 1999", [], True)]:
+        assert one(spark, R.free_of_conflict(F.col("t"), y), t=text, y=years) is want
+    hits = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 3, False), (2, 4, None)], "query_id int, id int, ok boolean")
+    assert sorted(r.id for r in R.or_all(hits, F.col("ok")).collect()) == [1, 3, 4]
+    assert one(spark, R.shortened(F.col("t"), 10), t="  abc   defghijkl ") == "abc def..."

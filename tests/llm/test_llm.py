@@ -483,6 +483,19 @@ def test_sentencepiece(spark, docs, awkward):
     assert sp.encode(empty(spark)).count() == 0
 
 
+def test_sentencepiece_repeated_rows(spark, awkward, tmp_path):
+    rows = awkward.unionByName(awkward.where("doc_id is null or doc_id in (1, 2, 3, 7, 10)")).select("doc_id", "text")
+    encoded = sp.encode(rows)
+    assert sorted(map(str, sp.decode(encoded).collect())) == sorted(map(str, rows.collect()))
+    rows.write.parquet(f"{tmp_path}/many/documents.parquet")
+    rows.distinct().write.parquet(f"{tmp_path}/once/documents.parquet")
+    many, once = (sp.op10_sentencepiece(spark, f"{tmp_path}/{d}").collect() for d in ("many", "once"))
+    assert len(many) == rows.count() and len(once) == rows.distinct().count()
+    assert set(many) == set(once) and all(r.decoded for r in many)
+    pieces = sorted(len(r.ids or []) for r in encoded.collect())
+    assert pieces == sorted(r.n_pieces for r in many)
+
+
 # Pipeline
 
 

@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages over whole tables.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the
-columns of documents.
+columns of documents.  Models are learned from the labelled documents of sf_dir, whatever earlier stages have dropped,
+and applied to docs.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ SHINGLE, NUM, DEN = 5, 4, 5
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores as good."""
-    return quality_classifier.keep_good(docs, quality_classifier.learn(docs, table(spark, sf_dir, "labels")))
+    return quality_classifier.keep_good(docs, quality_classifier.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned rules reject."""
-    return quality_rules.keep_good(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
+    return quality_rules.keep_good(docs, quality_rules.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

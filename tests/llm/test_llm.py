@@ -515,3 +515,21 @@ def test_pipeline_stages(spark, data):
     assert all(i == c for i, (_, c) in classes_of(left, 5, 4, 5).items())  # no near-duplicates stay
     ids = {r.doc_id for r in corpus_pipeline.run(spark, data).select("doc_id").collect()}
     assert ids == {i for i, _ in left}
+
+
+def test_pipeline_learns_from_the_whole_table(spark, data):
+    """Stage 2 has its own list, although stage 1 leaves hardly a bad labelled document to learn from."""
+    import corpus_pipeline
+
+    larger = os.path.join(os.path.dirname(data), "sf0.01")
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.learn(docs, labels)
+    good = docs.join(labels.where("quality = 1"), "doc_id").select(*docs.columns).orderBy("doc_id").limit(60)
+    marked = F.regexp_replace("text", r"(\S+\s+\S+\s+\S+\s+)", "$1# ")
+    planted = good.select((F.col("doc_id") + 10**9).alias("doc_id"), marked.alias("text"), "lang", "source", "n_chars")
+    passed = spark.createDataFrame(corpus_pipeline.classify(spark, planted, larger).collect(), docs.schema)
+    bad = quality_rules.apply_rules(passed, rules).where("not base_failed and rule > 0")
+    ids = {r.doc_id for r in bad.collect()}
+    assert rules and ids
+    kept = {r.doc_id for r in corpus_pipeline.apply_rules(spark, passed, larger).collect()}
+    assert not ids & kept

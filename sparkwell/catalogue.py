@@ -295,8 +295,8 @@ PAIRS = "p AS (SELECT a.conv_id, a.turn, substr(a.text, 1, 200) AS pred, substr(
 
 def pairs(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
-    a = c.select("conv_id", "turn", F.substring("text", 1, 200).alias("pred"))
-    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.substring("text", 1, 200).alias("gold"))
+    a = c.select("conv_id", "turn", F.col("text").alias("pred"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
     return a.join(b, ["conv_id", "turn"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,20 +69,25 @@ def fact_scores(predicted: Column, gold: Column) -> tuple[Column, Column, Column
     return pr, rc, ratio(2 * pr * rc, pr + rc), em
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, by folding one table row at a time."""
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence: a table row as the bits of one integer."""
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        hit = row & at.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
 
-    def row(prev, x):
-        def cell(acc, y):
-            j = F.size(acc)
-            # acc holds the new row so far; prev is one longer than b
-            up, left, diagonal = F.get(prev, j), F.get(acc, j - 1), F.get(prev, j - 1)
-            return F.concat(acc, F.array(F.when(x == y, diagonal + 1).otherwise(F.greatest(up, left))))
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of strings, over Arrow batches; null where one is null."""
 
-        return F.aggregate(b, F.array(F.lit(0)), cell)
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([None if p is None or q is None else common_length(p, q) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.int32())
 
-    zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
-    return F.get(F.aggregate(a, zero, row), F.size(b))
+    return F.arrow_udf(run, "int")(a, b)
 
 
 def rouge_l(predicted: Column, gold: Column) -> Column:

@@ -485,7 +485,7 @@ def qpp_dispersion(spark, sf_dir):
 
 @query(f"WITH {DOC_BM25}, {top_sql('m', 20, 't')} SELECT query_id, round(stddev_pop(score) / abs(avg(score)), 6) AS nqc, CASE WHEN round(stddev_pop(score) / abs(avg(score)), 9) >= 0.10 THEN 'fuse' ELSE 'retry' END AS route FROM t WHERE score > 0 GROUP BY 1")
 def nqc_route(spark, sf_dir):
-    return policy.dispersion(doc_hits(spark, sf_dir), 100).select("query_id", F.round("nqc", 6).alias("nqc"), F.when(F.round("nqc", 9) >= 0.10, "fuse").otherwise("retry").alias("route"))
+    return policy.dispersion(doc_hits(spark, sf_dir, 100), 100).select("query_id", F.round("nqc", 6).alias("nqc"), F.when(F.round("nqc", 9) >= 0.10, "fuse").otherwise("retry").alias("route"))
 
 
 @query(

@@ -168,3 +168,17 @@ def test_structure_chunks_hold_all_words(spark, data):
     words = docs.toPandas().set_index("doc_id").text.str.split().str.len()
     got = rows.assign(n=rows.chunk.str.split().str.len()).groupby("doc_id").n.sum()
     assert (got >= words[got.index]).all()
+
+
+def test_nqc_reads_a_hundred_scores(spark, data):
+    from statistics import fmean, pstdev
+
+    from sparkwell import catalogue as c
+
+    scores = {}
+    for r in retrieval.bm25_scores(c.questions(spark, data), c.read(spark, data, "documents"), "doc_id", "text").where("score > 0").collect():
+        scores.setdefault(r.query_id, []).append(r.score)
+    best = {q: sorted(x, reverse=True)[:100] for q, x in scores.items()}
+    assert any(len(x) > 20 for x in best.values())
+    got = {r.query_id: r.nqc for r in c.QUERIES["nqc_route"](spark, data).collect()}
+    assert got == pytest.approx({q: pstdev(x) / fmean(x) for q, x in best.items()}, abs=2e-6)

@@ -43,7 +43,7 @@ def conditioned(score: Column, said_nothing: Column, should_say_nothing: Column)
 
 @c.query("SELECT page_id, CASE WHEN coalesce(url, '') <> '' THEN 'passage: ' || url || ': ' ELSE 'passage: ' END || substr(html, 1, 100) AS passage FROM pages")
 def passage_serialise(spark, sf_dir):
-    return c.read(spark, sf_dir, "pages").select("page_id", passage(F.col("url"), F.substring("html", 1, 100)).alias("passage"))
+    return c.read(spark, sf_dir, "pages").select("page_id", passage(F.col("url"), F.col("html")).alias("passage"))
 
 
 @c.query(

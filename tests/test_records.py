@@ -54,3 +54,10 @@ def test_years_and_fallback(spark):
     hits = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 3, False), (2, 4, None)], "query_id int, id int, ok boolean")
     assert sorted(r.id for r in R.or_all(hits, F.col("ok")).collect()) == [1, 3, 4]
     assert one(spark, R.shortened(F.col("t"), 10), t="  abc   defghijkl ") == "abc def..."
+
+
+def test_passages_are_whole(spark, data):
+    from sparkwell import catalogue as c
+
+    want = {r.page_id: f"passage: {r.url}: {r.html}" if r.url else f"passage: {r.html}" for r in c.read(spark, data, "pages").collect()}
+    assert {r.page_id: r.passage for r in c.QUERIES["passage_serialise"](spark, data).collect()} == want

@@ -16,31 +16,57 @@ from pyspark.sql import functions as F
 
 from sparkwell.llm.common import held_out, slices, table, uniform
 
-#: Learning takes about this many rows of each language, and this many bytes of their texts for its dictionary.
+#: Learning takes about this many rows of each language, more where they are short, and this many bytes for its dictionary.
 FIT_ROWS, DICTIONARY_BYTES = 300, 110_000
 LEVEL, REJECT, UNDETERMINED = 12, 0.02, "und"
 
 
+def level(lengths: list[int], size: int) -> int:
+    """The shortest span for which the texts together give `size` bytes, or the longest text where they don't."""
+    left = sorted(lengths)
+    for i, n in enumerate(left):
+        if n * (len(left) - i) >= size:
+            return -(-size // (len(left) - i))
+        size -= n
+    return left[-1] if left else 0
+
+
+def whole_words(text: bytes, n: int) -> bytes:
+    """The beginning of at most n bytes, up to a space, or to a character where no space is near."""
+    if len(text) <= n:
+        return text
+    head = text[:n].rpartition(b" ")[0]
+    return head if 2 * len(head) >= n else text[:n].decode(errors="ignore").encode()
+
+
 def learn(docs: DataFrame, rows: int = FIT_ROWS, size: int = DICTIONARY_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 31) -> dict[str, bytes]:
     """Language to dictionary, from a uniform sample of bounded size for each language outside the held-out fold.
 
-    A language's texts alternate with others of it only; each gives whole words up to an equal share of the dictionary.
+    A sample has `rows` texts, or more where those are too short to fill the dictionary.  Each gives a span of whole
+    words from anywhere in it, as long as the language's texts need to fill the dictionary together.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string").alias("l")).count().collect()}
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col)
+    known = docs.where(lang.isNotNull() & text.isNotNull() & ~held_out(id_col))
+    counts = {r[0]: (r[1], r[2]) for r in known.groupBy(lang.alias("l")).agg(F.count("*"), F.sum(F.octet_length(text))).collect()}
     if not counts:
         return {}
     spark = docs.sparkSession
-    rate = spark.createDataFrame([(k, min(1.0, rows / n)) for k, n in counts.items()], "__l string, __rate double")
-    picked = known.join(F.broadcast(rate), F.col(lang_col).cast("string") == F.col("__l")).where(uniform(id_col, seed) < F.col("__rate"))
-    each = 2 * size // rows
-    sample = picked.select("__l", F.xxhash64(F.col(id_col)).alias("h"), F.substring(F.col(text_col), 1, 4 * each).alias("t")).collect()
+    rate = spark.createDataFrame([(k, min(1.0, max(rows / n, 1.5 * size / max(b, 1)))) for k, (n, b) in counts.items()], "__l string, __rate double")
+    picked = known.join(F.broadcast(rate), lang == F.col("__l")).where(uniform(id_col, seed) < F.col("__rate"))
+    lengths: dict[str, list[int]] = {}
+    for r in picked.select("__l", F.octet_length(text)).collect():
+        lengths.setdefault(r[0], []).append(r[1])
+    # a little more than the size, for the parts of words that go
+    spans = {k: level(v, size + size // 8) for k, v in lengths.items()}
+    most = spark.createDataFrame(list(spans.items()), "__k string, __most int")
+    start = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.greatest(F.length(text) - F.col("__most"), F.lit(0)) + 1).cast("int") + 1
+    sample = picked.join(F.broadcast(most), F.col("__l") == F.col("__k")).select("__l", F.xxhash64(F.col(id_col)).alias("h"), F.substring(text, start, F.col("__most")).alias("t")).collect()
     out: dict[str, bytes] = {}
-    for lang in sorted(counts):
-        texts = [r[2].lower().encode() for r in sorted((r for r in sample if r[0] == lang), key=lambda r: (r[1], r[2]))]
-        content = b"\n".join(t if len(t) <= each else t[:each].rpartition(b" ")[0] for t in texts)
+    for k in sorted(counts):
+        texts = [r[2].lower().encode() for r in sorted((r for r in sample if r[0] == k), key=lambda r: (r[1], r[2]))]
+        content = b"\n".join(whole_words(t, spans[k]) for t in texts)
         if content:
-            out[lang] = content[:size]
+            out[k] = content[:size]
     return out
 
 

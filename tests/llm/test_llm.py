@@ -423,6 +423,17 @@ def test_language_id(spark, docs, awkward):
     assert language_id.learn(empty(spark)) == {}
 
 
+def test_dictionaries_fill_up(spark):
+    """Few long rows, many short ones and texts without a space all fill a dictionary."""
+    rng = random.Random(4)
+    text = lambda n, gap: gap.join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows = [(i, text(3000, " "), "rare") for i in range(20)] + [(i, text(3, " "), "short") for i in range(100, 8100)]
+    rows += [(i, "".join(rng.choices("日本語中文字", k=4000)), "zh") for i in range(9000, 9040)]
+    got = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(got) == {"rare", "short", "zh"}
+    assert all(0.95 * language_id.DICTIONARY_BYTES < len(v) <= language_id.DICTIONARY_BYTES for v in got.values())
+
+
 def test_quality_classifier(spark, data, docs, labels, awkward):
     model = quality_classifier.learn(docs, labels)
     got = quality_classifier.score_documents(docs, model).join(labels, "doc_id").toPandas()

@@ -21,7 +21,6 @@ import sys
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from types import ModuleType
-from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +29,8 @@ from pyspark.sql import functions as F
 from sparkwell.llm.common import slices, table, trim, written
 
 CAPACITY, END_TOKEN, VOCABULARY = 4096, 1, "word_bpe_49k.json"
+#: Tasks to a block when their pieces are counted.
+TASKS = 1024
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -38,114 +39,134 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Places(dict):
-    """Word to its number; new words wait in `new`."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        k = self[word] = len(self)
-        self.new.append(word)
-        return k
-
-
 class Encoder:
-    """Token ids of texts by a tokenizer whose pre-tokens never hold white space.
+    """Token ids of texts, each distinct stem tokenized once.
 
-    So a text's ids are those of its white-space separated words, in order.  Words are kept until there are `most`,
-    and so are their stems: a word without the punctuation that ends it, in lower case as the tokenizer has it.
+    A tokenizer of RULES never joins what ASCII white space parts, so a text's ids are those of its words, in order.  A word
+    is a stem and the punctuation of ENDS behind it, where the tokenizer parts the two; `apart` asks it so for each last
+    character of a stem.  Stems of ASCII are kept in lower case, as the tokenizer has them, but for what may hold an
+    added token, which is met in its own spelling alone.  Stems are kept until there are `most`.  Texts go to a tokenizer
+    of other rules whole.
     """
 
     #: A word of its own between others, of one id that no text without this character can have.
     MARK, AT_ONCE = "\x01", 500
-    #: str.split takes these for white space as well, the tokenizer doesn't.
-    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-    ENDS = ",.!?;:"
+    #: Longer runs of punctuation stay with their word.
+    ENDS, LONGEST_END = ",.!?;:", 6
+    #: The pre-tokens of the tokenizers that this holds for: none has white space.
+    RULES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, most: int = 600_000):
+        import json
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most = most
-        alone = self.whole(self.MARK)
-        self.mark = int(alone[0]) if len(alone) == 1 else -1
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        added = [x for x in rules["added_tokens"] if x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] or not x["content"].startswith("<|")]
+        alone = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = alone[0] if len(alone) == 1 else -1
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split[:1] == [self.RULES] and not added and self.mark >= 0
+        self.parted: dict[str, bool] = {}
         self.clear()
 
     def clear(self):
-        self.words, self.stems = Places(), Places()
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.parts = np.zeros((0, 2), np.int64)
+        self.stems: dict[str, int] = {"": 0}
+        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def split(self, word: str) -> tuple[int, int]:
-        """The numbers of a word's stem and of the punctuation behind it; the tokenizer never joins the two."""
-        stem = word.rstrip(self.ENDS)
-        n = len(stem)
-        if n == len(word):
-            end = ""
-        elif n and stem[-1].isalnum():
-            end = word[n:]
-        else:
-            stem, end = word, ""
-        if stem.isascii() or ("\u03a3" not in stem and is_normalized("NFC", stem)):
-            stem = stem.lower()
-        return self.stems[stem], self.stems[end]
-
-    def learn(self):
-        parts = np.array([self.split(w) for w in self.words.new], np.int64).reshape(-1, 2)
-        self.words.new.clear()
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def apart(self, last: str) -> bool:
+        """Whether the tokenizer parts this character from punctuation behind it."""
+        if last not in self.parted:
+
+            def pre(text):
+                return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+
+            self.parted[last] = bool(last) and pre(last + ".") == pre(last) + pre(".")
+        return self.parted[last]
+
+    def learn(self, stems: list[str]):
+        """Numbers and ids for stems that are new."""
+        some = [stems[a : a + self.AT_ONCE] for a in range(0, len(stems), self.AT_ONCE)]
         found, sizes = [], []
-        stems = self.stems.new
-        for a in range(0, len(stems), self.AT_ONCE):
-            some = stems[a : a + self.AT_ONCE]
-            ids = self.whole(f" {self.MARK} ".join(some))
+        for part, ids in zip(some, self.batch([f" {self.MARK} ".join(x) for x in some])):
             cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) == len(some) - 1 and not any(self.MARK in w for w in some):
+            if len(cuts) == len(part) - 1 and not any(self.MARK in w for w in part):
                 found.append(np.delete(ids, cuts))
                 sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
             else:
-                each = [self.whole(w) for w in some]
+                each = self.batch(part)
                 found += each
                 sizes.append(np.array([len(x) for x in each], np.int64))
-        stems.clear()
-        if sizes:
-            new = np.concatenate(sizes)
-            self.start = np.append(self.start, len(self.ids) + np.cumsum(new) - new)
-            self.size = np.append(self.size, new)
-            self.ids = np.concatenate([self.ids, *found])
-        self.parts = np.concatenate([self.parts, parts])
-
-    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids, joined, and their number for each text."""
-        if len(self.words) > self.most:
+        new = np.concatenate(sizes)
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(new) - new)
+        self.size = np.append(self.size, new)
+        self.ids = np.concatenate([self.ids, *found])
+        self.stems.update(zip(stems, range(len(self.stems), len(self.stems) + len(stems))))
+
+    def numbers(self, stems) -> np.ndarray:
+        """The numbers of an Arrow array of distinct stems."""
+        values = stems.to_pylist()
+        if new := [x for x in values if x not in self.stems]:
+            self.learn(new)
+        return np.fromiter(map(self.stems.__getitem__, values), np.int64, len(values))
+
+    def halves(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct words (an Arrow array): the numbers of the stems and of the punctuation behind them, 0 for none."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        stem = pc.ascii_rtrim(words, characters=self.ENDS)
+        n = pc.subtract(pc.binary_length(words), pc.binary_length(stem)).to_numpy(zero_copy_only=False)
+        last = pc.dictionary_encode(pc.utf8_slice_codeunits(stem, -1))
+        parted = np.array([self.apart(x) for x in last.dictionary.to_pylist()], bool)[last.indices.to_numpy()]
+        n = np.where(parted & (n <= self.LONGEST_END), n, 0)
+        stem = pc.if_else(pa.array(n > 0), stem, words)
+        plain = pc.and_(pc.string_is_ascii(stem), pc.invert(pc.match_substring(stem, "<|")))
+        stem = pc.dictionary_encode(pc.if_else(plain, pc.ascii_lower(stem), stem))
+        ends = np.zeros(len(words), np.int64)
+        for k in np.unique(n[n > 0]).tolist():
+            here = n == k
+            end = pc.dictionary_encode(pc.utf8_slice_codeunits(words.filter(pa.array(here)), -k))
+            ends[here] = self.numbers(end.dictionary)[end.indices.to_numpy()]
+        return self.numbers(stem.dictionary)[stem.indices.to_numpy()], ends
+
+    def encode(self, texts, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids (texts: an Arrow array of strings), each with `end` behind it, joined, and their number for each text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            each = [np.append(x, np.uint32(end)) for x in self.batch(texts.to_pylist())]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        if len(self.stems) > self.most:
             self.clear()
-        at, count, odd = [], np.zeros(len(texts), np.int64), {}
-        for i, t in enumerate(texts):
-            if t:
-                if any(c in t for c in self.ODD):
-                    odd[i] = self.whole(t)
-                else:
-                    words = t.split()
-                    at += map(self.words.__getitem__, words)
-                    count[i] = len(words)
-        if self.words.new:
-            self.learn()
-        parts = self.parts[np.array(at, np.int64)].ravel()
-        size = self.size[parts]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ends = total[2 * np.cumsum(count)]
-        ids = self.ids[np.repeat(self.start[parts] - total[:-1], size) + np.arange(total[-1])] if len(parts) else np.zeros(0, np.uint32)
-        n = np.diff(np.concatenate([[0], ends]))
-        if odd:
-            each = np.split(ids, ends[:-1])
-            each = [odd.get(i, x) for i, x in enumerate(each)]
-            return np.concatenate(each), np.array([len(x) for x in each])
-        return ids, n
+        # white space at either end of a text gives empty words, which have no ids
+        lists = pc.ascii_split_whitespace(texts)
+        code = pc.dictionary_encode(lists.flatten())
+        a, b = self.halves(code.dictionary)
+        size = self.size[a] + self.size[b]
+        parts = np.stack([a, b], 1).ravel()
+        n = self.size[parts]
+        at = np.concatenate([[0], np.cumsum(n)])
+        ids = np.append(self.ids[np.repeat(self.start[parts] - at[:-1], n) + np.arange(at[-1])], np.uint32(end))
+        words = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size), [len(ids)]])), pa.array(ids, pa.uint32()))
+        stops = np.cumsum(pc.list_value_length(lists).to_numpy())
+        codes = np.insert(code.indices.to_numpy(), stops, len(size))
+        total = np.cumsum(np.append(size, 1)[codes])
+        ends = total[stops + np.arange(len(stops))]
+        return words.take(pa.array(codes)).flatten().to_numpy(), np.diff(np.concatenate([[0], ends]))
 
 
 def encoder(path: str) -> Encoder:
@@ -166,19 +187,23 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, path:
 
         encode, task, ranks = encoder(path).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
-                row, piece, start, length, crc = [], [], [], [], []
-                flat, sizes = encode(part.column(1).to_pylist())
-                for i, ids in enumerate(np.split(flat, np.cumsum(sizes)[:-1])):
-                    ids = np.append(ids, np.uint32(END_TOKEN)).astype("<u4")
-                    for k, a in enumerate(range(0, len(ids), capacity)):
-                        cut = ids[a : a + capacity]
-                        row.append(i), piece.append(k), start.append(a), length.append(len(cut)), crc.append(zlib.crc32(cut))
-                rank = []
-                for n in length:
-                    rank.append(ranks[n])
-                    ranks[n] += 1
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+            for part in slices(batch, 1):
+                flat, sizes = encode(part.column(1), END_TOKEN)
+                n = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(sizes[row] - start, capacity)
+                at = (np.cumsum(length) - length).tolist()
+                data = memoryview(flat.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * (a + m)]) for a, m in zip(at, length.tolist())]
+                order = np.argsort(length, kind="stable")
+                first = np.flatnonzero(np.diff(length[order], prepend=-1))
+                nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = ranks[length[order]] + nth
+                ranks += np.bincount(length, minlength=capacity + 1)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.full(len(row), task), pa.int32()), pa.array(rank)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
         trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -341,8 +366,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     at = {k: np.array(v, np.int64).T for k, v in at.items()}
     from pyspark.sql import Window
 
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    first = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("before"))
+    def before(*keys):
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    # in two steps, so that no window holds more than a block of tasks, or all blocks, of one length
+    by_task = by_task.withColumn("block", F.expr(f"task div {TASKS}"))
+    blocks = by_task.groupBy("length", "block").agg(F.sum("n").alias("n")).select("length", "block", before("length", "block").alias("base"))
+    within = by_task.select("length", "block", "task", before("length", "block", "task").alias("before"))
+    first = within.join(blocks, ["length", "block"]).select("length", "task", (F.col("before") + F.col("base")).alias("before"))
     ranked = pieces.join(first, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(batches):

@@ -232,7 +232,6 @@ def test_packing_ids(spark, docs, awkward):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.vocabulary_path())
-    tokenizer.encode_special_tokens = True
     for frame in (docs.select("doc_id", "text"), awkward):
         got = packing.pack(frame).collect()
         pieces = sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got)
@@ -253,6 +252,52 @@ def test_packing_ids(spark, docs, awkward):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def fuzzed(seed, n):
+    """Texts of characters from all over Unicode, of what the tokenizer treats apart, and of punctuation."""
+    rnd = random.Random(seed)
+    special = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "İ", "Σ", "ς", "'s", "'LL", "\u0301", "\u0307", "\u0323", "H\u0331", "\x01", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "ﬁ", "K", "½", "²", "१", "Ⅷ", "ᄒ", "ᅡ", "ᆫ", "日本", "ไทย", "😀", "\u200d", "Ǆ", "ẞ"]
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rnd.randint(1, 12)):
+            k = rnd.random()
+            if k < 0.3:
+                parts.append("".join(rnd.choices("abcXYZ", k=rnd.randint(1, 5))))
+            elif k < 0.5:
+                parts.append(rnd.choice(special))
+            elif k < 0.7:
+                parts.append("".join(rnd.choices(",.!?;:-'", k=rnd.randint(1, 9))))
+            elif k < 0.85:
+                c = rnd.randrange(1, 0x30000)
+                parts.append(chr(c) if not 0xD800 <= c < 0xE000 else "x")
+            else:
+                parts.append(rnd.choice(" \t\n"))
+        out.append("".join(parts))
+    return out
+
+
+def test_packing_ids_of_any_text():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    assert tokenizer.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [3306, 49407, 1002]
+    texts = ["hello <|endoftext|> world", "...İ!", "İSTANBUL'DA. İ, ÇIĞ...", None, "", " ", "a" * 3000 + ".", "x . y"] + fuzzed(3, 12_000)
+    encoder = packing.Encoder(packing.vocabulary_path(), most=5_000)
+    assert encoder.by_word
+    for a in range(0, len(texts), 3000):
+        some = texts[a : a + 3000]
+        flat, size = encoder.encode(pa.array(some, pa.string()), 1)
+        got = [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])]
+        for t, x in zip(some, got):
+            assert x == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], repr(t)
+    other = packing.Encoder(packing.vocabulary_path("byte_bpe_50k.json"))
+    assert not other.by_word
+    plain = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+    flat, size = other.encode(pa.array(["a  b", None, "İ!"]), 1)
+    assert flat.tolist() == [i for t in ("a  b", "", "İ!") for i in [*plain.encode(t, add_special_tokens=False).ids, 1]]
+
+
 # 5
 
 

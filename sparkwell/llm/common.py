@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode one of our own where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkwell-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -45,6 +47,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that none of the columns has, in any case."""
+    prefix = "__q_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def frequent(rows: DataFrame, times: str, most: int) -> DataFrame:
+    """The rows with the largest values of `times` (1 or more), about `most` of them and never more.
+
+    The cut-off comes from a histogram of logarithms, of some hundreds of counts at any size, so nothing is sorted and no
+    task gathers the rows.  A row that is left out has a share of less than about 1 / most of the sum of times.
+    """
+    step = F.floor(F.log2(times) * 8).cast("int")
+    left, least = most, None
+    for k, n in sorted(rows.groupBy(step.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if n > left:
+            break
+        left, least = left - n, k
+    return rows.where(step >= least) if least is not None else rows.limit(0)
+
+
 def held_out(id_col: str):
     """True for rows kept from learning; a null id is learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == HELD_OUT, F.lit(False))

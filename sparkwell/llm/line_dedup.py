@@ -15,70 +15,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import table
+from sparkwell.llm.common import free_prefix, frequent, table, written
 
 MIN_SITES = 8
 #: log2 of a sketch's registers; a relative error of about 2 % above a few hundred sites, none to speak of below.
 LG_K = 12
 #: Estimates within this factor of the threshold are counted exactly: tens of standard errors.
 NEAR = 1.5
+#: Lines that are broadcast, some 60 bytes each: all wanted ones if they are no more, or else the most frequent.
+HOT = 200_000
+#: A line, and a row, by 128 bits each.
+LINE, ROW = ["h1", "h2"], ["k1", "k2"]
 
 
-def line_key(line: Column) -> list[Column]:
-    """128 bits of a line."""
-    return [F.xxhash64(line).alias("__h1"), F.xxhash64(line, F.lit(1)).alias("__h2")]
+def key(names: list[str], *parts: Column) -> list[Column]:
+    """128 bits: hashes from two seeds, as the constant in front makes them."""
+    return [F.xxhash64(*parts).alias(names[0]), F.xxhash64(F.lit(1), *parts).alias(names[1])]
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """Rows that share this share their text, or else have boilerplate removed that goes everywhere anyway."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_key(id_col: str, text_col: str, names: list[str]) -> list[Column]:
+    """Rows that share this share id and text; nulls are told from values."""
+    i, t = F.col(id_col), F.col(text_col)
+    return key(names, i, t, i.isNull(), t.isNull())
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__k"), F.xxhash64(F.col(site_col)).alias("__s"), F.col(site_col).isNull().alias("__n"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("__pos", "__line"))
-    return rows.where(F.col("__line").rlike(r"[^\x20\x09-\x0D]")).select("__id", "__k", F.when(~F.col("__n"), F.col("__s")).alias("__s"), "__pos", *line_key(F.col("__line")))
-
-
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(__h1, __h2, __first): boilerplate lines with their first place."""
-    keys = ["__h1", "__h2"]
-    spread = lines.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_sketch_agg("__s", F.lit(LG_K))).alias("__sites"), F.min(F.struct("__id", "__pos")).alias("__first"))
-    likely = spread.where(F.col("__sites") >= min_sites / NEAR)
-    sure = likely.where(F.col("__sites") > min_sites * NEAR).select(*keys, "__first")
-    near = likely.where(F.col("__sites") <= min_sites * NEAR).select(*keys, "__first")
-    exact = lines.join(near, keys, "left_semi").select(*keys, "__s").distinct().groupBy(*keys).agg(F.count("__s").alias("__exact")).where(F.col("__exact") >= min_sites)
-    return sure.unionByName(near.join(exact.select(*keys), keys, "left_semi"))
-
-
-def removals(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(__k, __gone): per row key, the positions of the lines that go."""
+    """(id, ROW, site, pos, LINE) for every line that isn't blank."""
+    rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col, ROW), F.when(F.col(site_col).isNotNull(), F.xxhash64(site_col)).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
+    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("id", *ROW, "site", "pos", *key(LINE, F.col("line")))
+
+
+def meeting(lines: DataFrame, wanted: DataFrame, most: int = HOT) -> DataFrame:
+    """lines joined with wanted (LINE, n, ...), n being how often a line occurs.
+
+    Few wanted lines are broadcast.  Of many, the most frequent are, so that no line in the shuffle join that meets the others has more than
+    a share of about 1 / most of all lines.
+    """
+    if wanted.count() <= most:
+        return lines.join(F.broadcast(wanted), LINE)
+    hot = frequent(wanted, "n", most)
+    rest = wanted.join(F.broadcast(hot.select(*LINE)), LINE, "left_anti")
+    cold = lines.join(F.broadcast(hot.select(*LINE)), LINE, "left_anti")
+    return lines.join(F.broadcast(hot), LINE).unionByName(cold.join(rest, LINE))
+
+
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, most: int = HOT) -> DataFrame:
+    """(LINE, n, first): boilerplate lines with how often they occur and their first place."""
+    spread = lines.groupBy(*LINE).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
+    likely = written(spread.where(F.col("sites") >= min_sites / NEAR), "lines")
+    sure, near = likely.where(F.col("sites") > min_sites * NEAR), likely.where(F.col("sites") <= min_sites * NEAR)
+    # each task meets a pair of line and site once, however often it occurs
+    pairs = meeting(lines.select(*LINE, "site"), near.select(*LINE, "n"), most).select(*LINE, "site").distinct()
+    exact = pairs.groupBy(*LINE).agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
+    return written(sure.unionByName(near.join(exact.select(*LINE), LINE, "left_semi")).select(*LINE, "n", "first"), "boilerplate")
+
+
+def removals(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", most: int = HOT) -> DataFrame:
+    """(ROW, gone): per row key, the positions of the lines that go."""
     lines = lines_of(docs, id_col, text_col, site_col)
-    hit = lines.join(boilerplate(lines, min_sites), ["__h1", "__h2"])
-    gone = hit.where(~((F.col("__first.__id").eqNullSafe(F.col("__id"))) & (F.col("__first.__pos") == F.col("__pos"))))
-    return gone.groupBy("__k").agg(F.collect_set("__pos").alias("__gone"))
+    hit = meeting(lines, boilerplate(lines, min_sites, most), most)
+    gone = hit.where(~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.pos") == F.col("pos"))))
+    return gone.groupBy(*ROW).agg(F.collect_set("pos").alias("gone"))
 
 
-def cleaned(text: Column) -> Column:
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.array_contains(F.col("__gone"), i), F.lit(False)))
-    return F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+def cleaned(text: Column, gone: Column) -> Column:
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False)))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def marked(docs: DataFrame, min_sites: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """docs with __gone: null, or the positions of the lines that go."""
-    return docs.withColumn("__k", row_key(id_col, text_col)).join(removals(docs, min_sites, id_col, text_col, site_col), "__k", "left").drop("__k")
+def marked(docs: DataFrame, gone: str, min_sites: int, id_col: str, text_col: str, site_col: str, most: int = HOT) -> DataFrame:
+    """docs with a column `gone`: null, or the positions of the lines that go."""
+    names = [gone + "1", gone + "2"]
+    found = removals(docs, min_sites, id_col, text_col, site_col, most).select(F.col(ROW[0]).alias(names[0]), F.col(ROW[1]).alias(names[1]), F.col("gone").alias(gone))
+    return docs.select("*", *row_key(id_col, text_col, names)).join(found, names, "left").drop(*names)
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", most: int = HOT) -> DataFrame:
     """docs with boilerplate lines gone from the texts; all other columns as they were."""
-    rows = marked(docs, min_sites, id_col, text_col, site_col)
-    return rows.select(*(cleaned(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    gone = free_prefix(docs.columns) + "gone"
+    rows = marked(docs, gone, min_sites, id_col, text_col, site_col, most)
+    return rows.select(*(cleaned(F.col(c), F.col(gone)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those removed, and the length and MD5 of the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = marked(docs, MIN_SITES, "doc_id", "text", "source").withColumn("__clean", cleaned(F.col("text")))
-    return rows.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.length("__clean").cast("long").alias("n_chars"), F.md5(F.encode("__clean", "UTF-8")).alias("text_md5"))
+    rows = marked(docs, "gone", MIN_SITES, "doc_id", "text", "source").withColumn("clean", cleaned(F.col("text"), F.col("gone")))
+    return rows.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.length("clean").cast("long").alias("n_chars"), F.md5(F.encode("clean", "UTF-8")).alias("text_md5"))
 
 
 OP6_SQL = rf"""

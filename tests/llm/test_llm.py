@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from oracle import by_sql, rows
 
-from sparkwell.llm import jaccard_join, jpeg, language_id, line_dedup, packing, quality_classifier, quality_rules, token_counts, warc
+from sparkwell.llm import common, jaccard_join, jpeg, language_id, line_dedup, packing, quality_classifier, quality_rules, token_counts, warc
 from sparkwell.llm import sentencepiece_lattice as sp
 from sparkwell.llm.catalogue import ORACLE, QUERIES
 from sparkwell.llm.components import components
@@ -88,14 +88,47 @@ def test_token_counts(spark, data, awkward):
 # 2
 
 
+def plain_hash(luma):
+    """64 cells of the picture against the mean of the cells, cell by cell."""
+    if len(luma) < 8:
+        luma = np.repeat(luma, -(-8 // len(luma)), axis=0)
+    h, w = luma.shape
+    cells = [luma[i * h // 8 : (i + 1) * h // 8, j * w // 8 : (j + 1) * w // 8].astype(float).mean() for i in range(8) for j in range(8)]
+    return f"{int(''.join('01'[int(c > np.mean(cells))] for c in cells), 2):016x}"
+
+
+def test_damaged_media_are_rows_with_an_error(spark):
+    """Damage of any byte spoils its own row at most; it never raises."""
+    rnd = random.Random(6)
+    good = [bytes(rnd.randrange(256) for _ in range(576 * n)) for n in (1, 3, 2)]
+    data = [jpeg.encode([p])[0] for p in good]
+    rows = [(i, 0, d) for i, d in enumerate(data)] + [(10, 0, None), (11, 0, b""), (12, 0, b"not a picture"), (13, 0, data[0][:-2]), (14, 0, data[0][:200]), (15, 0, data[1].replace(b"\xff\xc0", b"\xff\xc2"))]
+    for k in range(100, 300):
+        d = bytearray(data[k % 3])
+        d[rnd.randrange(len(d))] ^= 1 << rnd.randrange(8)
+        rows.append((k, 0, bytes(d)))
+    got = {r.doc_id: r for r in jpeg.described(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary").repartition(2)).collect()}
+    assert len(got) == len(rows) and all(got[i].payload_sha256 == hashlib.sha256(p).hexdigest() and got[i].error is None for i, p in enumerate(good))
+    assert all(got[i].error and got[i].payload_sha256 is None and got[i].feature is None for i in range(10, 16))
+    assert got[10].media_bytes is None and got[12].media_bytes == 13
+
+
 def test_jpeg_payloads(spark, data, awkward):
     for frame in (spark.read.parquet(f"{data}/documents.parquet"), awkward):
         want = sorted(((r.doc_id is None, r.doc_id or 0), jpeg.padded((r.text or "").encode())) for r in frame.collect())
         got = sorted((((r.doc_id is None, r.doc_id or 0), r) for r in jpeg.described(jpeg.stored(frame)).collect()), key=lambda x: (x[0], x[1].payload_bytes))
         want.sort(key=lambda x: (x[0], len(x[1])))
+        features = {}
         for (k, r), (i, p) in zip(got, want):
             assert (k, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (i, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
-            assert len(p) % 576 == 0
+            assert len(p) % 576 == 0 and r.error is None
+            stream = jpeg.encode([p])[0]
+            assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
+            luma = np.frombuffer(p, np.uint8).reshape(-1, 576)
+            assert r.feature == f"4608x{8 * len(luma)}:{plain_hash(luma)}"
+            assert features.setdefault(r.payload_sha256, r.feature) == r.feature
+        texts = sorted(len((r.text or "").encode()) for r in frame.collect())
+        assert sorted(r.n_bytes for _, r in got) == texts
     assert jpeg.described(jpeg.stored(empty(spark))).count() == 0
 
 
@@ -148,7 +181,23 @@ def test_jpeg_with_colour_and_ac_coefficients():
     assert end == len(data) and (image.width, image.height) == (30, 16)
     sums = np.cumsum(luma)
     want = np.array([[sums[0], sums[1], sums[4], sums[5]], [sums[2], sums[3], sums[6], sums[7]]])
-    assert jpeg.thumbnails([image])[0].tolist() == (np.floor(want * 4 / 8 + 0.5) + 128).astype(int).tolist()
+    want = (np.floor(want * 4 / 8 + 0.5) + 128).astype(int).tolist()
+    assert jpeg.thumbnails([image])[0].tolist() == want
+    # the same picture in a scan for each component: luminance by rows of its own blocks, and other tables for the colours
+    rows = [luma[0], luma[1] - 0, luma[4], luma[5], luma[2], luma[3], luma[6], luma[7]]
+    values = [sums[i] for i in (0, 1, 4, 5, 2, 3, 6, 7)]
+    rows = np.diff(values, prepend=0).tolist()
+    grey = [(0, 1, d, [(0x12, "10"), (0x00, "")]) for d in rows]
+    dc = ([0, 2, 4, 2] + [0] * 12, [0, 1, 2, 3, 4, 5, 6, 7])
+    tables[0] = dc
+    head = b"\xff\xd8" + seg(0xDB, bytes([0]) + bytes([4]) * 64) + seg(0xC0, bytes([8, 0, 16, 0, 30, 3]) + comps)
+    for k, (b, v) in tables.items():
+        head += seg(0xC4, bytes([0x10 * k, *b, *v]))
+    data = head + seg(0xDA, bytes([1, 1, 0, 0, 63, 0])) + bits_of(grey, tables)
+    data += seg(0xC4, bytes([0x00, 1, *[0] * 15, 0])) + seg(0xDA, bytes([2, 2, 0, 3, 0, 0, 63, 0])) + b"\x00" + b"\xff\xd9"
+    image, end = jpeg.parse(data)
+    assert end == len(data) and len(image.scan) == 1
+    assert jpeg.thumbnails([image])[0].tolist() == want
 
 
 # 3
@@ -183,6 +232,35 @@ def test_warc_revisits(spark):
     assert warc.records_of(warc.archives(warc.with_targets(pages.limit(0)))).count() == 0
 
 
+def test_warc_hot_payloads_long_pages_and_clashing_columns(spark):
+    """All repeated payloads in place, or the most frequent alone: the same records.  Rows of one id are each a record."""
+    long = "x" * (warc.PART_BYTES + 1000) + "".join(map(chr, range(200, 4000)))
+    html = [f"page {i % 9} " * 30 for i in range(60)] + ["hot " * 40] * 80 + [long, long, "", None]
+    rows = [(i, "u", h, "d", 1, 2, "g") for i, h in enumerate(html)] + [(70, "u", html[70], "d", 1, 2, "g"), (5, "u", "other " * 30, "d", 1, 2, "g")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, first int, n int, d string")
+    want = {}
+    for i, h, *_ in ((r[0], r[2]) for r in rows):
+        want.setdefault(h or "", []).append(i)
+    want = sorted((i, len(h.encode()), "revisit" if i != min(ids) and len(h) >= 100 else "response", min(ids) if i != min(ids) and len(h) >= 100 else -1) for h, ids in want.items() for i in ids)
+    for most in (warc.HOT, 1):
+        got = warc.records_of(warc.archives(warc.with_targets(pages, most=most))).collect()
+        assert sorted((r.page_id, r.payload_bytes, r.record_type, -1 if r.refers_to is None else r.refers_to) for r in got) == want
+
+
+def test_warc_gaps_are_logged(spark, caplog):
+    good = [warc.member(make(i, b"p%d" % i * 50)) for i in range(3)]
+    stored = spark.createDataFrame([("a", 0, good[0] + b"junk!" + good[1]), ("b", 0, good[2])], "archive string, part int, content binary")
+    gaps = warc.quarantined(warc.records_of(stored)).collect()
+    assert [tuple(g) for g in gaps] == [("a", 0, len(good[0]), 5)] and "1 gaps of 5 bytes" in caplog.text
+
+
+def test_warc_inflates_in_steps():
+    big = make(1, bytes(random.Random(1).randrange(256) for _ in range(3 * warc.STEP)))
+    data = warc.member(big) + warc.member(make(2, b"z" * 50))
+    found, gaps = warc.read(data)
+    assert [at for at, _ in found] == [0, len(warc.member(big))] and not gaps
+
+
 # 4
 
 
@@ -337,6 +415,29 @@ def test_rules_learn_what_is_planted(spark):
     assert quality_rules.learn_rules(x, np.zeros(len(x), bool)) == []
 
 
+def test_rules_query_against_brute_force(spark, data, docs, labels):
+    """The whole query: base statistics and verdicts of every document, row by row."""
+    rules = quality_rules.learn(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op5_quality_rules"](spark, data).collect()}
+    want = docs.collect()
+    assert len(got) == len(want)
+    for r in want:
+        base = plain_stats(r.text)
+        row = got[r.doc_id]
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == base
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        x = np.array([stats(r.text)])
+        first = next((k for k, rule in enumerate(rules, 1) if quality_rules.covered(x, rule)[0]), 0)
+        assert (row.base_failed, row.rule, row.kept) == (failed, first, not failed and not first)
+
+
+def test_rules_of_awkward_rows(awkward):
+    got = quality_rules.apply_rules(awkward, [[("mean_word", ">", 5.5)]]).collect()
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert [by[i].n_words for i in (1, 2, 3, 4, 5, 7, 8, 9)] == [0, 0, 0, 1, 2, 30_000, 30_000, 5]
+    assert len(got) == 12 and by[7].rule == 1 and not by[7].kept and by[7].base_failed and by[7].n_repeat_words == 30_000 and by[1].base_failed
+
+
 def test_rules_keep_good_documents(spark, docs, labels, awkward):
     rules = quality_rules.learn(docs, labels)
     got = quality_rules.apply_rules(docs, rules).join(labels, "doc_id").toPandas()
@@ -360,6 +461,47 @@ def test_line_dedup_near_the_threshold(spark):
         assert got[i] == (t if spread < 12 or first else t.split("\n", 1)[1]), i
 
 
+def test_line_dedup_keys_and_names(spark):
+    """The two halves of a key have their own seeds; column names of any kind are kept apart; few hot lines or many give the same."""
+    one = spark.createDataFrame([("a",)], "t string").select(*line_dedup.key(["h1", "h2"], F.col("t")), F.xxhash64("t", F.lit(1)).alias("chained")).first()
+    assert len(set(one)) == 3
+    rows = [(i, f"common line\nline {i % 7}\nown {i}", f"s{i % 20}", i, i, i, i, i) for i in range(60)] + [(7, "common line\nline 0\nown 7", "s7", 7, 7, 7, 7, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, __k int, __gone int, __q_gone int, GONE int, h1 int")
+    got = sorted(map(tuple, line_dedup.without_boilerplate(frame, 3).collect()))
+    seen, want = set(), []
+    for r in sorted(rows):
+        lines = r[1].split("\n")
+        first = [x for x in lines if x.startswith("own") or x not in seen]
+        if (r[0], r[1]) != (7, rows[7][1]) or r is rows[7]:
+            seen |= set(lines)
+        want.append((r[0], "\n".join(first), *r[2:]))
+    spread = {f"line {k}": len({r[2] for r in rows if f"line {k}" in r[1]}) for k in range(7)}
+    assert min(spread.values()) >= 3 and got == sorted(want)
+    assert sorted(map(tuple, line_dedup.without_boilerplate(frame, 3, most=2).collect())) == got
+
+
+def test_frequent_rows(spark):
+    df = spark.createDataFrame([(i, 1 + i * i) for i in range(300)], "i long, n long")
+    for most in (0, 1, 10, 100, 300, 1000):
+        got = sorted(r.i for r in common.frequent(df, "n", most).collect())
+        assert len(got) <= most and got == list(range(300 - len(got), 300)) and len(got) >= most * 0.7 - 1 or most >= 300 and len(got) == 300
+
+
+def test_shared_dir_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
 def test_line_dedup_awkward(spark, awkward):
     out = line_dedup.without_boilerplate(awkward, 1)
     assert out.columns == awkward.columns and out.count() == 12
@@ -477,6 +619,41 @@ def test_dictionaries_fill_up(spark):
     got = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(got) == {"rare", "short", "zh"}
     assert all(0.95 * language_id.DICTIONARY_BYTES < len(v) <= language_id.DICTIONARY_BYTES for v in got.values())
+    assert len({len(v) for v in got.values()}) == 1
+
+
+def test_languages_without_spaces_and_of_few_rows(spark):
+    """40 texts without a space and 40 with: each is told right, whichever language has more text."""
+    rng = random.Random(8)
+    zh = ["".join(rng.choices("日本語中文字漢書学問天地人山川", k=rng.randint(40, 400))) for _ in range(40)]
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(400)]
+    en = [" ".join(rng.choices(words, k=rng.randint(20, 2000))) for _ in range(40)]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(t, "zh") for t in zh] + [(t, "en") for t in en])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    assert len(model["zh"]) > 5000 and len(model["en"]) <= max(len(model["zh"]), language_id.LEAST_BYTES)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_languages_against_brute_force(spark, docs):
+    """Every text's language from plain calls of the compressor, of which the smallest result counts."""
+    import zstandard as z
+
+    model = language_id.learn(docs)
+    got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    for r in docs.collect():
+        size = {}
+        for lang, content in model.items():
+            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=language_id.LEVEL)
+            c = z.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[lang] = len(c.compress((r.text or "").lower().encode()))
+        a, b = sorted(size.values())[:2]
+        want = min(size, key=lambda k: (size[k], k)) if any(ch.isalpha() for ch in r.text or "") else "und"
+        assert got[r.doc_id].lang_pred == want
+        if want != "und":
+            assert got[r.doc_id].score == pytest.approx((b - a) / b / ((b - a) / b + 0.02)) and got[r.doc_id].rejected == ((b - a) / b < 0.02)
 
 
 def test_quality_classifier(spark, data, docs, labels, awkward):
@@ -497,6 +674,34 @@ def test_quality_classifier(spark, data, docs, labels, awkward):
     assert {r.score for r in quality_classifier.score_documents(awkward, None).collect()} == {quality_classifier.PRIOR}
 
 
+def test_scores_against_pairs(spark, docs, labels):
+    """Scores of documents from the definition: every pair of features, none of the identity."""
+    model = quality_classifier.learn(docs, labels)
+    some = docs.where("length(text) between 1 and 600").orderBy("doc_id").limit(12)
+    got = {r.doc_id: r.score for r in quality_classifier.score_documents(some, model).collect()}
+    for r in some.collect():
+        words = [w.lower() for w in r.text.encode().split()]
+        counts = {}
+        for w in words:
+            k = zlib.crc32(w) % quality_classifier.BUCKETS
+            counts[k] = counts.get(k, 0) + 1
+        norm = sum(np.log1p(c) ** 2 for c in counts.values()) ** 0.5
+        x = [(k, np.log1p(c) / norm) for k, c in counts.items()]
+        lines = r.text.split("\n")
+        plain = [*stats(r.text), len(r.text), len(r.text.encode()), len(lines), sum(not t.strip() for t in lines), len(r.text.encode()) / len(r.text)]
+        names = BASE + quality_classifier.RATIOS + quality_classifier.METADATA
+        for j, (name, v) in enumerate(zip(names, plain)):
+            v = np.log1p(v) if name in BASE or name.startswith("n_") or name == "words_per_line" else v
+            x.append((quality_classifier.BUCKETS + j, min(max((v - model.mean[j]) / model.scale[j], -4), 4)))
+        z = model.w0 + sum(model.w[k] * v for k, v in x) + sum((model.v[a] @ model.v[b]) * p * q for (a, p), (b, q) in itertools.combinations(x, 2))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_without_a_model_nothing_is_rejected(spark, docs, labels, awkward):
+    assert quality_classifier.learn(docs, labels.where("quality = 1")) is None
+    assert quality_classifier.keep_good(awkward, None).count() == 12
+
+
 def test_factorisation_identity():
     m = quality_classifier.Machine(0.3, *(np.random.default_rng(1).normal(size=s) for s in (quality_classifier.BUCKETS + quality_classifier.N_STATS, (quality_classifier.BUCKETS + quality_classifier.N_STATS, quality_classifier.RANK))), 0, 1)
     col, val = np.array([3, 8, 5000]), np.array([0.5, -1.0, 2.0])

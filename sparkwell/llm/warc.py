@@ -9,23 +9,29 @@ A record whose payload of LEAST_REVISIT bytes or more equals that of a page with
 only, the HTTP header with the payload's length included.
 
 Defined cases: a null html is an empty payload; a null url is an empty target; a null page_id is written without a
-page number and comes back null (it never becomes what others refer to, unless no page has a number); pages with
-the same id and payload are each a record, response if their id is the smallest; an empty table gives no records; other
+page number and comes back null (it never becomes what others refer to; where no page of a payload has a number, all are responses); pages with
+the same id and payload are each a record, response if their id is the smallest; a page of any length is one record, in a
+part of its own if need be; an empty table gives no records; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import slices, table, written
+from sparkwell.llm.common import frequent, slices, table, written
 
 LEAST_REVISIT, LEVEL, PART_BYTES = 100, 1, 4 << 20
+#: Digests of repeated payloads that are broadcast, some 100 bytes each: all if they are no more, or else the most frequent.
+HOT = 200_000
+#: Bytes that are inflated at a time.
+STEP = 1 << 16
 VERSION, GZIP = b"WARC/1.1\r\n", b"\x1f\x8b\x08"
 #: Archives of the same pages are the same bytes.
 DATE = b"2024-01-01T00:00:00Z"
@@ -88,6 +94,18 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     return {"head": head, "type": kind.decode("latin-1"), "http": http, "payload": payload, "digest": digest}, stop + 4
 
 
+def inflate(data: bytes, at: int) -> tuple[bytes, int]:
+    """What the gzip member at data[at:] holds, and where it ends."""
+    z, out, view = zlib.decompressobj(31), [], memoryview(data)
+    while not z.eof:
+        some = view[at : at + STEP]
+        if not some:
+            raise Damaged("member is cut short")
+        out.append(z.decompress(some))
+        at += len(some)
+    return b"".join(out), at - len(z.unused_data)
+
+
 def read(data: bytes) -> tuple[list[tuple[int, dict]], list[tuple[int, int, str]]]:
     """(offset, record) of every record that passes, and (start, end, why) of the bytes between."""
     records, gaps, at, bad, why = [], [], 0, None, ""
@@ -101,17 +119,14 @@ def read(data: bytes) -> tuple[list[tuple[int, dict]], list[tuple[int, int, str]
     while at < len(data):
         try:
             if data.startswith(GZIP, at):
-                z = zlib.decompressobj(31)
-                plain = z.decompress(memoryview(data)[at:])
-                if not z.eof:
-                    raise Damaged("member is cut short")
+                plain, end = inflate(data, at)
                 found, k = [], 0
                 while k < len(plain):
                     one, k = parse(plain, k)
                     found.append((at, one))
                 good(at)
                 records += found
-                at = len(data) - len(z.unused_data)
+                at = end
             else:
                 one, end = parse(data, at)
                 good(at)
@@ -125,14 +140,25 @@ def read(data: bytes) -> tuple[list[tuple[int, dict]], list[tuple[int, int, str]
     return records, gaps
 
 
-def with_targets(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, html, digest, refers_to): refers_to is null for what will be a response."""
+def with_targets(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = HOT) -> DataFrame:
+    """(page_id, url, html, digest, refers_to): refers_to is null for what will be a response.
+
+    Only digests and ids are shuffled to find repeated payloads.  Those that repeat meet their pages in place; where there
+    are more than `most`, the most frequent do, and pages of the others by a shuffle join, of which none is hot then.
+    """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
-    long = rows.where(F.octet_length("html") >= LEAST_REVISIT)
-    many = long.groupBy("digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1 and __first is not null").select(F.col("digest").alias("__d"), "__first")
-    joined = rows.join(many, (rows["digest"] == many["__d"]) & (F.octet_length("html") >= LEAST_REVISIT), "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(~F.col("__first").eqNullSafe(F.col("page_id")), F.col("__first")).alias("refers_to"))
+    long = rows.where(F.octet_length("html") >= LEAST_REVISIT).select("digest", "page_id")
+    many = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    many = written(many.select(F.col("digest").alias("d"), "first", "n"), "digests")
+    same = F.col("digest") == F.col("d")
+    if many.count() <= most:
+        joined = rows.join(F.broadcast(many), same, "left")
+    else:
+        hot = F.broadcast(frequent(many, "n", most))
+        rest = many.join(hot.select("d"), "d", "left_anti").select("d", "first", "n")
+        joined = rows.join(hot, same).unionByName(rows.join(hot.select("d"), same, "left_anti").join(rest, same, "left"))
+    return joined.select("page_id", "url", "html", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def archives(rows: DataFrame) -> DataFrame:
@@ -199,10 +225,21 @@ def records_of(stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, part int, offset long, gap_bytes long")
 
 
+def quarantined(found: DataFrame) -> DataFrame:
+    """The log of gaps in records_of's rows: (archive, part, offset, gap_bytes), a table in the shared folder."""
+    gaps = written(found.where("record_type = 'gap'").select("archive", "part", "offset", "gap_bytes"), "quarantine")
+    n, size = gaps.agg(F.count("*"), F.coalesce(F.sum("gap_bytes"), F.lit(0))).first()
+    if n:
+        logging.getLogger(__name__).warning("%d gaps of %d bytes in all are quarantined: %s", n, size, gaps.inputFiles()[0].rpartition("/")[0])
+    return gaps
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages through archives and back, each with its record's type and what it refers to."""
+    """Pages through archives and back, each with its record's type and what it refers to; gaps are logged."""
     stored = written(archives(with_targets(table(spark, sf_dir, "pages"))), "archives")
-    return records_of(stored).where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = written(records_of(stored), "records")
+    quarantined(found)
+    return found.where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP3_SQL = f"""

@@ -1,16 +1,17 @@
 """Media columns: baseline JPEG, read without a codec library.
 
-`thumbnails` parses the markers of any baseline (sequential, 8-bit, Huffman) JPEG stream, decodes its scans and
-reconstructs the luminance at an eighth of the size from the DC coefficients.  All restart intervals of all images of a batch
-are decoded in lockstep in numpy, a symbol of each per step.
+`parse` reads the markers of any baseline (sequential, 8-bit, Huffman) JPEG stream; `thumbnails` decodes the scan that has
+its first component, alone or interleaved with others, and reconstructs the luminance at an eighth of the size from
+the DC coefficients.  All restart intervals of all images of a batch are decoded in lockstep in numpy, block by block.
 
 `encode` stores bytes losslessly in such streams: a grey image of 8 x 8 blocks, quantiser 8, whose DC coefficients are the
 bytes less 128 and whose AC coefficients are zero.  Its DC thumbnail is the payload, sample for sample.  Long
 payloads take several images, one after another.
 
 Defined cases: a null or empty text is padded to one unit; long texts are read whole, in several images where
-needed; a null id stays null; repeated rows each get a row; other columns are ignored; bytes that are no
-baseline JPEG give no images from `parse` but an error that names the marker.
+needed; a null id stays null; repeated rows each get a row; other columns are ignored; an empty table gives no rows.
+Media that are null, damaged or no baseline JPEG give a row with `error` and nulls in place of payload and feature; other rows of the
+batch are not touched.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from sparkwell.llm.common import slices, table
 UNIT, PAD = 576, 255
 MOST_ROWS = 65535 // 8
 
-# Natural code tables: DC categories 0 to 8 in at most four bits, AC with end-of-block in one.
+# Code tables of our streams: DC categories 3 to 8 in at most four bits, the others in five; AC's end-of-block in one.
 DC_BITS, DC_VALUES = [0, 1, 2, 3, 6] + [0] * 11, [7, 6, 8, 5, 4, 3, 2, 1, 0, 9, 10, 11]
 AC_BITS, AC_VALUES = [1, 1] + [0] * 14, [0x00, 0xF0]
 
@@ -71,35 +72,43 @@ def header(rows: int) -> bytes:
     )
 
 
+def block_codes() -> tuple[np.ndarray, np.ndarray]:
+    """For each DC difference from -255 to 255: the bits of its block (category's code, extra bits, a 0 for end-of-block) and their number."""
+    words = {value: (code, n) for value, code, n in code_words(DC_BITS, DC_VALUES[: sum(DC_BITS)])}
+    bits, number = np.zeros(511, np.int32), np.zeros(511, np.int32)
+    for diff in range(-255, 256):
+        size = abs(diff).bit_length()
+        code, n = words[size]
+        bits[diff + 255] = ((code << size) | (diff if diff >= 0 else diff + (1 << size) - 1)) << 1
+        number[diff + 255] = n + size + 1
+    return bits, number
+
+
+BLOCK_BITS, BLOCK_LENGTH = block_codes()
+
+
 def scans(payload: np.ndarray) -> list[bytes]:
     """The entropy-coded restart intervals, one for each UNIT of the payload, bytes stuffed."""
-    x = payload.astype(np.int64).reshape(-1, UNIT) - 128
-    diff = np.diff(x, axis=1, prepend=0).ravel()
-    size = np.zeros(len(diff), np.int64)
-    for k in range(9):
-        size += np.abs(diff) >> k > 0
-    code, length = np.zeros(16, np.int64), np.zeros(16, np.int64)
-    for value, c, n in code_words(DC_BITS, DC_VALUES[: sum(DC_BITS)]):
-        code[value], length[value] = c, n
-    extra = np.where(diff < 0, diff + (1 << size) - 1, diff)
-    # the category's code, its extra bits, and a 0 for end-of-block
-    bits, n = ((code[size] << size) | extra) << 1, length[size] + size + 1
-    n = n.reshape(-1, UNIT)
-    ends = np.cumsum(n, axis=1)
-    total = ends[:, -1]
+    x = payload.astype(np.int16).reshape(-1, UNIT)
+    diff = np.diff(x, axis=1, prepend=np.int16(128)) + np.int16(255)
+    bits, n = BLOCK_BITS[diff].ravel(), BLOCK_LENGTH[diff]
+    ends = np.cumsum(n, axis=1, dtype=np.int32)
+    total = ends[:, -1].astype(np.int64)
     bytes_of = (total + 7) // 8
     base = np.cumsum(bytes_of) - bytes_of
-    # each interval's last bits are ones
-    at = (ends - n + 8 * base[:, None]).ravel()
-    first, window = at >> 3, bits << (32 - n.ravel() - (at & 7))
-    room = int(bytes_of.sum()) + 4
-    out = np.zeros(room, np.int64)
-    for k in range(4):
-        out += np.bincount(first + k, (window >> (24 - 8 * k)) & 255, room).astype(np.int64)
+    within = ends - n
+    # a block's bits, 14 at most, lie in three bytes; blocks that begin in the same byte are added up
+    window = bits << (24 - n - (within & 7)).ravel()
+    first = ((within >> 3) + base[:, None]).ravel()
+    starts = np.flatnonzero(np.diff(first, prepend=-1))
+    byte = first[starts]
+    out = np.zeros(int(bytes_of.sum()) + 3, np.int32)
+    for k in range(3):
+        out[byte + k] += np.add.reduceat((window >> (16 - 8 * k)) & 255, starts)
     left = -total % 8
-    out[base + bytes_of - 1] |= (1 << left) - 1
-    out = out[: room - 4].astype(np.uint8)
-    return [out[a : a + b].tobytes().replace(b"\xff", b"\xff\x00") for a, b in zip(base.tolist(), bytes_of.tolist())]
+    out[base + bytes_of - 1] |= (1 << left) - 1  # each interval's last bits are ones
+    data = out.astype(np.uint8).tobytes()
+    return [data[a : a + m].replace(b"\xff", b"\xff\x00") for a, m in zip(base.tolist(), bytes_of.tolist())]
 
 
 def padded(payload: bytes, unit: int = UNIT, pad: int = PAD) -> bytes:
@@ -126,7 +135,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 
 class Image:
-    """Marker segments of one stream: size, components, tables, and its scan's restart intervals without stuffing."""
+    """What the marker segments of one stream say: size, components, and of the scan with the first component its tables and restart intervals without stuffing."""
 
     def __init__(self):
         self.quant, self.huffman, self.restart = {}, {}, 0
@@ -135,10 +144,18 @@ class Image:
 
 
 def parse(data: bytes, at: int = 0) -> tuple[Image, int]:
-    """The image at data[at:] and where it ends."""
+    """The image at data[at:] and where it ends; ValueError where it is damaged or not baseline."""
+    try:
+        return segments(data, at)
+    except (IndexError, KeyError):
+        raise ValueError("segment is cut short") from None
+
+
+def segments(data: bytes, at: int) -> tuple[Image, int]:
     if data[at : at + 2] != b"\xff\xd8":
         raise ValueError("no SOI marker")
     image, at = Image(), at + 2
+    huffman, restart = {}, 0
     while True:
         if data[at : at + 1] != b"\xff":
             raise ValueError("no marker where one is due")
@@ -148,9 +165,13 @@ def parse(data: bytes, at: int = 0) -> tuple[Image, int]:
             raise ValueError("no EOI marker")
         marker, at = data[at], at + 1
         if marker == 0xD9:
+            if not image.scan:
+                raise ValueError("no scan of the first component")
             return image, at
         n = int.from_bytes(data[at : at + 2], "big")
         body, at = data[at + 2 : at + n], at + n
+        if n < 2 or len(body) != n - 2:
+            raise ValueError("segment is cut short")
         if marker == 0xDB:
             while body:
                 wide = body[0] >> 4
@@ -160,40 +181,52 @@ def parse(data: bytes, at: int = 0) -> tuple[Image, int]:
         elif marker == 0xC4:
             while body:
                 bits = list(body[1:17])
-                image.huffman[body[0] >> 4, body[0] & 15] = (tuple(bits), tuple(body[17 : 17 + sum(bits)]))
+                huffman[body[0] >> 4, body[0] & 15] = (tuple(bits), tuple(body[17 : 17 + sum(bits)]))
+                if len(body) < 17 + sum(bits):
+                    raise ValueError("Huffman table is cut short")
                 body = body[17 + sum(bits) :]
         elif marker == 0xC0:
             if body[0] != 8:
                 raise ValueError("not 8-bit samples")
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             image.components = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+            if not image.height or not image.width or not image.components or any(not h or not v for _, h, v, _ in image.components):
+                raise ValueError("no size")
         elif marker in (0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF):
             raise ValueError(f"not baseline: SOF marker {marker:02X}")
         elif marker == 0xDD:
-            image.restart = int.from_bytes(body, "big")
+            restart = int.from_bytes(body, "big")
         elif marker == 0xDA:
-            image.scan = [(body[1 + 2 * k], body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
-            if len(image.scan) != len(image.components):
-                raise ValueError("not all components in one scan")
-            start = at
-            while True:
-                k = data.find(b"\xff", at)
-                if k < 0 or k + 1 >= len(data):
-                    raise ValueError("scan without an end")
-                if 0xD0 <= data[k + 1] <= 0xD7:
-                    image.intervals.append(data[start:k].replace(b"\xff\x00", b"\xff"))
-                    start = k + 2
-                elif data[k + 1]:
-                    image.intervals.append(data[start:k].replace(b"\xff\x00", b"\xff"))
-                    at = k
-                    break
-                at = k + 2
-
-
-def thumbnails(images: list[Image]) -> list[np.ndarray]:
-    """Of each image the luminance (first component) of its blocks: uint8, block rows x block columns of whole MCUs."""
+            scan = [(body[1 + 2 * k], body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
+            known = [c[0] for c in image.components]
+            if any(c not in known for c, _, _ in scan):
+                raise ValueError("scan of an unknown component")
+            intervals, at = entropy_coded(data, at)
+            if known[0] in [c for c, _, _ in scan]:
+                # tables may be stated anew for the scans of other components
+                image.scan, image.intervals, image.restart, image.huffman = scan, intervals, restart, dict(huffman)
+
+
+def entropy_coded(data: bytes, at: int) -> tuple[list[bytes], int]:
+    """The restart intervals of the scan at data[at:], and where the next marker is."""
+    out, start = [], at
+    while True:
+        k = data.find(b"\xff", at)
+        if k < 0 or k + 1 >= len(data):
+            raise ValueError("scan without an end")
+        if 0xD0 <= data[k + 1] <= 0xD7:
+            out.append(data[start:k].replace(b"\xff\x00", b"\xff"))
+            start = k + 2
+        elif data[k + 1]:
+            out.append(data[start:k].replace(b"\xff\x00", b"\xff"))
+            return out, k
+        at = k + 2
+
+
+def thumbnails(images: list[Image]) -> list[np.ndarray | None]:
+    """Of each image the luminance (first component) of its blocks: uint8, block rows x block columns; None if its scan is damaged."""
     tables, index = [], {}
-    lanes, plans = [], []  # a lane: bytes, number of blocks, tables of the MCU's blocks, which of them are luminance
+    lanes, plans = [], []  # a lane: bytes, number of blocks, for each block of an MCU its tables and whether it is luminance
 
     def table_no(spec) -> int:
         if spec not in index:
@@ -202,87 +235,95 @@ def thumbnails(images: list[Image]) -> list[np.ndarray]:
         return index[spec]
 
     for im in images:
+        by = {c[0]: c for c in im.components}
+        cid, h, v, q = im.components[0]
         h_most, v_most = max(c[1] for c in im.components), max(c[2] for c in im.components)
-        alone = len(im.components) == 1
+        needed = [(0, dc) for _, dc, _ in im.scan] + [(1, ac) for _, _, ac in im.scan]
+        if q not in im.quant or any(k not in im.huffman for k in needed):
+            plans.append(None)
+            continue
+        if alone := len(im.scan) == 1:  # blocks by rows, without the padding of MCUs
+            across, down, h, v = -(-(-(-im.width * h // h_most)) // 8), -(-(-(-im.height * v // v_most)) // 8), 1, 1
+        else:
+            across, down = -(-im.width // (8 * h_most)), -(-im.height // (8 * v_most))
         mcu = []
-        for (cid, h, v, _), (sid, dc, ac) in zip(im.components, im.scan):
-            if cid != sid:
-                raise ValueError("components out of order")
-            mcu += [(table_no(im.huffman[0, dc]), table_no(im.huffman[1, ac]), im.components.index((cid, h, v, _)))] * (1 if alone else h * v)
-        wide = 8 if alone else 8 * h_most
-        high = 8 if alone else 8 * v_most
-        across, down = -(-im.width // wide), -(-im.height // high)
+        for c, dc, ac in im.scan:
+            mcu += [(table_no(im.huffman[0, dc]), table_no(im.huffman[1, ac]), c == cid)] * (1 if alone else by[c][1] * by[c][2])
         per = im.restart or across * down
-        plans.append((len(lanes), across, down, 1 if alone else im.components[0][1], 1 if alone else im.components[0][2], im.quant[im.components[0][3]], per))
+        if len(im.intervals) != -(-across * down // per):
+            plans.append(None)
+            continue
+        plans.append((len(lanes), across, down, h, v, im.quant[q], len(im.intervals)))
         for k, data in enumerate(im.intervals):
             lanes.append((data, min(per, across * down - k * per) * len(mcu), tuple(mcu)))
-    dc = decode(lanes, tables)
-    out = []
-    for first, across, down, h, v, q, per in plans:
-        n = across * down
-        k = -(-n // per)
-        values = np.concatenate(dc[first : first + k])[: n * h * v]
-        luma = np.clip(np.floor(values * q / 8 + 0.5) + 128, 0, 255).astype(np.uint8)
+    dc, out = decode(lanes, tables), []
+    for plan in plans:
+        own = None if plan is None else dc[plan[0] : plan[0] + plan[-1]]
+        if own is None or any(x is None for x in own):
+            out.append(None)
+            continue
+        _, across, down, h, v, q, _ = plan
+        luma = np.clip(np.floor(np.concatenate(own) * q / 8 + 0.5) + 128, 0, 255).astype(np.uint8)
         out.append(luma.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h))
     return out
 
 
-def decode(lanes: list[tuple], tables: list[np.ndarray]) -> list[np.ndarray]:
-    """DC coefficients of the first component of each lane, all lanes in lockstep."""
-    layouts = {m: i for i, m in enumerate(dict.fromkeys(lane[2] for lane in lanes))}
-    widest = max((len(m) for m in layouts), default=1)
-    dc_of, ac_of, comp_of = (np.zeros((len(layouts), widest), np.int64) for _ in range(3))
-    for m, i in layouts.items():
-        for b, (d, a, c) in enumerate(m):
-            dc_of[i, b], ac_of[i, b], comp_of[i, b] = d, a, c
-    stack = np.stack(tables).ravel() if tables else np.zeros(0, np.int32)
-    n = len(lanes)
-    data = np.frombuffer(b"".join(x[0] + b"\xff" * 8 for x in lanes), np.uint8).astype(np.int64)
-    base = np.cumsum([0] + [len(x[0]) + 8 for x in lanes])[:-1]
-    limit = np.array([8 * len(x[0]) for x in lanes]) + 8 * base
-    words = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
-    blocks = np.array([x[1] for x in lanes])
-    layout = np.array([layouts[x[2]] for x in lanes])
-    per = np.array([len(x[2]) for x in lanes])
-    out = np.zeros((n, int(blocks.max(initial=0))), np.int32)
-    live = np.arange(n)
-    pos, block, k = 8 * base, np.zeros(n, np.int64), np.zeros(n, np.int64)
-    seen = np.zeros((n, int(comp_of.max(initial=0)) + 1), np.int64)
-    filled = np.zeros(n, np.int64)
-    while len(live):
-        p, slot, lay = pos[live], block[live] % per[live], layout[live]
-        is_dc = k[live] == 0
-        which = np.where(is_dc, dc_of[lay, slot], ac_of[lay, slot])
-        ahead = (words[p >> 3] >> (16 - (p & 7))) & 0xFFFF
-        got = stack[(which << 16) | ahead].astype(np.int64)
-        if not got.all():
-            raise ValueError("no such Huffman code")
-        p = p + (got >> 8)
-        symbol = got & 255
-        size = symbol & 15
-        bits = (words[p >> 3] >> (32 - (p & 7) - size)) & ((1 << size) - 1)
-        pos[live] = p + size
-        if is_dc.any():
-            d, s, b = live[is_dc], size[is_dc], bits[is_dc]
-            diff = np.where((s > 0) & (b < (1 << np.maximum(s - 1, 0))), b - (1 << s) + 1, b)
-            c = comp_of[layout[d], block[d] % per[d]]
-            seen[d, c] += diff
-            first = c == 0
-            f = d[first]
-            out[f, filled[f]] = seen[f, 0]
-            filled[f] += 1
-        run = symbol >> 4
-        step = np.where(is_dc, 1, np.where(symbol == 0, 64, np.where(symbol == 0xF0, 16, run + 1)))
-        k[live] += step
-        over = k[live] >= 64
-        o = live[over]
-        k[o] = 0
-        block[o] += 1
-        if (pos[live] > limit[live]).any():
-            raise ValueError("scan is cut short")
-        if len(o) and (block[o] >= blocks[o]).any():
-            live = live[block[live] < blocks[live]]
-    return [out[i, : filled[i]] for i in range(n)]
+SIZES = np.arange(16)
+MASK, HALF = (1 << SIZES) - 1, (1 << SIZES) >> 1
+
+
+def decode(lanes: list[tuple], tables: list[np.ndarray]) -> list[np.ndarray | None]:
+    """Luminance DC coefficients of each lane, lanes of like MCUs in lockstep; None for a lane that is damaged."""
+    out: list[np.ndarray | None] = [None] * len(lanes)
+    layouts: dict[tuple, list[int]] = {}
+    for i, lane in enumerate(lanes):
+        layouts.setdefault(lane[2], []).append(i)
+    for mcu, members in layouts.items():
+        members.sort(key=lambda i: -lanes[i][1])  # those with blocks left are always the first ones
+        blocks = np.array([lanes[i][1] for i in members])
+        raw = np.frombuffer(b"".join(lanes[i][0] + b"\xff" * 8 for i in members), np.uint8).astype(np.uint32)
+        words = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+        size_of = np.array([len(lanes[i][0]) for i in members])
+        pos = 8 * (np.cumsum(size_of + 8) - size_of - 8)
+        limit = pos + 8 * size_of
+        bad = np.zeros(len(members), bool)
+        luma = sum(x[2] for x in mcu)
+        diffs = np.zeros((int(blocks[0]) // len(mcu) * luma, len(members)), np.int32)
+        row = 0
+
+        def symbol(p, table):
+            """What the table has for the bits at p."""
+            return table[(words[p >> 3] >> (16 - (p & 7)).astype(np.uint32)) & 0xFFFF]
+
+        for b in range(int(blocks[0])):
+            live = int(np.searchsorted(-blocks, -b)) if blocks[-1] <= b else len(members)
+            dc, ac, is_luma = mcu[b % len(mcu)]
+            got = symbol(pos[:live], tables[dc])
+            failed = got == 0
+            size, p = got & 15, pos[:live] + (got >> 8)
+            if is_luma:
+                bits = (words[p >> 3] >> (32 - (p & 7) - size).astype(np.uint32)) & MASK[size]
+                diffs[row, :live] = np.where(bits < HALF[size], bits - MASK[size], bits)
+                row += 1
+            p += size
+            got = symbol(p, tables[ac])
+            failed |= got == 0
+            p += (got >> 8) + (got & 15)
+            k = 1 + np.where(got & 255 == 0xF0, 16, ((got & 255) >> 4) + 1)
+            on = np.flatnonzero((got & 255 != 0) & (k < 64))
+            np.minimum(p, limit[:live] + 1, out=p)
+            while len(on):  # lanes whose block has more coefficients
+                got = symbol(p[on], tables[ac])
+                failed[on[got == 0]] = True
+                p[on] = np.minimum(p[on] + (got >> 8) + (got & 15), limit[on] + 1)
+                k[on] += np.where(got & 255 == 0xF0, 16, ((got & 255) >> 4) + 1)
+                on = on[(got & 255 != 0) & (k[on] < 64)]
+            bad[:live] |= failed | (p > limit[:live])
+            pos[:live] = np.minimum(p, limit[:live])
+        values = np.ascontiguousarray(np.cumsum(diffs, axis=0, dtype=np.int32).T)
+        for nth, i in enumerate(members):
+            out[i] = None if bad[nth] else values[nth, : blocks[nth] // len(mcu) * luma]
+    return out
 
 
 def media(data: bytes) -> list[Image]:
@@ -319,29 +360,43 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
+def images_of(value: bytes | None) -> tuple[list[Image], str | None]:
+    """The images of a media value, or what is wrong with it."""
+    try:
+        return (media(value), None) if value else ([], "no media")
+    except ValueError as e:
+        return [], str(e)
+
+
 def described(rows: DataFrame) -> DataFrame:
-    """What the stored bytes hold: dimensions, thumbnail hash, and digests of the thumbnails' samples, which are the payload."""
+    """What the stored bytes hold: dimensions, thumbnail hash, and digests of the thumbnails' samples, which are the payload; or an error."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             for part in slices(batch, 2, 4 << 20):
                 data = part.column(2).to_pylist()
-                images = [media(x) for x in data]
-                thumbs = iter(thumbnails([im for own in images for im in own]))
+                images = [images_of(x) for x in data]
+                thumbs = iter(thumbnails([im for own, _ in images for im in own]))
                 out = []
-                for x, own in zip(data, images):
-                    luma = np.concatenate([next(thumbs) for _ in own])
-                    payload = luma.tobytes()
+                for x, (own, error) in zip(data, images):
+                    lumas = [next(thumbs) for _ in own]
+                    if error is None and any(t is None for t in lumas):
+                        error = "scan is damaged"
+                    stored_as = (None, None) if x is None else (len(x), hashlib.sha256(x).hexdigest())
+                    if error is not None:
+                        out.append((None, None, None, *stored_as, None, error))
+                        continue
+                    payload = b"".join(t.tobytes() for t in lumas)
+                    luma = lumas[0] if len(lumas) == 1 else np.concatenate([t[:, : min(t.shape[1] for t in lumas)] for t in lumas])
                     size = "+".join(f"{im.width}x{im.height}" for im in own)
-                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(x), hashlib.sha256(x).hexdigest(), f"{size}:{average_hash(luma)}"))
-                cols = list(zip(*out))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored_as, f"{size}:{average_hash(luma)}", None))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def op2_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,12 @@
 score(x) = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]): the pairwise
 interactions cost linear time by the sum-of-squares identity.
 
+The metadata are a text's own: characters, bytes, lines, blank lines and bytes to a character.
+
 Defined cases: a null or empty text has no words and zero statistics, and gets a score like any other; a null id
 gives a null id; repeated rows each get a row; long texts are read whole; other columns of the input are ignored.
-Without a labelled row of each class there is nothing to learn, and every score is PRIOR.
+Without a labelled row of each class there is nothing to learn: every score is PRIOR, and `keep_good`, which then has no
+grounds to reject a document, keeps all.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ from sparkwell.llm.text_stats import BASE, RATIOS, stats
 #: Rows that learning takes at most, about: a uniform sample of the labelled rows outside the held-out fold.
 FIT_ROWS = 6000
 BUCKETS, RANK, THRESHOLD, PRIOR = 1 << 13, 8, 0.7, 0.5
-N_STATS = len(BASE) + len(RATIOS)
+METADATA = ["n_chars", "n_bytes", "n_lines", "n_blank_lines", "char_bytes"]
+N_STATS = len(BASE) + len(RATIOS) + len(METADATA)
+#: Of the statistics and metadata these are counts, or as skew as counts.
+COUNTS = [i for i, n in enumerate(BASE + RATIOS + METADATA) if n.startswith("n_") or n in (*BASE, "words_per_line")]
 
 
 class Words(dict):
@@ -36,19 +42,28 @@ class Words(dict):
         return found
 
 
+def metadata(text: str | None) -> tuple:
+    """The values of METADATA."""
+    t = text or ""
+    n, lines = len(t.encode()), t.split("\n") if t else []
+    return len(t), n, len(lines), sum(not x.strip() for x in lines), n / max(len(t), 1)
+
+
 def dense(rows: list) -> np.ndarray:
-    """Statistics, and metadata such as lengths, as logarithms where they are counts."""
+    """Statistics and metadata, as logarithms where they are counts."""
     x = np.array(rows, np.float64).reshape(-1, N_STATS)
-    x[:, : len(BASE)] = np.log1p(x[:, : len(BASE)])
-    x[:, -2] = np.log1p(x[:, -2])
+    x[:, COUNTS] = np.log1p(x[:, COUNTS])
     return x
 
 
-def features(texts: list, buckets: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Dense statistics, and per text the hashed words with their weights: row, bucket, value (rows of length 1)."""
+#: Features of some texts: dense ones (a row for each), and hashed words as (row, bucket, value), rows of length 1.
+Features = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def features(texts: list, buckets: Words) -> Features:
     found, where, which, value = [], [], [], []
     for i, text in enumerate(texts):
-        found.append(stats(text))
+        found.append((*stats(text), *metadata(text)))
         words = (text or "").encode().lower().split()
         if words:
             got, count = np.unique(np.fromiter((buckets[w] for w in words), np.int64, len(words)), return_counts=True)
@@ -87,12 +102,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list, labels: list, steps: int = 280, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine | None:
+def fit(found: Features, labels: list, steps: int = 280, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine | None:
     """Adam over mini-batches of the log loss, at least `steps` of them and five passes; None without both classes."""
     y = np.array(labels, np.float64)
     if len(set(labels)) < 2:
         return None
-    x, row, col, val = features(texts, Words())
+    x, row, col, val = found
     rng = np.random.default_rng(seed)
     m = Machine(float(np.log(y.mean() / (1 - y.mean()))), np.zeros(BUCKETS + N_STATS), rng.normal(0, 0.01, (BUCKETS + N_STATS, RANK)), x.mean(0), x.std(0) + 1e-6)
     starts = np.searchsorted(row, np.arange(len(y) + 1))
@@ -123,21 +138,41 @@ def fit(texts: list, labels: list, steps: int = 280, rate: float = 0.02, decay:
     return m
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 11, id_col="doc_id", text_col="text") -> list:
-    """About `rows` (text, quality) pairs, uniform over labelled rows outside the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 11, id_col="doc_id", text_col="text") -> DataFrame:
+    """(key, text, y): about `rows` labelled texts, uniform over labelled rows outside the held-out fold.
 
-    The rate follows from a count of the labels, so what reaches the driver stays bounded at every size.
+    The rate follows from a count of the labels, so the sample stays bounded at every size.
     """
-    known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y")).where("__id is not null and __y in (0, 1)").where(~held_out("__id"))
+    known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y")).where("__id is not null and y in (0, 1)").where(~held_out("__id"))
     n = known.count()
     known = known.where(uniform("__id", seed) < min(1.0, rows / max(n, 1)))
     picked = F.broadcast(known) if n else known  # bounded by `rows`
-    return [(r[0], r[1]) for r in docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(picked, "__id").select("__t", "__y").collect()]
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(picked, "__id").select(F.xxhash64("__id", "text").alias("key"), "text", "y")
 
 
 def learn(docs: DataFrame, labels: DataFrame, **columns) -> Machine | None:
-    sample = sorted(labelled_sample(docs, labels, **columns), key=lambda r: (r[0] or "", r[1]))
-    return fit([r[0] for r in sample], [r[1] for r in sample])
+    """The tasks compute the features; the driver gets those of the sample, at most BUCKETS words of each text, and no text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        buckets = Words()
+        for batch in batches:
+            for part in slices(batch, 1, 4 << 20):
+                x, row, col, val = features(part.column(1).to_pylist(), buckets)
+                cuts = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(c)) for c in (col, val)]
+                wide = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * N_STATS), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), wide, *lists], ["key", "y", "x", "col", "val"])
+        trim()
+
+    found = labelled_sample(docs, labels, **columns).mapInArrow(run, "key long, y int, x array<double>, col array<long>, val array<double>").toArrow()
+    found = found.sort_by([("key", "ascending"), ("y", "ascending")]).combine_chunks()
+    if not found.num_rows:
+        return None
+    x, col, val = (found.column(c).combine_chunks() for c in ("x", "col", "val"))
+    row = np.repeat(np.arange(found.num_rows), np.diff(col.offsets.to_numpy()))
+    return fit((x.flatten().to_numpy().reshape(-1, N_STATS), row, col.flatten().to_numpy(), val.flatten().to_numpy()), found.column("y").to_pylist())
 
 
 def scored(machine: Machine | None, texts: list, buckets: Words) -> np.ndarray:
@@ -162,7 +197,7 @@ def score_documents(docs: DataFrame, machine: Machine | None, id_col: str = "doc
 
 
 def keep_good(docs: DataFrame, machine: Machine | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score THRESHOLD or more, with all their columns."""
+    """The rows of docs that score THRESHOLD or more, with all their columns; all rows where there is no model."""
     at = docs.columns.index(text_col)
 
     def run(batches):

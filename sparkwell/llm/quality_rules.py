@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwell.llm.common import slices, table, trim
+from sparkwell.llm.common import free_prefix, slices, table, trim
 from sparkwell.llm.quality_classifier import labelled_sample
 from sparkwell.llm.text_stats import BASE, RATIOS, stats
 
@@ -136,19 +136,13 @@ def with_stats(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Dat
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **columns) -> list[list[Term]]:
-    """The rules from a bounded sample of the labelled rows."""
-    sample = sorted(labelled_sample(docs, labels, rows=rows, seed=23, **columns), key=lambda r: (r[0] or "", r[1]))
-    x = np.array([stats(r[0]) for r in sample], np.float64).reshape(-1, len(NAMES))
+    """The rules from a bounded sample of the labelled rows; the tasks compute its statistics, and only those reach the driver."""
+    sample = with_stats(labelled_sample(docs, labels, rows=rows, seed=23, **columns)).select("key", "y", *NAMES).collect()
+    sample = sorted(map(tuple, sample))
+    x = np.array([r[2:] for r in sample], np.float64).reshape(-1, len(NAMES))
     return learn_rules(x, np.array([r[1] == 0 for r in sample], bool))
 
 
-def free_prefix(docs: DataFrame) -> str:
-    prefix = "__q_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix += "_"
-    return prefix
-
-
 def apply_rules(docs: DataFrame, rules: list[list[Term]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, the base statistics, base_failed, rule (the first that rejects, or 0), kept."""
     rows = with_stats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
@@ -158,7 +152,7 @@ def apply_rules(docs: DataFrame, rules: list[list[Term]], id_col: str = "doc_id"
 
 def keep_good(docs: DataFrame, rules: list[list[Term]], text_col: str = "text") -> DataFrame:
     """The rows of docs that pass the base rule and the list, with all their columns."""
-    p = free_prefix(docs)
+    p = free_prefix(docs.columns)
     return with_stats(docs, text_col, p).where(~base_failed(p) & (verdict(rules, p) == 0)).select(*docs.columns)
 
 

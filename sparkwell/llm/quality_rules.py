@@ -23,6 +23,7 @@ from sparkwell.llm.text_stats import BASE, RATIOS, stats
 FIT_ROWS = 6000
 #: A rule rejects only if at least this share of what it covers, in growing and in pruning rows alike, has label 0.
 PRECISION, LEAST_COVERED, MOST_TERMS, MOST_RULES, CUTS = 0.95, 3, 3, 24, 32
+TRIES = 8
 NAMES = BASE + RATIOS
 #: Rules test ratios alone: a count says as much about a text's length as about its quality.
 TESTED = RATIOS
@@ -79,17 +80,24 @@ def prune(x: np.ndarray, bad: np.ndarray, rule: list[Term]) -> list[Term]:
 
 
 def learn_rules(x: np.ndarray, bad: np.ndarray, seed: int = 5) -> list[list[Term]]:
-    """x: a row of NAMES for each labelled text; bad: its label is 0."""
+    """x: a row of NAMES for each labelled text; bad: its label is 0.
+
+    Rows are dealt anew to growing and pruning for each rule; covering ends when TRIES deals in a row give no rule that is
+    precise on both parts.
+    """
     if not bad.any() or bad.all():
         return []
-    third = np.random.default_rng(seed).permutation(len(x)) % 3 == 0
+    rng, failed = np.random.default_rng(seed), 0
     rules: list[list[Term]] = []
     left = np.ones(len(x), bool)
-    while bad[left].sum() >= LEAST_COVERED and len(rules) < MOST_RULES:
+    while bad[left].sum() >= LEAST_COVERED and len(rules) < MOST_RULES and failed < TRIES:
+        third = rng.permutation(len(x)) % 3 == 0
         rule = prune(x[left & third], bad[left & third], grow(x[left & ~third], bad[left & ~third]))
         got = covered(x, rule) & left
         if not rule or got.sum() < LEAST_COVERED or any(bad[s].mean() < PRECISION for s in (got & third, got & ~third) if s.any()):
-            break
+            failed += 1
+            continue
+        failed = 0
         rules.append(rule)
         left &= ~got
     return rules

@@ -12,13 +12,17 @@ agree, and each choice of n2 - k2 subparts of each part is a signature.  So simi
 3. Two sets' sketches differ in no more bits than the sets differ in elements.  Pairs of a group that this bound doesn't
    rule out are joined; components are families, and no link leaves a family.
 4. One document of each digest in a family gives its set.  Families are cut into blocks of BLOCK sets, and each pair of
-   blocks is a unit of work that counts all intersections by an inverted index and emits a spanning forest of the
+   blocks is a unit of work that counts intersections by an inverted index and emits a spanning forest of the
    links it finds.  Only the components of links are asked for, so no pairs are listed.
 5. Components of the links, and the smallest id in each.
 
+Groups and units are searched from set to set: a set is held against those that nothing has reached yet, so a cluster
+of which one set is like all others costs one round over them, not one for each pair.
+
 Defined cases: a null, empty or all-white text has the empty set, which links with nothing (its component is its own
 id); texts of fewer words than a shingle have their whole word sequence as the one shingle; a null id is ignored when
-ids are compared (and stays null if it is alone); repeated rows each get a row; other columns are ignored.
+ids are compared (and stays null if it is alone); repeated rows each get a row; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import M1, WordHashes, mix, slices, table, trim, written
+from sparkwell.llm.common import M1, WordHashes, free_prefix, mix, row_key, slices, table, trim, written
 from sparkwell.llm.components import Forest, components
 
 #: Production parameters: words to a shingle, and the least similarity as a ratio of integers.
@@ -139,7 +143,7 @@ def signatures(flat: np.ndarray, size: np.ndarray, num: int, den: int, n2: int =
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, g, sketch) for each row of docs."""
+    """(id, k1, k2, n, g, sketch) for each row of docs: k1 and k2 are 128 bits of its id and text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -147,12 +151,13 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
 
         hashes = WordHashes()
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
-                flat, size = shingles(part.column(1).to_pylist(), hashes, width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(digests(flat, size).view(np.int64)), pa.array(sketches(flat, size), pa.binary())], ["id", "n", "g", "sketch"])
+            for part in slices(batch, 3, 2 << 20):
+                flat, size = shingles(part.column(3).to_pylist(), hashes, width)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(size), pa.array(digests(flat, size).view(np.int64)), pa.array(sketches(flat, size), pa.binary())], ["id", "k1", "k2", "n", "g", "sketch"])
         trim()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, g long, sketch binary")
+    texts = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col, ["k1", "k2"]), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, f"id {kind}, k1 long, k2 long, n long, g long, sketch binary")
 
 
 def signed(docs: DataFrame, text_col: str, width: int, num: int, den: int, n2: int, k2: int) -> DataFrame:
@@ -227,7 +232,7 @@ def family_edges(members: DataFrame, num: int, den: int) -> DataFrame:
 
     def plausible(n, sketch):
         m = len(n)
-        if m < 8:
+        if m < 4:
             for i in range(1, m):
                 for j in range(i):
                     a, b = sketch[i], sketch[j]
@@ -239,12 +244,14 @@ def family_edges(members: DataFrame, num: int, den: int) -> DataFrame:
         low = min(map(len, sketch)) // 8
         rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(z, np.uint64).reshape(-1, low), axis=0) for z in sketch])
         n = np.array(n)
-        for i in range(1, m):
-            for a in range(0, i, 4096):
-                b = min(i, a + 4096)
-                far = np.bitwise_count(rows[a:b] ^ rows[i]).sum(1, dtype=np.int64)
-                for j in np.flatnonzero(far * (den + num) <= (den - num) * (n[i] + n[a:b])).tolist():
-                    yield i, a + j
+
+        def near(i, rest):
+            for a in range(0, len(rest), 4096):
+                some = rest[a : a + 4096]
+                far = np.bitwise_count(rows[some] ^ rows[i]).sum(1, dtype=np.int64)
+                yield some[far * (den + num) <= (den - num) * (n[i] + n[some])]
+
+        yield from spanning(m, lambda i, rest: np.concatenate(list(near(i, rest))))
 
     def run(batches):
         import pyarrow as pa
@@ -290,8 +297,25 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, widt
     return rows.mapInArrow(run, "f long, g long, set binary").where("set is not null")
 
 
+def spanning(m: int, near):
+    """Edges (i, j) of a spanning forest of 0 .. m - 1; near(i, rest): those of the array rest that i is related to."""
+    rest, reached = np.arange(m), []
+    while len(rest):
+        if reached:
+            i = reached.pop()
+        else:
+            i, rest = int(rest[0]), rest[1:]
+        if len(rest):
+            hit = near(i, rest)
+            if len(hit):
+                rest = rest[~np.isin(rest, hit)]
+                for j in hit.tolist():
+                    reached.append(j)
+                    yield i, j
+
+
 def links_in(sets: list[np.ndarray], num: int, den: int):
-    """Pairs (i, j), j < i, of similar sets, by counting common elements through an inverted index."""
+    """Edges (i, j) of a spanning forest of similar sets, by counting common elements through an inverted index."""
     m = len(sets)
     size = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(m), size)
@@ -304,16 +328,18 @@ def links_in(sets: list[np.ndarray], num: int, den: int):
     which = np.empty(len(flat), np.int64)
     which[order] = np.cumsum(start) - 1
     ends = np.cumsum(size)
-    for i in range(1, m):
+
+    def near(i, rest):
         e = which[ends[i] - size[i] : ends[i]]
         e = e[length[e] > 1]
         if not len(e):
-            continue
+            return rest[:0]
         n = length[e]
         at = np.repeat(first[e] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        common = np.bincount(posting[at], minlength=m)[:i]
-        for j in np.flatnonzero(den * common >= num * (size[i] + size[:i] - common)).tolist():
-            yield i, j
+        common = np.bincount(posting[at], minlength=m)[rest]
+        return rest[den * common >= num * (size[i] + size[rest] - common)]
+
+    yield from spanning(m, near)
 
 
 def link_edges(blocks: DataFrame, num: int, den: int) -> DataFrame:
@@ -357,18 +383,23 @@ def in_blocks(sets: DataFrame) -> DataFrame:
     return rows.select("f", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "g", "set")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id; similar is |A & B| / |A | B| >= num / den."""
+def classified(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as `described` gives them, written; and (g, id, label) of each digest: its smallest id, and its component's name."""
     rows = written(described(docs, id_col, text_col, width), "sets")
-    classes = rows.where("n > 0").groupBy("g").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    classes = rows.where("n > 0").groupBy("g").agg(F.min("id").alias("id"))
     n2, k2 = scheme(classes.count(), num, den)
     shared = written(groups(signed(docs, text_col, width, num, den, n2, k2)), "groups")
     known = rows.where("n > 0").join(shared.select("g").distinct(), "g", "left_semi").select("g", "n", "sketch").dropDuplicates(["g"])
     families = components(family_edges(shared.join(known, "g").select("s", "g", "n", "sketch"), num, den))
-    wanted = families.select(F.col("node").alias("g"), F.col("label").alias("f")).join(classes.select("g", "id"), "g").checkpoint()
+    wanted = families.select(F.col("node").alias("g"), F.col("label").alias("f")).join(classes, "g").checkpoint()
     sets = written(sets_of(docs, wanted, id_col, text_col, width).dropDuplicates(["g"]), "families")
     links = components(link_edges(in_blocks(sets), num, den))
-    named = classes.join(links.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("label", "g"))
+    return rows, classes.join(links.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("label", "g"))
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id; similar is |A & B| / |A | B| >= num / den."""
+    rows, named = classified(docs, id_col, text_col, width, num, den)
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of = named.join(least, "label").select(F.col("g").alias("__g"), "component_id")
     out = rows.join(of, (F.col("g") == F.col("__g")) & (F.col("n") > 0), "left")
@@ -376,13 +407,28 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 
 def one_of_each(docs: DataFrame, width: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest; rows of a null id stay.  Repeated ids keep one row for each text."""
-    found = linked(docs, id_col, text_col, width, num, den)
-    drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, docs[id_col] == drop["__gone"], "left_anti")
+    """One row of docs for each component of links, the one with the smallest id; a null id comes after all others.
 
+    Rows without words link with nothing and stay.  Of rows with the same id and text one stays, whichever.  Of texts that share an id
+    each counts for itself.
+    """
+    rows, named = classified(docs, id_col, text_col, width, num, den)
+    own = rows.where("n > 0").groupBy("k1", "k2", "g").agg(F.first("id").alias("id"), F.count("*").alias("copies"))
+    own = own.join(named.select("g", "label"), "g").select("label", "k1", "k2", "copies", F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2").alias("at"))
+    best = own.groupBy("label").agg(F.min("at").alias("best"))
+    told = written(own.join(best, "label").select("k1", "k2", "copies", (F.col("at") == F.col("best")).alias("stays")), "verdicts")
+    prefix = free_prefix(docs.columns)
+    names = [prefix + "1", prefix + "2"]
 
-def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(table(spark, sf_dir, "documents"))
+    def keys(of):
+        return of.select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1]))
+
+    kept = docs.select("*", *row_key(id_col, text_col, names)).join(keys(told.where("not stays")), names, "left_anti")
+    again = told.where("stays and copies > 1")
+    if not again.isEmpty():
+        kept = kept.join(keys(again), names, "left_anti").unionByName(kept.join(keys(again), names, "left_semi").dropDuplicates(names))
+    return kept.select(*docs.columns)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(table(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import free_prefix, frequent, table, written
+from sparkwell.llm.common import free_prefix, frequent, key, row_key, table, written
 
 MIN_SITES = 8
 #: log2 of a sketch's registers; a relative error of about 2 % above a few hundred sites, none to speak of below.
@@ -28,17 +28,6 @@ HOT = 200_000
 LINE, ROW = ["h1", "h2"], ["k1", "k2"]
 
 
-def key(names: list[str], *parts: Column) -> list[Column]:
-    """128 bits: hashes from two seeds, as the constant in front makes them."""
-    return [F.xxhash64(*parts).alias(names[0]), F.xxhash64(F.lit(1), *parts).alias(names[1])]
-
-
-def row_key(id_col: str, text_col: str, names: list[str]) -> list[Column]:
-    """Rows that share this share id and text; nulls are told from values."""
-    i, t = F.col(id_col), F.col(text_col)
-    return key(names, i, t, i.isNull(), t.isNull())
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """(id, ROW, site, pos, LINE) for every line that isn't blank."""
     rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col, ROW), F.when(F.col(site_col).isNotNull(), F.xxhash64(site_col)).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))

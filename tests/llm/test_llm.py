@@ -463,7 +463,7 @@ def test_line_dedup_near_the_threshold(spark):
 
 def test_line_dedup_keys_and_names(spark):
     """The two halves of a key have their own seeds; column names of any kind are kept apart; few hot lines or many give the same."""
-    one = spark.createDataFrame([("a",)], "t string").select(*line_dedup.key(["h1", "h2"], F.col("t")), F.xxhash64("t", F.lit(1)).alias("chained")).first()
+    one = spark.createDataFrame([("a",)], "t string").select(*common.key(["h1", "h2"], F.col("t")), F.xxhash64("t", F.lit(1)).alias("chained")).first()
     assert len(set(one)) == 3
     rows = [(i, f"common line\nline {i % 7}\nown {i}", f"s{i % 20}", i, i, i, i, i) for i in range(60)] + [(7, "common line\nline 0\nown 7", "s7", 7, 7, 7, 7, 7)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, __k int, __gone int, __q_gone int, GONE int, h1 int")
@@ -579,6 +579,29 @@ def test_jaccard_awkward(spark, awkward):
     assert jaccard_join.one_of_each(awkward).count() == 10
 
 
+def test_one_of_each_of_repeated_ids_and_rows(spark):
+    """Every class keeps one row: texts of one id are told apart, repeated rows go, and so do null ids beside others."""
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(60)) for x in "abcd")
+    rows = [(7, a, 1), (7, a, 2), (3, b, 3), (5, b, 4), (5, c, 5), (None, c, 6), (None, d, 7), (None, d, 8), (None, d + "more", 9), (1, "", 10), (1, None, 11), (2, "", 12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __q_1 int")
+    got = jaccard_join.one_of_each(frame)
+    assert got.columns == frame.columns
+    plain = sorted(((r.doc_id or 0, (r.text or "")[:1], r["__q_1"]) for r in got.collect()), key=str)
+    assert sorted(p[:2] for p in plain if p[1]) == [(0, "d"), (3, "b"), (5, "c"), (7, "a")]
+    assert {p[2] for p in plain if not p[1]} == {10, 11, 12} and len(plain) == 7
+
+
+def test_spanning_forest():
+    rnd = random.Random(3)
+    for _ in range(60):
+        m = rnd.randint(0, 30)
+        related = {frozenset(rnd.sample(range(m), 2)) for _ in range(rnd.randint(0, m))} if m > 1 else set()
+        edges = list(jaccard_join.spanning(m, lambda i, rest: rest[[frozenset((i, j)) in related for j in rest.tolist()]]))
+        forest = jaccard_join.Forest()
+        assert all(frozenset(e) in related and forest.joins(*e) for e in edges)
+        assert not any(forest.joins(*e) for e in map(tuple, related))
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]

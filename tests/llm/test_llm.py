@@ -780,6 +780,41 @@ def test_sentencepiece_repeated_rows(spark, awkward, tmp_path):
     assert pieces == sorted(r.n_pieces for r in many)
 
 
+def test_sentencepiece_long_units(spark):
+    """Units across blocks: letters, unknown scripts and characters of two to four bytes; the time is about linear in their length."""
+    import time
+
+    pieces, facts = sp.piece_table(spark)
+    scores = {r.piece: (r.id, r.score) for r in pieces.collect()}
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choices("abcdeinrst", k=n)) for n in (sp.LONG - 2, sp.LONG - 1, sp.LONG, sp.LONG + 1, 2 * sp.LONG, 2 * sp.LONG + 17, 1500)]
+    texts += ["".join(rnd.choices("日本語中文字漢書", k=700)), "".join(rnd.choices("ไทยกขค", k=900)), "".join(rnd.choices("éßλ𐌰𐌱😀", k=800)), "ab " * 3 + "".join(rnd.choices("ετλ", k=600)) + " end"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = sp.encode(frame)
+    got = {r.doc_id: list(r.ids) for r in encoded.collect()}
+    assert got == {i: best_path(t, scores, facts["unknown"]) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in sp.decode(encoded).collect()} == dict(enumerate(texts))
+    took = []
+    for n in (20_000, 20_000):
+        one = spark.createDataFrame([(n, "".join(rnd.choices("漢字仮名交文abcdefgh", k=n)))], "doc_id long, text string")
+        began = time.time()
+        sp.encode(one).collect()
+        took.append(time.time() - began)
+    assert min(took) < 10, took
+
+
+def test_sentencepiece_query_tells_what_decoding_gives_back(spark, tmp_path):
+    long = "".join(random.Random(1).choices("日本語中文字abc", k=600))
+    rows = [(1, "a▁b"), (2, "a b"), (3, "▁"), (4, long), (5, long + "▁"), (6, None), (7, ""), (8, "a😀 \u0000 b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/d/documents.parquet")
+    got = {r.doc_id: r for r in sp.op10_sentencepiece(spark, f"{tmp_path}/d").collect()}
+    encoded = sp.encode(frame)
+    back = {r.doc_id: r.text for r in sp.decode(encoded).collect()}
+    assert {i: r.decoded for i, r in got.items()} == {i: back[i] == t for i, t in rows} and not got[1].decoded and got[4].decoded
+    assert {i: r.n_pieces for i, r in got.items()} == {r.doc_id: len(r.ids or []) for r in encoded.collect()}
+
+
 # Pipeline
 
 

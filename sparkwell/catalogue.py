@@ -72,7 +72,7 @@ DOC_BM25 = bm25_sql("documents", "doc_id", "text", "m")
 
 
 def doc_hits(spark, sf_dir, k: int = 20) -> DataFrame:
-    return retrieval.top_k(retrieval.bm25_scores(questions(spark, sf_dir), read(spark, sf_dir, "documents"), "doc_id", "text"), k)
+    return retrieval.bm25_top_k(questions(spark, sf_dir), read(spark, sf_dir, "documents"), "doc_id", "text", k)
 
 
 # Text and ingest
@@ -157,17 +157,18 @@ def cosine_topk(spark, sf_dir):
     return vector_hits(spark, sf_dir, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-CHUNK_BM25 = f"{CHUNKS}, ids AS (SELECT *, doc_id * 100000 + chunk_index AS cid FROM chunks), {bm25_sql('ids', 'cid', 'chunk', 'm')}"
+CHUNK_BM25 = f"{CHUNKS}, ids AS (SELECT *, struct_pack(doc_id := doc_id, chunk_index := chunk_index) AS cid FROM chunks), {bm25_sql('ids', 'cid', 'chunk', 'm')}"
 
 
 def chunk_hits(spark, sf_dir, k):
-    rows = ingest.chunks(read(spark, sf_dir, "documents")).withColumn("cid", F.col("doc_id") * 100000 + F.col("chunk_index"))
-    return retrieval.top_k(retrieval.bm25_scores(questions(spark, sf_dir), rows, "cid", "chunk"), k)
+    """(query_id, doc_id, chunk_index, score, rank)."""
+    rows = ingest.chunks(read(spark, sf_dir, "documents")).withColumn("cid", F.struct("doc_id", "chunk_index"))
+    return retrieval.bm25_top_k(questions(spark, sf_dir), rows, "cid", "chunk", k).select("query_id", "id.doc_id", "id.chunk_index", "score", "rank")
 
 
-@query(f"WITH {CHUNK_BM25}, {top_sql('m', 5, 't')} SELECT query_id, id, rank, round(score, 6) AS score FROM t")
+@query(f"WITH {CHUNK_BM25}, {top_sql('m', 5, 't')} SELECT query_id, id.doc_id AS doc_id, id.chunk_index AS chunk_index, rank, round(score, 6) AS score FROM t")
 def bm25_topk(spark, sf_dir):
-    return chunk_hits(spark, sf_dir, 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return chunk_hits(spark, sf_dir, 5).select("query_id", "doc_id", "chunk_index", "rank", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -178,40 +179,37 @@ SELECT query_id, id, rank, round(score, 6) AS score FROM t"""
 def bm25_fields_boosted(spark, sf_dir):
     """The first line as title, boosted 3; the text, boosted 2; the best field counts."""
     docs, q = read(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    title = retrieval.bm25_scores(q, docs.select("doc_id", F.split("text", "\n")[0].alias("title")), "doc_id", "title")
-    hits = retrieval.top_k(retrieval.best_field([(title, 3.0), (retrieval.bm25_scores(q, docs, "doc_id", "text"), 2.0)]), 5)
+    title = retrieval.bm25_top_k(q, docs.select("doc_id", F.split("text", "\n")[0].alias("title")), "doc_id", "title", 5)
+    hits = retrieval.top_k(retrieval.best_field([(title, 3.0), (retrieval.bm25_top_k(q, docs, "doc_id", "text", 5), 2.0)]), 5)
     return hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {DOC_BM25}, n AS (SELECT query_id, count(*) AS n FROM mq GROUP BY query_id), a AS (SELECT m.* FROM m JOIN n USING (query_id) WHERE matched = n), {top_sql('a', 10, 't')} SELECT query_id, id, rank FROM t")
 def keyword_and(spark, sf_dir):
-    q = questions(spark, sf_dir)
-    return retrieval.top_k(retrieval.all_terms(retrieval.bm25_scores(q, read(spark, sf_dir, "documents"), "doc_id", "text"), q), 10).select("query_id", "id", "rank")
+    return retrieval.bm25_top_k(questions(spark, sf_dir), read(spark, sf_dir, "documents"), "doc_id", "text", 10, every=True).select("query_id", "id", "rank")
 
 
 @query(
-    f"""WITH {CHUNK_BM25}, {top_sql("m", 5, "t")}, a AS (SELECT DISTINCT query_id, id // 100000 AS doc_id, id % 100000 + unnest([-1, 0, 1]) AS chunk_index FROM t WHERE rank <= 2)
+    f"""WITH {CHUNK_BM25}, {top_sql("m", 5, "t")}, a AS (SELECT DISTINCT query_id, id.doc_id AS doc_id, id.chunk_index + unnest([-1, 0, 1]) AS chunk_index FROM t WHERE rank <= 2)
 SELECT query_id, doc_id, a.chunk_index, chunk FROM a JOIN chunks USING (doc_id, chunk_index)"""
 )
 def neighbor_expand(spark, sf_dir):
-    hits = chunk_hits(spark, sf_dir, 5).select("query_id", "rank", F.expr("id div 100000").alias("doc_id"), (F.col("id") % 100000).alias("chunk_index"))
-    return retrieval.neighbours(hits, ingest.chunks(read(spark, sf_dir, "documents")))
+    return retrieval.neighbours(chunk_hits(spark, sf_dir, 5), ingest.chunks(read(spark, sf_dir, "documents")))
 
 
 @query(
-    f"""WITH {CHUNK_BM25}, {top_sql("m", 20, "t")}, n AS (SELECT query_id, id, id // 100000 AS doc_id, rank, row_number() OVER (PARTITION BY query_id, id // 100000 ORDER BY rank) > 2 AS late FROM t)
-SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY late, rank) <= 5"""
+    f"""WITH {CHUNK_BM25}, {top_sql("m", 20, "t")}, n AS (SELECT query_id, id.doc_id AS doc_id, id.chunk_index AS chunk_index, rank, row_number() OVER (PARTITION BY query_id, id.doc_id ORDER BY rank) > 2 AS late FROM t)
+SELECT query_id, doc_id, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY late, rank) <= 5"""
 )
 def diversify_topk(spark, sf_dir):
-    hits = chunk_hits(spark, sf_dir, 20).withColumn("doc_id", F.expr("id div 100000"))
-    return retrieval.diversify(hits, 5).select("query_id", "id", "rank")
+    return retrieval.diversify(chunk_hits(spark, sf_dir, 20), 5).select("query_id", "doc_id", "chunk_index", "rank")
 
 
 @query(f"WITH scope AS (SELECT * FROM documents WHERE source LIKE 'src1%'), {bm25_sql('scope', 'doc_id', 'text', 'm')}, {top_sql('m', 5, 't')} SELECT query_id, id, rank, round(score, 6) AS score FROM t")
 def scope_filtered_topk(spark, sf_dir):
     """The scope's filter stands below the top k, so k hits come back where the scope has them."""
     docs = read(spark, sf_dir, "documents").where(F.col("source").startswith("src1"))
-    return retrieval.top_k(retrieval.bm25_scores(questions(spark, sf_dir), docs, "doc_id", "text"), 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.bm25_top_k(questions(spark, sf_dir), docs, "doc_id", "text", 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 # Fusion and reranking
@@ -222,7 +220,7 @@ LISTS = f"WITH {DOC_BM25}, {top_sql('m', 20, 'd')}, h AS (SELECT doc_id, split_p
 def two_lists(spark, sf_dir):
     docs, q = read(spark, sf_dir, "documents"), questions(spark, sf_dir)
     first_lines = docs.select("doc_id", F.split("text", "\n")[0].alias("title"))
-    return doc_hits(spark, sf_dir), retrieval.top_k(retrieval.bm25_scores(q, first_lines, "doc_id", "title"), 20)
+    return doc_hits(spark, sf_dir), retrieval.bm25_top_k(q, first_lines, "doc_id", "title", 20)
 
 
 def fuse_sql(k: int, w: tuple[str, str] = ("1.0", "1.0")) -> str:

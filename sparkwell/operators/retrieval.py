@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions.text import tokens
@@ -16,73 +16,235 @@ def top_k(rows: DataFrame, k: int, score: str = "score", by: str = "query_id", t
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
-    """(query_id, id, score): for each query (query_id, embedding) its k nearest of vectors (id, embedding), exactly.
+class Best:
+    """The k best (query, key, id) that a task has seen: larger keys first, then smaller ids; kept in bounded arrays."""
 
-    The query set is stated by the caller and taken in blocks: each block is one matrix product per batch of vectors,
-    and each task keeps k rows of each query.  Null or zero vectors score 0.  Scores are cosine + 1.
+    def __init__(self, queries: int, k: int):
+        import numpy as np
+
+        self.queries, self.k, self.least, self.parts, self.held = queries, k, np.full(queries, -np.inf), [], 0
+
+    def offer(self, scores, ids: list, above: float = -1.0) -> None:
+        """scores: queries x rows; ids: arrays of the rows' id parts."""
+        import numpy as np
+
+        key = np.round(scores, 9)
+        q, r = np.nonzero((key >= self.least[:, None]) & (scores > above))
+        self.parts.append((q, key[q, r], scores[q, r], *(x[r] for x in ids)))
+        self.held += len(q)
+        if self.held > 2 * self.queries * self.k + 10_000:
+            self.settle()
+
+    def settle(self) -> tuple | None:
+        """(queries, keys, scores, id parts...) of what is kept."""
+        import numpy as np
+
+        if not self.parts:
+            return None
+        q, key, score, *ids = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((*reversed(ids), -key, q))
+        q, key, score, *ids = (x[order] for x in (q, key, score, *ids))
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        last = nth == self.k - 1
+        self.least[q[last]] = key[last]
+        keep = nth < self.k
+        self.parts, self.held = [tuple(x[keep] for x in (q, key, score, *ids))], int(keep.sum())
+        return self.parts[0]
+
+
+def id_parts(column) -> list:
+    """An Arrow column of ids as arrays that sort as Spark sorts them; for structs one for each field.
+
+    Null integers stand before all others and come back as null; null strings count as empty.
     """
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    ids = queries.select("query_id").count()
-    out = None
-    for part in range(max(1, -(-ids // block))):
-        own = queries if ids <= block else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-ids // block))) == part)
-        rows = own.select("query_id", "embedding").collect()  # about `block` rows
-        q = np.array([r[1] or [0.0] for r in rows], np.float64) if rows else np.zeros((0, 1))
-        names = [r[0] for r in rows]
+    if pa.types.is_struct(column.type):
+        return [part for f in column.flatten() for part in id_parts(f)]
+    if pa.types.is_integer(column.type):
+        return [pc.fill_null(column.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)]
+    return [np.array(pc.fill_null(column.cast(pa.string()), "").to_pylist(), dtype=str)]
+
+
+def as_ids(parts: list, kind):
+    """The inverse of id_parts for an Arrow type."""
+    import numpy as np
+    import pyarrow as pa
+
+    if pa.types.is_struct(kind):
+        return pa.StructArray.from_arrays([as_ids([x], f.type) for x, f in zip(parts, kind)], names=[f.name for f in kind])
+    if pa.types.is_integer(kind):
+        return pa.array(parts[0], mask=parts[0] == np.iinfo(np.int64).min).cast(kind)
+    return pa.array(parts[0].tolist(), pa.string()).cast(kind)
+
+
+def found(best: Best, names: list, query_kind, id_kind):
+    """Arrow batches (query_id, id, score) of what a task has kept."""
+    import pyarrow as pa
+
+    kept = best.settle()
+    if kept is not None and len(kept[0]):
+        q, _, score, *ids = kept
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], query_kind), as_ids(ids, id_kind), pa.array(score)], ["query_id", "id", "score"])
+
+
+def schema_of(queries: DataFrame, rows: DataFrame) -> tuple:
+    """(Spark schema, Arrow type of query_id, Arrow type of id) of hits."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    q, i = queries.schema["query_id"].dataType, rows.schema["id"].dataType
+    return StructType([StructField("query_id", q), StructField("id", i), StructField("score", DoubleType())]), to_arrow_type(q), to_arrow_type(i)
+
+
+def in_blocks(queries: DataFrame, columns: list[str], block: int):
+    """The query set, which the caller states, as lists of about `block` rows (one empty list if it is empty)."""
+    n = queries.count()
+    parts = -(-n // block)
+    if parts <= 1:
+        yield queries.select(columns).collect()
+    for part in range(parts if parts > 1 else 0):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select(columns).collect()
+
+
+def all_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 16384) -> DataFrame:
+    """(query_id, id, score, rank): for each query (query_id, embedding) its k nearest of vectors (id, embedding), exactly.
 
-        def run(batches, q=q, names=names):
-            import heapq
+    The query set is stated by the caller and taken in blocks: each block is one pass over the vectors, a matrix product for
+    every part of a batch, and each task keeps k rows of each query.  Scores are cosine + 1; null and zero vectors, and
+    vectors of another width than the query's block, have a cosine of 0.
+    """
+    import numpy as np
 
+    schema, query_kind, id_kind = schema_of(queries, vectors)
+    out = []
+    for rows in in_blocks(queries, ["query_id", "embedding"], block):
+        names, given = [r[0] for r in rows], [r[1] for r in rows]
+        width = max((len(v) for v in given if v is not None), default=1)
+        q = np.zeros((len(rows), width))
+        for i, v in enumerate(given):
+            if v is not None and len(v) == width and all(x is not None for x in v):
+                q[i] = v
+        unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+        def run(batches, unit=unit, names=names, width=width):
             import numpy as np
             import pyarrow as pa
+            import pyarrow.compute as pc
 
-            unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            best: list[list] = [[] for _ in names]
+            best = Best(len(names), k)
             for batch in batches:
-                got = batch.column(1).to_pylist()
-                width = unit.shape[1]
-                x = np.array([v if v is not None and len(v) == width else [0.0] * width for v in got], np.float64)
-                if not len(x) or not len(names):
-                    continue
-                score = unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T + 1.0
-                key = np.round(score, 9)
-                ident = batch.column(0).to_pylist()
-                for i in range(len(names)):
-                    cut = np.flatnonzero(key[i] >= np.partition(key[i], -k)[-k]) if len(ident) > k else range(len(ident))
-                    best[i] = heapq.nsmallest(k, best[i] + [(-float(key[i, j]), ident[j], float(score[i, j])) for j in cut])
-            flat = [(n, b[1], b[2]) for n, own in zip(names, best) for b in own]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
-
-        found = vectors.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, k)
-
-
-def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, term, tf, dl): term counts and lengths."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(text).alias("w"))
-    each = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25_scores(queries: DataFrame, docs: DataFrame, id_col: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score, matched): BM25 of queries (query_id, text) over docs; matched counts distinct terms.
-
-    Only postings of query terms are kept, so a stop word costs what the queries that have it ask for.
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    column = part.column(1)
+                    fits = pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False)
+                    x = np.zeros((part.num_rows, width))
+                    x[fits] = pc.fill_null(column.filter(pa.array(fits)).flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
+                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    best.offer(unit @ x.T + 1.0, id_parts(part.column(0)))
+            yield from found(best, names, query_kind, id_kind)
+
+        out.append(vectors.select("id", F.col("embedding").cast("array<double>")).mapInArrow(run, schema))
+    return top_k(all_of(out), k)
+
+
+#: Rows that meet a block of queries in one matrix product, and queries of such a block.
+ROWS, QUERIES = 256, 512
+
+
+def counts_of(words, terms):
+    """(row, term, tf) of the terms that a list column of words has, and the lists' lengths."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pc.fill_null(pc.index_in(words.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    code, tf = np.unique(row[at >= 0] * max(len(terms), 1) + at[at >= 0], return_counts=True)
+    return code // max(len(terms), 1), code % max(len(terms), 1), tf, n
+
+
+def bm25_top_k(queries: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, every: bool = False, k1: float = K1, b: float = B, block: int = 16384) -> DataFrame:
+    """(query_id, id, score, rank): the k best of docs (id_col, text) for each query (query_id, text) by BM25.
+
+    With `every`, only documents that have each term of the query.  No postings are shuffled and no pair of query and document leaves
+    its task: one pass counts in how many documents each query term stands, a second scores parts of a batch against the query
+    set, which the caller states and which is taken in blocks, by matrix products over the terms at hand, and keeps k rows
+    of each query in each task.  A document that shares no term is no hit; null texts have no words but count as documents.
     """
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("w"))
-    whole = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_dl"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    tf = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(whole)).select("term", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # whole: one row
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    hits = tf.join(weights, "term").select("term", "id", part.alias("s")).join(asked, "term")
-    return hits.groupBy("query_id", "id").agg(F.sum("s").alias("score"), F.count("*").alias("matched"))
+    import numpy as np
+    import pyarrow as pa
+
+    words = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("w"))
+    asked = queries.select("query_id", F.coalesce(F.array_distinct(tokens(F.col("text"))), F.array().cast("array<string>")).alias("terms"))
+    schema, query_kind, id_kind = schema_of(asked, words)
+    out = []
+    for rows in in_blocks(asked, ["query_id", "terms"], block):
+        names = [r[0] for r in rows]
+        place = {t: i for i, t in enumerate(sorted({t for r in rows for t in r[1]}))}
+        terms = pa.array(list(place), pa.string())
+        # which queries ask for a term, terms one after the other
+        pairs = sorted((place[t], i) for i, r in enumerate(rows) for t in r[1])
+        term_of, query_of = (np.array([p[j] for p in pairs], np.int64) for j in (0, 1))
+        size = np.array([len(r[1]) for r in rows], np.int64)
+
+        def count(batches, terms=terms):
+            import numpy as np
+
+            held, total, length = np.zeros(len(terms), np.int64), 0, 0
+            for batch in batches:
+                _, term, _, n = counts_of(batch.column(0), terms)
+                held += np.bincount(term, minlength=len(terms))
+                total, length = total + len(n), length + int(n.sum())
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *at.tolist()], pa.int64()), pa.array([total, length, *held[at].tolist()], pa.int64())], ["term", "n"])
+
+        counted = dict(words.select("w").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # a row for each query term
+        total = counted.get(-1, 0)
+        average = (counted.get(-2, 0) / total if total else 0.0) or 1.0
+        df = np.array([counted.get(i, 0) for i in range(len(terms))], float)
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+
+        def run(batches, terms=terms, names=names, term_of=term_of, query_of=query_of, size=size, idf=idf, average=average):
+            import numpy as np
+
+            best = [Best(min(QUERIES, len(names) - q), k) for q in range(0, len(names), QUERIES)]
+            block_of = query_of // QUERIES
+            asks = [(term_of[block_of == i], query_of[block_of == i] % QUERIES) for i in range(len(best))]
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    row, term, tf, n = counts_of(part.column(1), terms)
+                    if not len(row):
+                        continue
+                    here, col = np.unique(term, return_inverse=True)
+                    weight = np.zeros((part.num_rows, len(here)))
+                    weight[row, col] = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[row] / average))
+                    ids = id_parts(part.column(0))
+                    for i, own in enumerate(best):
+                        t, q = asks[i]
+                        c = np.searchsorted(here, t)
+                        known = here[np.minimum(c, len(here) - 1)] == t
+                        wants = np.zeros((len(here), own.queries))
+                        wants[c[known], q[known]] = 1.0
+                        score = (weight @ wants).T
+                        if every:
+                            score[((weight > 0) @ wants).T < size[i * QUERIES : i * QUERIES + own.queries, None]] = 0.0
+                        own.offer(score, ids, 0.0)
+            for i, own in enumerate(best):
+                yield from found(own, names[i * QUERIES : (i + 1) * QUERIES], query_kind, id_kind)
+
+        out.append(words.mapInArrow(run, schema))
+    return top_k(all_of(out), k)
 
 
 def best_field(scored: list[tuple[DataFrame, float]]) -> DataFrame:
@@ -94,12 +256,6 @@ def best_field(scored: list[tuple[DataFrame, float]]) -> DataFrame:
     return out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
-def all_terms(scores: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits that have every term of their query."""
-    n = queries.select("query_id", F.size(F.array_distinct(tokens(F.col("text")))).alias("__n"))
-    return scores.join(n, "query_id").where("matched = __n").drop("__n")
-
-
 def diversify(hits: DataFrame, k: int, per: int = 2, key: str = "doc_id", overflow: bool = True) -> DataFrame:
     """At most `per` hits of a key first, the others after them if overflow; k in all, renumbered as rank."""
     nth = F.row_number().over(Window.partitionBy("query_id", key).orderBy("rank"))

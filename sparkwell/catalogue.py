@@ -48,6 +48,7 @@ STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 TERMS = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({STOP})))"
 PUNCT = r"""[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]"""
 ANSWER = f"list_filter(string_split(regexp_replace(regexp_replace(lower({{}}), '{PUNCT}', '', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
+SCORED = f"list_filter(string_split(regexp_replace(regexp_replace(array_to_string(list_transform(regexp_extract_all(lower({{}}), '[\\p{{{{L}}}}\\p{{{{N}}}}_]+|[^\\p{{{{L}}}}\\p{{{{N}}}}_]+'), lambda w: CASE WHEN w IN ('a', 'an', 'the') THEN ' ' ELSE w END), ''), '{PUNCT}', '', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')"
 SENTENCES = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({{}}, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+|' || chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')"
 
 
@@ -269,9 +270,14 @@ def sentence_rerank(spark, sf_dir):
     return fusion.sentence_rerank(contexts(spark, sf_dir)).select("query_id", "id", F.round("best", 6).alias("best"), "rank")
 
 
-@query(f"{CONTEXTS} SELECT query_id, id, rank FROM x QUALIFY row_number() OVER (PARTITION BY query_id, substr({SQUEEZE.format('text')}, 1, 160) ORDER BY rank) = 1")
+@query(
+    f"""{CONTEXTS}, k AS (SELECT query_id, id, rank, {STRIP.format("text")} AS t, split_part(text, chr(10), 1) AS title FROM x QUALIFY row_number() OVER (PARTITION BY query_id, lower({SQUEEZE.format("text")}) ORDER BY rank) = 1)
+SELECT query_id, id, rank, CASE WHEN title <> '' AND starts_with(t, title) THEN regexp_replace(substr(t, length(title) + 1), '^[ :\\n\\-]+', '') ELSE t END AS text FROM k"""
+)
 def context_dedupe(spark, sf_dir):
-    return fusion.distinct_contexts(contexts(spark, sf_dir), [F.substring(T.squeeze(F.col("text")), 1, 160)]).select("query_id", "id", "rank")
+    """The first line stands for the title."""
+    rows = contexts(spark, sf_dir).withColumn("title", F.split("text", "\n")[0])
+    return fusion.compact_contexts(rows).select("query_id", "id", "rank", "text")
 
 
 @query(
@@ -288,7 +294,7 @@ def snippet_rescore(spark, sf_dir):
 
 # Metrics: neighbouring turns of a conversation stand in for predictions and gold answers.
 
-PAIRS = "p AS (SELECT a.conv_id, a.turn, substr(a.text, 1, 200) AS pred, substr(b.text, 1, 200) AS gold FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+PAIRS = "p AS (SELECT a.conv_id, a.turn, a.text AS pred, b.text AS gold FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
 def pairs(spark, sf_dir):
@@ -303,10 +309,24 @@ def normalize_answer(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_answer(F.col("text")).alias("answer"))
 
 
-F1 = f"""{PAIRS}, t AS (SELECT conv_id, turn, {ANSWER.format("pred")} AS a, {ANSWER.format("gold")} AS b FROM p),
+def overlap_sql(tokens: str) -> str:
+    """CTEs that end in o: the pairs with their tokens a and b and the size c of the multiset intersection."""
+    return f"""{PAIRS}, t AS (SELECT conv_id, turn, pred, gold, {tokens.format("pred")} AS a, {tokens.format("gold")} AS b FROM p),
 o AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(list_intersect(a, b)), lambda v: least(len(list_filter(a, lambda x: x = v)), len(list_filter(b, lambda x: x = v))))), 0) AS c FROM t)"""
 
 
+F1 = overlap_sql(SCORED)
+STRICT = f"""{overlap_sql(ANSWER)}, z0 AS (SELECT *, array_to_string(a, ' ') AS na, array_to_string(b, ' ') AS nb, len(list_distinct(list_intersect(a, b))) AS h, len(list_distinct(a)) AS n, len(list_distinct(b)) AS m FROM o),
+z1 AS (SELECT *, CAST(na = nb AS DOUBLE) AS em, c = 0 OR (na <> nb AND (na IN ('yes', 'no', 'noanswer') OR nb IN ('yes', 'no', 'noanswer'))) AS none FROM z0)"""
+
+
+@query(f"WITH {STRICT} SELECT conv_id, turn, em, round(CASE WHEN none THEN 0.0 ELSE 2.0 * c / (len(a) + len(b)) END, 6) AS f1 FROM z1")
+def strict_f1(spark, sf_dir):
+    """Exact match and F1 of short answers."""
+    em, _, _, f1 = metrics.strict_scores(F.col("pred"), F.col("gold"))
+    return pairs(spark, sf_dir).select("conv_id", "turn", em.alias("em"), F.round(f1, 6).alias("f1"))
+
+
 @query(f"WITH {F1} SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * c / (len(a) + len(b)) END, 6) AS f1 FROM o")
 def token_f1(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.token_scores(F.col("pred"), F.col("gold"))[2], 6).alias("f1"))
@@ -328,18 +348,15 @@ def sp_f1(spark, sf_dir):
 
 
 @query(
-    f"""WITH {F1}, j AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE c / len(a) END AS p1, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE c / len(b) END AS r1,
-len(list_intersect(a, b)) AS h, len(list_distinct(a)) AS n, len(list_distinct(b)) AS m FROM o),
-z AS (SELECT conv_id, turn, p1 * CASE WHEN n = 0 THEN 0.0 ELSE h / n END AS p, r1 * CASE WHEN m = 0 THEN 0.0 ELSE h / m END AS r FROM j)
-SELECT conv_id, turn, round(p, 6) AS joint_precision, round(r, 6) AS joint_recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS joint_f1 FROM z"""
+    f"""WITH {STRICT}, z AS (SELECT conv_id, turn, em * CAST(h = n AND h = m AS DOUBLE) AS joint_em, CASE WHEN none OR n = 0 THEN 0.0 ELSE c / len(a) * h / n END AS p, CASE WHEN none OR m = 0 THEN 0.0 ELSE c / len(b) * h / m END AS r FROM z1)
+SELECT conv_id, turn, joint_em, round(p, 6) AS joint_precision, round(r, 6) AS joint_recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS joint_f1 FROM z"""
 )
 def joint_metrics(spark, sf_dir):
-    """Answer scores times scores of the distinct tokens as facts."""
-    rows = pairs(spark, sf_dir)
-    a = metrics.token_scores(F.col("pred"), F.col("gold"))
-    b = metrics.fact_scores(T.answer_tokens(F.col("pred")), T.answer_tokens(F.col("gold")))
-    rows = rows.select("conv_id", "turn", (a[0] * b[0]).alias("p"), (a[1] * b[1]).alias("r"))
-    return rows.select("conv_id", "turn", F.round("p", 6).alias("joint_precision"), F.round("r", 6).alias("joint_recall"), F.round(metrics.ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), 6).alias("joint_f1"))
+    """Scores of short answers times scores of the distinct tokens as facts."""
+    em, p, r, _ = metrics.strict_scores(F.col("pred"), F.col("gold"))
+    fp, fr, _, fem = metrics.fact_scores(T.answer_tokens(F.col("pred")), T.answer_tokens(F.col("gold")))
+    rows = pairs(spark, sf_dir).select("conv_id", "turn", (em * fem).alias("joint_em"), (p * fp).alias("p"), (r * fr).alias("r"))
+    return rows.select("conv_id", "turn", "joint_em", F.round("p", 6).alias("joint_precision"), F.round("r", 6).alias("joint_recall"), F.round(metrics.ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), 6).alias("joint_f1"))
 
 
 @query()
@@ -353,9 +370,12 @@ n AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1), s AS (SELECT gold.qu
 SELECT n.query_id, round(coalesce(h / n, 0), 6) AS recall_5, round(coalesce(d / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg_5 FROM n LEFT JOIN s USING (query_id)"""
 )
 def recall_ndcg(spark, sf_dir):
+    """Relevant vectors are counted by label, not listed."""
     v = read(spark, sf_dir, "embeddings")
-    gold = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("id"), "label"), "label")
-    return metrics.ranking_scores(vector_hits(spark, sf_dir, 10), gold).select("query_id", F.round("recall_5", 6).alias("recall_5"), F.round("ndcg_5", 6).alias("ndcg_5"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    n = asked.join(v.groupBy("label").agg(F.count("*").alias("n")), "label").select("query_id", "n")
+    hits = metrics.unique_ranks(vector_hits(spark, sf_dir, 10), 10).join(v.select(F.col("vec_id").alias("id"), "label"), "id")
+    return metrics.scores_of_ranks(hits.join(asked, ["query_id", "label"]), n).select("query_id", F.round("recall_5", 6).alias("recall_5"), F.round("ndcg_5", 6).alias("ndcg_5"))
 
 
 @query(
@@ -451,17 +471,20 @@ def usage_summary(spark, sf_dir):
 
 
 @query(
-    f"""{CONTEXTS}, r AS (SELECT query_id, (rank - 1) // 3 AS round, id, {TERMS.format("query")} AS terms, list_filter({TERMS.format("query")}, lambda t: contains(lower(text), t)) AS m FROM x),
-p AS (SELECT query_id, round, any_value(terms) AS terms, list_distinct(flatten(list(m))) AS m, count(*) FILTER (WHERE len(m) >= 2) AS s FROM r GROUP BY 1, 2),
-c AS (SELECT a.query_id, a.round, any_value(a.terms) AS terms, len(list_distinct(flatten(list(b.m)))) AS seen, sum(b.s) AS supportive FROM p a JOIN p b ON a.query_id = b.query_id AND b.round <= a.round GROUP BY 1, 2),
-v AS (SELECT query_id, round, CASE WHEN len(terms) > 0 THEN seen / len(terms) ELSE 0.0 END AS coverage, supportive FROM c)
-SELECT query_id, CAST(round AS BIGINT) AS round, round(coverage, 6) AS coverage, CAST(supportive AS BIGINT) AS supportive, 1.0 AS novelty, round(greatest(coverage - coalesce(lag(coverage) OVER (PARTITION BY query_id ORDER BY round), 0), 0), 6) AS gain FROM v"""
+    f"""{CONTEXTS}, y AS (SELECT query_id, query, id, text, unnest(CASE WHEN rank % 3 = 0 THEN [(rank - 1) // 3, rank // 3] ELSE [(rank - 1) // 3] END) AS round FROM x),
+r AS (SELECT query_id, round, id, {TERMS.format("query")} AS terms, list_filter({TERMS.format("query")}, lambda t: contains(lower(text), t)) AS m, round = min(round) OVER (PARTITION BY query_id, id) AS new FROM y),
+p AS (SELECT query_id, round, any_value(terms) AS terms, list_distinct(flatten(list(m))) AS m, count(*) FILTER (WHERE len(m) >= 2 AND new) AS s, count(*) FILTER (WHERE new) / count(*) AS novelty FROM r GROUP BY 1, 2),
+c AS (SELECT a.query_id, a.round, any_value(a.terms) AS terms, any_value(a.novelty) AS novelty, len(list_distinct(flatten(list(b.m)))) AS seen, sum(b.s) AS supportive FROM p a JOIN p b ON a.query_id = b.query_id AND b.round <= a.round GROUP BY 1, 2),
+v AS (SELECT query_id, round, CASE WHEN len(terms) > 0 THEN seen / len(terms) ELSE 0.0 END AS coverage, supportive, novelty FROM c)
+SELECT query_id, CAST(round AS BIGINT) AS round, round(coverage, 6) AS coverage, CAST(supportive AS BIGINT) AS supportive, round(novelty, 6) AS novelty, round(greatest(coverage - coalesce(lag(coverage) OVER (PARTITION BY query_id ORDER BY round), 0), 0), 6) AS gain FROM v"""
 )
 def coverage_trace(spark, sf_dir):
-    """The best nine or ten contexts in rounds of three."""
-    rows = contexts(spark, sf_dir).select("query_id", F.expr("(cast(rank as bigint) - 1) div 3").alias("round"), "id", T.query_terms(F.col("query")).alias("terms"), "text")
+    """The ten best contexts in rounds of three; the last of a round comes again in the next."""
+    rank = F.col("rank").cast("long")
+    rounds = F.when(rank % 3 == 0, F.array(F.expr("(cast(rank as bigint) - 1) div 3"), F.expr("cast(rank as bigint) div 3"))).otherwise(F.array(F.expr("(cast(rank as bigint) - 1) div 3")))
+    rows = contexts(spark, sf_dir).select("query_id", F.explode(rounds).alias("round"), "id", T.query_terms(F.col("query")).alias("terms"), "text")
     out = policy.trace(rows)
-    return out.select("query_id", "round", F.round("coverage", 6).alias("coverage"), F.col("supportive").cast("bigint").alias("supportive"), "novelty", F.round("gain", 6).alias("gain"))
+    return out.select("query_id", "round", F.round("coverage", 6).alias("coverage"), F.col("supportive").cast("bigint").alias("supportive"), F.round("novelty", 6).alias("novelty"), F.round("gain", 6).alias("gain"))
 
 
 STOPS = "x AS (SELECT event_id, (event_id % 11) / 10 AS cov, event_id % 4 AS sup, (event_id % 5) / 4 AS nov, (event_id % 3) / 10 AS gain, event_id % 3 AS rnd FROM events)"
@@ -481,23 +504,21 @@ def qpp_dispersion(spark, sf_dir):
     return policy.dispersion(doc_hits(spark, sf_dir), 5).select("query_id", F.round("qpp", 6).alias("qpp"), (F.round("qpp", 9) >= 0.08).alias("accepted"))
 
 
-@query(f"WITH {DOC_BM25}, {top_sql('m', 20, 't')} SELECT query_id, round(stddev_pop(score) / abs(avg(score)), 6) AS nqc, CASE WHEN round(stddev_pop(score) / abs(avg(score)), 9) >= 0.10 THEN 'fuse' ELSE 'retry' END AS route FROM t WHERE score > 0 GROUP BY 1")
+@query(f"WITH {DOC_BM25}, {top_sql('m', 100, 't')} SELECT query_id, round(stddev_pop(score) / abs(avg(score)), 6) AS nqc, CASE WHEN round(stddev_pop(score) / abs(avg(score)), 9) >= 0.10 THEN 'fuse' ELSE 'retry' END AS route FROM t WHERE score > 0 GROUP BY 1")
 def nqc_route(spark, sf_dir):
     return policy.dispersion(doc_hits(spark, sf_dir, 100), 100).select("query_id", F.round("nqc", 6).alias("nqc"), F.when(F.round("nqc", 9) >= 0.10, "fuse").otherwise("retry").alias("route"))
 
 
 @query(
-    f"""WITH {COSINE}, {top_sql("c", 10, "t")}, p AS (SELECT a.query_id, a.rank AS ra, b.rank AS rb, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS sim FROM t a JOIN t b ON a.query_id = b.query_id AND a.id < b.id JOIN embeddings x ON x.vec_id = a.id JOIN embeddings y ON y.vec_id = b.id),
-r AS (SELECT query_id, avg(sim) FILTER (WHERE ra <= 3 AND rb <= 3) AS h, avg(sim) FILTER (WHERE ra > 7 AND rb > 7) AS l FROM p GROUP BY 1) SELECT query_id, round(CASE WHEN l > 0 THEN h / l END, 5) AS ratio FROM r"""
+    f"""WITH {COSINE}, {top_sql("c", 10, "t")}, e AS (SELECT query_id, id, greatest(score - 1, 0) AS s, CAST(embedding AS DOUBLE[]) AS v FROM t JOIN embeddings ON vec_id = id),
+p AS (SELECT a.query_id, list_reverse_sort(list(greatest(list_cosine_similarity(a.v, b.v), 0) * a.s * b.s)) AS w FROM e a JOIN e b ON a.query_id = b.query_id AND a.id < b.id GROUP BY 1),
+r AS (SELECT query_id, list_avg(w[1:3]) AS h, list_avg(w[-3:]) AS l FROM p) SELECT query_id, round(CASE WHEN l > 0 THEN h / l WHEN h > 0 THEN 'inf'::DOUBLE END, 5) AS ratio FROM r"""
 )
 def apair_ratio(spark, sf_dir):
-    hits = vector_hits(spark, sf_dir, 10).select("query_id", "id", "rank")
-    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    own = hits.join(v, "id")
-    a, b = own.select("query_id", F.col("id").alias("a"), F.col("e").alias("x")), own.select("query_id", F.col("id").alias("b"), F.col("e").alias("y"))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: i * j), F.lit(0.0), lambda s, z: s + z)
-    sims = a.join(b, "query_id").where("a < b").select("query_id", "a", "b", (dot(F.col("x"), F.col("y")) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("y"), F.col("y")))).alias("sim"))  # ten hits to a query
-    return policy.pair_ratio(hits, sims).select("query_id", F.round("ratio", 5).alias("ratio"))
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    own = vector_hits(spark, sf_dir, 10).select("query_id", "id").join(v, "id").join(asked, "query_id")
+    return policy.pair_ratio(own).select("query_id", F.round("ratio", 5).alias("ratio"))
 
 
 @query(f"SELECT item_id, len(string_split({SQUEEZE.format('text')}, ' ')) >= 12 OR " + " OR ".join(f"contains(lower(text), '{c}')" for c in policy.RICH_CUES) + " AS rich FROM benchmark")
@@ -613,9 +634,16 @@ def page_tree(spark, sf_dir):
     return variants.pages(ingest.chunks(read(spark, sf_dir, "documents")))
 
 
-@query("SELECT doc_id, coalesce(nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in variants.LABELS) + "], lambda x: x IS NOT NULL), ' > '), ''), 'general > fact > entity') AS labels FROM documents")
+LABELLED = [(variants.DATED, r"(^|[^\p{L}\p{N}_])[0-9]{4}($|[^\p{L}\p{N}_])"), *((n, "|".join(w)) for n, w in variants.LABELS)]
+
+
+@query(
+    "WITH s AS (SELECT doc_id, lower(coalesce(source, '') || ' ' || coalesce(text, '')) AS t FROM documents) SELECT doc_id, coalesce(nullif(array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{n}' END" for n, p in LABELLED)
+    + f"], lambda x: x IS NOT NULL), ' > '), ''), '{variants.GENERAL}') AS labels FROM s"
+)
 def taxonomy_label(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", variants.taxonomy(F.col("text")).alias("labels"))
+    return read(spark, sf_dir, "documents").select("doc_id", variants.taxonomy(F.col("source"), F.col("text")).alias("labels"))
 
 
 @query(

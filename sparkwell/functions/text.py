@@ -48,8 +48,9 @@ def windows(text: Column, size: int = 512, overlap: int = 64) -> Column:
     """Array of stripped windows, one each size - overlap characters while they start inside the text; blank ones go."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(size - overlap)))
-    return F.filter(F.transform(starts, lambda s: strip(F.substr(text, s, F.lit(size)))), lambda x: x != "")
+    # one scan of the text: each match takes a step and looks ahead over a window
+    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{size - overlap}}}"), F.lit(1))
+    return F.filter(F.transform(found, strip), lambda x: x != "")
 
 
 def sentences(text: Column) -> Column:
@@ -87,15 +88,37 @@ def normalize_articles_first(text: Column) -> Column:
     return squeeze(drop_punctuation(bare))
 
 
+def scored_tokens(text: Column) -> Column:
+    """Tokens of the other order, by which free answers are scored."""
+    return F.filter(F.split(normalize_articles_first(text), " "), lambda w: w != "")
+
+
 def abstains(text: Column) -> Column:
     """True for an answer of which normalising leaves nothing, or one with a phrase of ABSTENTIONS; null counts as nothing."""
     bare = F.coalesce(normalize_articles_first(text), F.lit(""))
     return (bare == "") | reduce(lambda a, b: a | b, (bare.contains(m) for m in ABSTENTIONS))
 
 
+def unfenced(text: Column) -> Column:
+    """Text without what stands between code fences."""
+    return F.regexp_replace(text, "```[^`]*```", "")
+
+
 def number_in(text: Column) -> Column:
-    """The first number of an answer without thousands' commas, $ and %; null if there is none."""
-    return F.regexp_extract(F.regexp_replace(text, "[,$%]", ""), r"-?\d+\.?\d*", 0).try_cast("double")
+    """The first number of an answer without code, thousands' commas, $ and %; null if there is none."""
+    return F.regexp_extract(F.regexp_replace(unfenced(text), "[,$%]", ""), r"-?\d+\.?\d*", 0).try_cast("double")
+
+
+def yes_or_no(text: Column) -> Column:
+    """yes or no where that is an answer's first word, else null."""
+    word = F.regexp_replace(F.get(F.split(squeeze(unfenced(F.lower(text))), " "), F.lit(0)), "[.,!;:]+$", "")
+    return F.when(word.isin("yes", "no"), word)
+
+
+def items(raw: Column) -> Column:
+    """The distinct entries of a list in one text, cut at commas, semicolons and line ends; none, null and n/a go."""
+    parts = F.transform(F.split(raw, "[,;\\n]"), strip)
+    return F.array_distinct(F.filter(parts, lambda x: ~F.lower(x).isin("", "none", "null", "n/a")))
 
 
 def close(a: Column, b: Column, rel: float = 1e-3, least: float = 1e-6) -> Column:
@@ -108,6 +131,12 @@ def numbers_match(predicted: Column, gold: Column) -> Column:
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays: over distinct values, the lesser count."""
-    count = lambda arr, v: F.size(F.filter(arr, lambda x: x == v))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v)))
+    """Size of the multiset intersection of two arrays, by one fold over both in order: a's copies of a value wait for b's."""
+    side = lambda arr, n: F.transform(arr, lambda x: F.struct(x.alias("w"), F.lit(n).alias("s")))
+    first = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("left"), F.lit(0).alias("n"))
+
+    def step(acc, e):
+        left = F.when(acc["w"].eqNullSafe(e["w"]), acc["left"]).otherwise(0)
+        return F.struct(e["w"].alias("w"), F.when(e["s"] == 0, left + 1).otherwise(F.greatest(left - 1, F.lit(0))).alias("left"), (acc["n"] + F.when((e["s"] == 1) & (left > 0), 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), first, step, lambda x: x["n"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwell.functions.text import query_terms, sentences, squeeze
+from sparkwell.functions.text import query_terms, sentences, squeeze, strip
 
 RRF_K = 60
 
@@ -26,7 +26,7 @@ def rrf(lists: list[tuple[DataFrame, float]], k: int, constant: int = RRF_K) ->
 
 def list_weights(query: Column) -> tuple[Column, Column]:
     """(dense, lexical) weights: 1:3 with digits, quotes or acronyms, 2:1 for six words or fewer, else 1:1."""
-    exact = query.rlike(r'[0-9"]|\b[A-Z]{2,}\b')
+    exact = query.rlike("[0-9\"']") | query.rlike(r"(?<![\p{L}\p{N}_])[A-Z]{2,}(?![\p{L}\p{N}_])")
     short = F.size(F.split(squeeze(query), " ")) <= 6
     return F.when(exact, 1.0).when(short, 2.0).otherwise(1.0), F.when(exact, 3.0).otherwise(1.0)
 
@@ -39,10 +39,13 @@ def anchors_first(anchors: DataFrame, fused: DataFrame, k: int, first: int = 2)
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank")
 
 
-def distinct_contexts(rows: DataFrame, key: list[Column], order: str = "rank") -> DataFrame:
-    """Of each query's contexts with the same key the first."""
-    nth = F.row_number().over(Window.partitionBy("query_id", *key).orderBy(order))
-    return rows.withColumn("__n", nth).where("__n = 1").drop("__n")
+def compact_contexts(rows: DataFrame, order: str = "rank") -> DataFrame:
+    """rows (query_id, title, text): of each query's contexts with the same text, up to case and white space, the first; texts lose a leading title."""
+    nth = F.row_number().over(Window.partitionBy("query_id", F.sha2(F.lower(squeeze(F.col("text"))), 256)).orderBy(order))
+    text = strip(F.col("text"))
+    bare = F.regexp_replace(F.substr(text, F.length("title") + 1), r"^[ :\n\-]+", "")
+    titled = (F.coalesce("title", F.lit("")) != "") & F.startswith(text, F.col("title"))
+    return rows.withColumn("__n", nth).where("__n = 1").drop("__n").withColumn("text", F.when(titled, bare).otherwise(text))
 
 
 def sentence_rerank(hits: DataFrame, per: int = 6) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkwell.functions.text import answer_tokens, multiset_overlap, normalize_answer
+from sparkwell.functions.text import answer_tokens, multiset_overlap, normalize_answer, normalize_articles_first, scored_tokens
 
 # Dollars for a million tokens of input, cached input and output, by model; and for models not listed.
 PRICES = [
@@ -43,21 +43,37 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def token_scores(predicted: Column, gold: Column) -> tuple[Column, Column, Column]:
-    """(precision, recall, F1) of answer tokens; both empty score 1, one empty 0."""
-    p, g = answer_tokens(predicted), answer_tokens(gold)
+    """(precision, recall, F1) of tokens; both empty score 1, one empty 0."""
+    p, g = scored_tokens(predicted), scored_tokens(gold)
     common, n, m = multiset_overlap(p, g), F.size(p), F.size(g)
     empty = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0)
     pr, rc = empty.otherwise(common / n), empty.otherwise(common / m)
     return pr, rc, empty.otherwise(ratio(2.0 * common, (n + m).cast("double")))
 
 
-def strict_f1(predicted: Column, gold: Column) -> Column:
-    """Token F1 that is 0 where one side is yes, no or noanswer and the other isn't the same."""
+def strict_scores(predicted: Column, gold: Column) -> tuple[Column, Column, Column, Column]:
+    """(EM, precision, recall, F1) of short answers: all but EM 0 where one side is yes, no or noanswer and the other isn't the same, or nothing is shared."""
     p, g = normalize_answer(predicted), normalize_answer(gold)
     closed = p.isin("yes", "no", "noanswer") | g.isin("yes", "no", "noanswer")
     a, b = answer_tokens(predicted), answer_tokens(gold)
     common = multiset_overlap(a, b)
-    return F.when(closed & (p != g), 0.0).when(common == 0, 0.0).otherwise(2.0 * common / (F.size(a) + F.size(b)))
+    none = F.when(closed & (p != g), 0.0).when(common == 0, 0.0)
+    return (p == g).cast("double"), none.otherwise(common / F.size(a)), none.otherwise(common / F.size(b)), none.otherwise(2.0 * common / (F.size(a) + F.size(b)))
+
+
+def strict_f1(predicted: Column, gold: Column) -> Column:
+    return strict_scores(predicted, gold)[3]
+
+
+def exact_match(predicted: Column, gold: Column) -> Column:
+    """1 where free answers are the same once normalised, else 0."""
+    return (normalize_articles_first(predicted) == normalize_articles_first(gold)).cast("double")
+
+
+def extractiveness(source: Column, predicted: Column) -> Column:
+    """1 where the source holds the answer, both normalised, else ROUGE-L; with one empty, 1 if both are."""
+    s, p = normalize_articles_first(source), normalize_articles_first(predicted)
+    return F.when((s == "") | (p == ""), (s == p).cast("double")).when(F.contains(s, p), 1.0).otherwise(rouge_l(source, predicted))
 
 
 def fact_scores(predicted: Column, gold: Column) -> tuple[Column, Column, Column, Column]:
@@ -91,8 +107,8 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 
 def rouge_l(predicted: Column, gold: Column) -> Column:
-    """F1 of the longest common subsequence of answer tokens; both empty score 1."""
-    p, g = answer_tokens(predicted), answer_tokens(gold)
+    """F1 of the longest common subsequence of tokens; both empty score 1."""
+    p, g = scored_tokens(predicted), scored_tokens(gold)
     n, m = F.size(p), F.size(g)
     lcs = lcs_length(p, g)
     return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(2.0 * lcs / (n + m))
@@ -103,12 +119,20 @@ def ranking_scores(hits: DataFrame, gold: DataFrame, cutoffs: tuple[int, ...] =
 
     Ids count once, at their best rank; gain is binary; discount is log2(rank + 1).  A query without hits scores 0.
     """
-    once = hits.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
-    order = Window.partitionBy("query_id").orderBy("rank", "id")
-    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(cutoffs))
     right = gold.select("query_id", "id").distinct()
     n = right.groupBy("query_id").agg(F.count("*").alias("n"))
-    found = right.join(ranked, ["query_id", "id"])
+    return scores_of_ranks(unique_ranks(hits, max(cutoffs)).join(right, ["query_id", "id"]), n, cutoffs)
+
+
+def unique_ranks(hits: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, rank) up to `most`: each id once, at its best rank, renumbered."""
+    once = hits.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+    order = Window.partitionBy("query_id").orderBy("rank", "id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def scores_of_ranks(found: DataFrame, n: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """The same from the relevant hits found (query_id, rank) and how many a query has, n (query_id, n): no list of all relevant ids is needed."""
     sums = found.groupBy("query_id").agg(*(F.sum(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"h{k}") for k in cutoffs), *(F.sum(F.when(F.col("rank") <= k, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"d{k}") for k in cutoffs))
     ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.col("n").cast("int"), F.lit(k))), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))
     out = n.join(sums, "query_id", "left")

@@ -46,17 +46,24 @@ def dispersion(hits: DataFrame, most: int = 5) -> DataFrame:
     return out.select("query_id", (F.col("sd") / F.col("top")).alias("qpp"), (F.col("sd") / F.abs("mean")).alias("nqc"))
 
 
-def pair_ratio(hits: DataFrame, sims: DataFrame, ends: int = 3) -> DataFrame:
-    """(query_id, ratio): mean similarity of pairs among the best `ends` hits over that among the last `ends`.
+def pair_ratio(own: DataFrame, ends: int = 3, least: int = 4) -> DataFrame:
+    """(query_id, ratio) of own (query_id, id, query, embedding), a query's few hits: mean weight of the heaviest `ends` pairs over that of the lightest.
 
-    sims (query_id, a, b, sim) has the pairs' similarities; queries of fewer than four hits have no ratio.
+    A pair weighs its similarity times those of both hits to the query, none of them below 0.  Null for fewer than
+    `least` hits and where all weights are 0; infinite where only the lightest are.  Null or zero vectors are similar to nothing.
     """
-    n = hits.groupBy("query_id").agg(F.max("rank").alias("n"))
-    rows = hits.join(n.where("n >= 4"), "query_id").select("query_id", "id", (F.col("rank") <= ends).alias("head"), (F.col("rank") > F.col("n") - ends).alias("tail"))
-    a, b = (rows.select("query_id", F.col("id").alias(x), F.col("head").alias(f"h{x}"), F.col("tail").alias(f"t{x}")) for x in "ab")
-    pairs = sims.join(a, ["query_id", "a"]).join(b, ["query_id", "b"])
-    out = pairs.groupBy("query_id").agg(F.avg(F.when(F.col("ha") & F.col("hb"), F.col("sim"))).alias("head"), F.avg(F.when(F.col("ta") & F.col("tb"), F.col("sim"))).alias("tail"))
-    return out.select("query_id", F.when(F.col("tail") > 0, F.col("head") / F.col("tail")).alias("ratio"))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: i * j), F.lit(0.0), lambda s, z: s + z)
+    similar = lambda p, q: F.coalesce(F.greatest(F.try_divide(dot(p, q), F.sqrt(dot(p, p) * dot(q, q))), F.lit(0.0)), F.lit(0.0))
+    rows = own.select("query_id", "id", "embedding", similar(F.col("query"), F.col("embedding")).alias("s"))
+    n = rows.groupBy("query_id").agg(F.count("*").alias("n"))
+    a = rows.select("query_id", F.col("id").alias("a"), F.col("embedding").alias("x"), F.col("s").alias("sa"))
+    b = rows.select("query_id", F.col("id").alias("b"), F.col("embedding").alias("y"), F.col("s").alias("sb"))
+    weight = similar(F.col("x"), F.col("y")) * F.col("sa") * F.col("sb")
+    pairs = a.join(b, "query_id").where("a < b").groupBy("query_id").agg(F.sort_array(F.collect_list(weight), asc=False).alias("w"))  # k hits to a query
+    mean = lambda w: F.aggregate(w, F.lit(0.0), lambda s, x: s + x) / F.size(w)
+    head, tail = mean(F.slice("w", 1, ends)), mean(F.slice("w", -F.least(F.size("w"), F.lit(ends)), F.least(F.size("w"), F.lit(ends))))
+    ratio = F.when(F.col("n") < least, None).when(tail > 0, F.try_divide(head, tail)).when(head > 0, F.lit(float("inf")))
+    return n.join(pairs, "query_id", "left").select("query_id", ratio.alias("ratio"))
 
 
 # Parts of a query that ask for the rich route.

@@ -61,11 +61,52 @@ def triples(docs: DataFrame, most: int = 8) -> DataFrame:
     return rows.select("doc_id", "n", F.array_join(F.slice("w", 1, 2), " ").alias("subject"), F.get("w", F.lit(2)).alias("relation"), F.array_join(F.slice("w", 4, 4), " ").alias("object"))
 
 
-#: Label, and the pattern of words that gives it.
-LABELS = [("numeric", "[0-9]"), ("temporal", r"(19|20)[0-9][0-9]"), ("question", r"\?"), ("legal", "(?i)license|copyright"), ("contact", "@")]
-
-
-def taxonomy(text: Column) -> Column:
-    """Labels whose pattern the text has, joined by " > "; general > fact > entity if there is none."""
-    found = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(name)) for name, p in LABELS)))
-    return F.when(F.size(found) > 0, F.array_join(found, " > ")).otherwise("general > fact > entity")
+# Labels, and the words one of which a text must have for it; a year gives the first of all labels.
+DATED = "temporal/date"
+LABELS = [
+    ("entity/person/biography", ["born", "died", "married", "actor", "writer", "president"]),
+    ("entity/location/geography", ["city", "country", "river", "province", "located"]),
+    ("entity/work/media", ["film", "album", "song", "novel", "band"]),
+    ("event/politics/history", ["battle", "war", "election", "government", "minister"]),
+    ("domain/finance/organization", ["company", "bank", "stock", "market", "revenue"]),
+]
+GENERAL = "general/fact/entity"
+
+
+def taxonomy(title: Column, text: Column) -> Column:
+    """Labels that title and text together give, joined by " > "; words count inside others."""
+    all_ = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
+    dated = F.when(all_.rlike(r"(?<![\p{L}\p{N}_])\d{4}(?![\p{L}\p{N}_])"), F.lit(DATED))
+    found = F.array_compact(F.array(dated, *(F.when(all_.rlike("|".join(words)), F.lit(name)) for name, words in LABELS)))
+    return F.when(F.size(found) > 0, F.array_join(found, " > ")).otherwise(GENERAL)
+
+
+# Parts of a sentence that tell a cause or an outcome, and words that salient terms leave out.
+CAUSE_CUES = ["because", "due to", "after", "from", "caused"]
+RESOLUTION_CUES = ["won", "became", "result", "led", "served", "located", "married", "born"]
+CARD_STOPWORDS = ["the", "and", "for", "with", "that", "from", "this", "was", "are", "into"]
+
+
+def card(title: Column, text: Column) -> tuple[Column, Column, Column, Column]:
+    """(cause, evidence, resolution, terms) of a knowledge card: the first sentence with a cue for a cause, the first two
+    sentences, the last with a cue for an outcome, and the first eight distinct ASCII terms of four characters or more.
+
+    Where no sentence has a cue the first sentence stands in, and for a text without sentences its first 220 characters
+    (320 as evidence); null counts as empty.
+    """
+    title, text = F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))
+    ss = sentences(text)
+    lead = F.coalesce(F.get(ss, F.lit(0)), F.substring(text, 1, 220))
+    with_cue = lambda cues: F.filter(ss, lambda s: F.lower(s).rlike("|".join(cues)))
+    cause = F.coalesce(F.get(with_cue(CAUSE_CUES), F.lit(0)), lead)
+    outcome = F.coalesce(F.try_element_at(with_cue(RESOLUTION_CUES), F.lit(-1)), lead)
+    evidence = F.when(F.size(ss) > 0, F.array_join(F.slice(ss, 1, 2), " ")).otherwise(F.substring(text, 1, 320))
+    words = F.regexp_extract_all(F.lower(F.concat(title, F.lit(" "), text)), F.lit("[a-z0-9]+"), F.lit(0))
+    terms = F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(CARD_STOPWORDS))), 1, 8)
+    return cause, evidence, outcome, F.array_join(terms, " ")
+
+
+def card_text(title: Column, cause: Column, evidence: Column, resolution: Column, terms: Column) -> Column:
+    # The lines' names.
+    parts = (("KNOWLEDGE_CARD\nTITLE: ", title), ("\nPROBLEM: ", title), ("\nCAUSE: ", cause), ("\nEVIDENCE: ", evidence), ("\nRESOLUTION: ", resolution), ("\nCARD_TERMS: ", terms))
+    return F.concat(*(x for name, c in parts for x in (F.lit(name), c)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkwell import catalogue as c
 from sparkwell.functions import text as T
-from sparkwell.operators import metrics, policy
+from sparkwell.operators import metrics, variants
 
 
 def passage(title: Column, text: Column) -> Column:
@@ -41,21 +41,36 @@ def conditioned(score: Column, said_nothing: Column, should_say_nothing: Column)
     return F.when(said_nothing & should_say_nothing, 1.0).when(said_nothing | should_say_nothing, 0.0).otherwise(score)
 
 
-@c.query("SELECT page_id, CASE WHEN coalesce(url, '') <> '' THEN 'passage: ' || url || ': ' ELSE 'passage: ' END || substr(html, 1, 100) AS passage FROM pages")
+def asked(text: Column) -> Column:
+    """The query's side of it."""
+    return F.concat(F.lit("query: "), text)
+
+
+@c.query("SELECT item_id, 'query: ' || text AS query FROM benchmark")
+def query_serialise(spark, sf_dir):
+    return c.read(spark, sf_dir, "benchmark").select("item_id", asked(F.col("text")).alias("query"))
+
+
+@c.query("SELECT page_id, CASE WHEN coalesce(url, '') <> '' THEN 'passage: ' || url || ': ' ELSE 'passage: ' END || html AS passage FROM pages")
 def passage_serialise(spark, sf_dir):
     return c.read(spark, sf_dir, "pages").select("page_id", passage(F.col("url"), F.col("html")).alias("passage"))
 
 
+def any_cue(cues: list[str]) -> str:
+    return " OR ".join(f"contains(lower(x), '{w}')" for w in cues)
+
+
 @c.query(
-    f"WITH s AS (SELECT doc_id, {c.SENTENCES.format('text')} AS ss, {c.TERMS.format('text')} AS ts FROM documents) "
-    "SELECT doc_id, coalesce(ss[1], '') AS title, array_to_string(ss[1:2], ' ') AS lead, coalesce(list_filter(ss, lambda x: regexp_matches(x, '(?i)because|due to'))[1], '') AS cause, least(len(ts), 8) AS n_terms FROM s"
+    f"""WITH s AS (SELECT doc_id, coalesce(source, '') AS title, coalesce(text, '') AS text, {c.SENTENCES.format("coalesce(text, '')")} AS ss FROM documents),
+k AS (SELECT doc_id, title, coalesce(list_filter(ss, lambda x: {any_cue(variants.CAUSE_CUES)})[1], ss[1], substr(text, 1, 220)) AS cause, CASE WHEN len(ss) > 0 THEN array_to_string(ss[1:2], ' ') ELSE substr(text, 1, 320) END AS evidence,
+coalesce(list_filter(ss, lambda x: {any_cue(variants.RESOLUTION_CUES)})[-1], ss[1], substr(text, 1, 220)) AS resolution,
+list_filter(regexp_extract_all(lower(title || ' ' || text), '[a-z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN ({", ".join(f"'{w}'" for w in variants.CARD_STOPWORDS)})) AS ws FROM s)
+SELECT doc_id, cause, evidence, resolution, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:8], ' ') AS terms FROM k"""
 )
 def knowledge_card(spark, sf_dir):
-    """First sentence, the first two, the first with a cue for a cause, and how many salient terms (eight at most)."""
-    rows = c.read(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("ss"), T.query_terms(F.col("text")).alias("ts"))
-    cause = F.get(F.filter("ss", lambda x: x.rlike("(?i)because|due to")), F.lit(0))
-    empty = F.lit("")
-    return rows.select("doc_id", F.coalesce(F.get("ss", F.lit(0)), empty).alias("title"), F.array_join(F.slice("ss", 1, 2), " ").alias("lead"), F.coalesce(cause, empty).alias("cause"), F.least(F.size("ts"), F.lit(8)).alias("n_terms"))
+    """The source stands for the title."""
+    parts = variants.card(F.col("source"), F.col("text"))
+    return c.read(spark, sf_dir, "documents").select("doc_id", *(x.alias(n) for x, n in zip(parts, ("cause", "evidence", "resolution", "terms"))))
 
 
 @c.query(
@@ -84,28 +99,16 @@ def rule_controllers(spark, sf_dir):
     return x.select("event_id", rule_stop(cov, sup, nov, ov, rnd).alias("rule_stop"), evidence_stop(cov, sup).alias("evidence_stop"), fix.alias("correct"))
 
 
+def abstains_sql(tokens: str) -> str:
+    return f"(len({tokens}) = 0 OR " + " OR ".join(f"contains(array_to_string({tokens}, ' '), '{m}')" for m in T.ABSTENTIONS) + ")"
+
+
 @c.query(
-    f"""WITH {c.F1}, s AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * c / (len(a) + len(b)) END AS f1, len(a) % 5 = 0 AS x, len(b) % 5 = 0 AS y FROM o)
+    f"""WITH {c.F1}, s AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * c / (len(a) + len(b)) END AS f1, {abstains_sql("a")} AS x, {abstains_sql("b")} OR turn % 5 = 0 AS y FROM o)
 SELECT conv_id, turn, round(CASE WHEN x AND y THEN 1.0 WHEN x OR y THEN 0.0 ELSE f1 END, 6) AS f1, x = y AS agree FROM s"""
 )
 def conditioned_scores(spark, sf_dir):
-    """A token count that five divides stands in for an abstention, on either side."""
-    rows = c.pairs(spark, sf_dir)
-    said, should = (F.size(T.answer_tokens(F.col(k))) % 5 == 0 for k in ("pred", "gold"))
+    """No answer is expected where the gold one abstains, and at every fifth turn."""
+    said, should = T.abstains(F.col("pred")), T.abstains(F.col("gold")) | (F.col("turn") % 5 == 0)
     f1 = metrics.token_scores(F.col("pred"), F.col("gold"))[2]
-    return rows.select("conv_id", "turn", F.round(conditioned(f1, said, should), 6).alias("f1"), (said == should).alias("agree"))
-
-
-@c.query(
-    f"""{c.CONTEXTS}, s AS (SELECT query_id, id, {c.TERMS.format("query")} AS terms, text, rank FROM x),
-e AS (SELECT query_id, id, rank, CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(lower(text), t))) / len(terms) ELSE 0.0 END AS cov FROM s),
-v AS (SELECT query_id, id, round(0.65 / rank + 0.25 * cov + CASE WHEN cov > 0 THEN 0.1 ELSE 0 END, 9) AS score FROM e)
-SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5"""
-)
-def evidence_selection(spark, sf_dir):
-    """0.65 of the retrieval's reciprocal rank, 0.25 of coverage, 0.1 for any coverage."""
-    cov = policy.coverage(T.query_terms(F.col("query")), F.col("text"))
-    rows = c.contexts(spark, sf_dir).withColumn("cov", cov)
-    score = F.round(0.65 / F.col("rank") + 0.25 * F.col("cov") + F.when(F.col("cov") > 0, 0.1).otherwise(0.0), 9)
-    order = Window.partitionBy("query_id").orderBy(F.desc("s"), "id")
-    return rows.withColumn("s", score).where("s > 0").withColumn("n", F.row_number().over(order)).where("n <= 5").select("query_id", "id", F.col("n").alias("rank"))
+    return c.pairs(spark, sf_dir).select("conv_id", "turn", F.round(conditioned(f1, said, should), 6).alias("f1"), (said == should).alias("agree"))

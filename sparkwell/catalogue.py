@@ -52,7 +52,7 @@ SCORED = f"list_filter(string_split(regexp_replace(regexp_replace(array_to_strin
 SENTENCES = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({{}}, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+|' || chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '')"
 
 
-def bm25_sql(docs: str, ident: str, text: str, name: str) -> str:
+def bm25_sql(docs: str, ident: str, text: str, name: str, queries: str = "(SELECT item_id AS query_id, text FROM benchmark)") -> str:
     """CTEs that end in `name` (query_id, id, score, matched)."""
     n = name
     return f"""{n}w AS (SELECT {ident} AS id, {TOKENS.format(text)} AS w FROM {docs}),
@@ -60,7 +60,7 @@ def bm25_sql(docs: str, ident: str, text: str, name: str) -> str:
 {n}e AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM {n}w),
 {n}tf AS (SELECT id, dl, term, count(*) AS tf FROM {n}e GROUP BY ALL),
 {n}df AS (SELECT term, count(*) AS df FROM {n}tf GROUP BY term),
-{n}q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format("text")})) AS term FROM benchmark),
+{n}q AS (SELECT query_id, unnest(list_distinct({TOKENS.format("text")})) AS term FROM {queries}),
 {n} AS (SELECT query_id, id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))) AS score, count(*) AS matched
   FROM {n}q JOIN {n}tf USING (term) JOIN {n}df USING (term), {n}n GROUP BY query_id, id)"""
 
@@ -654,4 +654,4 @@ def triples(spark, sf_dir):
     return variants.triples(read(spark, sf_dir, "documents"))
 
 
-from sparkwell.plans import answering, records  # noqa: E402, F401  their queries register here
+from sparkwell.plans import answering, hybrid, records  # noqa: E402, F401  their queries register here

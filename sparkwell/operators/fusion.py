@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions.text import query_terms, sentences, squeeze, strip
+from sparkwell.operators.embedding import best_sentence
 
 RRF_K = 60
 
 
-def rrf(lists: list[tuple[DataFrame, float]], k: int, constant: int = RRF_K) -> DataFrame:
+def rrf(lists: list[tuple[DataFrame, float | str]], k: int, constant: int = RRF_K) -> DataFrame:
     """(query_id, id, rrf, rank): weighted reciprocal-rank fusion of (query_id, id, rank, score) lists.
 
+    A weight is a number, or names a column of its list, so that it may differ from query to query.
+
     Equal sums go by the raw score of the hit in the first list that has it, then by first appearance.
     """
     out = None
     for n, (df, weight) in enumerate(lists):
-        part = df.select("query_id", "id", F.lit(n).alias("list"), "rank", "score", (F.lit(float(weight)) / (constant + F.col("rank"))).alias("w"))
+        part = df.select("query_id", "id", F.lit(n).alias("list"), "rank", "score", ((F.col(weight) if isinstance(weight, str) else F.lit(float(weight))) / (constant + F.col("rank"))).alias("w"))
         out = part if out is None else out.unionByName(part)
     fused = out.groupBy("query_id", "id").agg(F.sum("w").alias("rrf"), F.min(F.struct("list", "rank", "score")).alias("first"))
     order = Window.partitionBy("query_id").orderBy(F.round("rrf", 12).desc(), F.round("first.score", 9).desc(), "first.list", "first.rank", "id")
@@ -72,3 +75,41 @@ def snippets(hits: DataFrame, most: int = 2) -> DataFrame:
     out = rows.withColumn("__top", top)
     gain = F.aggregate("__top", F.lit(0), lambda a, x: a - x["w"])
     return out.withColumn("snippet", F.array_join(F.transform("__top", lambda x: x["s"]), " ")).withColumn("score", F.col("score") + gain).drop("__terms", "__top")
+
+
+def semantic_rerank(hits: DataFrame, per: int = 6) -> DataFrame:
+    """hits (query_id, query, id, text, score) with best and rank: by the largest cosine of the query with a context's first sentences.
+
+    A context without sentences scores -1; then the retrieval score decides, then the id.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.round("best", 9).desc(), F.round("score", 9).desc(), "id")
+    return hits.withColumn("best", F.coalesce(best_sentence(F.col("query"), F.col("text"), per), F.lit(-1.0))).withColumn("rank", F.row_number().over(order))
+
+
+def first_filled_list(lists: list[DataFrame]) -> DataFrame:
+    """Of lists (query_id, id, rank, score) each query's hits from the first that has any for it."""
+    out = None
+    for n, df in enumerate(lists):
+        part = df.select("query_id", "id", "rank", "score", F.lit(n).alias("list"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("__l", F.min("list").over(Window.partitionBy("query_id"))).where("list = __l").drop("__l")
+
+
+def capped(rows: DataFrame, k: int, per: int = 2) -> DataFrame:
+    """rows (query_id, title, overlap, score, size, id) with place: by overlap, score and then brevity, at most `per` of a title, k in all.
+
+    A query of k rows or fewer keeps them all.
+    """
+    order = [F.desc("overlap"), F.round("score", 9).desc(), "size", "id"]
+    own = Window.partitionBy("query_id")
+    out = rows.withColumn("__n", F.count("*").over(own)).withColumn("__t", F.row_number().over(Window.partitionBy("query_id", "title").orderBy(*order)))
+    out = out.where((F.col("__n") <= k) | (F.col("__t") <= per)).withColumn("place", F.row_number().over(own.orderBy(*order)))
+    return out.where(F.col("place") <= k).drop("__n", "__t")
+
+
+def debated(votes: DataFrame) -> DataFrame:
+    """votes (query_id, id, support, challenge, verdict) with score and place: twice the support less the challenge, and what the verdict adds."""
+    # What a verdict adds.
+    bonus = F.when(F.col("verdict") == "keep", 1.5).when(F.col("verdict") == "borderline", 0.5).when(F.col("verdict") == "drop", -1.0).otherwise(0.0)
+    rows = votes.withColumn("score", 2.0 * F.col("support") - F.col("challenge") + bonus)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))

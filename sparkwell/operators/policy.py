@@ -83,3 +83,8 @@ def verdict(votes: DataFrame) -> DataFrame:
     out = votes.groupBy("query_id").agg(F.count_if(F.col("vote") == "SUPPORTED").alias("s"), F.count_if(F.col("vote") == "CONTRADICTED").alias("c"))
     name = F.when((F.col("s") > 0) & (F.col("c") > 0), "MIXED").when(F.col("s") > 0, "SUPPORTED").when(F.col("c") > 0, "CONTRADICTED").otherwise("INSUFFICIENT")
     return out.select("query_id", name.alias("verdict"))
+
+
+def list_route(dense: Column, lexical: Column, least: float = 0.10) -> Column:
+    """Which lists to use by their dispersions: fuse, vector, text or retry."""
+    return F.when((dense >= least) & (lexical >= least), "fuse").when(dense >= least, "vector").when(lexical >= least, "text").otherwise("retry")

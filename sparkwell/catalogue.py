@@ -654,4 +654,5 @@ def triples(spark, sf_dir):
     return variants.triples(read(spark, sf_dir, "documents"))
 
 
-from sparkwell.plans import answering, hybrid, records  # noqa: E402, F401  their queries register here
+from sparkwell.plans import answering, records  # noqa: E402, F401  their queries register here
+from sparkwell.plans import chunks, evaluation, hybrid  # noqa: E402, F401

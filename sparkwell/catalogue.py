@@ -538,16 +538,23 @@ def verdict_aggregate(spark, sf_dir):
 
 # Graph
 
-NAMES = "m AS (SELECT doc_id, unnest(list_distinct_ordered) AS entity FROM (SELECT doc_id, (list_filter(ns, lambda x, i: list_position(ns, x) = i))[1:16] AS list_distinct_ordered FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}'), lambda x: lower(x)), lambda x: length(x) >= 3) AS ns FROM documents)))"
+GRAPH_STOP = ", ".join(f"'{w}'" for w in graph.STOPWORDS)
+GRAPH_TERMS = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({GRAPH_STOP})))"
+# Letters beyond ASCII stand as _ where words' edges are looked for, as SQL's regular expressions count ASCII letters alone.
+NAMES = rf"""e0 AS (SELECT doc_id, {STRIP.format("coalesce(source, '')")} AS title, regexp_extract_all(regexp_replace(coalesce(text, ''), '[À-ɏ]', '_', 'g'), '\b[A-Z][A-Za-z0-9''&.-]+(?:\s+[A-Z][A-Za-z0-9''&.-]+){{0,3}}\b') AS runs FROM documents),
+e1 AS (SELECT doc_id, list_filter([title] || runs, lambda x: length(x) >= 3) AS ns FROM e0), e2 AS (SELECT doc_id, unnest(range(len(ns))) AS i, unnest(ns) AS x FROM e1),
+e3 AS (SELECT doc_id, i, array_to_string(list_filter(regexp_extract_all(lower(x), '[a-z0-9]+'), lambda t: t NOT IN ({GRAPH_STOP})), ' ') AS entity FROM e2),
+e4 AS (SELECT doc_id, entity, min(i) AS i FROM e3 WHERE entity <> '' GROUP BY 1, 2), m AS (SELECT doc_id, entity, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place FROM e4 QUALIFY place < 16)"""
 
 
 def doc_mentions(spark, sf_dir):
+    """The source stands for the title."""
     return graph.mentions(read(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {NAMES} SELECT doc_id, entity FROM m")
 def entity_extract(spark, sf_dir):
-    return doc_mentions(spark, sf_dir)
+    return doc_mentions(spark, sf_dir).select("doc_id", "entity")
 
 
 @query(f"WITH {NAMES} SELECT entity, count(DISTINCT doc_id) AS freq FROM m GROUP BY 1")
@@ -555,19 +562,56 @@ def entity_frequency(spark, sf_dir):
     return graph.frequencies(doc_mentions(spark, sf_dir))
 
 
-@query(f"WITH {NAMES}, n AS (SELECT source, entity, count(DISTINCT doc_id) AS docs FROM m JOIN documents USING (doc_id) GROUP BY 1, 2) SELECT source, entity, docs, row_number() OVER (PARTITION BY source ORDER BY docs DESC, entity) AS rank FROM n QUALIFY rank <= 6")
+GROUPS = f"""{NAMES}, gk AS (SELECT doc_id, split_part(entity, ' ', 1) AS community, count(*) AS n, min(place) AS p FROM m GROUP BY 1, 2), gb AS (SELECT doc_id, community FROM gk QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) = 1),
+gr AS (SELECT doc_id, coalesce(community, 'misc') AS community FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN gb USING (doc_id)),
+cn AS (SELECT community, entity, count(DISTINCT doc_id) AS docs FROM m JOIN gr USING (doc_id) GROUP BY 1, 2), ce AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY docs DESC, entity) AS rank FROM cn QUALIFY rank <= 8),
+cs AS (SELECT community, count(*) AS size FROM gr GROUP BY 1)"""
+
+
+def doc_graph(spark, sf_dir) -> dict[str, DataFrame]:
+    """The tables of the documents' graph.  It has no links between documents, so each has the same rank."""
+    docs = read(spark, sf_dir, "documents")
+    m = graph.mentions(docs)
+    groups = graph.document_groups(docs, m)
+    titles = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("title"))
+    return {
+        "documents": docs.select("doc_id", "source", "text"),
+        "mentions": m,
+        "entities": graph.frequencies(m).withColumn("group_key", graph.group_key(F.col("entity"))),
+        "groups": m.select(graph.group_key(F.col("entity")).alias("group_key")).distinct(),
+        "community_docs": groups,
+        "community_entities": graph.community_entities(m, groups, "community", 8),
+        "communities": graph.community_table(groups, m, titles),
+    }
+
+
+@query(
+    f"""WITH {GROUPS}, e AS (SELECT community, string_agg(entity, ', ' ORDER BY rank) AS e FROM ce WHERE rank <= 4 GROUP BY 1), tt AS (SELECT community, source, row_number() OVER (PARTITION BY community ORDER BY doc_id) AS n FROM gr JOIN documents USING (doc_id) QUALIFY n <= 4),
+t AS (SELECT community, string_agg(coalesce(source, ''), ', ' ORDER BY n) AS t FROM tt GROUP BY 1) SELECT cs.community, size, 'Community ' || cs.community || ' centers on ' || coalesce(e, 'linked topics') || '. Representative pages: ' || t || '.' AS summary FROM cs LEFT JOIN e USING (community) JOIN t USING (community)"""
+)
 def communities(spark, sf_dir):
-    return graph.community_entities(doc_mentions(spark, sf_dir), read(spark, sf_dir, "documents"))
+    return doc_graph(spark, sf_dir)["communities"]
+
+
+@query(
+    f"""WITH {GROUPS} SELECT 'documents' AS "table", (SELECT count(*) FROM documents) AS rows UNION ALL SELECT 'mentions', (SELECT count(*) FROM m) UNION ALL SELECT 'entities', (SELECT count(DISTINCT entity) FROM m) UNION ALL SELECT 'groups', (SELECT count(DISTINCT split_part(entity, ' ', 1)) FROM m)
+UNION ALL SELECT 'community_docs', (SELECT count(*) FROM gr) UNION ALL SELECT 'community_entities', (SELECT count(*) FROM ce) UNION ALL SELECT 'communities', (SELECT count(*) FROM cs)"""
+)
+def graph_statistics(spark, sf_dir):
+    return graph.statistics(doc_graph(spark, sf_dir))
 
 
-MATCHED = f"""{NAMES}, q AS (SELECT item_id AS query_id, unnest({TERMS.format("text")}) AS t FROM benchmark), fr AS (SELECT entity, count(DISTINCT doc_id) AS freq FROM m GROUP BY 1),
+MATCHED = f"""{GROUPS}, q AS (SELECT item_id AS query_id, unnest({GRAPH_TERMS}) AS t FROM benchmark), fr AS (SELECT entity, count(DISTINCT doc_id) AS freq FROM m GROUP BY 1),
 w AS (SELECT entity, freq, unnest(list_distinct(string_split(entity, ' '))) AS t FROM fr), n AS (SELECT query_id, entity, freq, count(*) AS overlap FROM q JOIN w USING (t) GROUP BY ALL),
 matched AS (SELECT query_id, entity, overlap, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, freq DESC, entity DESC) AS rank FROM n QUALIFY rank <= 6)"""
 
 
+def asked_terms(spark, sf_dir):
+    return questions(spark, sf_dir).select("query_id", "text", graph.query_terms(F.col("text")).alias("terms"))
+
+
 def matched(spark, sf_dir):
-    terms = questions(spark, sf_dir).select("query_id", T.query_terms(F.col("text")).alias("terms"))
-    return graph.match_entities(terms, graph.frequencies(doc_mentions(spark, sf_dir)))
+    return graph.match_entities(asked_terms(spark, sf_dir), graph.frequencies(doc_mentions(spark, sf_dir)))
 
 
 @query(f"WITH {MATCHED} SELECT query_id, entity, overlap, rank FROM matched")
@@ -575,11 +619,89 @@ def entity_match(spark, sf_dir):
     return matched(spark, sf_dir)
 
 
-@query(f"WITH {MATCHED}, s AS (SELECT query_id, doc_id AS id, CAST(count(*) AS DOUBLE) AS score FROM matched JOIN m USING (entity) GROUP BY ALL), {top_sql('s', 5, 't')} SELECT query_id, id, rank, score FROM t")
+def same_rank(spark, sf_dir) -> DataFrame:
+    """(node, rank) of the documents: without links between them, one over their number."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("node")).distinct()
+    return docs.crossJoin(F.broadcast(docs.agg((F.lit(1.0) / F.count("*")).alias("rank"))))  # the rank: one row
+
+
+SEEDED = "rk AS (SELECT 1.0 / count(DISTINCT doc_id) AS r FROM documents), sd AS (SELECT query_id, doc_id AS id, sum(1 + r) AS score FROM matched JOIN m USING (entity), rk GROUP BY ALL)"
+# Parts of a query that ask for the whole rather than for a place in it, and what the side that is asked for gains.
+GLOBAL_CUES, GLOBAL_BOOST = ["overall", "why", "how did", "relationship", "connection", "between"], 1.6
+GLOBAL = "(" + " OR ".join(f"contains(lower(text), '{x}')" for x in GLOBAL_CUES) + ")"
+
+
+def graph_contexts(spark, sf_dir, light: bool) -> DataFrame:
+    """(query_id, kind, id, score): the two best documents by their entities, and the two best communities."""
+    cue = F.lit(False)
+    for x in GLOBAL_CUES:
+        cue = cue | F.contains(F.lower("text"), F.lit(x))
+    found = matched(spark, sf_dir).join(questions(spark, sf_dir).select("query_id", (cue & F.lit(light)).alias("whole")), "query_id")
+    g = doc_graph(spark, sf_dir)
+    wide = F.when(F.col("whole"), GLOBAL_BOOST).otherwise(1.0)
+    local = F.when(F.lit(light) & ~F.col("whole"), GLOBAL_BOOST).otherwise(1.0)
+    docs = graph.seeded_documents(found, g["mentions"], same_rank(spark, sf_dir)).join(found.select("query_id", "whole").distinct(), "query_id")
+    docs = retrieval.top_k(docs.select("query_id", F.col("doc_id").alias("id"), (F.col("score") * local).alias("score")), 2)
+    groups = graph.community_scores(found, g["community_entities"], g["communities"], wide, 2)
+    return docs.select("query_id", F.lit("document").alias("kind"), F.col("id").cast("string").alias("id"), "score").unionByName(groups.select("query_id", F.lit("community").alias("kind"), F.col("community").alias("id"), "score"))
+
+
+def graph_sql(local: str, wide: str) -> str:
+    return f"""WITH {MATCHED}, {SEEDED}, bq AS (SELECT item_id AS query_id, {GLOBAL} AS whole FROM benchmark), sb AS (SELECT query_id, id, score * ({local}) AS score FROM sd JOIN bq USING (query_id)), {top_sql("sb", 2, "t")},
+co AS (SELECT query_id, community AS id, count(DISTINCT matched.entity) AS o FROM matched JOIN ce USING (entity) GROUP BY 1, 2), cc AS (SELECT query_id, id, ({wide}) * (o + 0.1 * size) AS score FROM co JOIN cs ON cs.community = co.id JOIN bq USING (query_id)),
+ct AS (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id DESC) <= 2)
+SELECT query_id, 'document' AS kind, CAST(id AS VARCHAR) AS id, round(score, 6) AS score FROM t UNION ALL SELECT query_id, 'community', id, round(score, 6) FROM ct"""
+
+
+@query(graph_sql("1.0", "1.0"))
+def graph_route(spark, sf_dir):
+    """Documents that mention matched entities, and communities that name them."""
+    return graph_contexts(spark, sf_dir, False).withColumn("score", F.round("score", 6))
+
+
+@query(graph_sql("CASE WHEN whole THEN 1.0 ELSE 1.6 END", "CASE WHEN whole THEN 1.6 ELSE 1.0 END"))
+def light_route(spark, sf_dir):
+    """The same, with the side that the query asks for boosted."""
+    return graph_contexts(spark, sf_dir, True).withColumn("score", F.round("score", 6))
+
+
+ROUTED = f"""{MATCHED}, rk AS (SELECT 1.0 / count(DISTINCT doc_id) AS r FROM documents), mg AS (SELECT query_id, t AS g FROM q UNION SELECT query_id, split_part(entity, ' ', 1) FROM matched), dm AS (SELECT DISTINCT doc_id, entity FROM m),
+rw AS (SELECT query_id, doc_id AS id, 0.75 + r AS w FROM mg JOIN dm ON split_part(entity, ' ', 1) = g, rk UNION ALL SELECT query_id, doc_id, 1.5 FROM matched JOIN dm USING (entity)), rs AS (SELECT query_id, id, sum(w) AS score FROM rw GROUP BY ALL), {top_sql("rs", 2, "rt")}"""
+
+
+@query(f"WITH {ROUTED} SELECT query_id, id, rank, round(score, 6) AS score FROM rt")
 def linear_route(spark, sf_dir):
-    """Documents by the matched entities that they mention."""
-    rows = graph.seeded_documents(matched(spark, sf_dir), doc_mentions(spark, sf_dir)).withColumnRenamed("doc_id", "id")
-    return retrieval.top_k(rows, 5).select("query_id", "id", "rank", "score")
+    """Documents by the groups and entities that the query matches."""
+    return linear_hits(spark, sf_dir).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def linear_hits(spark, sf_dir):
+    rank = F.broadcast(read(spark, sf_dir, "documents").agg((F.lit(1.0) / F.countDistinct("doc_id")).alias("rank")))  # one row
+    m = doc_mentions(spark, sf_dir).select("doc_id", "entity").crossJoin(rank)
+    return retrieval.top_k(graph.routed_documents(matched(spark, sf_dir), asked_terms(spark, sf_dir), m).withColumnRenamed("doc_id", "id"), 2)
+
+
+@query(
+    f"""WITH {ROUTED}, {bm25_sql("documents", "doc_id", "text", "bm")}, {top_sql("bm", 5, "bt")},
+z AS (SELECT query_id, id, 0 AS p, rank FROM rt UNION ALL SELECT query_id, id, 1, rank FROM bt), o AS (SELECT query_id, id, min((p, rank)) AS pl FROM z GROUP BY ALL)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pl, id) AS rank FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pl, id) <= 5"""
+)
+def graph_first(spark, sf_dir):
+    """The graph's documents, then the lexical list's."""
+    return fusion.anchors_first(linear_hits(spark, sf_dir), doc_hits(spark, sf_dir, 5), 5)
+
+
+@query()
+def walk_route(spark, sf_dir):
+    """The two documents that a walk from the matched entities, and from what mentions them, visits most, and a community."""
+    found = matched(spark, sf_dir)
+    g = doc_graph(spark, sf_dir)
+    entity, doc = F.concat(F.lit("e:"), "entity"), F.concat(F.lit("d:"), F.col("doc_id").cast("string"))
+    seeds = found.select("query_id", entity.alias("node"), F.lit(1.0).alias("weight")).unionByName(found.join(g["mentions"], "entity").select("query_id", doc.alias("node"), F.lit(0.25).alias("weight")))
+    walked = graph.walks(seeds, g["mentions"].select(entity.alias("a"), doc.alias("b"))).where("node like 'd:%'")
+    docs = retrieval.top_k(walked.select("query_id", F.expr("substr(node, 3)").alias("id"), F.col("rank").alias("score")), 2)
+    groups = graph.community_scores(found, g["community_entities"], g["communities"], F.lit(1.0), 1)
+    return docs.select("query_id", F.lit("document").alias("kind"), "id", "score").unionByName(groups.select("query_id", F.lit("community").alias("kind"), F.col("community").alias("id"), "score"))
 
 
 def nation_edges(spark, sf_dir):

@@ -5,18 +5,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwell.functions.text import strip
+from sparkwell.operators.retrieval import all_of
+from sparkwell.storage import ensure_checkpoints
+
 MOST = 16
+# The words that names and queries of a graph leave out.
+STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with"]
+#: The group of documents and entities that name nothing.
+MISC = "misc"
+
+
+def normalised(name: Column) -> Column:
+    """ASCII words of a name in lower case without stop words."""
+    return F.array_join(F.filter(F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(STOPWORDS)), " ")
+
+
+def query_terms(text: Column) -> Column:
+    """Distinct words of three characters or more that a query of the graph matches by."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS)))
+
+
+# A word's edge, with letters and digits of any script.
+EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+WORD = r"[A-Z][A-Za-z0-9'&.-]+"
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def entities(title: Column, text: Column, most: int = MOST) -> Column:
+    """(entity, name) of a document: its title, then runs of up to four capitalised words, by first appearance.
+
+    Names have three characters or more; of those with the same normalised form the first stands; null counts as empty.
+    """
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"{EDGE}{WORD}(?:\s+{WORD}){{0,3}}{EDGE}"), F.lit(0))
+    names = F.array_distinct(F.filter(F.concat(F.array(strip(F.coalesce(title, F.lit("")))), runs), lambda x: F.length(x) >= 3))
+    first = lambda forms, n: F.slice(F.array_distinct(F.filter(forms, lambda e: e != "")), 1, n)
+    named = lambda names, forms: F.transform(first(forms, most), lambda e: F.struct(e.alias("entity"), F.get(names, F.array_position(forms, e).cast("int") - 1).alias("name")))
+    return let(names, lambda own: let(F.transform(own, normalised), lambda forms: named(own, forms)))
+
+
+def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str = "source") -> DataFrame:
+    """(doc_id, place, entity, name)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(entities(F.col(title_col), F.col(text_col))).alias("place", "e"))
+    return rows.select("doc_id", "place", "e.entity", "e.name")
+
+
+def group_key(entity: Column) -> Column:
+    """The first word of an entity."""
+    return F.split(entity, " ")[0]
 
 
-def entity_names(text: Column, most: int = MOST) -> Column:
-    """Distinct runs of up to four capitalised words, in order of appearance, in lower case; three characters or more."""
-    found = F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(F.transform(found, F.lower), lambda x: F.length(x) >= 3)), 1, most)
+def document_groups(docs: DataFrame, m: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, community): the group that most of a document's entities have, of equal ones the first named; MISC without entities."""
+    n = m.select("doc_id", "place", group_key(F.col("entity")).alias("community")).groupBy("doc_id", "community").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    best = n.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "place", "community")).alias("b")).select("doc_id", "b.community")
+    return docs.select(F.col(id_col).alias("doc_id")).distinct().join(best, "doc_id", "left").select("doc_id", F.coalesce("community", F.lit(MISC)).alias("community"))
 
 
-def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, entity)."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(entity_names(F.col(text_col))).alias("entity"))
+def community_table(groups: DataFrame, m: DataFrame, titles: DataFrame, most: int = 6) -> DataFrame:
+    """(community, size, summary) of groups (doc_id, community): how many documents, and the entities and first titles (doc_id, title) that they name."""
+    size = groups.groupBy("community").agg(F.count("*").alias("size"))
+    named = community_entities(m, groups, "community", most).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("rank", "entity"))).alias("e"))
+    first = Window.partitionBy("community").orderBy("doc_id")
+    pages = groups.join(titles, "doc_id").withColumn("n", F.row_number().over(first)).where("n <= 4").groupBy("community").agg(F.array_sort(F.collect_list(F.struct("n", "title"))).alias("t"))
+    four = F.array_join(F.transform(F.slice("e", 1, 4), lambda x: x["entity"]), ", ")
+    topics = F.when(F.size("e") > 0, four).otherwise("linked topics")
+    text = F.concat(F.lit("Community "), "community", F.lit(" centers on "), topics, F.lit(". Representative pages: "), F.array_join(F.transform("t", lambda x: x["title"]), ", "), F.lit("."))
+    return size.join(named, "community", "left").join(pages, "community").select("community", "size", text.alias("summary"))
 
 
 def frequencies(m: DataFrame) -> DataFrame:
@@ -24,6 +83,34 @@ def frequencies(m: DataFrame) -> DataFrame:
     return m.groupBy("entity").agg(F.countDistinct("doc_id").alias("freq"))
 
 
+def community_scores(matched: DataFrame, named: DataFrame, communities: DataFrame, boost: Column, limit: int) -> DataFrame:
+    """(query_id, community, score, rank): matched entities that a community names (community, entity), plus a tenth of its size, times boost.
+
+    boost may read columns of matched.
+    """
+    n = matched.withColumn("__b", boost).join(named.select("community", "entity"), "entity").groupBy("query_id", "community").agg(F.countDistinct("entity").alias("o"), F.first("__b").alias("b"))
+    rows = n.join(communities.select("community", "size"), "community").select("query_id", "community", (F.col("b") * (F.col("o") + 0.1 * F.col("size"))).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.desc("community"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def routed_documents(matched: DataFrame, terms: DataFrame, m: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) by mentions (doc_id, entity, rank): 0.75 and the document's rank for each entity that it has of a matched group, 1.5 for each matched entity.
+
+    A group is matched by a term of the query (query_id, terms) or by a matched entity's first word; each group counts once.
+    """
+    asked = terms.select("query_id", F.explode("terms").alias("group")).unionByName(matched.select("query_id", group_key(F.col("entity")).alias("group"))).distinct()
+    own = m.select("doc_id", "entity", "rank", group_key(F.col("entity")).alias("group")).distinct()
+    by_group = own.join(asked, "group").select("query_id", "doc_id", (0.75 + F.col("rank")).alias("w"))
+    by_entity = matched.select("query_id", "entity").join(own.drop("rank"), "entity").select("query_id", "doc_id", F.lit(1.5).alias("w"))
+    return by_group.unionByName(by_entity).groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+
+
+def statistics(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows) of a graph's tables."""
+    return all_of([df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows") for n, df in sorted(tables.items())])
+
+
 def community_entities(m: DataFrame, docs: DataFrame, group: str = "source", most: int = 6) -> DataFrame:
     """(group, entity, docs, rank): the most mentioned entities of each group of documents."""
     n = m.join(docs.select("doc_id", group), "doc_id").groupBy(group, "entity").agg(F.countDistinct("doc_id").alias("docs"))
@@ -56,6 +143,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     distribution, so ranks sum to 1.  Ends when ranks move by less than `least` in sum.  Each round is one join and
     one aggregation, and its result is checkpointed.
     """
+    ensure_checkpoints(nodes.sparkSession)
     n = nodes.select("node").distinct()
     if seeds is None:
         base = n.withColumn("b", F.lit(1.0) / n.count())
@@ -77,3 +165,29 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
         if moved < least:
             break
     return rank.select("node", "rank")
+
+
+def walks(seeds: DataFrame, links: DataFrame, alpha: float = 0.85, rounds: int = 50, least: float = 1e-6) -> DataFrame:
+    """(query_id, node, rank): personalised PageRank of every query's own seeds (query_id, node, weight) over undirected links (a, b).
+
+    All queries walk at once, and only nodes that a walk has reached are held.  What stands on a node
+    without links is lost but for its own seed.  Ranks are checkpointed and compared every five rounds.  A walk of a long reach has a row for each of its nodes, which are dealt by node.
+    """
+    ensure_checkpoints(seeds.sparkSession)
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    share = both.join(both.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", (F.lit(1.0) / F.col("n")).alias("p")).checkpoint()
+    clean = seeds.groupBy("query_id", "node").agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("w")).where("w > 0")
+    base = clean.withColumn("b", F.col("w") / F.sum("w").over(Window.partitionBy("query_id"))).select("query_id", "node", "b").checkpoint()
+    rank = base.select("query_id", "node", F.col("b").alias("rank"))
+    for first in range(0, rounds, 5):
+        before = rank
+        for _ in range(first, min(first + 5, rounds)):
+            sent = rank.join(share, rank["node"] == share["a"]).select("query_id", F.col("b").alias("node"), (alpha * F.col("rank") * F.col("p")).alias("r"))
+            again = base.select("query_id", "node", ((1 - alpha) * F.col("b")).alias("r"))
+            rank = sent.unionByName(again).groupBy("query_id", "node").agg(F.sum("r").alias("rank"))
+        rank = rank.checkpoint()
+        change = rank.unionByName(before.select("query_id", "node", (-F.col("rank")).alias("rank"))).groupBy("query_id", "node").agg(F.abs(F.sum("rank")).alias("m"))
+        moved = change.groupBy("query_id").agg(F.sum("m").alias("m")).agg(F.max("m")).first()[0] or 0.0
+        if moved < least:
+            break
+    return rank

@@ -18,6 +18,7 @@ def check_columns(extra: list[str]) -> None:
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 512, overlap: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., chunk_index, chunk): a row for each window that isn't blank."""
+    check_columns(list(keep))
     return docs.select(id_col, *keep, F.posexplode(windows(F.col(text_col), size, overlap)).alias("chunk_index", "chunk"))
 
 
@@ -63,7 +64,9 @@ def insert(new: DataFrame, path: str, key: str = "hash_id") -> int:
 def backfill_plan(rows: DataFrame, key: Column, text: str, current: str, order: list[str]) -> DataFrame:
     """rows with hash_id and action: skip (blank text), delete (a later duplicate), keep (unchanged) or update."""
     found = rows.withColumn("hash_id", F.when(F.trim(F.col(text)) != "", chunk_hash(key, F.col(text))))
-    nth = F.row_number().over(Window.partitionBy("hash_id").orderBy(*order))
+    # rows without a hash aren't compared, so they are dealt by their order
+    deal = F.when(F.col("hash_id").isNull(), F.xxhash64(*order))
+    nth = F.row_number().over(Window.partitionBy("hash_id", deal).orderBy(*order))
     action = F.when(F.col("hash_id").isNull(), "skip").when(nth > 1, "delete").when(F.col(current).eqNullSafe(F.col("hash_id")), "keep").otherwise("update")
     return found.withColumn("action", action)
 
@@ -78,3 +81,22 @@ def documents_from_chunks(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Chunks joined back into texts, in order of (chunk_index, chunk)."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk")))
     return rows.groupBy(id_col).agg(F.array_join(F.transform(parts, lambda x: x["chunk"]), "\n").alias("text"), F.count("*").alias("n_chunks"))
+
+
+def apply_backfill(plan: DataFrame, current: str) -> DataFrame:
+    """The table after a backfill plan: later duplicates go, updated rows take their hash, others stay as they were."""
+    kept = plan.where("action <> 'delete'").withColumn(current, F.when(F.col("action") == "update", F.col("hash_id")).otherwise(F.col(current)))
+    return kept.drop("action") if current == "hash_id" else kept.drop("action", "hash_id")
+
+
+def with_vectors(rows: DataFrame, cache: DataFrame, provider, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows with embedding, what to add to the cache): vectors by the text's hash from cache (hash, embedding), others from the provider.
+
+    provider maps a column of texts to a column of vectors and meets each missing text once.  Null texts have no vector.
+    """
+    keyed = rows.withColumn("__hash", F.sha2(F.encode(F.col(text), "UTF-8"), 256))
+    known = cache.select(F.col("hash").alias("__hash"), "embedding").dropDuplicates(["__hash"])
+    missing = keyed.where(F.col("__hash").isNotNull()).select("__hash", text).dropDuplicates(["__hash"]).join(known, "__hash", "left_anti")
+    fresh = missing.select("__hash", provider(F.col(text)).alias("embedding"))
+    out = keyed.join(known.unionByName(fresh), "__hash", "left").drop("__hash")
+    return out, fresh.withColumnRenamed("__hash", "hash")

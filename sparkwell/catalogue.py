@@ -777,4 +777,4 @@ def triples(spark, sf_dir):
 
 
 from sparkwell.plans import answering, records  # noqa: E402, F401  their queries register here
-from sparkwell.plans import chunks, evaluation, hybrid  # noqa: E402, F401
+from sparkwell.plans import chunks, evaluation, hybrid, rounds, tables  # noqa: E402, F401

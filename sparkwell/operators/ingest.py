@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions.text import squeeze, windows
+from sparkwell.storage import exists
 
 RESERVED = ("text", "chunk_index", "hash_id", "embedding")
 
@@ -50,8 +51,7 @@ def insert(new: DataFrame, path: str, key: str = "hash_id") -> int:
     """Appends to the Parquet table at path the rows that it lacks, one for each key; returns how many."""
     spark = new.sparkSession
     rows = new.dropDuplicates([key])
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if exists(spark, path):
         rows = absent(rows, spark.read.parquet(path), key)
     rows = rows.cache()
     n = rows.count()

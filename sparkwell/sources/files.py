@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkwell.storage import exists, replace_table
+
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, text): a row per file; the title is the file's name in words."""
@@ -66,12 +68,52 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV file with a header; its types are guessed unless a schema is given."""
+    return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
+
+
+def export_texts(rows: DataFrame, path: str, name_col: str, text_col: str) -> DataFrame:
+    """(name, written): a text file for each row in the folder at path, which tasks must be able to reach; files that are there stay.
+
+    Names keep letters, digits, points, dashes and underscores, and end in .txt; nulls count as empty.  A file is written beside its
+    place and then moved, so a task that is run again leaves no halves.  Of rows with the same name one is written.
+    """
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            there = [x.type != fs.FileType.NotFound for x in store.get_file_info([f"{root}/{n}" for n in names])]
+            for n, t, old in zip(names, texts, there):
+                if not old:
+                    part = f"{root}/.{uuid.uuid4().hex}"
+                    with store.open_output_stream(part) as f:
+                        f.write(t.encode())
+                    store.move(part, f"{root}/{n}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([not x for x in there], pa.bool_())], ["name", "written"])
+
+    safe = F.concat(F.regexp_replace(F.coalesce(F.col(name_col).cast("string"), F.lit("")), r"[^\p{L}\p{N}._-]+", "_"), F.lit(".txt"))
+    once = rows.select(safe.alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["name"])
+    return once.mapInArrow(run, "name string, written boolean")
+
+
 def upsert(new: DataFrame, path: str, key: str, order: str) -> DataFrame:
     """The table at path with new rows in place of those with the same key; of several the last by `order`."""
     spark = new.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     both = new.withColumn("__p", F.lit(1))
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if exists(spark, path):
         both = both.unionByName(spark.read.parquet(path).withColumn("__p", F.lit(0)), allowMissingColumns=True)
     nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__p"), F.desc(order)))
     return both.withColumn("__n", nth).where("__n = 1").drop("__n", "__p")
+
+
+def upsert_into(new: DataFrame, path: str, key: str, order: str) -> None:
+    """`upsert`, written in place of the table at path."""
+    replace_table(upsert(new, path, key, order), path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkwell.operators.ingest import hashed_chunks, insert
@@ -18,3 +19,15 @@ def ingest_stream(docs: DataFrame, path: str, checkpoint: str, **trigger) -> Str
         insert(hashed_chunks(rows), path)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def session_stream(messages: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Starts a query that appends a stream of messages (conv_id, turn, role, text) to the sessions' table at path.
+
+    A message is known by its session and turn, so one that comes again adds nothing and none is changed.
+    """
+
+    def batch(rows: DataFrame, _: int) -> None:
+        insert(rows.withColumn("hash_id", F.concat_ws(":", "conv_id", "turn")), path)
+
+    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the
 columns of documents.  Models are learned from the labelled documents of sf_dir, whatever earlier stages have dropped,
 and applied to docs.
+
+Defined cases: null and empty texts fail the base rule and go, as do texts of which deduplication leaves no word; a null id
+is a value like others; repeated rows count as copies, of which one stays; very long texts are cut into pieces by the last
+stage alone; other columns are carried along up to it; without a usable label (none, or of one class) the classifier keeps
+all and the rules are the base rule; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without cross-site boilerplate lines; n_chars follows, and texts of which no word is left go."""
     out = line_dedup.without_boilerplate(docs)
-    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 

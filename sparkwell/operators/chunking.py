@@ -6,9 +6,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwell import ship
 from sparkwell.functions.text import sentences, squeeze, strip, windows
 from sparkwell.operators import ingest
 
+ship(__name__)
+
 # The lines of a serialised group, how many sentences it has, and what one sentence may have of the size.
 HEAD, LINE, GROUP, SHARE = "TITLE: {}\nPARAGRAPH_STRUCTURE:", "\nSENTENCE_{}: {}", 4, 2
 

@@ -7,8 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkwell import ship
 from sparkwell.functions.text import sentences, tokens
 
+ship(__name__)
+
 DIMS = 64
 
 

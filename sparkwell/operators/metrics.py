@@ -6,8 +6,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkwell import ship
 from sparkwell.functions.text import answer_tokens, multiset_overlap, normalize_answer, normalize_articles_first, scored_tokens
 
+ship(__name__)
+
 # Dollars for a million tokens of input, cached input and output, by model; and for models not listed.
 PRICES = [
     ("gpt-5.4", 2.50, 0.25, 15.00),

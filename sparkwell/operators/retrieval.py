@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwell import ship
 from sparkwell.functions.text import tokens
 
+ship(__name__)
+
 K1, B = 1.2, 0.75
 
 

@@ -11,9 +11,10 @@ agree, and each choice of n2 - k2 subparts of each part is a signature.  So simi
    one are a group; groups with the same members count once.
 3. Two sets' sketches differ in no more bits than the sets differ in elements.  Pairs of a group that this bound doesn't
    rule out are joined; components are families, and no link leaves a family.
-4. One document of each digest in a family gives its set.  Families are cut into blocks of BLOCK sets, and each pair of
-   blocks is a unit of work that counts intersections by an inverted index and emits a spanning forest of the
-   links it finds.  Only the components of links are asked for, so no pairs are listed.
+4. One document of each digest in a family gives its set.  Families are cut into blocks of BLOCK sets.  A block, and
+   later a pair of blocks, is a unit of work that counts intersections by an inverted index and emits a spanning forest of
+   the links it finds.  Only the components of links are asked for, so no pairs are listed, and sets which one
+   component holds already needn't meet.
 5. Components of the links, and the smallest id in each.
 
 Groups and units are searched from set to set: a set is held against those that nothing has reached yet, so a cluster
@@ -30,7 +31,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwell.llm.common import M1, WordHashes, free_prefix, mix, row_key, slices, table, trim, written
@@ -38,8 +39,8 @@ from sparkwell.llm.components import Forest, components
 
 #: Production parameters: words to a shingle, and the least similarity as a ratio of integers.
 WORDS, NUM, DEN = 3, 9, 10
-#: Sets to a block of a family.
-BLOCK = 256
+#: Sets to a block of a family, and sets of a family that meet all its blocks before others do.
+BLOCK, HUBS = 256, 8
 #: (n2, k2): the more selective, the more signatures.  The first that keeps chance groups under CHANCE sets is taken.
 SCHEMES, CHANCE = [(3, 1), (5, 2), (7, 3), (9, 4)], 2000
 
@@ -375,12 +376,38 @@ def link_edges(blocks: DataFrame, num: int, den: int) -> DataFrame:
     return blocks.repartition("f", "a", "b").sortWithinPartitions("f", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def in_blocks(sets: DataFrame) -> DataFrame:
-    """(f, a, b, g, set): each set in every pair of blocks that its own block is in."""
-    per = sets.groupBy("f").agg(F.count("*").alias("__m")).where("__m > 1").select("f", F.ceil(F.col("__m") / BLOCK).cast("int").alias("nb"))
-    rows = sets.join(per, "f").withColumn("mine", F.pmod(F.xxhash64("g"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return rows.select("f", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "g", "set")
+def family_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): edges whose components are those of the links within the families (f, g, set).
+
+    Each block is searched by itself.  A family of several blocks goes on: its HUBS sets with most edges so far meet
+    every block, as clusters of near copies have an original that all are like.  Then sets outside the family's largest
+    component (rest) meet all blocks; pairs within that component are joined already and meet nowhere.  With h and r blocks
+    of the two, (2 h + r) r pairs of blocks are left of (h + r) squared.
+    """
+    size = sets.groupBy("f").agg(F.count("*").alias("m")).where("m > 1").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    rows = sets.join(size, "f").withColumn("b", F.pmod(F.xxhash64("g"), F.col("nb")).cast("int")).withColumn("a", F.lit(-1))
+    own = written(link_edges(rows.select("f", "a", "b", "g", "set"), num, den), "links")
+    if size.where("nb > 1").isEmpty():
+        return own
+    large = written(rows.where("nb > 1"), "large")
+    degree = own.select(F.explode(F.array("u", "v")).alias("g")).groupBy("g").count()
+    rank = F.row_number().over(Window.partitionBy("f").orderBy(F.desc("count"), "g"))
+    hubs = large.select("f", "g").join(degree, "g").withColumn("at", rank).where(F.col("at") <= HUBS).select("g")
+    hubs = large.join(hubs, "g").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    out = own.unionByName(written(link_edges(large.unionByName(hubs.select(*large.columns)).select("f", "a", "b", "g", "set"), num, den), "links"))
+
+    joined = components(out.join(large.select(F.col("g").alias("u")), "u", "left_semi"))
+    named = large.select("f", "g", "set").join(joined.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("label", "g"))
+    parts = named.groupBy("f", "label").agg(F.count("*").alias("m")).groupBy("f")
+    parts = parts.agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("h"), F.sum("m").alias("m")).where("m > h")
+    parts = parts.select("f", "top", F.ceil(F.col("h") / BLOCK).cast("int").alias("h"), F.ceil((F.col("m") - F.col("h")) / BLOCK).cast("int").alias("r"))
+    left = written(named.join(parts, "f"), "left")
+    rest = F.col("label") != F.col("top")
+    mine = F.when(rest, F.col("h") + F.pmod(F.xxhash64("g"), F.col("r"))).otherwise(F.pmod(F.xxhash64("g"), F.col("h"))).cast("int")
+    other = F.explode(F.sequence(F.when(rest, F.lit(0)).otherwise(F.col("h")), F.col("h") + F.col("r") - 1))
+    pairs = left.withColumn("mine", mine).withColumn("other", other)
+    pairs = pairs.select("f", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "g", "set")
+    return out.unionByName(link_edges(pairs, num, den))
 
 
 def classified(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -393,7 +420,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, width: int, num: int
     families = components(family_edges(shared.join(known, "g").select("s", "g", "n", "sketch"), num, den))
     wanted = families.select(F.col("node").alias("g"), F.col("label").alias("f")).join(classes, "g").checkpoint()
     sets = written(sets_of(docs, wanted, id_col, text_col, width).dropDuplicates(["g"]), "families")
-    links = components(link_edges(in_blocks(sets), num, den))
+    links = components(family_links(sets, num, den))
     return rows, classes.join(links.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("label", "g"))
 
 

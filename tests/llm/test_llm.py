@@ -558,6 +558,32 @@ def test_jaccard_join(spark, width, num, den):
     assert got == classes_of(data, width, num, den)
 
 
+@pytest.mark.parametrize("block,hubs", [(3, 1), (8, 2), (1000, 8)])
+def test_family_links(spark, monkeypatch, block, hubs):
+    """Components within families are those of brute force: a star, a chain, pairs and single sets, over many blocks or one."""
+    rng = np.random.default_rng(block)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    star = [np.concatenate([base[:90], base[90:][np.arange(10) != i % 10], rng.integers(0, 2**63, i % 4).astype(np.uint64)]) for i in range(30)]
+    line = rng.integers(0, 2**63, 160).astype(np.uint64)
+    chain = [line[i : i + 100] for i in range(0, 60, 4)]
+    other = [rng.integers(0, 2**63, 50).astype(np.uint64) for _ in range(20)]
+    family = {int(g): (f, x) for f, part in ((1, [base, *star, *chain, *other]), (2, [*other, *(x[:-2] for x in other)]), (3, [line])) for g, x in zip(rng.integers(-(2**63), 2**63, len(part)), part)}
+    forest = jaccard_join.Forest()
+    for u, (f, x) in family.items():
+        for v, (e, y) in family.items():
+            common = len(np.intersect1d(x, y))
+            if u < v and f == e and 10 * common >= 9 * (len(np.union1d(x, y))):
+                forest.joins(u, v)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "HUBS", hubs)
+    sets = spark.createDataFrame([(f, g, bytearray(x.tobytes())) for g, (f, x) in family.items()], "f long, g long, set binary")
+    got = jaccard_join.Forest()
+    for r in jaccard_join.family_links(sets, 9, 10).collect():
+        assert family[r.u][0] == family[r.v][0]
+        got.joins(r.u, r.v)
+    assert [got.root(g) for g in family] == [forest.root(g) for g in family]
+
+
 @pytest.mark.parametrize("n2,k2", jaccard_join.SCHEMES)
 def test_similar_sets_share_a_signature(n2, k2):
     rng = np.random.default_rng(n2)

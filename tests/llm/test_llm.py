@@ -629,8 +629,10 @@ def test_spanning_forest():
 
 
 def test_components(spark):
+    """Random edges, a chain, and a star whose hub lies between its neighbours."""
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
+    edges += [(5150, 5000 + i) for i in range(300)]
     up = {x: x for e in edges for x in e}
 
     def root(x):

@@ -39,12 +39,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkwell/{what}-{uuid.uuid4().hex}"
+    path = delete_at_exit(spark, f"{shared_dir(spark)}/sparkwell/{what}-{uuid.uuid4().hex}")
     df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> str:
+    """path, which goes when the driver's JVM ends."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(conf).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def free_prefix(columns: list[str]) -> str:
@@ -127,6 +132,30 @@ def slices(batch, text_at: int, most_bytes: int = 8 << 20):
         yield batch.slice(a, b - a)
 
 
+def streamed(df: DataFrame, keys: list[str], fold, schema) -> DataFrame:
+    """The rows that fold gives for each run of rows (as dicts) with equal keys.
+
+    fold takes an iterator: a run is read a few rows at a time and its size doesn't matter.  What is to be one run must lie in
+    one partition in order.  Without keys each row is a run.
+    """
+
+    def run(batches):
+        from itertools import groupby, islice
+
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = [f.type for f in to_arrow_schema(schema)]
+        rows = (row for batch in batches for at in range(0, batch.num_rows, 256) for row in batch.slice(at, 256).to_pylist())
+        runs = (group for _, group in groupby(rows, key=lambda r: tuple(r[k] for k in keys))) if keys else ([r] for r in rows)
+        out = (y for group in runs for y in fold(group))
+        while part := list(islice(out, 512)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], schema.names)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
 def trim() -> None:
     """Gives memory that a Python worker has freed back to the system; workers live on for other tasks."""
     import ctypes

@@ -91,9 +91,15 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def uniform(id_col: str, seed: int):
-    """A number in [0, 1) that follows from the id alone."""
-    return F.xxhash64(F.col(id_col), F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5)
+def uniform(seed: int, *columns):
+    """A number in [0, 1) that follows from the columns alone; rows that are equal in them share it."""
+    return F.xxhash64(*columns, F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5)
+
+
+def text_key(id_col: str, text_col: str):
+    """64 bits of a row's id and text, nulls told from values: what samples of rows are drawn by."""
+    i, t = F.col(id_col), F.col(text_col)
+    return F.xxhash64(i, t, i.isNull(), t.isNull())
 
 
 def mix(x: np.ndarray) -> np.ndarray:

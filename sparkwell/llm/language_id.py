@@ -5,8 +5,8 @@ its compressed form takes, in lower case, with that dictionary; a margin between
 of the second, is marked as rejected.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; so is every text if no language was
-learned; with one language, its score is 1; ties go to the language that sorts first; a null id stays null; repeated rows
-each get a row; very long texts are compressed whole; other columns are ignored.
+learned; with one language, its score is 1; ties go to the language that sorts first; a null id stays null and is learned from; repeated rows
+each get a row, but count once where a sample is drawn; very long texts are compressed whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import held_out, slices, table, uniform
+from sparkwell.llm.common import held_out, slices, table, text_key, uniform
 
 #: Learning takes about this many rows of each language, more where they are short, and at most this many bytes for its dictionary.
 FIT_ROWS, DICTIONARY_BYTES = 300, 110_000
@@ -46,26 +46,30 @@ def whole_words(text: bytes, n: int) -> bytes:
 def learn(docs: DataFrame, rows: int = FIT_ROWS, size: int = DICTIONARY_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 31) -> dict[str, bytes]:
     """Language to dictionary, from a uniform sample of bounded size for each language outside the held-out fold.
 
-    A sample has `rows` texts, or more where those are too short to fill the dictionary.  Each gives a span of whole
+    A sample has about `rows` texts, or more where those are too short to fill the dictionary.  It is drawn by id and text, so
+    rows with the same id, or none, are drawn each by itself, and rows that repeat another are one.  Each gives a span of whole
     words from anywhere in it, as long as the language's texts need to fill the dictionary together.  All are then cut to
     the size of the smallest, or to LEAST_BYTES if that is less.
     """
     lang, text = F.col(lang_col).cast("string"), F.col(text_col)
-    known = docs.where(lang.isNotNull() & text.isNotNull() & ~held_out(id_col))
-    counts = {r[0]: (r[1], r[2]) for r in known.groupBy(lang.alias("l")).agg(F.count("*"), F.sum(F.octet_length(text))).collect()}
+    known = docs.where(lang.isNotNull() & text.isNotNull() & ~held_out(id_col)).select(lang.alias("__l"), text.alias("__t"), text_key(id_col, text_col).alias("__h"))
+    # for each language how many different rows, about, and their bytes
+    sums = known.groupBy("__l").agg(F.approx_count_distinct("__h", 0.03), F.avg(F.octet_length("__t"))).collect()
+    counts = {r[0]: (r[1], r[1] * r[2]) for r in sums}
     if not counts:
         return {}
     spark = docs.sparkSession
     rate = spark.createDataFrame([(k, min(1.0, max(rows / n, 1.5 * size / max(b, 1)))) for k, (n, b) in counts.items()], "__l string, __rate double")
-    picked = known.join(F.broadcast(rate), lang == F.col("__l")).where(uniform(id_col, seed) < F.col("__rate"))
+    picked = known.join(F.broadcast(rate), "__l").where(uniform(seed, "__h") < F.col("__rate"))
     lengths: dict[str, list[int]] = {}
-    for r in picked.select("__l", F.octet_length(text)).collect():
+    for r in picked.groupBy("__l", "__h").agg(F.first(F.octet_length("__t"))).drop("__h").collect():
         lengths.setdefault(r[0], []).append(r[1])
     # a little more than the size, for the parts of words that go
     spans = {k: level(v, size + size // 8) for k, v in lengths.items()}
     most = spark.createDataFrame(list(spans.items()), "__k string, __most int")
-    start = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.greatest(F.length(text) - F.col("__most"), F.lit(0)) + 1).cast("int") + 1
-    sample = picked.join(F.broadcast(most), F.col("__l") == F.col("__k")).select("__l", F.xxhash64(F.col(id_col)).alias("h"), F.substring(text, start, F.col("__most")).alias("t")).collect()
+    start = F.pmod(F.xxhash64("__h", F.lit(seed + 1)), F.greatest(F.length("__t") - F.col("__most"), F.lit(0)) + 1).cast("int") + 1
+    spanned = picked.join(F.broadcast(most), F.col("__l") == F.col("__k")).select("__l", "__h", F.substring("__t", start, F.col("__most")).alias("t"))
+    sample = spanned.groupBy("__l", "__h").agg(F.first("t")).collect()
     out: dict[str, bytes] = {}
     for k in sorted(counts):
         texts = [r[2].lower().encode() for r in sorted((r for r in sample if r[0] == k), key=lambda r: (r[1], r[2]))]

@@ -7,6 +7,7 @@ The metadata are a text's own: characters, bytes, lines, blank lines and bytes t
 
 Defined cases: a null or empty text has no words and zero statistics, and gets a score like any other; a null id
 gives a null id; repeated rows each get a row; long texts are read whole; other columns of the input are ignored.
+A label goes to every row of its id; where labelled rows are drawn to learn from, a row that repeats another counts once.
 Without a labelled row of each class there is nothing to learn: every score is PRIOR, and `keep_good`, which then has no
 grounds to reject a document, keeps all.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwell.llm.common import held_out, slices, table, trim, uniform
+from sparkwell.llm.common import held_out, slices, table, text_key, trim, uniform
 from sparkwell.llm.text_stats import BASE, RATIOS, stats
 
 #: Rows that learning takes at most, about: a uniform sample of the labelled rows outside the held-out fold.
@@ -139,15 +140,19 @@ def fit(found: Features, labels: list, steps: int = 280, rate: float = 0.02, dec
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 11, id_col="doc_id", text_col="text") -> DataFrame:
-    """(key, text, y): about `rows` labelled texts, uniform over labelled rows outside the held-out fold.
+    """(key, text, y): at most `rows` labelled texts (more only where hashes tie), drawn from the labelled rows outside the held-out fold.
 
-    The rate follows from a count of the labels, so the sample stays bounded at every size.
+    Labels are drawn first, at a rate that follows from their count, and then rows by id and text, so the bound holds
+    however many rows have one id or repeat another.
     """
-    known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y")).where("__id is not null and y in (0, 1)").where(~held_out("__id"))
+    known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y")).where("__id is not null and y in (0, 1)").where(~held_out("__id")).distinct()
     n = known.count()
-    known = known.where(uniform("__id", seed) < min(1.0, rows / max(n, 1)))
-    picked = F.broadcast(known) if n else known  # bounded by `rows`
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(picked, "__id").select(F.xxhash64("__id", "text").alias("key"), "text", "y")
+    known = known.where(uniform(seed, "__id") < min(1.0, rows / max(n, 1)))
+    picked = F.broadcast(known) if n else known  # about `rows`
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(picked, "__id").select(text_key("__id", "text").alias("key"), "text", "y")
+    place = F.xxhash64("key", "y", F.lit(seed + 1))
+    last = found.select(place.alias("p")).distinct().orderBy("p").limit(rows).agg(F.max("p")).first()[0]
+    return found.where(place <= last if last is not None else F.lit(False)).groupBy("key", "y").agg(F.first("text").alias("text")).select("key", "text", "y")
 
 
 def learn(docs: DataFrame, labels: DataFrame, **columns) -> Machine | None:

@@ -5,7 +5,8 @@ gain on two thirds of the sample, pruned from its end on the other third, and ke
 covers is removed and the next rule is learned.  The list is emitted as one ordered Spark conditional expression.
 
 Defined cases: a null or empty text has no words, so it fails the base rule; a null id gives a null id; repeated rows
-each get a row; long texts are read whole; other columns are ignored.  Without labelled rows of both classes the list
+each get a row; long texts are read whole; other columns are ignored.  A label goes to every row of its id; where labelled
+rows are drawn to learn from, a row that repeats another counts once.  Without labelled rows of both classes the list
 is empty and only the base rule decides.
 """
 

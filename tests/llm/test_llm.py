@@ -687,6 +687,37 @@ def test_languages_without_spaces_and_of_few_rows(spark):
     assert got == {i: lang for i, _, lang in rows}
 
 
+def test_language_samples_of_null_and_repeated_ids(spark):
+    """A language all of whose rows lack an id, or share one, is learned from a bounded sample; copies of a row count once."""
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(300)] for lang, letters in (("en", "etaoinshr"), ("de", "uvwxyzkäö"), ("fr", "bcdfgjmpq"))}
+    text = lambda lang: " ".join(rng.choices(words[lang], k=60))
+    a, b, *_ = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2]  # ids that are learned from
+    rows = [(None, text("en"), "en") for _ in range(20_000)] + [(a, text("de"), "de") for _ in range(5000)] + [(b, text("fr"), "fr")] * 5000 + [(i, text("fr"), "fr") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.learn(docs)
+    assert set(model) == {"en", "de", "fr"} and all(len(v) > language_id.LEAST_BYTES for v in model.values())
+    assert max(model[k].count(b"\n") for k in model) < 6 * language_id.FIT_ROWS
+    got = language_id.identify(docs, model).select("lang_pred").distinct().count()
+    assert got == 3
+    per = {}
+    for r in docs.where("doc_id is null").limit(200).unionByName(docs.where(F.col("doc_id") == a).limit(200)).collect():
+        per[r.text] = r.lang
+    asked = spark.createDataFrame(list(enumerate(per)), "doc_id long, text string")
+    said = {r.doc_id: r.lang_pred for r in language_id.identify(asked, model).collect()}
+    assert [said[i] for i in range(len(per))] == list(per.values())
+
+
+def test_labelled_samples_are_bounded(spark):
+    """Many rows of one labelled id, copies, repeated and contradicting labels: rows stay few and both classes are there."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(3, "copy")] * 500 + [(i, f"other {i}") for i in range(10, 60)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0)] * 5 + [(3, 1), (3, 0)] + [(i, i % 2) for i in range(10, 60)] + [(None, 1), (12, None)], "doc_id long, quality int")
+    for rows in (2, 20, 10_000):
+        got = quality_classifier.labelled_sample(docs, labels, rows=rows).collect()
+        assert len(got) <= rows and len({(r.key, r.y) for r in got}) == len(got)
+    assert sum(r.text == "copy" for r in got) == 2 and len({r.text for r in got}) > 500 and {r.y for r in got} == {0, 1}
+
+
 def test_languages_against_brute_force(spark, docs):
     """Every text's language from plain calls of the compressor, of which the smallest result counts."""
     import zstandard as z

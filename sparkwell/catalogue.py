@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkwell.functions import text as T
 from sparkwell.operators import fusion, graph, ingest, metrics, policy, retrieval, variants
+from sparkwell.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,7 +82,7 @@ def doc_hits(spark, sf_dir, k: int = 20) -> DataFrame:
 
 @query(
     r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), url) AS title,
-trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages"""
+trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages"""
 )
 def html_extract(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.html_title(F.col("html"), F.col("url")).alias("title"), T.html_text(F.col("html")).alias("body"))
@@ -138,6 +139,21 @@ def table_linearize(spark, sf_dir):
     return ingest.linearize(rows, "c_custkey", ["c_name", "c_mktsegment", "n_name"])
 
 
+@query(
+    """WITH l AS (SELECT l_orderkey, string_agg('line: ' || l_linenumber || ' | part: ' || l_partkey || ' | quantity: ' || CAST(l_quantity AS BIGINT), chr(10) ORDER BY l_linenumber, l_partkey, l_quantity) AS rows FROM lineitem GROUP BY 1)
+SELECT o_orderkey, 'Order ' || o_orderkey || '.' || chr(10) || chr(10) || rows || chr(10) || chr(10) || 'Priority ' || o_orderpriority AS text FROM orders JOIN l ON l_orderkey = o_orderkey"""
+)
+def table_document(spark, sf_dir):
+    """An order's lines as a table within its text; its status, a letter, is noise."""
+    row = F.struct("l_linenumber", "l_partkey", "l_quantity")
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    cells = F.transform("rows", lambda r: F.array(r["l_linenumber"].cast("string"), r["l_partkey"].cast("string"), r["l_quantity"].cast("bigint").cast("string")))
+    table = F.concat(F.array(F.array(F.lit("line"), F.lit("part"), F.lit("quantity"))), cells)
+    orders = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    before = F.array(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(".")), F.substring("o_orderstatus", 1, 1))
+    return orders.select("o_orderkey", ingest.document_with_table(before, table, F.array(F.concat(F.lit("Priority "), "o_orderpriority"))).alias("text"))
+
+
 @query(f"WITH {CHUNKS} SELECT doc_id, string_agg(chunk, chr(10) ORDER BY chunk_index, chunk) AS text, count(*) AS n_chunks FROM chunks GROUP BY doc_id")
 def documents_from_chunks(spark, sf_dir):
     return ingest.documents_from_chunks(ingest.chunks(read(spark, sf_dir, "documents")))
@@ -471,7 +487,8 @@ def usage_summary(spark, sf_dir):
 
 
 @query(
-    f"""{CONTEXTS}, y AS (SELECT query_id, query, id, text, unnest(CASE WHEN rank % 3 = 0 THEN [(rank - 1) // 3, rank // 3] ELSE [(rank - 1) // 3] END) AS round FROM x),
+    f"""{CONTEXTS}, xt AS (SELECT query_id, query, id, rank, coalesce(source, '') || ' ' || coalesce(x.text, '') AS text FROM x JOIN documents ON doc_id = id),
+y AS (SELECT query_id, query, id, text, unnest(CASE WHEN rank % 3 = 0 THEN [(rank - 1) // 3, rank // 3] ELSE [(rank - 1) // 3] END) AS round FROM xt),
 r AS (SELECT query_id, round, id, {TERMS.format("query")} AS terms, list_filter({TERMS.format("query")}, lambda t: contains(lower(text), t)) AS m, round = min(round) OVER (PARTITION BY query_id, id) AS new FROM y),
 p AS (SELECT query_id, round, any_value(terms) AS terms, list_distinct(flatten(list(m))) AS m, count(*) FILTER (WHERE len(m) >= 2 AND new) AS s, count(*) FILTER (WHERE new) / count(*) AS novelty FROM r GROUP BY 1, 2),
 c AS (SELECT a.query_id, a.round, any_value(a.terms) AS terms, any_value(a.novelty) AS novelty, len(list_distinct(flatten(list(b.m)))) AS seen, sum(b.s) AS supportive FROM p a JOIN p b ON a.query_id = b.query_id AND b.round <= a.round GROUP BY 1, 2),
@@ -479,14 +496,24 @@ v AS (SELECT query_id, round, CASE WHEN len(terms) > 0 THEN seen / len(terms) EL
 SELECT query_id, CAST(round AS BIGINT) AS round, round(coverage, 6) AS coverage, CAST(supportive AS BIGINT) AS supportive, round(novelty, 6) AS novelty, round(greatest(coverage - coalesce(lag(coverage) OVER (PARTITION BY query_id ORDER BY round), 0), 0), 6) AS gain FROM v"""
 )
 def coverage_trace(spark, sf_dir):
-    """The ten best contexts in rounds of three; the last of a round comes again in the next."""
+    """The ten best contexts, titles and texts, in rounds of three; the last of a round comes again in the next.  The source stands for the title."""
+    titles = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"))
     rank = F.col("rank").cast("long")
     rounds = F.when(rank % 3 == 0, F.array(F.expr("(cast(rank as bigint) - 1) div 3"), F.expr("cast(rank as bigint) div 3"))).otherwise(F.array(F.expr("(cast(rank as bigint) - 1) div 3")))
-    rows = contexts(spark, sf_dir).select("query_id", F.explode(rounds).alias("round"), "id", T.query_terms(F.col("query")).alias("terms"), "text")
+    rows = contexts(spark, sf_dir).join(titles, "id").select("query_id", F.explode(rounds).alias("round"), "id", T.query_terms(F.col("query")).alias("terms"), "title", "text")
     out = policy.trace(rows)
     return out.select("query_id", "round", F.round("coverage", 6).alias("coverage"), F.col("supportive").cast("bigint").alias("supportive"), F.round("novelty", 6).alias("novelty"), F.round("gain", 6).alias("gain"))
 
 
+@query(
+    f"""WITH t AS (FROM ({ORACLE["coverage_trace"]})) SELECT query_id, round, round >= 2 OR round(0.60 * coverage + 0.20 * least(supportive / 2, 1.0) + CASE WHEN round > 0 THEN 0.20 * (1 - novelty) ELSE 0 END, 6) >= round(0.55 * (1 - coverage) + 0.25 * gain + 0.20 * novelty - 0.15 * round, 6) AS stop FROM t"""
+)
+def trace_stop(spark, sf_dir):
+    """After which round each question's trace says stop."""
+    t = coverage_trace(spark, sf_dir)
+    return t.select("query_id", "round", policy.should_stop(*(F.col(x) for x in ("coverage", "supportive", "novelty", "gain", "round")), digits=6).alias("stop"))
+
+
 STOPS = "x AS (SELECT event_id, (event_id % 11) / 10 AS cov, event_id % 4 AS sup, (event_id % 5) / 4 AS nov, (event_id % 3) / 10 AS gain, event_id % 3 AS rnd FROM events)"
 
 
@@ -552,6 +579,11 @@ def doc_mentions(spark, sf_dir):
     return graph.mentions(read(spark, sf_dir, "documents"))
 
 
+def mentions_once(spark, sf_dir):
+    """`doc_mentions` as a table in the shared folder, for plans that read it several times."""
+    return written(doc_mentions(spark, sf_dir), "mentions")
+
+
 @query(f"WITH {NAMES} SELECT doc_id, entity FROM m")
 def entity_extract(spark, sf_dir):
     return doc_mentions(spark, sf_dir).select("doc_id", "entity")
@@ -568,11 +600,14 @@ cn AS (SELECT community, entity, count(DISTINCT doc_id) AS docs FROM m JOIN gr U
 cs AS (SELECT community, count(*) AS size FROM gr GROUP BY 1)"""
 
 
-def doc_graph(spark, sf_dir) -> dict[str, DataFrame]:
-    """The tables of the documents' graph.  It has no links between documents, so each has the same rank."""
+def doc_graph(spark, sf_dir, m: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of the documents' graph, from mentions that are looked for once and written.
+
+    It has no links between documents (plans.links has them), so each document has the same rank.
+    """
     docs = read(spark, sf_dir, "documents")
-    m = graph.mentions(docs)
-    groups = graph.document_groups(docs, m)
+    m = mentions_once(spark, sf_dir) if m is None else m
+    groups = written(graph.document_groups(docs, m), "groups")
     titles = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("title"))
     return {
         "documents": docs.select("doc_id", "source", "text"),
@@ -610,8 +645,10 @@ def asked_terms(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", "text", graph.query_terms(F.col("text")).alias("terms"))
 
 
-def matched(spark, sf_dir):
-    return graph.match_entities(asked_terms(spark, sf_dir), graph.frequencies(doc_mentions(spark, sf_dir)))
+def matched(spark, sf_dir, m: DataFrame | None = None):
+    """A row for each query and entity, six a query; written where mentions are, as others read both."""
+    found = graph.match_entities(asked_terms(spark, sf_dir), graph.frequencies(doc_mentions(spark, sf_dir) if m is None else m))
+    return found if m is None else written(found, "matched")
 
 
 @query(f"WITH {MATCHED} SELECT query_id, entity, overlap, rank FROM matched")
@@ -636,8 +673,9 @@ def graph_contexts(spark, sf_dir, light: bool) -> DataFrame:
     cue = F.lit(False)
     for x in GLOBAL_CUES:
         cue = cue | F.contains(F.lower("text"), F.lit(x))
-    found = matched(spark, sf_dir).join(questions(spark, sf_dir).select("query_id", (cue & F.lit(light)).alias("whole")), "query_id")
-    g = doc_graph(spark, sf_dir)
+    m = mentions_once(spark, sf_dir)
+    found = matched(spark, sf_dir, m).join(questions(spark, sf_dir).select("query_id", (cue & F.lit(light)).alias("whole")), "query_id")
+    g = doc_graph(spark, sf_dir, m)
     wide = F.when(F.col("whole"), GLOBAL_BOOST).otherwise(1.0)
     local = F.when(F.lit(light) & ~F.col("whole"), GLOBAL_BOOST).otherwise(1.0)
     docs = graph.seeded_documents(found, g["mentions"], same_rank(spark, sf_dir)).join(found.select("query_id", "whole").distinct(), "query_id")
@@ -677,8 +715,8 @@ def linear_route(spark, sf_dir):
 
 def linear_hits(spark, sf_dir):
     rank = F.broadcast(read(spark, sf_dir, "documents").agg((F.lit(1.0) / F.countDistinct("doc_id")).alias("rank")))  # one row
-    m = doc_mentions(spark, sf_dir).select("doc_id", "entity").crossJoin(rank)
-    return retrieval.top_k(graph.routed_documents(matched(spark, sf_dir), asked_terms(spark, sf_dir), m).withColumnRenamed("doc_id", "id"), 2)
+    m = mentions_once(spark, sf_dir)
+    return retrieval.top_k(graph.routed_documents(matched(spark, sf_dir, m), asked_terms(spark, sf_dir), m.select("doc_id", "entity").crossJoin(rank)).withColumnRenamed("doc_id", "id"), 2)
 
 
 @query(
@@ -694,8 +732,9 @@ def graph_first(spark, sf_dir):
 @query()
 def walk_route(spark, sf_dir):
     """The two documents that a walk from the matched entities, and from what mentions them, visits most, and a community."""
-    found = matched(spark, sf_dir)
-    g = doc_graph(spark, sf_dir)
+    m = mentions_once(spark, sf_dir)
+    found = matched(spark, sf_dir, m)
+    g = doc_graph(spark, sf_dir, m)
     entity, doc = F.concat(F.lit("e:"), "entity"), F.concat(F.lit("d:"), F.col("doc_id").cast("string"))
     seeds = found.select("query_id", entity.alias("node"), F.lit(1.0).alias("weight")).unionByName(found.join(g["mentions"], "entity").select("query_id", doc.alias("node"), F.lit(0.25).alias("weight")))
     walked = graph.walks(seeds, g["mentions"].select(entity.alias("a"), doc.alias("b"))).where("node like 'd:%'")
@@ -778,3 +817,4 @@ def triples(spark, sf_dir):
 
 from sparkwell.plans import answering, records  # noqa: E402, F401  their queries register here
 from sparkwell.plans import chunks, evaluation, hybrid, rounds, tables  # noqa: E402, F401
+from sparkwell.plans import critique, index, links, sessions  # noqa: E402, F401

@@ -20,6 +20,11 @@ ABSTENTIONS = [
 ]
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -39,8 +44,8 @@ def html_title(html: Column, fallback: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """Visible text: scripts and styles go, tags become spaces, white space is squeezed; entities stay."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
+    """Visible text: scripts and styles go without a trace, tags become spaces, white space is squeezed; entities stay."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", ""), r"(?is)<style[^>]*>.*?</style>", "")
     return squeeze(F.regexp_replace(bare, r"(?s)<[^>]+>", " "))
 
 

@@ -14,7 +14,8 @@ RRF_K = 60
 def rrf(lists: list[tuple[DataFrame, float | str]], k: int, constant: int = RRF_K) -> DataFrame:
     """(query_id, id, rrf, rank): weighted reciprocal-rank fusion of (query_id, id, rank, score) lists.
 
-    A weight is a number, or names a column of its list, so that it may differ from query to query.
+    A weight is a number, or names a column of its list, so that it may differ from query to query.  An id that a list has
+    several times counts there once, at its best rank.
 
     Equal sums go by the raw score of the hit in the first list that has it, then by first appearance.
     """
@@ -22,7 +23,8 @@ def rrf(lists: list[tuple[DataFrame, float | str]], k: int, constant: int = RRF_
     for n, (df, weight) in enumerate(lists):
         part = df.select("query_id", "id", F.lit(n).alias("list"), "rank", "score", ((F.col(weight) if isinstance(weight, str) else F.lit(float(weight))) / (constant + F.col("rank"))).alias("w"))
         out = part if out is None else out.unionByName(part)
-    fused = out.groupBy("query_id", "id").agg(F.sum("w").alias("rrf"), F.min(F.struct("list", "rank", "score")).alias("first"))
+    once = out.groupBy("query_id", "id", "list").agg(F.min(F.struct("rank", "score", "w")).alias("b")).select("query_id", "id", "list", "b.*")
+    fused = once.groupBy("query_id", "id").agg(F.sum("w").alias("rrf"), F.min(F.struct("list", "rank", "score")).alias("first"))
     order = Window.partitionBy("query_id").orderBy(F.round("rrf", 12).desc(), F.round("first.score", 9).desc(), "first.list", "first.rank", "id")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rrf", "rank")
 

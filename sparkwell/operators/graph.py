@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwell.functions.text import strip
+from sparkwell.functions.text import let, strip
 from sparkwell.operators.retrieval import all_of
 from sparkwell.storage import ensure_checkpoints
 
@@ -26,22 +26,18 @@ def query_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS)))
 
 
-# A word's edge, with letters and digits of any script.
+# A word's edge, with letters and digits of any script; before a letter it is that no such character stands in front.
 EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+BEGIN = r"(?<![\p{L}\p{N}_])"
 WORD = r"[A-Z][A-Za-z0-9'&.-]+"
 
 
-def let(value: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def entities(title: Column, text: Column, most: int = MOST) -> Column:
     """(entity, name) of a document: its title, then runs of up to four capitalised words, by first appearance.
 
     Names have three characters or more; of those with the same normalised form the first stands; null counts as empty.
     """
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"{EDGE}{WORD}(?:\s+{WORD}){{0,3}}{EDGE}"), F.lit(0))
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"{BEGIN}{WORD}(?:\s+{WORD}){{0,3}}{EDGE}"), F.lit(0))
     names = F.array_distinct(F.filter(F.concat(F.array(strip(F.coalesce(title, F.lit("")))), runs), lambda x: F.length(x) >= 3))
     first = lambda forms, n: F.slice(F.array_distinct(F.filter(forms, lambda e: e != "")), 1, n)
     named = lambda names, forms: F.transform(first(forms, most), lambda e: F.struct(e.alias("entity"), F.get(names, F.array_position(forms, e).cast("int") - 1).alias("name")))

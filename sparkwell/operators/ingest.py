@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwell.functions.text import squeeze, windows
+from sparkwell.functions.text import squeeze, strip, windows
 from sparkwell.storage import exists
 
 RESERVED = ("text", "chunk_index", "hash_id", "embedding")
@@ -36,9 +36,9 @@ def document_key(document_id: Column, collection: Column, source: Column, title:
 
 
 def hashed_chunks(docs: DataFrame, **how) -> DataFrame:
-    """Chunks with hash_id; of equal ones in a document the first stays."""
+    """Chunks with hash_id; of equal ones in a document the first stays.  A null id has a key of its own, which no text has."""
     rows = chunks(docs, **how)
-    rows = rows.withColumn("hash_id", chunk_hash(F.col("doc_id").cast("string"), F.col("chunk")))
+    rows = rows.withColumn("hash_id", chunk_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.col("chunk")))
     return rows.groupBy("hash_id").agg(F.min(F.struct("chunk_index", "doc_id", "chunk")).alias("first")).select("first.doc_id", "first.chunk_index", "first.chunk", "hash_id")
 
 
@@ -77,6 +77,23 @@ def linearize(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return rows.select(id_col, F.concat_ws(" | ", *parts).alias("row_text"))
 
 
+def table_lines(table: Column) -> Column:
+    """An array of rows, the first of which is the header, as a line for each other row: "column: value" joined by pipes, as far as both go."""
+    header = F.get(table, F.lit(0))
+    cells = lambda row: F.zip_with(F.slice(header, F.lit(1), F.size(row)), F.slice(row, F.lit(1), F.size(header)), lambda a, b: F.concat(a, F.lit(": "), b))
+    rows = F.slice(table, F.lit(2), F.greatest(F.size(table) - 1, F.lit(0)))
+    return F.array_join(F.transform(rows, lambda row: F.array_join(cells(row), " | ")), "\n")
+
+
+def document_with_table(before: Column, table: Column, after: Column) -> Column:
+    """A document of sentences before a table, the table's rows as lines, and sentences after it, with blank lines between; what is missing goes.
+
+    Sentences of two characters or fewer are noise.
+    """
+    said = lambda part: F.nullif(strip(F.array_join(F.filter(part, lambda s: F.length(strip(s)) > 2), " ")), F.lit(""))
+    return F.array_join(F.array_compact(F.array(said(before), F.when(F.size(table) > 0, table_lines(table)), said(after))), "\n\n")
+
+
 def documents_from_chunks(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Chunks joined back into texts, in order of (chunk_index, chunk)."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk")))

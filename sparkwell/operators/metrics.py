@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwell import ship
-from sparkwell.functions.text import answer_tokens, multiset_overlap, normalize_answer, normalize_articles_first, scored_tokens
+from sparkwell.functions.text import answer_tokens, let, multiset_overlap, normalize_articles_first, scored_tokens
 
 ship(__name__)
 
@@ -46,22 +46,29 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def token_scores(predicted: Column, gold: Column) -> tuple[Column, Column, Column]:
-    """(precision, recall, F1) of tokens; both empty score 1, one empty 0."""
-    p, g = scored_tokens(predicted), scored_tokens(gold)
-    common, n, m = multiset_overlap(p, g), F.size(p), F.size(g)
-    empty = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0)
-    pr, rc = empty.otherwise(common / n), empty.otherwise(common / m)
-    return pr, rc, empty.otherwise(ratio(2.0 * common, (n + m).cast("double")))
+    """(precision, recall, F1) of tokens; both empty score 1, one empty 0.  Each text is cut into tokens once for all three."""
+
+    def of(t):
+        n, m, common = t["n"], t["m"], t["common"]
+        empty = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0)
+        return F.struct(empty.otherwise(common / n).alias("p"), empty.otherwise(common / m).alias("r"), empty.otherwise(ratio(2.0 * common, (n + m).cast("double"))).alias("f"))
+
+    scores = let(F.struct(scored_tokens(predicted).alias("a"), scored_tokens(gold).alias("b")), lambda t: let(F.struct(F.size(t["a"]).alias("n"), F.size(t["b"]).alias("m"), multiset_overlap(t["a"], t["b"]).alias("common")), of))
+    return scores["p"], scores["r"], scores["f"]
 
 
 def strict_scores(predicted: Column, gold: Column) -> tuple[Column, Column, Column, Column]:
     """(EM, precision, recall, F1) of short answers: all but EM 0 where one side is yes, no or noanswer and the other isn't the same, or nothing is shared."""
-    p, g = normalize_answer(predicted), normalize_answer(gold)
-    closed = p.isin("yes", "no", "noanswer") | g.isin("yes", "no", "noanswer")
-    a, b = answer_tokens(predicted), answer_tokens(gold)
-    common = multiset_overlap(a, b)
-    none = F.when(closed & (p != g), 0.0).when(common == 0, 0.0)
-    return (p == g).cast("double"), none.otherwise(common / F.size(a)), none.otherwise(common / F.size(b)), none.otherwise(2.0 * common / (F.size(a) + F.size(b)))
+
+    def of(t):
+        p, g, n, m, common = t["p"], t["g"], t["n"], t["m"], t["common"]
+        closed = p.isin("yes", "no", "noanswer") | g.isin("yes", "no", "noanswer")
+        none = F.when(closed & (p != g), 0.0).when(common == 0, 0.0)
+        return F.struct((p == g).cast("double").alias("em"), none.otherwise(common / n).alias("p"), none.otherwise(common / m).alias("r"), none.otherwise(2.0 * common / (n + m)).alias("f"))
+
+    sides = lambda t: F.struct(F.array_join(t["a"], " ").alias("p"), F.array_join(t["b"], " ").alias("g"), F.size(t["a"]).alias("n"), F.size(t["b"]).alias("m"), multiset_overlap(t["a"], t["b"]).alias("common"))
+    scores = let(F.struct(answer_tokens(predicted).alias("a"), answer_tokens(gold).alias("b")), lambda t: let(sides(t), of))
+    return scores["em"], scores["p"], scores["r"], scores["f"]
 
 
 def strict_f1(predicted: Column, gold: Column) -> Column:

@@ -15,12 +15,13 @@ def coverage(terms: Column, text: Column) -> Column:
 
 
 def trace(batches: DataFrame) -> DataFrame:
-    """(query_id, round, coverage, supportive, novelty, gain) of batches (query_id, round, id, terms, text).
+    """(query_id, round, coverage, supportive, novelty, gain) of batches (query_id, round, id, terms, text), and title where there is one.
 
     Coverage is of all contexts up to the round; a context with two terms or more is supportive; novelty is the share
     of the round's contexts that no earlier round had (1 in the first); gain is how much coverage rose.
     """
-    matched = F.filter("terms", lambda t: F.lower(F.col("text")).contains(t))
+    hay = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))) if "title" in batches.columns else F.col("text")
+    matched = F.filter("terms", lambda t: F.lower(hay).contains(t))
     rows = batches.select("query_id", "round", "id", "terms", matched.alias("m"))
     first = rows.groupBy("query_id", "id").agg(F.min("round").alias("first"))
     rows = rows.join(first, ["query_id", "id"])
@@ -32,10 +33,12 @@ def trace(batches: DataFrame) -> DataFrame:
     return out.withColumn("gain", F.greatest(F.col("coverage") - F.coalesce(before, F.lit(0.0)), F.lit(0.0)))
 
 
-def should_stop(cov: Column, supportive: Column, novelty: Column, gain: Column, round_: Column, bonus: Column | float = 0.0) -> Column:
-    """True where stopping scores at least as high as going on, and always from the third round on."""
+def should_stop(cov: Column, supportive: Column, novelty: Column, gain: Column, round_: Column, bonus: Column | float = 0.0, digits: int | None = None) -> Column:
+    """True where stopping scores at least as high as going on, to so many digits if given, and always from the third round on."""
     go = 0.55 * (1 - cov) + 0.25 * gain + 0.20 * novelty + bonus - 0.15 * round_
     stop = 0.60 * cov + 0.20 * F.least(supportive / 2, F.lit(1.0)) + F.when(round_ > 0, 0.20 * (1 - novelty)).otherwise(0.0)
+    if digits is not None:
+        stop, go = F.round(stop, digits), F.round(go, digits)
     return (round_ >= 2) | (stop >= go)
 
 

@@ -20,12 +20,16 @@ def top_k(rows: DataFrame, k: int, score: str = "score", by: str = "query_id", t
 
 
 class Best:
-    """The k best (query, key, id) that a task has seen: larger keys first, then smaller ids; kept in bounded arrays."""
+    """The k best (query, key, id) that a task has seen: larger keys first, then smaller ids; kept in bounded arrays.
 
-    def __init__(self, queries: int, k: int):
+    k is one number, or an array with a number for each query.
+    """
+
+    def __init__(self, queries: int, k):
         import numpy as np
 
-        self.queries, self.k, self.least, self.parts, self.held = queries, k, np.full(queries, -np.inf), [], 0
+        self.queries, self.k, self.least, self.parts, self.held = queries, np.broadcast_to(np.asarray(k, np.int64), queries), np.full(queries, -np.inf), [], 0
+        self.least[self.k <= 0] = np.inf
 
     def offer(self, scores, ids: list, above: float = -1.0) -> None:
         """scores: queries x rows; ids: arrays of the rows' id parts."""
@@ -35,7 +39,7 @@ class Best:
         q, r = np.nonzero((key >= self.least[:, None]) & (scores > above))
         self.parts.append((q, key[q, r], scores[q, r], *(x[r] for x in ids)))
         self.held += len(q)
-        if self.held > 2 * self.queries * self.k + 10_000:
+        if self.held > 2 * int(self.k.sum()) + 10_000:
             self.settle()
 
     def settle(self) -> tuple | None:
@@ -48,9 +52,9 @@ class Best:
         order = np.lexsort((*reversed(ids), -key, q))
         q, key, score, *ids = (x[order] for x in (q, key, score, *ids))
         nth = np.arange(len(q)) - np.searchsorted(q, q)
-        last = nth == self.k - 1
+        last = nth == self.k[q] - 1
         self.least[q[last]] = key[last]
-        keep = nth < self.k
+        keep = nth < self.k[q]
         self.parts, self.held = [tuple(x[keep] for x in (q, key, score, *ids))], int(keep.sum())
         return self.parts[0]
 
@@ -102,6 +106,11 @@ def schema_of(queries: DataFrame, rows: DataFrame) -> tuple:
     return StructType([StructField("query_id", q), StructField("id", i), StructField("score", DoubleType())]), to_arrow_type(q), to_arrow_type(i)
 
 
+def with_k(queries: DataFrame, k: int | str) -> DataFrame:
+    """queries with __k: the number, or the column of that name, where null counts as 0."""
+    return queries.withColumn("__k", F.coalesce(F.col(k).cast("int"), F.lit(0)) if isinstance(k, str) else F.lit(k))
+
+
 def in_blocks(queries: DataFrame, columns: list[str], block: int):
     """The query set, which the caller states, as lists of about `block` rows (one empty list if it is empty)."""
     n = queries.count()
@@ -119,9 +128,11 @@ def all_of(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 16384) -> DataFrame:
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int | str = 10, block: int = 16384) -> DataFrame:
     """(query_id, id, score, rank): for each query (query_id, embedding) its k nearest of vectors (id, embedding), exactly.
 
+    k may name a column of queries, so that each has a pool of its own size.
+
     The query set is stated by the caller and taken in blocks: each block is one pass over the vectors, a matrix product for
     every part of a batch, and each task keeps k rows of each query.  Scores are cosine + 1; null and zero vectors, and
     vectors of another width than the query's block, have a cosine of 0.
@@ -130,8 +141,10 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int
 
     schema, query_kind, id_kind = schema_of(queries, vectors)
     out = []
-    for rows in in_blocks(queries, ["query_id", "embedding"], block):
-        names, given = [r[0] for r in rows], [r[1] for r in rows]
+    most = 0
+    for rows in in_blocks(with_k(queries, k), ["query_id", "embedding", "__k"], block):
+        names, given, sizes = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+        most = max([most, *sizes])
         width = max((len(v) for v in given if v is not None), default=1)
         q = np.zeros((len(rows), width))
         for i, v in enumerate(given):
@@ -139,12 +152,12 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int
                 q[i] = v
         unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
-        def run(batches, unit=unit, names=names, width=width):
+        def run(batches, unit=unit, names=names, sizes=sizes, width=width):
             import numpy as np
             import pyarrow as pa
             import pyarrow.compute as pc
 
-            best = Best(len(names), k)
+            best = Best(len(names), sizes)
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
@@ -157,7 +170,15 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int
             yield from found(best, names, query_kind, id_kind)
 
         out.append(vectors.select("id", F.col("embedding").cast("array<double>")).mapInArrow(run, schema))
-    return top_k(all_of(out), k)
+    return best_of(all_of(out), queries, k, most)
+
+
+def best_of(hits: DataFrame, queries: DataFrame, k: int | str, most: int) -> DataFrame:
+    """The k best of each query's hits; where k is a column, `most` is the largest."""
+    if not isinstance(k, str):
+        return top_k(hits, k)
+    own = with_k(queries, k).select("query_id", "__k")
+    return top_k(hits, most).join(own, "query_id").where("rank <= __k").drop("__k")
 
 
 #: Rows that meet a block of queries in one matrix product, and queries of such a block.
@@ -176,10 +197,10 @@ def counts_of(words, terms):
     return code // max(len(terms), 1), code % max(len(terms), 1), tf, n
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, every: bool = False, k1: float = K1, b: float = B, block: int = 16384) -> DataFrame:
+def bm25_top_k(queries: DataFrame, docs: DataFrame, id_col: str, text: str, k: int | str, every: bool = False, k1: float = K1, b: float = B, block: int = 16384) -> DataFrame:
     """(query_id, id, score, rank): the k best of docs (id_col, text) for each query (query_id, text) by BM25.
 
-    With `every`, only documents that have each term of the query.  No postings are shuffled and no pair of query and document leaves
+    k may name a column of queries, so that each has a pool of its own size.  With `every`, only documents that have each term of the query.  No postings are shuffled and no pair of query and document leaves
     its task: one pass counts in how many documents each query term stands, a second scores parts of a batch against the query
     set, which the caller states and which is taken in blocks, by matrix products over the terms at hand, and keeps k rows
     of each query in each task.  A document that shares no term is no hit; null texts have no words but count as documents.
@@ -188,11 +209,12 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, id_col: str, text: str, k: i
     import pyarrow as pa
 
     words = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("w"))
-    asked = queries.select("query_id", F.coalesce(F.array_distinct(tokens(F.col("text"))), F.array().cast("array<string>")).alias("terms"))
+    asked = with_k(queries, k).select("query_id", F.coalesce(F.array_distinct(tokens(F.col("text"))), F.array().cast("array<string>")).alias("terms"), "__k")
     schema, query_kind, id_kind = schema_of(asked, words)
-    out = []
-    for rows in in_blocks(asked, ["query_id", "terms"], block):
-        names = [r[0] for r in rows]
+    out, most = [], 0
+    for rows in in_blocks(asked, ["query_id", "terms", "__k"], block):
+        names, sizes = [r[0] for r in rows], np.array([r[2] for r in rows], np.int64)
+        most = max([most, *sizes.tolist()])
         place = {t: i for i, t in enumerate(sorted({t for r in rows for t in r[1]}))}
         terms = pa.array(list(place), pa.string())
         # which queries ask for a term, terms one after the other
@@ -217,10 +239,10 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, id_col: str, text: str, k: i
         df = np.array([counted.get(i, 0) for i in range(len(terms))], float)
         idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
 
-        def run(batches, terms=terms, names=names, term_of=term_of, query_of=query_of, size=size, idf=idf, average=average):
+        def run(batches, terms=terms, names=names, sizes=sizes, term_of=term_of, query_of=query_of, size=size, idf=idf, average=average):
             import numpy as np
 
-            best = [Best(min(QUERIES, len(names) - q), k) for q in range(0, len(names), QUERIES)]
+            best = [Best(min(QUERIES, len(names) - q), sizes[q : q + QUERIES]) for q in range(0, len(names), QUERIES)]
             block_of = query_of // QUERIES
             asks = [(term_of[block_of == i], query_of[block_of == i] % QUERIES) for i in range(len(best))]
             for batch in batches:
@@ -246,6 +268,89 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, id_col: str, text: str, k: i
             for i, own in enumerate(best):
                 yield from found(own, names[i * QUERIES : (i + 1) * QUERIES], query_kind, id_kind)
 
+        out.append(words.mapInArrow(run, schema))
+    return best_of(all_of(out), queries, k, most)
+
+
+def fields_top_k(queries: DataFrame, docs: DataFrame, id_col: str, fields: dict[str, float], k: int, total: bool = False, every: bool = False, k1: float = K1, b: float = B, block: int = 16384) -> DataFrame:
+    """(query_id, id, score, rank): the k best of docs by several fields (text column: boost), each by BM25 with statistics of its own.
+
+    A document scores its best field's boosted score, or with `total` the sum of all.  With `every`, each term of the query must stand in
+    one field or another.  All fields are counted in one pass and scored in a second, by matrix products over the terms
+    of one field after the other; null texts have no words.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names_of, boosts = list(fields), list(fields.values())
+    none = F.array().cast("array<string>")
+    words = docs.select(F.col(id_col).alias("id"), *(F.coalesce(tokens(F.col(f)), none).alias(f"w{i}") for i, f in enumerate(names_of)))
+    asked = queries.select("query_id", F.coalesce(F.array_distinct(tokens(F.col("text"))), none).alias("terms"))
+    schema, query_kind, id_kind = schema_of(asked, words)
+    out = []
+    for rows in in_blocks(asked, ["query_id", "terms"], block):
+        names = [r[0] for r in rows]
+        place = {t: i for i, t in enumerate(sorted({t for r in rows for t in r[1]}))}
+        terms = pa.array(list(place), pa.string())
+        pairs = sorted((place[t], i) for i, r in enumerate(rows) for t in r[1])
+        term_of, query_of = (np.array([p[j] for p in pairs], np.int64) for j in (0, 1))
+        size = np.array([len(r[1]) for r in rows], np.int64)
+
+        def count(batches, terms=terms):
+            import numpy as np
+
+            held, total, length = np.zeros((len(names_of), len(terms)), np.int64), 0, np.zeros(len(names_of), np.int64)
+            for batch in batches:
+                for i in range(len(names_of)):
+                    _, term, _, n = counts_of(batch.column(i), terms)
+                    held[i] += np.bincount(term, minlength=len(terms))
+                    length[i] += int(n.sum())
+                total += batch.num_rows
+            field, at = np.nonzero(held)
+            sums = [[0, *range(len(names_of)), *field.tolist()], [-1, *[-2] * len(names_of), *at.tolist()], [total, *length.tolist(), *held[field, at].tolist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(sums[0], pa.int32()), pa.array(sums[1], pa.int64()), pa.array(sums[2], pa.int64())], ["field", "term", "n"])
+
+        counted = {(r[0], r[1]): r[2] for r in words.drop("id").mapInArrow(count, "field int, term long, n long").groupBy("field", "term").agg(F.sum("n")).collect()}  # a row for each field and query term
+        n_docs = counted.get((0, -1), 0)
+        df = np.array([[counted.get((i, t), 0) for t in range(len(terms))] for i in range(len(names_of))], float).reshape(len(names_of), len(terms))
+        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        average = [(counted.get((i, -2), 0) / n_docs if n_docs else 0.0) or 1.0 for i in range(len(names_of))]
+
+        def run(batches, terms=terms, names=names, term_of=term_of, query_of=query_of, size=size, idf=idf, average=average):
+            import numpy as np
+
+            best = [Best(min(QUERIES, len(names) - q), k) for q in range(0, len(names), QUERIES)]
+            block_of = query_of // QUERIES
+            asks = [(term_of[block_of == i], query_of[block_of == i] % QUERIES) for i in range(len(best))]
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    counts = [counts_of(part.column(i + 1), terms) for i in range(len(names_of))]
+                    here = np.unique(np.concatenate([f[1] for f in counts]))
+                    if not len(here):
+                        continue
+                    weights, there = [], np.zeros((part.num_rows, len(here)))
+                    for i, (row, term, tf, n) in enumerate(counts):
+                        col = np.searchsorted(here, term)
+                        weight = np.zeros((part.num_rows, len(here)))
+                        weight[row, col] = boosts[i] * idf[i][term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[row] / average[i]))
+                        there[row, col] = 1.0
+                        weights.append(weight)
+                    ids = id_parts(part.column(0))
+                    for i, own in enumerate(best):
+                        t, q = asks[i]
+                        c = np.searchsorted(here, t)
+                        known = here[np.minimum(c, len(here) - 1)] == t
+                        wants = np.zeros((len(here), own.queries))
+                        wants[c[known], q[known]] = 1.0
+                        score = sum(w @ wants for w in weights) if total else np.max([w @ wants for w in weights], axis=0)
+                        score = score.T
+                        if every:
+                            score[(there @ wants).T < size[i * QUERIES : i * QUERIES + own.queries, None]] = 0.0
+                        own.offer(score, ids, 0.0)
+            for i, own in enumerate(best):
+                yield from found(own, names[i * QUERIES : (i + 1) * QUERIES], query_kind, id_kind)
+
         out.append(words.mapInArrow(run, schema))
     return top_k(all_of(out), k)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.functions.text import sentences, strip, windows
+from sparkwell.functions.text import sentences, squeeze, strip, windows
 
 
 def packed(units: Column, size: int = 512, glue: str = " ") -> Column:
@@ -46,6 +46,23 @@ def summary_tree(chunks: DataFrame, fan: int = 4) -> DataFrame:
     return rows.select("doc_id", "node", F.size("p").alias("n_children"), F.array_join(firsts, " ").alias("summary"))
 
 
+def tree_records(chunks: DataFrame, fan: int = 4) -> DataFrame:
+    """(doc_id, record_type, node, text, hash_id, parent_id, child_hash_ids, n_children) of hashed chunks: a summary for every `fan` places, and the chunks as its leaves.
+
+    A summary is the first sentence of each chunk; its identity is its document's, its node's and its text's.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk", "hash_id")))
+    rows = chunks.withColumn("node", F.floor(F.col("chunk_index") / fan)).groupBy("doc_id", "node").agg(parts.alias("p"))
+    firsts = F.filter(F.transform("p", lambda x: F.get(sentences(x["chunk"]), F.lit(0))), lambda s: s.isNotNull())
+    nodes = rows.withColumn("summary", F.array_join(firsts, " "))
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.lit(":node:"), F.col("node").cast("string"), F.lit("\n"), squeeze(F.col("summary")))
+    nodes = nodes.withColumn("own", F.sha2(F.encode(key, "UTF-8"), 256))
+    none = F.lit(None).cast("string")
+    top = F.struct(F.lit("summary").alias("record_type"), F.col("summary").alias("text"), F.col("own").alias("hash_id"), none.alias("parent_id"), F.transform("p", lambda x: x["hash_id"]).alias("child_hash_ids"), F.size("p").alias("n_children"))
+    leaf = lambda x: F.struct(F.lit("leaf").alias("record_type"), x["chunk"].alias("text"), x["hash_id"].alias("hash_id"), F.col("own").alias("parent_id"), F.array().cast("array<string>").alias("child_hash_ids"), F.lit(0).alias("n_children"))
+    return nodes.select("doc_id", "node", F.explode(F.concat(F.array(top), F.transform("p", leaf))).alias("r")).select("doc_id", "node", "r.*")
+
+
 def pages(chunks: DataFrame, fan: int = 4, per: int = 4, most: int = 800) -> DataFrame:
     """(doc_id, page_number, page): of every `fan` chunks the first `per` sentences, at most `most` characters."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk")))

@@ -71,13 +71,25 @@ def linked_pages(spark, sf_dir):
     return linked(spark, sf_dir)[0].select("doc_id", "page_number", "hash_id", F.array_join("child_hash_ids", " ").alias("children"))
 
 
-@c.query(f"WITH {LINKED}, e AS (SELECT doc_id, page_number, unnest(range(len(kids))) AS child, unnest(kids) AS hash_id FROM linked WHERE page_number <= 2) SELECT e.doc_id, page_number, CAST(child AS INTEGER) AS child, e.hash_id, chunk FROM e JOIN firsts USING (hash_id)")
+@c.query(f"WITH {LINKED}, e AS (SELECT doc_id, page_number, unnest(range(len(kids))) AS child, unnest(kids) AS hash_id FROM linked) SELECT e.doc_id, page_number, CAST(child AS INTEGER) AS child, e.hash_id, chunk FROM e JOIN firsts USING (hash_id)")
 def page_children(spark, sf_dir):
-    """The first two pages of each document, read as their chunks."""
+    """Every page, read as its chunks."""
     pages, kept = linked(spark, sf_dir)
-    return chunking.children(pages.where("page_number <= 2"), kept, ["doc_id", "page_number"])
+    return chunking.children(pages, kept, ["doc_id", "page_number"])
 
 
+TREE = f"""{c.HASHED}, tn AS (SELECT doc_id, CAST(chunk_index // 4 AS BIGINT) AS node, list(hash_id ORDER BY chunk_index) AS kids, coalesce(string_agg(({c.SENTENCES.format("chunk")})[1], ' ' ORDER BY chunk_index), '') AS summary FROM firsts GROUP BY 1, 2),
+th AS (SELECT *, sha256(doc_id || ':node:' || node || chr(10) || {c.SQUEEZE.format("summary")}) AS hash_id FROM tn)"""
+
+
+@c.query(
+    f"""WITH {TREE} SELECT doc_id, 'summary' AS record_type, node, hash_id, CAST(NULL AS VARCHAR) AS parent_id, len(kids) AS n_children FROM th
+UNION ALL SELECT f.doc_id, 'leaf', th.node, f.hash_id, th.hash_id, 0 FROM firsts f JOIN th ON th.doc_id = f.doc_id AND th.node = f.chunk_index // 4"""
+)
+def tree_records(spark, sf_dir):
+    """A tree of summaries with its leaves, each of which names the summary above it."""
+    rows = variants.tree_records(ingest.hashed_chunks(docs(spark, sf_dir)))
+    return rows.select("doc_id", "record_type", "node", "hash_id", "parent_id", F.col("n_children").cast("long").alias("n_children"))
 
 
 @c.query(

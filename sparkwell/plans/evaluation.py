@@ -31,6 +31,16 @@ def gold_id(raw: Column) -> Column:
     return F.substring(F.sha2(F.encode(raw, "UTF-8"), 256), 1, 16)
 
 
+def relevant_ids(tasks: DataFrame, contexts: str = "contexts") -> DataFrame:
+    """(query_id, gold_id) of tasks (query_id, contexts): the short hashes of contexts that are marked as a reference, each once.
+
+    A context is a struct of document_id, id and reference; id stands in for a document_id that is null, and a context without either goes.
+    """
+    rows = tasks.select("query_id", F.explode(contexts).alias("x")).where(F.coalesce(F.col("x.reference"), F.lit(False)))
+    raw = F.coalesce(F.col("x.document_id"), F.col("x.id"))
+    return rows.where(raw != "").select("query_id", gold_id(raw).alias("gold_id")).distinct()
+
+
 def decision(notes: Column) -> Column:
     """What the last judge decided, as notes have it; empty if they don't."""
     return F.regexp_extract(notes, r"final judge decision=(\w+)", 1)
@@ -74,16 +84,13 @@ def finqa_accuracy(spark, sf_dir):
 
 
 @c.query(
-    f"""WITH {c.DOC_BM25}, h AS (SELECT query_id, count(*) AS hits FROM m WHERE id % 50 = 0 GROUP BY 1), g AS (SELECT item_id, item_id % 3 AS gold, coalesce(hits, 0) AS hits FROM benchmark LEFT JOIN h ON query_id = item_id)
+    f"""WITH {c.DOC_BM25}, h AS (SELECT query_id, count(*) AS hits FROM m GROUP BY 1), g AS (SELECT item_id, item_id % 3 AS gold, coalesce(hits, 0) AS hits FROM benchmark LEFT JOIN h ON query_id = item_id)
 SELECT count(*) AS rows, count(*) FILTER (WHERE gold > 0) AS scorable, count(*) FILTER (WHERE gold = 0) AS without_gold, count(*) FILTER (WHERE hits = 0) AS zero_context, count(*) FILTER (WHERE gold > 0 AND hits = 0) AS zero_hit FROM g"""
 )
 def retrieval_counters(spark, sf_dir):
-    """Questions with and without gold labels (two thirds have some), and with and without hits in every fiftieth document."""
-    from sparkwell.operators import retrieval
-
+    """Questions with and without gold labels (two thirds have some), and with and without hits."""
     q = c.questions(spark, sf_dir)
-    every = c.read(spark, sf_dir, "documents")
-    found = retrieval.bm25_top_k(q, every.withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.col("text"))), "doc_id", "text", 1).select("query_id").distinct().withColumn("hit", F.lit(True))
+    found = c.doc_hits(spark, sf_dir, 1).select("query_id").distinct().withColumn("hit", F.lit(True))
     rows = q.join(found, "query_id", "left").select((F.col("query_id") % 3 > 0).alias("gold"), F.coalesce("hit", F.lit(False)).alias("hit"))
     return counters(rows, scorable=F.col("gold"), without_gold=~F.col("gold"), zero_context=~F.col("hit"), zero_hit=F.col("gold") & ~F.col("hit"))
 
@@ -109,6 +116,14 @@ def gold_ids(spark, sf_dir):
     return c.read(spark, sf_dir, "labels").where("quality = 1").select("doc_id", gold_id(F.col("doc_id").cast("string")).alias("gold_id"))
 
 
+@c.query(f"WITH {c.DOC_BM25}, {c.top_sql('m', 5, 't')} SELECT DISTINCT query_id, substr(sha256(CAST(id AS VARCHAR)), 1, 16) AS gold_id FROM t WHERE rank <= 2")
+def reference_ids(spark, sf_dir):
+    """Of a task's five contexts the first two are its references."""
+    one = F.struct(F.lit(None).cast("string").alias("document_id"), F.col("id").cast("string").alias("id"), (F.col("rank") <= 2).alias("reference"))
+    tasks = c.doc_hits(spark, sf_dir, 5).groupBy("query_id").agg(F.collect_list(one).alias("contexts"))
+    return relevant_ids(tasks)
+
+
 @c.query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS decision FROM events")
 def decision_extract(spark, sf_dir):
     notes = F.when(F.col("event_id") % 4 == 0, "no judge").otherwise(F.concat(F.lit("round 2; final judge decision="), "event_type", F.lit("; done")))

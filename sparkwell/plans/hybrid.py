@@ -358,14 +358,16 @@ def distinct_rounds(spark, sf_dir):
 
 
 @c.query(
-    f"""WITH {c.DOC_BM25}, {c.top_sql("m", 10, "t")}, v AS (SELECT query_id, id, 2.0 * (id % 6) - id % 4 + CASE id % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 0.5 ELSE -1.0 END AS score FROM t)
+    f"""{c.CONTEXTS}, k AS (SELECT query_id, id, len({c.TERMS.format("query")}) AS n, len(list_filter({c.TERMS.format("query")}, lambda t: contains(lower(text), t))) AS s FROM x),
+v AS (SELECT query_id, id, 2.0 * s - (n - s) + CASE WHEN s >= 0.6 * n THEN 1.5 WHEN s >= 0.3 * n THEN 0.5 ELSE -1.0 END AS score FROM k)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM v"""
 )
 def debate_rerank(spark, sf_dir):
-    """A document's number stands in for a model's marks."""
-    i = F.col("id")
-    verdict = F.when(i % 3 == 0, "keep").when(i % 3 == 1, "borderline").otherwise("drop")
-    votes = c.doc_hits(spark, sf_dir, 10).select("query_id", "id", (i % 6).alias("support"), (i % 4).alias("challenge"), verdict.alias("verdict"))
+    """The query's terms speak for a document that has them and against one that lacks them; their share is the verdict."""
+    terms = T.query_terms(F.col("query"))
+    rows = c.contexts(spark, sf_dir).select("query_id", "id", F.size(terms).alias("n"), F.size(F.filter(terms, lambda t: F.lower("text").contains(t))).alias("support"))
+    verdict = F.when(F.col("support") >= 0.6 * F.col("n"), "keep").when(F.col("support") >= 0.3 * F.col("n"), "borderline").otherwise("drop")
+    votes = rows.select("query_id", "id", "support", (F.col("n") - F.col("support")).alias("challenge"), verdict.alias("verdict"))
     return fusion.debated(votes).select("query_id", "id", "score", "place")
 
 

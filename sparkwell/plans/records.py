@@ -15,6 +15,10 @@ SCHEMA = ["subject", "relation", "detail"]
 WEIGHTS = (2.0, 1.2, 0.8, 0.6)
 
 
+#: A year of the last two centuries, by itself.
+YEARS = r"(?<![\p{L}\p{N}_])(?:19|20)\d{2}(?![\p{L}\p{N}_])"
+
+
 def table_views(docs: DataFrame, id_col: str, title_col: str, text_col: str) -> DataFrame:
     """(doc_id, view, row_index, content): a summary with previews, then each row of a text read as a table.
 
@@ -169,7 +173,7 @@ def meets_constraints(haystack: Column, entities: Column, times: Column, strict:
 
 def free_of_conflict(text: Column, years: Column) -> Column:
     """The text names none but one of the years, or no year at all, or no years are asked for."""
-    named = F.regexp_extract_all(text, F.lit(r"\b(?:19|20)\d{2}\b"), F.lit(0))
+    named = F.regexp_extract_all(text, F.lit(YEARS), F.lit(0))
     return (F.size(years) == 0) | (F.size(named) == 0) | F.arrays_overlap(named, years)
 
 

@@ -30,16 +30,18 @@ class Terms:
 def in_rounds(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], provider, most: int = 3) -> DataFrame:
     """(query_id, round, id, text, rank): contexts of queries (query_id, text), round after round, until the trace says stop.
 
-    retrieve gives (query_id, id, text, rank) for (query_id, text).  The first round asks the query itself, later ones the
+    retrieve gives (query_id, id, text, rank), and title if it has one, for (query_id, text).  The first round asks the query itself, later ones the
     provider's rewriting.  Each round is checkpointed; queries that have stopped aren't asked again.
     """
     ensure_checkpoints(queries.sparkSession)
     terms = queries.select("query_id", T.query_terms(F.col("text")).alias("terms"), F.col("text").alias("whole"))
     asked, out = queries.select("query_id", "text"), None
     for n in range(most):
-        rows = retrieve(asked).select("query_id", F.lit(n).alias("round"), "id", "text", "rank")
+        found = retrieve(asked)
+        titled = ["title"] if "title" in found.columns else []
+        rows = found.select("query_id", F.lit(n).alias("round"), "id", *titled, "text", "rank")
         out = (rows if out is None else out.unionByName(rows)).checkpoint()
-        trace = policy.trace(out.join(terms.drop("whole"), "query_id").select("query_id", "round", "id", "terms", "text")).where(F.col("round") == n)
+        trace = policy.trace(out.join(terms.drop("whole"), "query_id").select("query_id", "round", "id", "terms", *titled, "text")).where(F.col("round") == n)
         stop = policy.should_stop(F.col("coverage"), F.col("supportive"), F.col("novelty"), F.col("gain"), F.col("round"))
         asked = terms.join(trace.where(~stop).select("query_id"), "query_id").select("query_id", provider.rewrite(F.col("whole"), n + 1).alias("text"))
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkwell.storage import exists, replace_table
 
@@ -12,7 +13,9 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, text): a row per file; the title is the file's name in words."""
     rows = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
-    return rows.select("path", F.initcap(F.regexp_replace(F.url_decode(stem), "[_-]", " ")).alias("title"), F.col("value").alias("text"))
+    # a path has its odd characters as percent escapes, but a plus sign as itself
+    name = F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B")))
+    return rows.select("path", F.initcap(F.regexp_replace(name, "[_-]", " ")).alias("title"), F.col("value").alias("text"))
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,8 +24,12 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines of JSON; blank and malformed ones are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Lines of JSON; blank ones, malformed ones and those whose values don't fit the schema are left out, whatever columns are read."""
+    kind = StructType.fromDDL(schema)
+    bad = "__bad" + "_" * max(map(len, kind.names), default=0)
+    whole = StructType([*kind.fields, StructField(bad, StringType())])
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"))
+    return rows.where(F.col("r").isNotNull() & F.col(f"r.{bad}").isNull()).select(*(F.col("r").getField(n).alias(n) for n in kind.names))
 
 
 def zipped_lines(spark: SparkSession, path: str, first: int = 1, last: int = 0) -> DataFrame:

@@ -31,6 +31,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; it goes when the driver's JVM ends."""
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    fs, p = place(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: what several readers use is made once, and lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_table(spark: SparkSession, path: str, schema: str, needs: tuple[str, ...] = ()) -> bool:
     """Makes an empty table where there is none, or one without the columns that it needs; True if it did."""
     if exists(spark, path) and set(needs) <= set(spark.read.parquet(path).columns):
@@ -45,14 +61,35 @@ def reset_table(spark: SparkSession, path: str, schema: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes df in place of the table at path, from which df may have been read: written beside it, then moved."""
+    """Writes df in place of the table at path, from which df may have been read: written beside it, then moved.
+
+    The old table is moved aside before and deleted last, so a crash loses neither; `recover` puts it back.  Readers that must
+    never find the path empty, and writers that may meet, use versions.Table.
+    """
     spark = df.sparkSession
+    recover(spark, path)
     fs, p = place(spark, path)
     fresh = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    fs.delete(p, True)
+    aside = place(spark, f"{path}.aside")[1]
+    if fs.exists(p) and not fs.rename(p, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(place(spark, fresh)[1], p):
+        fs.rename(aside, p)
         raise OSError(f"could not move {fresh} to {path}")
+    fs.delete(aside, True)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Puts back a table that a writer had moved aside when it died; True if there was one."""
+    fs, p = place(spark, path)
+    aside = place(spark, f"{path}.aside")[1]
+    if not fs.exists(aside):
+        return False
+    if fs.exists(p):  # it died after the move
+        fs.delete(aside, True)
+        return False
+    return fs.rename(aside, p)
 
 
 def count_where(spark: SparkSession, path: str, condition: str = "true") -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +21,12 @@ def ingest_stream(docs: DataFrame, path: str, checkpoint: str, **trigger) -> Str
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def message_key(session: Column, turn: Column) -> Column:
+    """A key of a message in which nulls are told from values, and one part from the other."""
+    part = lambda x: F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("-"))
+    return F.sha2(F.concat(F.length(part(session)).cast("string"), part(session), part(turn)), 256)
+
+
 def session_stream(messages: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Starts a query that appends a stream of messages (conv_id, turn, role, text) to the sessions' table at path.
 
@@ -28,6 +34,6 @@ def session_stream(messages: DataFrame, path: str, checkpoint: str, **trigger) -
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        insert(rows.withColumn("hash_id", F.concat_ws(":", "conv_id", "turn")), path)
+        insert(rows.withColumn("hash_id", message_key(F.col("conv_id"), F.col("turn"))), path)
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

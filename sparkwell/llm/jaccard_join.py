@@ -191,7 +191,20 @@ def groups(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         seen: set = set()
-        rest_s, rest_g = np.empty(0, np.int64), np.empty(0, np.int64)
+        last, held, total, base = None, [], 0, 0  # the signature that may go on, and its digests so far
+
+        def push(g):
+            """Keeps digests of the open signature; copies go now and then, so a hot one costs linear time and its own size."""
+            nonlocal held, total, base
+            held.append(np.unique(g))
+            total += len(held[-1])
+            if total > 2 * base + 100_000:
+                held = [np.unique(np.concatenate(held))]
+                total = base = len(held[0])
+
+        def flush():
+            g = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
+            return out(np.full(len(g), last, np.int64), g) if len(g) > 1 else None
 
         def out(s, g):
             if not len(s):
@@ -211,17 +224,23 @@ def groups(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = np.concatenate([rest_s, batch.column(0).to_numpy()])
-            g = np.concatenate([rest_g, batch.column(1).to_numpy()])
+            s, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            start = int(np.searchsorted(s, last, "right")) if last is not None else 0
+            if start:
+                push(g[:start])
+            if start == len(s):
+                continue
+            if (b := flush()) is not None:
+                yield b
             cut = int(np.searchsorted(s, s[-1]))  # the last signature may go on
-            rest_s, rest_g = s[cut:], np.unique(g[cut:])
-            rest_s = rest_s[: len(rest_g)]
-            twice = s[:cut]
+            last, held, total, base = int(s[-1]), [], 0, 0
+            push(g[cut:])
+            twice = s[start:cut]
             same = np.concatenate([[False], twice[1:] == twice[:-1]])
-            multi = same | np.concatenate([same[1:], [False]]) if cut else same[:0]
-            if (b := out(twice[multi], g[:cut][multi])) is not None:
+            multi = same | np.concatenate([same[1:], [False]]) if len(twice) else same[:0]
+            if (b := out(twice[multi], g[start:cut][multi])) is not None:
                 yield b
-        if (b := out(rest_s, rest_g)) is not None:
+        if (b := flush()) is not None:
             yield b
 
     dealt = rows.select(F.explode("sigs").alias("s"), "g").repartition("s").sortWithinPartitions("s")
@@ -429,7 +448,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     rows, named = classified(docs, id_col, text_col, width, num, den)
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of = named.join(least, "label").select(F.col("g").alias("__g"), "component_id")
-    out = rows.join(of, (F.col("g") == F.col("__g")) & (F.col("n") > 0), "left")
+    out = rows.where("n > 0").join(of, F.col("g") == F.col("__g"), "left").select("id", "n", "component_id")
+    # texts without words all have one digest: they link with nothing and stay out of the join
+    out = out.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -596,6 +596,23 @@ def test_similar_sets_share_a_signature(n2, k2):
         assert len(a) == len(b) or set(sig[: count[0]]) & set(sig[count[0] :])
 
 
+def test_a_signature_that_very_many_sets_share(spark):
+    """A hot signature's digests, copies among them, come as one group, beside small ones on either side of it; time is about linear."""
+    import time
+
+    n, took = 100_000, []
+    small = [([1, 2], 5), ([1], 6), ([9], 7), ([2], 8), ([8], 5), ([8], 6), ([3], 1)]
+    for times in (1, 4):
+        hot = spark.range(0, n * times, 1, 4).select(F.array(F.lit(5).cast("long")).alias("sigs"), F.pmod("id", F.lit(n)).alias("g"))
+        rows = hot.unionByName(spark.createDataFrame(small, "sigs array<long>, g long"))
+        began = time.time()
+        found = jaccard_join.groups(rows).groupBy("s").agg(F.count("*").alias("n"), F.countDistinct("g").alias("d"), F.sum("g").alias("g")).collect()
+        took.append(time.time() - began)
+        # digests 5 and 6 share two signatures, and are one group
+        assert sorted((r.n, r.d, r.g) for r in found) == [(2, 2, 11), (2, 2, 13), (n, n, n * (n - 1) // 2)]
+    assert took[1] < 30
+
+
 def test_jaccard_awkward(spark, awkward):
     got = jaccard_join.linked(awkward).collect()
     by = {i: {(r.n_shingles, r.component_id) for r in got if r.doc_id == i} for i in (1, 2, 3, 4, 5, 7, 8)}
@@ -796,9 +813,10 @@ def test_factorisation_identity():
 
 
 def best_path(text, scores, unknown):
-    if not text:
-        return []
-    w = sp.SPACE + text.replace(" ", sp.SPACE)
+    return best_ids(sp.SPACE + text.replace(" ", sp.SPACE), scores, unknown) if text else []
+
+
+def best_ids(w, scores, unknown):
     best = [(0.0, 0, [])]
     for j in range(1, len(w) + 1):
         options = [(best[i][0] + scores[w[i:j]][1], i, [scores[w[i:j]][0]]) for i in range(max(0, j - 16), j) if w[i:j] in scores]
@@ -826,6 +844,20 @@ def test_sentencepiece(spark, docs, awkward):
     assert sp.encode(empty(spark)).count() == 0
 
 
+def test_sentencepiece_checksum(spark, docs, awkward, tmp_path):
+    """The query's digests from ids of brute force: the same hashes over units whose ids come from plain dynamic programming."""
+    pieces, facts = sp.piece_table(spark)
+    scores = {r.piece: (r.id, r.score) for r in pieces.collect()}
+    some = docs.where("length(text) < 1200").select("doc_id", "text").unionByName(awkward.where("doc_id in (1, 2, 3, 9, 10)").select("doc_id", "text"))
+    some.write.parquet(f"{tmp_path}/d/documents.parquet")
+    rows = [(r.doc_id, r.text, i, best_ids(u.replace(" ", sp.SPACE), scores, facts["unknown"])) for r in some.select("doc_id", "text", sp.units(F.col("text")).alias("u")).collect() for i, u in enumerate(r.u or [])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, pos int, ids array<int>")
+    one = F.shiftrightunsigned(F.xxhash64("pos", F.xxhash64("ids")), 28)
+    want = {(r.doc_id, r.n, r.s) for r in frame.groupBy("doc_id", "text").agg(F.sum(F.size("ids")).alias("n"), F.sum(one).alias("s")).collect()}
+    got = {(r.doc_id, r.n_pieces, r.ids_checksum) for r in sp.op10_sentencepiece(spark, f"{tmp_path}/d").collect()}
+    assert {g for g in got if g[1]} == want and len(want) > 20 and all(g[2] == 0 for g in got if not g[1])
+
+
 def test_sentencepiece_repeated_rows(spark, awkward, tmp_path):
     rows = awkward.unionByName(awkward.where("doc_id is null or doc_id in (1, 2, 3, 7, 10)")).select("doc_id", "text")
     encoded = sp.encode(rows)
@@ -895,6 +927,28 @@ def test_pipeline_stages(spark, data):
     assert ids == {i for i, _ in left}
 
 
+@pytest.mark.parametrize("case", ["empty", "nulls", "copies", "clashing"])
+def test_pipeline_of_awkward_tables(spark, data, tmp_path, awkward, case):
+    """An empty table, nulls in all columns, copies alone, and columns that have the stages' own names."""
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    good = docs.join(labels.where("quality = 1"), "doc_id").select(*docs.columns).orderBy("doc_id").limit(20)
+    frame = {
+        "empty": docs.limit(0),
+        "nulls": awkward.select(*docs.columns),
+        "copies": good.limit(1).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("x"),
+        "clashing": good.withColumns({c: F.lit(1) for c in ("n_words", "score", "g", "k1", "label", "line", "y", "__id", "base_failed")}),
+    }[case]
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if case in ("empty", "copies"):
+        assert len({r.doc_id for r in out}) == (case == "copies")
+    if case == "clashing":
+        assert out and {r.doc_id for r in out} <= {r.doc_id for r in good.collect()}
+
+
 def test_pipeline_learns_from_the_whole_table(spark, data):
     """Stage 2 has its own list, although stage 1 leaves hardly a bad labelled document to learn from."""
     import corpus_pipeline

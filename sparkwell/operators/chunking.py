@@ -135,7 +135,8 @@ def first_of_title(paragraphs: DataFrame, title: str, order: list[str], sentence
 def request_batches(rows: DataFrame, id_col: str, text_col: str, items: int = 64, chars: int = 24_000) -> DataFrame:
     """(ids, n_chars): rows put together for requests of at most `items` texts and `chars` characters, in each task in its order.
 
-    A longer text is a request of its own; null and empty texts count as one character.
+    A longer text is a request of its own; null and empty texts count as one character.  Which rows share a request follows from how
+    rows are dealt to tasks: after a repartition other requests hold the same rows.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -1,4 +1,7 @@
-"""Retrieval for whole DataFrames of queries: exact cosine, BM25, boosts, diversity, neighbours and scopes."""
+"""Retrieval for whole DataFrames of queries: exact cosine, BM25, boosts, diversity, neighbours and scopes.
+
+cosine_top_k, bm25_top_k and fields_top_k read the query set, and BM25 counts its terms, by jobs that run while the plan is made.
+"""
 
 from __future__ import annotations
 

@@ -33,11 +33,6 @@ def structure_chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> Dat
     return docs.select("doc_id", F.posexplode(packed(structure_units(F.col("text"), size, overlap), size)).alias("chunk_index", "chunk"))
 
 
-def sentence_children(chunks: DataFrame) -> DataFrame:
-    """(doc_id, chunk_index, sentence_index, sentence): child records of each chunk."""
-    return chunks.select("doc_id", "chunk_index", F.posexplode(sentences(F.col("chunk"))).alias("sentence_index", "sentence"))
-
-
 def summary_tree(chunks: DataFrame, fan: int = 4) -> DataFrame:
     """(doc_id, node, n_children, summary): for every `fan` chunks the first sentence of each, joined."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk")))

@@ -33,7 +33,7 @@ def evidence_stop(cov: Column, supportive: Column) -> Column:
 
 
 def needs_correction(cov: Column, supportive: Column) -> Column:
-    return 0.7 * cov + 0.3 * F.least(supportive / 2, F.lit(1.0)) < 0.45
+    return F.round(0.7 * cov + 0.3 * F.least(supportive / 2, F.lit(1.0)), 9) < 0.45
 
 
 def conditioned(score: Column, said_nothing: Column, should_say_nothing: Column) -> Column:
@@ -95,8 +95,7 @@ def rule_controllers(spark, sf_dir):
     e = F.col("event_id")
     x = c.read(spark, sf_dir, "events").select("event_id", ((e % 11) / 10).alias("cov"), (e % 4).alias("sup"), (e % 3).alias("nov"), (e % 5).alias("ov"), (e % 2).alias("rnd"))
     cov, sup, nov, ov, rnd = (F.col(k) for k in ("cov", "sup", "nov", "ov", "rnd"))
-    fix = F.round(0.7 * cov + 0.3 * F.least(sup / 2, F.lit(1.0)), 9) < 0.45
-    return x.select("event_id", rule_stop(cov, sup, nov, ov, rnd).alias("rule_stop"), evidence_stop(cov, sup).alias("evidence_stop"), fix.alias("correct"))
+    return x.select("event_id", rule_stop(cov, sup, nov, ov, rnd).alias("rule_stop"), evidence_stop(cov, sup).alias("evidence_stop"), needs_correction(cov, sup).alias("correct"))
 
 
 def abstains_sql(tokens: str) -> str:

@@ -82,7 +82,9 @@ def corrected(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 RICH_SQL = "(len(string_split(" + c.SQUEEZE.format("text") + ", ' ')) >= 12 OR " + " OR ".join(f"contains(lower(text), '{x}')" for x in policy.RICH_CUES) + ")"
-POOLS = f"""pq AS (SELECT item_id AS query_id, text, {RICH_SQL} AS rich, array_to_string(({c.TERMS.format("text")})[1:8], ' ') AS rw FROM benchmark),
+#: All terms of a text, in order, repeated ones too.
+ALL_TERMS = c.TERMS.removeprefix("list_distinct(").removesuffix(")")
+POOLS = f"""pw AS (SELECT item_id AS query_id, text, {RICH_SQL} AS rich, {ALL_TERMS.format("text")} AS ws FROM benchmark), pq AS (SELECT query_id, text, rich, array_to_string(list_filter(ws, lambda t, i: list_position(ws, t) = i)[1:8], ' ') AS rw FROM pw),
 pa AS (SELECT query_id, text AS whole, CASE WHEN rich THEN 15 ELSE 10 END AS pool, CASE WHEN rich AND rw <> '' THEN rw ELSE text END AS asked, CASE WHEN rw <> '' THEN rw ELSE text END AS rw FROM pq)"""
 
 

@@ -93,6 +93,16 @@ def query_text(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+@c.query(
+    r"""WITH l AS (SELECT conv_id, turn, list_transform(string_split('|' || role || '|: ' || text, chr(10)), lambda x: trim(regexp_replace(trim(x), '^\|(user|assistant|agent)\|:', ''))) AS ls FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter(ls, lambda x: x <> ''), chr(10)) AS asked FROM l"""
+)
+def clean_queries(spark, sf_dir):
+    """Turns with a speaker's mark in front, as files of queries have them, without it and without blank lines."""
+    marked = F.concat(F.lit("|"), "role", F.lit("|: "), "text")
+    return c.read(spark, sf_dir, "conversations").select("conv_id", "turn", query_text(marked).alias("asked"))
+
+
 def messages(turns: DataFrame, role_col: str, text_col: str) -> DataFrame:
     """The turns of users and assistants that say something, roles named alike."""
     who = T.strip(F.lower(role_col))

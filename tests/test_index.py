@@ -123,6 +123,23 @@ def test_pool_rules(spark):
     assert row == pytest.approx(1.0)
 
 
+def test_poor_hits_are_corrected(spark):
+    """A question most of whose terms aren't found is asked again in its terms, from a pool of four times k; rich ones were asked so already."""
+    docs = spark.createDataFrame([(i, f"the river number{i} and the fox{i % 3}") for i in range(30)] + [(99, None)], "doc_id long, text string")
+    asked = [(1, "a river and the fox1"), (2, "zebra okapi quagga river"), (3, "the zebra of okapi and quagga in river"), (4, "compare zebra okapi quagga unicorn"), (5, None), (6, "the")]
+    q = spark.createDataFrame(asked, "query_id long, text string")
+    rows = plans.corrected(q, docs, 2).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault((r.query_id, r.corrected), []).append(r.id)
+    # 2 is its own terms already, and 4 is rich: neither is asked again; 3 is
+    assert {k for k in got if k[1]} == {(3, True)} and (2, False) in got and (4, False) in got
+    again = plans.pooled(spark.createDataFrame([(3, "zebra okapi quagga river", 8)], "query_id long, asked string, pool int"), docs, 2)
+    assert got[3, True] == [r.id for r in again.orderBy("rank").collect()]
+    once = plans.pooled(plans.pools(q.where("query_id in (1, 2, 4)"), 2), docs, 2).orderBy("query_id", "rank").collect()
+    assert [(q_, i) for (q_, _), ids in sorted(got.items()) if q_ in (1, 2, 4) for i in ids] == [(r.query_id, r.id) for r in once]
+
+
 def test_rare_names_link(spark):
     rows = [(d, "pair") for d in (1, 2)] + [(d, "four") for d in (1, 2, 3, 9)] + [(d, "common") for d in range(6)] + [(1, "alone"), (1, "pair"), (None, "pair"), (4, None)]
     got = {(r.a, r.b): r.weight for r in links.shared_names(spark.createDataFrame(rows, "doc_id int, entity string"), rare=5).collect()}

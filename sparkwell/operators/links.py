@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sparkwell.storage import written
@@ -51,7 +51,7 @@ def moved(ends: DataFrame, degrees: DataFrame, now: DataFrame, total: float, tur
     """(node, community, moves): each node of this turn's half in the neighbouring community that gains most, others where they are.
 
     ends (src, dst, weight) without links of a node to itself; degrees (node, k); now (node, community).  Only half of the
-    nodes, by a hash of node and turn, may move, so that two that would change places don't.
+    nodes, by a hash that changes every second turn, may move, so that two that would change places don't; turns 2 n and 2 n + 1 reach all.
     """
     weight_of = degrees.join(now, "node").groupBy("community").agg(F.sum("k").alias("tot"))
     to = ends.join(now.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
@@ -61,7 +61,7 @@ def moved(ends: DataFrame, degrees: DataFrame, now: DataFrame, total: float, tur
     rows = choices.join(weight_of, "community").join(degrees, "node").join(own, "node")
     stays = F.col("community") == F.col("own")
     gain = F.round(F.col("w") - F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / total, 9)
-    may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+    may = F.pmod(F.xxhash64("node", F.lit(turn // 2)) + turn, F.lit(2)) == 0
     best = rows.where(may | stays).groupBy("node").agg(F.max_by("community", F.struct(gain, stays.cast("int"), F.hash("community"))).alias("community"), F.first("own").alias("own"))
     return best.select("node", "community", (F.col("community") != F.col("own")).alias("moves"))
 
@@ -69,8 +69,8 @@ def moved(ends: DataFrame, degrees: DataFrame, now: DataFrame, total: float, tur
 def louvain(links: DataFrame, turns: int = 12, levels: int = 6, least: float = 1e-4) -> DataFrame:
     """(node, community): communities of links (a, b, weight) by modularity, named by their smallest node.
 
-    Rounds of joins move nodes while modularity grows; then each community becomes a node and the same is done with
-    these, until a level adds less than `least`.  Every round is written to the shared folder.  Nodes without links aren't here.
+    Rounds of joins move nodes to where they gain, until none moves; then each community becomes a node and the same is done with
+    these, until a level adds less than `least`.  Every round is one job, written to the shared folder.  Nodes without links aren't here.
     """
     base = written(links.select("a", "b", F.col("weight").cast("double").alias("weight")), "links")
     total = 2.0 * (base.agg(F.sum("weight")).first()[0] or 0.0)
@@ -82,17 +82,15 @@ def louvain(links: DataFrame, turns: int = 12, levels: int = 6, least: float = 1
         ends = both_ways(edges)
         degrees = written(ends.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "degrees")
         outer = written(ends.where("src <> dst"), "ends")
-        now, reached, still = written(degrees.select("node", F.col("node").alias("community")), "level"), None, 0
+        now, still = written(degrees.select("node", F.col("node").alias("community")), "level"), 0
         for turn in range(turns):
-            step = written(moved(outer, degrees, now, total, turn), "level")
-            still = still + 1 if step.where("moves").isEmpty() else 0
-            now = step.select("node", "community")
-            value = modularity(edges, now)
-            if reached is None or value > reached[0]:
-                reached = (value, now)
-            if still == 2:  # neither half moves
+            seen = Observation()
+            step = moved(outer, degrees, now, total, turn).observe(seen, F.count_if("moves").alias("moves"))
+            now = written(step, "level").select("node", "community")
+            still = still + 1 if not seen.get["moves"] else 0
+            if still >= 2 and turn % 2:  # neither half moves
                 break
-        value, now = reached
+        value = modularity(edges, now)
         if value < best + least:
             break
         best = value

@@ -54,7 +54,7 @@ def embedding_cache(spark, sf_dir):
 
 
 @c.query(
-    "SELECT doc_id, CASE WHEN lang = 'en' THEN 'changed' WHEN source = 'src0' THEN 'old' ELSE 'new' END AS version, sha256(CASE WHEN lang = 'en' THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END) AS text_sha256 FROM documents"
+    "SELECT doc_id, CASE WHEN lang = 'en' THEN 'changed' WHEN source = 'src0' THEN 'old' ELSE 'new' END AS version, sha256(CASE WHEN lang = 'en' THEN 'changed: ' || coalesce(text, '') ELSE coalesce(text, '') END) AS text_sha256 FROM documents"
 )
 def table_lifecycle(spark, sf_dir):
     """A versioned table is made, filled from one source, filled up with what it lacks, changed in part, emptied by mistake, restored and checked."""
@@ -63,7 +63,7 @@ def table_lifecycle(spark, sf_dir):
     docs = c.read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("hash_id"), "source", F.coalesce("text", F.lit("")).alias("text"), "lang")
     table.insert(docs.where("source = 'src0'").drop("lang").withColumn("version", F.lit("old")), "hash_id")
     table.insert(docs.drop("lang").withColumn("version", F.lit("new")), "hash_id")
-    changed = docs.where("lang = 'en'").drop("lang").withColumn("text", F.upper("text")).withColumn("version", F.lit("changed"))
+    changed = docs.where("lang = 'en'").drop("lang").withColumn("text", F.concat(F.lit("changed: "), "text")).withColumn("version", F.lit("changed"))
     good = table.upsert(changed, "hash_id", "doc_id")
     table.reset(table.read().schema)
     table.restore(good.number)

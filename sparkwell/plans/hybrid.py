@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkwell import catalogue as c
 from sparkwell.functions import text as T
-from sparkwell.operators import embedding, fusion, policy, retrieval
+from sparkwell.operators import embedding, fusion, graph, policy, retrieval
 
 # A word's edges, with letters and digits of any script.
 EDGE, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -33,8 +33,11 @@ def exact_route(query: Column) -> Column:
 
 
 def anchor_route(query: Column) -> Column:
-    """True for queries with quotes, two capitalised words of three characters or more, numbers, or a cue."""
-    rare = F.size(F.regexp_extract_all(query, F.lit(EDGE + r"[A-Z][A-Za-z0-9&.-]{2,}" + END), F.lit(0))) >= 2
+    """True for queries with quotes, two capitalised words of three characters or more, numbers, or a cue.
+
+    A word may have points and hyphens, but ends at a letter's or digit's edge: the full stop behind a short word doesn't lengthen it.
+    """
+    rare = F.size(F.regexp_extract_all(query, F.lit(EDGE + r"[A-Z][A-Za-z0-9&.-]{2,}" + graph.EDGE), F.lit(0))) >= 2
     return query.rlike("[\"']") | rare | query.rlike(r"\$\d|" + EDGE + r"\d+(\.\d+)?" + "(%|" + END + ")") | has(query, ANCHOR_CUES)
 
 

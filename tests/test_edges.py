@@ -5,6 +5,7 @@ from oracle import by_sql, rows
 
 from sparkwell.catalogue import ORACLE, QUERIES
 
+STOPS = ["La. Ètion ré. Ouier, an", "La. Ai. un", "La-b Ou&c un", "A.B.é C.D.e un", "Ab- Cd& un", "Abc Déf", "Abc. Def.", "$5 un", "12.é"]
 ACRONYMS = ["die ungö SSö tzß er heit keit", "ÉTAT de la vie pour une que", "UN de la vie pour une que", "XX_ de la vie pour une que", "aBB de la vie pour une que", "ö ß"]
 
 
@@ -18,7 +19,7 @@ def with_questions(data, folder, spark, texts) -> str:
     return str(folder)
 
 
-@pytest.mark.parametrize("name, texts", [("hybrid_weighted", ACRONYMS)])
+@pytest.mark.parametrize("name, texts", [("hybrid_weighted", ACRONYMS), ("query_routes", STOPS)])
 def test_edges_of_words(spark, data, tmp_path, name, texts):
     folder = with_questions(data, tmp_path, spark, texts)
     assert rows(QUERIES[name](spark, folder).toPandas()) == rows(by_sql(ORACLE[name], folder))

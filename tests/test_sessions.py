@@ -255,3 +255,14 @@ def test_rounds_keep_to_their_provider(spark, find):
     """The older loop over the same texts still stops where the trace says."""
     out = rounds.in_rounds(spark.createDataFrame(ASKED, "query_id int, text string"), find, rounds.Terms())
     assert {r.round for r in out.select("round").distinct().collect()} <= {0, 1, 2}
+
+
+def test_stateful_queries_are_every_hundredth_conversation(spark, tmp_path):
+    """Their profiles are those of all turns of that conversation; other conversations are no queries, and all documents are searched."""
+    turns = [(i, t, "user", f"Where is Town{i} on turn {t}?") for i in (0, 7, 100, 150, 200) for t in (0, 1)]
+    docs = [(i, f"s{i % 3}", f"Town{i} lies at the river on turn.") for i in range(0, 210, 5)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sessions.stateful(spark, str(tmp_path)).collect()
+    assert {r.query_id for r in rows} == {0, 100, 200}
+    assert {(r.query_id, r.id) for r in rows if r["rank"] == 1 and r.mode == "strict"} == {(0, 0), (100, 100), (200, 200)}

@@ -182,3 +182,25 @@ def test_nqc_reads_a_hundred_scores(spark, data):
     assert any(len(x) > 20 for x in best.values())
     got = {r.query_id: r.nqc for r in c.QUERIES["nqc_route"](spark, data).collect()}
     assert got == pytest.approx({q: pstdev(x) / fmean(x) for q, x in best.items()}, abs=2e-6)
+
+
+def test_cosine_takes_queries_in_parts(spark, monkeypatch):
+    """No matrix has a row for every query of the set; hits are those of plain numpy."""
+    import numpy as np
+
+    class Bounded(retrieval.Best):
+        def offer(self, scores, ids, above=-1.0):
+            assert len(scores) <= 3, "scores of too many queries at once"
+            super().offer(scores, ids, above)
+
+    monkeypatch.setattr(retrieval, "Best", Bounded)
+    monkeypatch.setattr(retrieval, "QUERIES", 3)
+    rnd = np.random.default_rng(5)
+    v = rnd.integers(-3, 4, (40, 4)).astype(float)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    queries = vectors.where("id % 4 = 0").withColumnRenamed("id", "query_id").withColumn("k", F.col("query_id").cast("int") % 3 + 2)
+    got = {(r.query_id, r["rank"]): r.id for r in retrieval.cosine_top_k(queries, vectors, "k").collect()}
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    score = np.round(unit @ unit.T + 1, 9)
+    want = {(q, n + 1): i for q in range(0, 40, 4) for n, i in enumerate(sorted(range(40), key=lambda i: (-score[q, i], i))[: q % 3 + 2])}
+    assert got == want

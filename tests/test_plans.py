@@ -235,3 +235,19 @@ def test_reports(spark):
     assert (got.n, got.em) == (2, 0.5)
     df = spark.createDataFrame([("Paris is big", "paris"), ("", "x"), ("the", "")], "s string, p string")
     assert [r[0] for r in df.select(metrics.extractiveness(F.col("s"), F.col("p"))).collect()] == [1.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("block, part", [(256, 2048), (2, 3)])
+def test_best_walked_equals_walks(spark, block, part):
+    """The documents that walks visit most, whatever the blocks of queries and the parts of documents are; rows of a node aren't joined link by link."""
+    rnd = np.random.default_rng(9)
+    links = [(int(d), f"n{e}") for d in range(14) for e in rnd.choice(9, 3, replace=False)] + [(20, "alone"), (20, "alone")]
+    seeds = [(q, f"n{q}", None, 1.0) for q in range(5)] + [(q, None, str(d), 0.25) for q in range(5) for d in (q, q + 3)] + [(7, "alone", None, 1.0)]
+    m = spark.createDataFrame(links, "doc_id long, entity string")
+    s = spark.createDataFrame(seeds, "query_id int, entity string, doc_id string, weight double")
+    entity, doc = F.concat(F.lit("e:"), "entity"), F.concat(F.lit("d:"), F.col("doc_id").cast("string"))
+    slow = graph.walks(s.select("query_id", F.coalesce(entity, doc).alias("node"), "weight"), m.select(entity.alias("a"), doc.alias("b")), rounds=10).where("node like 'd:%'")
+    want = {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieval.top_k(slow.select("query_id", F.expr("substr(node, 3)").alias("id"), F.col("rank").alias("score")), 2).collect()}
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in graph.best_walked(s, m, 2, rounds=10, block=block, part=part).collect()}
+    assert {x: v[0] for x, v in got.items()} == {x: v[0] for x, v in want.items()}
+    assert [got[x][1] for x in sorted(got)] == pytest.approx([want[x][1] for x in sorted(got)], abs=1e-9)

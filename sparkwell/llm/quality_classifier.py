@@ -177,7 +177,10 @@ def learn(docs: DataFrame, labels: DataFrame, **columns) -> Machine | None:
         return None
     x, col, val = (found.column(c).combine_chunks() for c in ("x", "col", "val"))
     row = np.repeat(np.arange(found.num_rows), np.diff(col.offsets.to_numpy()))
-    return fit((x.flatten().to_numpy().reshape(-1, N_STATS), row, col.flatten().to_numpy(), val.flatten().to_numpy()), found.column("y").to_pylist())
+    machine = fit((x.flatten().to_numpy().reshape(-1, N_STATS), row, col.flatten().to_numpy(), val.flatten().to_numpy()), found.column("y").to_pylist())
+    del found, x, col, val, row
+    trim()  # the driver goes on to other stages
+    return machine
 
 
 def scored(machine: Machine | None, texts: list, buckets: Words) -> np.ndarray:

@@ -149,7 +149,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **columns) -
     sample = with_stats(labelled_sample(docs, labels, rows=rows, seed=23, **columns)).select("key", "y", *NAMES).collect()
     sample = sorted(map(tuple, sample))
     x = np.array([r[2:] for r in sample], np.float64).reshape(-1, len(NAMES))
-    return learn_rules(x, np.array([r[1] == 0 for r in sample], bool))
+    rules = learn_rules(x, np.array([r[1] == 0 for r in sample], bool))
+    del sample, x
+    trim()  # the driver goes on to other stages
+    return rules
 
 
 def apply_rules(docs: DataFrame, rules: list[list[Term]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

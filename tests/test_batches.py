@@ -2,9 +2,10 @@
 
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 
-from sparkwell.operators import retrieval
+from sparkwell.operators import embedding, retrieval
 
 
 def peak(f):
@@ -29,3 +30,12 @@ def test_parts_of_a_batch():
     tf, most = peak(lambda: sum(int(retrieval.counts_of(p.column(1), terms)[2].sum()) for p in retrieval.parts_of(batch.slice(5), [1])))
     assert tf == 900_000 and most < 20
     assert list(retrieval.parts_of(batch.slice(0, 0), [1])) == []
+
+
+def test_counts_by_bucket():
+    own = np.random.default_rng(1).integers(0, 8, (2000, 500)).astype(np.int32)
+    lists = [None, [], *own.tolist()]
+    x = pa.array(lists, pa.list_(pa.int32()))
+    got, most = peak(lambda: embedding.counts_by_bucket(x, 8))
+    assert got.to_pylist() == [np.bincount(r or [0], minlength=8).astype(float).tolist() if r else [0.0] * 8 for r in lists]
+    assert most < 5

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.functions.text import sentences, squeeze, strip, windows
+from sparkwell.functions.text import let, sentences, squeeze, strip, windows
 
 
 def packed(units: Column, size: int = 512, glue: str = " ") -> Column:
@@ -85,12 +87,21 @@ LABELS = [
 GENERAL = "general/fact/entity"
 
 
+def has_any(text: Column, words: list[str]) -> Column:
+    """Whether one of the words stands in the text, inside others too."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+
+
 def taxonomy(title: Column, text: Column) -> Column:
     """Labels that title and text together give, joined by " > "; words count inside others."""
-    all_ = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
-    dated = F.when(all_.rlike(r"(?<![\p{L}\p{N}_])\d{4}(?![\p{L}\p{N}_])"), F.lit(DATED))
-    found = F.array_compact(F.array(dated, *(F.when(all_.rlike("|".join(words)), F.lit(name)) for name, words in LABELS)))
-    return F.when(F.size(found) > 0, F.array_join(found, " > ")).otherwise(GENERAL)
+
+    def of(low):
+        # what stands before is looked at behind four digits alone, not at every place
+        dated = F.when(low.rlike(r"\d{4}(?<![\p{L}\p{N}_]\d{4})(?![\p{L}\p{N}_])"), F.lit(DATED))
+        return F.array_compact(F.array(dated, *(F.when(has_any(low, words), F.lit(name)) for name, words in LABELS)))
+
+    found = let(F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))), of)
+    return let(found, lambda x: F.when(F.size(x) > 0, F.array_join(x, " > ")).otherwise(GENERAL))
 
 
 # Parts of a sentence that tell a cause or an outcome, and words that salient terms leave out.
@@ -99,23 +110,26 @@ RESOLUTION_CUES = ["won", "became", "result", "led", "served", "located", "marri
 CARD_STOPWORDS = ["the", "and", "for", "with", "that", "from", "this", "was", "are", "into"]
 
 
-def card(title: Column, text: Column) -> tuple[Column, Column, Column, Column]:
+def card(title: Column, text: Column) -> Column:
     """(cause, evidence, resolution, terms) of a knowledge card: the first sentence with a cue for a cause, the first two
     sentences, the last with a cue for an outcome, and the first eight distinct ASCII terms of four characters or more.
 
     Where no sentence has a cue the first sentence stands in, and for a text without sentences its first 220 characters
-    (320 as evidence); null counts as empty.
+    (320 as evidence); null counts as empty.  It is one struct, so that a text is cut into sentences once for all of them.
     """
     title, text = F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))
-    ss = sentences(text)
-    lead = F.coalesce(F.get(ss, F.lit(0)), F.substring(text, 1, 220))
-    with_cue = lambda cues: F.filter(ss, lambda s: F.lower(s).rlike("|".join(cues)))
-    cause = F.coalesce(F.get(with_cue(CAUSE_CUES), F.lit(0)), lead)
-    outcome = F.coalesce(F.try_element_at(with_cue(RESOLUTION_CUES), F.lit(-1)), lead)
-    evidence = F.when(F.size(ss) > 0, F.array_join(F.slice(ss, 1, 2), " ")).otherwise(F.substring(text, 1, 320))
-    words = F.regexp_extract_all(F.lower(F.concat(title, F.lit(" "), text)), F.lit("[a-z0-9]+"), F.lit(0))
-    terms = F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(CARD_STOPWORDS))), 1, 8)
-    return cause, evidence, outcome, F.array_join(terms, " ")
+    words = F.regexp_extract_all(F.lower(F.concat(title, F.lit(" "), text)), F.lit("[a-z0-9]{4,}"), F.lit(0))
+    terms = F.slice(F.filter(F.array_distinct(words), lambda w: ~w.isin(CARD_STOPWORDS)), 1, 8)
+
+    def of(ss):
+        lead = F.coalesce(F.get(ss, F.lit(0)), F.substring(text, 1, 220))
+        with_cue = lambda cues: F.filter(ss, lambda s: let(F.lower(s), lambda low: has_any(low, cues)))
+        cause = F.coalesce(F.get(with_cue(CAUSE_CUES), F.lit(0)), lead)
+        outcome = F.coalesce(F.try_element_at(with_cue(RESOLUTION_CUES), F.lit(-1)), lead)
+        evidence = F.when(F.size(ss) > 0, F.array_join(F.slice(ss, 1, 2), " ")).otherwise(F.substring(text, 1, 320))
+        return F.struct(cause.alias("cause"), evidence.alias("evidence"), outcome.alias("resolution"), F.array_join(terms, " ").alias("terms"))
+
+    return let(sentences(text), of)
 
 
 def card_text(title: Column, cause: Column, evidence: Column, resolution: Column, terms: Column) -> Column:

@@ -69,8 +69,7 @@ SELECT doc_id, cause, evidence, resolution, array_to_string(list_filter(ws, lamb
 )
 def knowledge_card(spark, sf_dir):
     """The source stands for the title."""
-    parts = variants.card(F.col("source"), F.col("text"))
-    return c.read(spark, sf_dir, "documents").select("doc_id", *(x.alias(n) for x, n in zip(parts, ("cause", "evidence", "resolution", "terms"))))
+    return c.read(spark, sf_dir, "documents").select("doc_id", variants.card(F.col("source"), F.col("text")).alias("k")).select("doc_id", "k.cause", "k.evidence", "k.resolution", "k.terms")
 
 
 @c.query(

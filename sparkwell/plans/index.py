@@ -121,8 +121,8 @@ ROW_FIELDS = {"body": 3.0, "row_text": 4.0, "title": 2.0}
 
 def carded(docs: DataFrame) -> DataFrame:
     """(doc_id, title, body, card, terms, labels, row_text): a document's fields for search; the source stands for the title."""
-    cause, evidence, resolution, terms = variants.card(F.col("source"), F.col("text"))
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("body"), cause.alias("cause"), evidence.alias("evidence"), resolution.alias("resolution"), terms.alias("terms"), variants.taxonomy(F.col("source"), F.col("text")).alias("labels"))
+    given = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("body"), variants.card(F.col("source"), F.col("text")).alias("k"), variants.taxonomy(F.col("source"), F.col("text")).alias("labels"))
+    rows = given.select("doc_id", "title", "body", "k.cause", "k.evidence", "k.resolution", "k.terms", "labels")
     first = F.slice(T.sentences(F.col("body")), 1, records.ROWS)
     return rows.select("doc_id", "title", "body", variants.card_text(F.col("title"), F.col("cause"), F.col("evidence"), F.col("resolution"), F.col("terms")).alias("card"), "terms", "labels", F.array_join(first, "\n").alias("row_text"))
 

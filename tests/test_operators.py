@@ -204,3 +204,18 @@ def test_cosine_takes_queries_in_parts(spark, monkeypatch):
     score = np.round(unit @ unit.T + 1, 9)
     want = {(q, n + 1): i for q in range(0, 40, 4) for n, i in enumerate(sorted(range(40), key=lambda i: (-score[q, i], i))[: q % 3 + 2])}
     assert got == want
+
+
+def test_card_and_labels_of_long_texts(spark):
+    """Cards and labels against plain Python, and a text is cut into sentences once whatever the number of a card's parts."""
+    text = "First one. It came from Rome! Then, due to rain\nhe led. It was in 1999. No x12345 or 1999a; bornéd.\n\nlast"
+    df = spark.createDataFrame([(1, "src", text), (2, None, None), (3, "t", "abc"), (4, "", "1234"), (5, "", "é1234 a1234 _1234 12345 1234é")], "i long, s string, t string")
+    card = variants.card(F.col("s"), F.col("t"))
+    frame = df.select("i", card.alias("k"), variants.taxonomy(F.col("s"), F.col("t")).alias("l"))
+    got = {r.i: (tuple(r.k), r.l) for r in frame.collect()}
+    assert got[1] == (("It came from Rome!", "First one. It came from Rome!", "No x12345 or 1999a; bornéd.", "first came rome then rain 1999 x12345 1999a"), "temporal/date > entity/person/biography")
+    assert got[2] == (("", "", "", ""), "general/fact/entity")
+    assert got[3] == (("abc", "abc", "abc", ""), "general/fact/entity")
+    assert [got[i][1] for i in (4, 5)] == ["temporal/date", "general/fact/entity"]
+    plan = df.select(card.alias("k")).select("k.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1

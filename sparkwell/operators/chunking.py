@@ -14,6 +14,8 @@ ship(__name__)
 
 # The lines of a serialised group, how many sentences it has, and what one sentence may have of the size.
 HEAD, LINE, GROUP, SHARE = "TITLE: {}\nPARAGRAPH_STRUCTURE:", "\nSENTENCE_{}: {}", 4, 2
+#: Rows that are Python's strings at a time.
+ROWS = 64
 
 
 def groups(units: Column, size: int = 512, glue: int = 1) -> Column:
@@ -77,11 +79,18 @@ def serialised(title: str, ss: list[str], size: int = 512) -> list[str]:
     return out
 
 
+def serialised_arrays(titles: pa.Array, ss: pa.Array, size: int) -> pa.Array:
+    """`serialised` of arrays; some rows at a time, as Python's strings take several times their bytes."""
+    kind = pa.list_(pa.string())
+    some = lambda at: pa.array([serialised(a, b, size) for a, b in zip(titles.slice(at, ROWS).to_pylist(), ss.slice(at, ROWS).to_pylist())], kind)
+    return pa.concat_arrays([some(at) for at in range(0, len(titles), ROWS)] or [pa.array([], kind)])
+
+
 def serialised_groups(title: Column, text: Column, size: int = 512) -> Column:
     """`serialised` over Arrow batches; null titles and texts count as empty."""
 
     def run(t: pa.Array, ss: pa.Array) -> pa.Array:
-        return pa.array([serialised(a, b, size) for a, b in zip(t.to_pylist(), ss.to_pylist())], pa.list_(pa.string()))
+        return serialised_arrays(t, ss, size)
 
     return F.arrow_udf(run, "array<string>")(F.coalesce(title, F.lit("")), sentences(F.coalesce(text, F.lit(""))))
 

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from sparkwell.operators import embedding, retrieval
+from sparkwell.operators import chunking, embedding, retrieval
 
 
 def peak(f):
@@ -39,3 +39,12 @@ def test_counts_by_bucket():
     got, most = peak(lambda: embedding.counts_by_bucket(x, 8))
     assert got.to_pylist() == [np.bincount(r or [0], minlength=8).astype(float).tolist() if r else [0.0] * 8 for r in lists]
     assert most < 5
+
+
+def test_serialised_arrays():
+    ss = [[f"Sentence {i} of {j}." for i in range(j % 300)] for j in range(1500)]
+    want = [chunking.serialised(f"t{j}", s, 512) for j, s in enumerate(ss)]
+    titles, texts = pa.array([f"t{j}" for j in range(1500)]), pa.array(ss, pa.list_(pa.string()))
+    got, most = peak(lambda: chunking.serialised_arrays(titles, texts, 512))
+    assert got.to_pylist() == want and most < 5
+    assert chunking.serialised_arrays(titles.slice(0, 0), texts.slice(0, 0), 512).to_pylist() == []

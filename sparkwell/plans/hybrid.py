@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkwell import catalogue as c
 from sparkwell.functions import text as T
 from sparkwell.operators import embedding, fusion, graph, policy, retrieval
+from sparkwell.storage import written
 
 # A word's edges, with letters and digits of any script.
 EDGE, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -244,7 +245,7 @@ def sub_queries(spark, sf_dir):
 def hybrid_subqueries(spark, sf_dir):
     """The lists of a question and of its parts, fused."""
     subs = sub_queries(spark, sf_dir).select(F.concat(F.col("query_id").cast("string"), F.lit("#"), F.col("n").cast("string")).alias("query_id"), "text")
-    found = lists(spark, sf_dir, 10, subs)
+    found = [written(x, "list") for x in lists(spark, sf_dir, 10, subs)]
     whole = [x.select(F.split("query_id", "#")[0].cast("long").alias("query_id"), F.split("query_id", "#")[1].cast("int").alias("n"), "id", "rank", "score") for x in found]
     return shown(fusion.rrf([(whole[i].where(F.col("n") == n), 1.0) for n in range(3) for i in range(2)], 5))
 

@@ -251,3 +251,11 @@ def test_best_walked_equals_walks(spark, block, part):
     got = {(r.query_id, r["rank"]): (r.id, r.score) for r in graph.best_walked(s, m, 2, rounds=10, block=block, part=part).collect()}
     assert {x: v[0] for x, v in got.items()} == {x: v[0] for x, v in want.items()}
     assert [got[x][1] for x in sorted(got)] == pytest.approx([want[x][1] for x in sorted(got)], abs=1e-9)
+
+
+def test_lists_of_sub_queries_are_found_once(spark, data):
+    """The fused lists come from written hits, not from a search for each part of a question."""
+    from sparkwell.catalogue import QUERIES
+
+    plan = QUERIES["hybrid_subqueries"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "documents.parquet" not in plan

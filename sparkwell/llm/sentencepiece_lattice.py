@@ -1,47 +1,51 @@
-"""SentencePiece encoding and decoding as relations.
+"""SentencePiece encoding and decoding of whole documents.
 
 A text gets the dummy prefix and is cut into units where no piece can reach across: a unit is a run of spaces with the
 letters, or the other characters, behind it.  U+2581 counts as a space; texts keep the space, and the pieces are read with
-it, since strings of one byte a character are cut far faster.  Each distinct unit has a lattice: its substrings of bounded
-length that are pieces, found by an equi-join with the piece table (a bounded vocabulary, so it is broadcast), plus
-an edge for each character that is no piece, which stands for its UTF-8 bytes.  Edges are grouped by unit and
-folded by Viterbi in a higher-order aggregate.  Units stay where their distinct count left them: the lattice needs no
-further shuffle.  Units of more than LONG characters, as scripts without spaces have them, are cut into windows, and
-their edges are folded block by block: time and memory are linear in a unit's length.
+it, since strings of one byte a character are cut far faster.  The distinct units of a part of a batch each have a lattice: their
+substrings that are pieces, found by a join with the piece table (a bounded vocabulary, held as a trie whose steps are looked up for
+all places at once), plus an edge for each character that is no piece, which stands for its UTF-8 bytes.  Units of one length are folded
+by Viterbi together, place by place; the ids of a document are those of its units.  Spark cuts the texts into units and deals the documents;
+no document meets another, so nothing is shuffled.  Time and memory are linear in a unit's length.
 
 The path has the largest sum of the pieces' scores; of equal sums the one whose last piece is shortest.  The model file in
 use was made for merges in order, so paths differ from the merges' on part of the words (README has the share); decoding
-is exact for both.  The query looks at each distinct unit once and derives its columns from the units of a text, which
-together are the text; `encode` and `decode` give the ids and the texts themselves.
+is exact for both.  The query builds the ids of every document, decodes them, and compares the text that they give with its own.
 
 Defined cases: a null or empty text has no pieces (null decodes to null, no pieces to the empty text); U+2581 decodes to a
-space, so a text that holds it isn't given back; a null id stays null and rows with the same id and text share a
-result; very long texts are cut into units whole; other columns are ignored; an empty table gives no rows.
+space, so a text that holds it isn't given back; a null id stays null and repeated rows each get a row; ids that are no piece
+or byte decode to nothing; very long texts are cut into units whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sparkwell.llm.common import frequent, key, table, written
+from sparkwell.llm.common import slices, table, trim
 
 SPACE, VOCABULARY = "▁", "piece_bpe_32k.model"
-#: Units of which the codes are broadcast, the most frequent ones of at most SHORT characters: some 60 bytes each, whatever the corpus.
-FREQUENT, SHORT = 400_000, 64
-#: Longer units are folded in blocks of this many characters.
+#: Longer units are folded edge by edge, each by itself.
 LONG = 256
+#: Units that are folded at a time.
+TOGETHER = 4096
 UNIT = " *\\p{L}+| *[^ \\p{L}]+| +"
 
 
-def piece_table(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, dict]:
+def piece_rows(path: str | None = None) -> tuple[list[tuple[str, int, float]], dict]:
     """(piece, id, score) of the ordinary pieces; and the facts that the lattice needs: longest, unknown, byte0."""
     import public_tokenizers
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
     rows = [(m.id_to_piece(i), i, m.get_score(i)) for i in range(m.vocab_size()) if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i))]
-    facts = {"longest": max(len(r[0]) for r in rows), "unknown": min(r[2] for r in rows if r[2] > -1e8) - 10.0, "byte0": m.piece_to_id("<0x00>")}
+    return rows, {"longest": max(len(r[0]) for r in rows), "unknown": min(r[2] for r in rows if r[2] > -1e8) - 10.0, "byte0": m.piece_to_id("<0x00>")}
+
+
+def piece_table(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, dict]:
+    rows, facts = piece_rows(path)
     return spark.createDataFrame(rows, "piece string, id int, score double"), facts
 
 
@@ -50,252 +54,232 @@ def units(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.regexp_extract_all(prepared, F.lit(UNIT), F.lit(0)))
 
 
-NODE = "s:double,start:int,id:int"
-STATE = f"struct<done:array<struct<{NODE}>>,stop:int,{NODE}>"
-
-
-def node(acc: Column) -> Column:
-    return F.struct(*(acc[c].alias(c) for c in ("s", "start", "id")))
-
-
-def let(value: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def fold(edges: Column, first: Column, base: Column | None, finish) -> Column:
-    """`finish` of the STATE after edges (stop, start, score, id) in order: nodes of the places from `base` (or 0) on that are decided, and the one that is being decided.
-
-    Keeping that one apart means that only a new place lengthens the array.
-    """
-
-    def step(acc, e):
-        at = e["start"] if base is None else e["start"] - base
-        before = F.when(e["start"] == acc["stop"], acc["s"]).otherwise(F.get(acc["done"], at)["s"])
-        score = before + e["score"]
-        done = F.when(e["stop"] == acc["stop"], acc["done"]).otherwise(F.concat(acc["done"], F.array(node(acc))))
-        taken = F.struct(done.alias("done"), e["stop"].alias("stop"), score.alias("s"), e["start"].alias("start"), e["id"].alias("id"))
-        # edges come by stop, then start: an equal sum with a later start takes the place
-        return F.when((e["stop"] > acc["stop"]) | (score >= acc["s"]), taken).otherwise(acc)
-
-    return F.aggregate(edges, first, step, finish)
-
-
-def beginning() -> Column:
-    return F.struct(F.array().alias("done"), F.lit(0).alias("stop"), F.lit(0.0).alias("s"), F.lit(0).alias("start"), F.lit(0).alias("id")).cast(STATE)
-
-
-def back(nodes: Column, at: Column, steps: Column) -> Column:
-    """(at, ids): where at most `steps` steps back over the nodes lead, and the ids on the way, in order of the text."""
-
-    def one(acc, _):
-        n = F.get(nodes, acc["at"])
-        return F.when(acc["at"] > 0, F.struct(n["start"].alias("at"), F.concat(F.array(n["id"]), acc["ids"]).alias("ids"))).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), steps), F.struct(at.alias("at"), F.array().cast("array<int>").alias("ids")), one)
-
-
-def spelt_out(ids: Column, byte0: int) -> Column:
-    """Ids with the UTF-8 bytes of a character c in place of -1 - c."""
-
-    def utf8(i):
-        c = -1 - i
-        more = [(F.shiftright(c, 6 * k)) % 64 + 128 for k in range(3)]
-        one = F.array(c)
-        two = F.array(F.shiftright(c, 6) + 192, more[0])
-        three = F.array(F.shiftright(c, 12) + 224, more[1], more[0])
-        four = F.array(F.shiftright(c, 18) + 240, more[2], more[1], more[0])
-        return F.transform(F.when(c < 0x80, one).when(c < 0x800, two).when(c < 0x10000, three).otherwise(four), lambda x: x + byte0)
-
-    return let(ids, lambda own: F.when(F.forall(own, lambda i: i >= 0), own).otherwise(F.flatten(F.transform(own, lambda i: F.when(i >= 0, F.array(i)).otherwise(utf8(i))))))
-
-
-def viterbi(edges: Column) -> Column:
-    """The ids of the best path over a unit's edges, in any order; -1 - c for a character c that is no piece."""
-    return fold(F.sort_array(edges), beginning(), None, lambda x: let(F.concat(x["done"], F.array(node(x))), lambda nodes: back(nodes, x["stop"], x["stop"])["ids"]))
+NONE, ODD = np.uint64(2**64 - 1), np.uint64(0x9E3779B97F4A7C15)
 
 
-def viterbi_in_blocks(blocks: Column, longest: int) -> Column:
-    """The same for a long unit, whose edges come in blocks by where they stop.
+class Pieces:
+    """The piece table as a trie: node 0 is the root; (node, character) leads to a node, which may be a piece's end.
 
-    A block needs the nodes of the last `longest` places before it alone; nodes of all places are put together once, and the way
-    back is gathered in blocks as well.
+    Steps stand in an open hash table of arrays under node * 2^21 + character, so those of many places are one lookup.
     """
-    kind = f"struct<last:{STATE},base:int,parts:array<array<struct<{NODE}>>>>"
 
-    def step(acc, edges):
-        return fold(edges, acc["last"], acc["base"], lambda x: joined(acc, x, F.size(acc["last"]["done"])))
-
-    def joined(acc, x, known):
-        n = F.size(x["done"])
-        kept = F.slice(x["done"], F.greatest(n - longest, F.lit(0)) + 1, F.lit(longest))
-        last = F.struct(kept.alias("done"), x["stop"].alias("stop"), x["s"].alias("s"), x["start"].alias("start"), x["id"].alias("id"))
-        new = F.slice(x["done"], known + 1, F.greatest(n - known, F.lit(0)))
-        return F.struct(last.alias("last"), (acc["base"] + F.greatest(n - longest, F.lit(0))).alias("base"), F.concat(acc["parts"], F.array(new)).alias("parts")).cast(kind)
-
-    first = F.struct(beginning().alias("last"), F.lit(0).alias("base"), F.array().alias("parts")).cast(kind)
-
-    def walk(nodes, stop):
-        begin = F.struct(stop.alias("at"), F.array().cast("array<array<int>>").alias("parts"))
-
-        def some(acc, _):
-            return let(back(nodes, acc["at"], F.lit(LONG)), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["parts"], F.array(x["ids"])).alias("parts")))
-
-        return F.flatten(F.reverse(F.aggregate(F.sequence(F.lit(0), F.floor(stop / LONG).cast("int")), begin, some)["parts"]))
-
-    def all_back(acc):
-        return let(F.concat(F.flatten(acc["parts"]), F.array(node(acc["last"]))), lambda nodes: walk(nodes, acc["last"]["stop"]))
-
-    return F.aggregate(blocks, first, step, all_back)
-
-
-def spans(rows: DataFrame, keep: list[str], text: str, starts: Column, at: Column, pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
-    """(keep..., edge): an edge for each substring of `text` that is a piece, from each of the starts on, and for each character.
-
-    Pieces are found by a 64-bit key, which Spark looks up faster than strings, and then compared whole.  The comparison
-    isn't written as an equality, since that would become part of the key.
-    """
-    own = [*keep, *({text} - set(keep))]
-    each = rows.select(*own, at.alias("at"), F.explode(starts).alias("start"))
-    each = each.select(*own, "at", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text) - F.col("start")))).alias("len"))
-    subs = each.withColumn("sub", F.substr(text, F.col("start") + 1, F.col("len")))
-    keyed = F.broadcast(pieces.withColumn("piece", F.translate("piece", SPACE, " ")).withColumn("key", F.xxhash64("piece")))
-    same = (F.xxhash64("sub") == F.col("key")) & F.startswith("piece", "sub") & (F.length("piece") <= F.col("len"))
-    joined = subs.join(keyed, same, "left").where("id is not null or len = 1")
-    start = F.col("at") + F.col("start")
-    edge = F.struct((start + F.col("len")).alias("stop"), start.alias("start"), F.coalesce("score", F.lit(unknown)).alias("score"), F.coalesce("id", -1 - F.ascii("sub")).alias("id"))
-    return joined.select(*keep, edge.alias("edge"))
-
-
-def counted(texts: DataFrame) -> DataFrame:
-    return texts.select(F.explode(units(F.col("text"))).alias("unit")).groupBy("unit").agg(F.count("*").alias("times"))
-
-
-def shorter_units(words: DataFrame, pieces: DataFrame, facts: dict) -> DataFrame:
-    """(unit, times, ids) of units of at most LONG characters, dealt as words are."""
-    # h leads the grouping, as rows are sorted by it faster than by the unit
-    short = words.where(F.length("unit") <= LONG).select(F.xxhash64("unit").alias("h"), "unit", "times")
-    edges = spans(short, ["h", "unit", "times"], "unit", F.sequence(F.lit(0), F.length("unit") - 1), F.lit(0), pieces, facts["longest"], facts["unknown"])
-    found = edges.groupBy("h", "unit").agg(F.first("times").alias("times"), F.collect_list("edge").alias("edges"))
-    return found.select("unit", "times", spelt_out(viterbi(F.col("edges")), facts["byte0"]).alias("ids"))
-
-
-def longer_units(words: DataFrame, pieces: DataFrame, facts: dict) -> DataFrame:
-    """(unit, times, ids) of the others: edges by windows, which are small whatever the unit."""
-    longest = facts["longest"]
-    own = written(words.where(F.length("unit") > LONG).select(*key(["k1", "k2"], F.col("unit")), "unit", "times"), "long-units")
-    n = F.length("unit")
-    cut = own.select("k1", "k2", n.alias("n"), "unit", F.explode(F.sequence(F.lit(0), n - 1, F.lit(LONG))).alias("at"))
-    windows = cut.select("k1", "k2", "at", F.least(F.lit(LONG), F.col("n") - F.col("at")).alias("m"), F.substr("unit", F.col("at") + 1, F.lit(LONG + longest - 1)).alias("window"))
-    edges = spans(windows, ["k1", "k2"], "window", F.sequence(F.lit(0), F.col("m") - 1), F.col("at"), pieces, longest, facts["unknown"])
-    blocks = edges.groupBy("k1", "k2", F.floor((F.col("edge.stop") - 1) / LONG).alias("b")).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    whole = blocks.groupBy("k1", "k2").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "edges"))), lambda x: x["edges"]).alias("blocks"))
-    paths = whole.select("k1", "k2", spelt_out(viterbi_in_blocks(F.col("blocks"), longest), facts["byte0"]).alias("ids"))
-    return own.join(paths, ["k1", "k2"]).select("unit", "times", "ids")
-
-
-def lexicon(texts: DataFrame, path: str | None = None, then=lambda codes, long: codes) -> DataFrame:
-    """`then` of (unit, times, ids): every distinct unit of the column text, with the ids of its best path; written.
-
-    Short units are done in one job, which tells as well whether there are longer ones.
-    """
-    pieces, facts = piece_table(texts.sparkSession, path)
-    seen = Observation()
-    codes = written(then(shorter_units(counted(texts).observe(seen, F.max(F.length("unit")).alias("chars")), pieces, facts), False), "codes")
-    if (seen.get["chars"] or 0) <= LONG:
-        return codes
-    far = written(longer_units(counted(texts), pieces, facts), "long-codes")
-    return codes.unionByName(then(far, True))
-
-
-#: What tells texts apart in place of themselves: the row's id, a hash of the text, whether there is none, and whether it has U+2581.
-KEYS = ("doc_id", "k", "none", "marked")
-
-
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(KEYS, pos, unit) for every unit of every text, and one row of nulls for a text without units."""
-    text = F.col(text_col).cast("string")
-    # in two steps, or the hash of the text would be taken for each of its units
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("k"), text.isNull().alias("none"), F.coalesce(F.contains(text, F.lit(SPACE)), F.lit(False)).alias("marked"), units(text).alias("__units"))
-    return keyed.select(*KEYS, F.posexplode_outer("__units").alias("pos", "unit"))
-
-
-def coded(docs: DataFrame, codes: DataFrame, columns: list[str], id_col: str, text_col: str, most: int = FREQUENT) -> DataFrame:
-    """(KEYS, pos, columns): each occurrence with its unit's columns of codes.
-
-    The most frequent units are looked up in place, so that no hot unit and no text is shuffled; others meet their codes
-    in a join.
-    """
-    top = frequent(codes.where(F.length("unit") <= SHORT), "times", most).select(F.xxhash64("unit").alias("__key"), F.col("unit").alias("__u"), *(F.col(c).alias(f"__{c}") for c in columns))
-    same = (F.xxhash64("unit") == F.col("__key")) & F.startswith("unit", "__u") & (F.length("unit") <= F.length("__u"))
-    looked = occurrences(docs, id_col, text_col).join(F.broadcast(top), same, "left")
-    near = looked.where("__u is not null or pos is null").select(*KEYS, "pos", *(F.col(f"__{c}").alias(c) for c in columns))
-    far = looked.where("__u is null and pos is not null").select(*KEYS, "pos", "unit").join(codes.select("unit", *columns), "unit").select(*KEYS, "pos", *columns)
-    return near.unionByName(far)
-
-
-def repeated(texts: DataFrame, columns: list[Column]) -> DataFrame:
-    """The columns once for each row that had the text, as the column copies counts them."""
-    return texts.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    def __init__(self, rows: list[tuple[str, int, float]], facts: dict):
+        steps, ends = {}, {}
+        for piece, i, score in rows:
+            node = 0
+            for c in piece.replace(SPACE, " "):
+                node = steps.setdefault(node << 21 | ord(c), len(steps) + 1)
+            ends[node] = max(ends.get(node, (score, i)), (score, i))
+        self.longest, self.unknown, self.byte0 = facts["longest"], facts["unknown"], facts["byte0"]
+        self.id, self.score = np.full(len(steps) + 1, -1, np.int32), np.full(len(steps) + 1, -np.inf)
+        for node, (score, i) in ends.items():
+            self.id[node], self.score[node] = i, score
+        bits = (4 * len(steps)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, NONE), np.zeros(1 << bits, np.int32)
+        keys = np.fromiter(steps, np.uint64, len(steps))
+        for at, k, to in zip(((keys * ODD) >> self.shift).tolist(), keys, steps.values()):
+            while self.keys[at] != NONE:
+                at = (at + 1) & self.mask
+            self.keys[at], self.to[at] = k, to
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Where the characters lead from the nodes, 0 for nowhere."""
+        keys = node.astype(np.uint64) << np.uint64(21) | char.astype(np.uint64)
+        at = ((keys * ODD) >> self.shift).astype(np.int64)
+        held = self.keys[at]
+        out = np.where(held == keys, self.to[at], 0)
+        more = np.flatnonzero((held != keys) & (held != NONE))
+        while len(more):
+            at[more] = (at[more] + 1) & self.mask
+            held = self.keys[at[more]]
+            out[more] = np.where(held == keys[more], self.to[at[more]], 0)
+            more = more[(held != keys[more]) & (held != NONE)]
+        return out
+
+    def lattice(self, chars: np.ndarray):
+        """(length, places, nodes) of the pieces in units of one length; chars has a row for each place and a column for each unit, places count row by row."""
+        size, width = chars.shape
+        flat = chars.ravel()
+        at, node = np.arange(flat.size), np.zeros(flat.size, np.int32)
+        for n in range(1, min(self.longest, size) + 1):
+            room = int(np.searchsorted(at, (size - n + 1) * width))
+            at = at[:room]
+            node = self.step(node[:room], flat[at + (n - 1) * width])
+            at, node = at[node > 0], node[node > 0]
+            if not len(at):
+                return
+            whole = self.id[node] >= 0
+            yield n, at[whole], node[whole]
+
+    def paths(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, ids one unit after the other) of the best paths of units of one length; -1 - c for a character c that is no piece."""
+        size, width = chars.shape
+        score, ids = {}, {}
+        for n, at, node in [(1, np.zeros(0, np.int64), np.zeros(0, np.int32)), *self.lattice(chars)]:
+            score[n], ids[n] = np.full((size, width), self.unknown if n == 1 else -np.inf), (-1 - chars if n == 1 else np.zeros((size, width), np.int32))
+            score[n].ravel()[at], ids[n].ravel()[at] = self.score[node], self.id[node]
+        best, back = np.zeros((size + 1, width)), np.ones((size + 1, width), np.int32)
+        for stop in range(1, size + 1):
+            best[stop] = -np.inf
+            for n in sorted((n for n in score if n <= stop), reverse=True):  # of equal sums the shorter piece
+                now = best[stop - n] + score[n][stop - n]
+                better = now >= best[stop]
+                np.copyto(best[stop], now, where=better)
+                np.copyto(back[stop], n, where=better)
+        out, count = np.zeros((width, size), np.int32), np.zeros(width, np.int64)
+        unit, stop = np.arange(width), np.full(width, size)
+        known = np.zeros((self.longest + 1, size, width), np.int32)
+        for n in ids:
+            known[n] = ids[n]
+        while len(unit):
+            n = back[stop, unit]
+            stop = stop - n
+            count[unit] += 1
+            out[unit, size - count[unit]] = known[n, stop, unit]
+            unit, stop = unit[stop > 0], stop[stop > 0]
+        return count, out[np.arange(size) >= (size - count)[:, None]]
+
+    def path(self, chars: np.ndarray) -> np.ndarray:
+        """The same for one long unit, edge by edge."""
+        size = len(chars)
+        found = list(self.lattice(chars.reshape(-1, 1)))
+        start = np.concatenate([np.zeros(0, np.int64), *(at for _, at, _ in found)])
+        stop = np.concatenate([np.zeros(0, np.int64), *(at + n for n, at, _ in found)])
+        node = np.concatenate([np.zeros(0, np.int32), *(x for *_, x in found)])
+        single = np.setdiff1d(np.arange(size), start[stop == start + 1])
+        score, ids = np.concatenate([self.score[node], np.full(len(single), self.unknown)]), np.concatenate([self.id[node], -1 - chars[single]])
+        start, stop = np.concatenate([start, single]), np.concatenate([stop, single + 1])
+        order = np.lexsort((start, stop))
+        best, back = [0.0] + [float("-inf")] * size, [(0, 0)] * (size + 1)
+        for a, b, s, i in zip(start[order].tolist(), stop[order].tolist(), score[order].tolist(), ids[order].tolist()):
+            if best[a] + s >= best[b]:
+                best[b], back[b] = best[a] + s, (a, i)
+        out, at = [], size
+        while at:
+            at, i = back[at]
+            out.append(i)
+        return np.array(out[::-1], np.int32)
+
+    def encode(self, names) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of an Arrow array of units: each with the ids of its best path."""
+        import pyarrow.compute as pc
+
+        size = pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64)
+        chars = np.frombuffer("".join(names.to_pylist()).encode("utf-32-le", "surrogatepass"), np.int32)
+        begin = np.cumsum(size) - size
+        order = np.argsort(size, kind="stable")
+        cuts = np.flatnonzero(np.diff(size[order], prepend=-1, append=-1))
+        counts, parts = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            n = int(size[order[a]])
+            for c in range(a, b, 1 if n > LONG else TOGETHER):
+                own = order[c : min(c + TOGETHER, b)]
+                if n > LONG:
+                    ids = self.path(chars[begin[own[0]] : begin[own[0]] + n])
+                    count = np.array([len(ids)])
+                else:
+                    count, ids = self.paths(chars[begin[own] + np.arange(n)[:, None]])
+                ids, per = self.spelt_out(ids)
+                total = np.concatenate([[0], np.cumsum(per)])
+                ends = np.cumsum(count)
+                counts.append(total[ends] - total[ends - count])
+                parts.append(ids)
+        count, ids = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (counts, parts))
+        # back in the order of the names
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first = (np.cumsum(count) - count)[place]
+        count = count[place]
+        offsets = np.concatenate([[0], np.cumsum(count)])
+        return offsets, ids[np.repeat(first - offsets[:-1], count) + np.arange(offsets[-1])]
+
+    def spelt_out(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with the UTF-8 bytes of a character c in place of -1 - c, and how many stand for each."""
+        c = -1 - ids.astype(np.int64)
+        per = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+        if (ids >= 0).all():
+            return ids, per
+        at = np.repeat(np.arange(len(ids)), per)
+        nth = np.arange(len(at)) - (np.cumsum(per) - per)[at]
+        c, n = c[at], per[at]
+        byte = np.where(nth > 0, c >> 6 * (n - 1 - nth) & 63 | 128, c >> 6 * (n - 1) | np.array([0, 0, 0xC0, 0xE0, 0xF0])[n])
+        return np.where(c < 0, ids[at], byte + self.byte0).astype(np.int32), per
+
+
+def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, text, parts: the ids of each of the text's units, none for a text without any."""
+    pieces = Pieces(*piece_rows(path))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), units(F.col(text_col).cast("string")).alias("units"))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for part in slices(batch, 1):
+                words = part.column(2)
+                flat = words.flatten().dictionary_encode()
+                offsets, ids = pieces.encode(flat.dictionary)
+                each = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())).take(flat.indices)
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), each)], ["doc_id", "text", "parts"])
+            batch = part = words = flat = each = None  # not held while the next is read
+        trim()
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], *StructType.fromDDL("parts array<array<int>>").fields]))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, ids."""
-    codes = lexicon(docs.select(F.col(text_col).cast("string").alias("text")), path)
-    rows = coded(docs, codes, ["ids"], id_col, text_col)
-    per = rows.groupBy(*KEYS).agg(F.count("*").alias("rows"), F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("p"))
-    ids = F.flatten(F.transform("p", lambda x: x["ids"]))
-    # copies of a row have each place as often as there are copies
-    return repeated(per.withColumn("copies", F.col("rows") / F.greatest(F.size("p"), F.lit(1))), [F.col("doc_id"), F.when(~F.col("none"), ids).alias("ids")])
+    return coded(docs, id_col, text_col, path).select("doc_id", F.when(F.col("text").isNotNull(), F.flatten("parts")).alias("ids"))
 
 
-def piece_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(id, hex): the bytes that an id stands for, U+2581 as a space."""
-    pieces, facts = piece_table(spark, path)
-    plain = pieces.select("id", F.hex(F.encode(F.translate("piece", SPACE, " "), "UTF-8")).alias("hex"))
-    return plain.unionByName(spark.range(256).select((F.col("id") + facts["byte0"]).cast("int").alias("id"), F.lpad(F.hex("id"), 2, "0").alias("hex")))
+def spelt(rows: DataFrame, ids: str, path: str | None = None) -> DataFrame:
+    """rows with `bytes`: those that the ids of each row stand for one after the other, U+2581 as a space."""
+    own, facts = piece_rows(path)
+    of = {i: piece.replace(SPACE, " ").encode() for piece, i, _ in own} | {facts["byte0"] + b: bytes([b]) for b in range(256)}
+    last = max(of) + 1  # stands for ids that are none
+    at, spelling = rows.columns.index(ids), [of.get(i, b"") for i in range(last + 1)]
 
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-def joined_bytes(rows: DataFrame, key: str, ids: str, path: str | None = None) -> DataFrame:
-    """(key, hex) for rows of a distinct key: the bytes of the ids in order."""
-    each = rows.select(key, F.posexplode(ids).alias("__pos", "__id")).join(F.broadcast(piece_bytes(rows.sparkSession, path)), F.col("__id") == F.col("id"))
-    return each.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "hex"))), lambda x: x["hex"]), "").alias("hex"))
+        pieces = pa.array(spelling, pa.binary())
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                lists = part.column(at)
+                flat = pc.fill_null(lists.flatten(), last).to_numpy(zero_copy_only=False)
+                bytes_ = pieces.take(pa.array(np.where((flat < 0) | (flat > last), last, flat)))
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                # what follows each other is one value from the first one's beginning to the last one's end
+                cuts = np.frombuffer(bytes_.buffers()[1], np.int32, len(bytes_) + 1)[ends] if len(bytes_) else np.zeros(len(ends), np.int32)
+                whole = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(cuts)), bytes_.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([*part.columns, whole], [*part.schema.names, "bytes"])
+            batch = part = lists = None
+        trim()
 
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL("bytes binary").fields]))
 
-def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """One row per row of encoded: doc_id, text; the dummy prefix goes."""
-    rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"), F.xxhash64(F.col(id_col), F.col(ids_col)).alias("k"))
-    found = joined_bytes(rows.select("k", "ids").distinct(), "k", "ids", path)
-    text = F.decode(F.unhex("hex"), "UTF-8")
-    out = rows.join(found, "k", "left")
-    return out.select("doc_id", F.when(F.col("ids").isNotNull(), F.coalesce(F.expr("substring(decode(unhex(hex), 'UTF-8'), 2)"), F.lit(""))).alias("text"))
+
+def plain(bytes_: Column) -> Column:
+    """The text that bytes give; the dummy prefix goes."""
+    return F.substr(F.decode(bytes_, "UTF-8"), F.lit(2))
 
 
-def checked(codes: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
-    """(keys..., n, h, hex) for codes of (keys..., ids): the number of ids, their hash, and the bytes that they decode to."""
-    each = codes.select(*keys, F.posexplode("ids").alias("__pos", "__id")).join(F.broadcast(pieces), F.col("__id") == F.col("id"), "left")
-    found = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pos", "__id", "hex"))).alias("p"))
-    spelt = F.array_join(F.transform("p", lambda x: x["hex"]), "", "?")
-    return found.select(*keys, F.size("p").alias("n"), F.xxhash64(F.transform("p", lambda x: x["__id"])).alias("h"), spelt.alias("hex"))
+def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """One row per row of encoded: doc_id, text."""
+    rows = spelt(encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")), "ids", path)
+    return rows.select("doc_id", F.when(F.col("ids").isNotNull(), plain(F.col("bytes"))).alias("text"))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its pieces' number, a checksum of places and ids, and whether decoding gives its own text back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = piece_bytes(spark)
-
-    def facts_of(codes: DataFrame, long: bool) -> DataFrame:
-        # short units are still dealt by unit here, so that decoding them needs no shuffle; long ones aren't copied to each of their ids
-        if long:
-            keyed = codes.select(*key(["k1", "k2"], F.col("unit")), "unit", "times", "ids")
-            found = keyed.select("k1", "k2", "unit", "times").join(checked(keyed, ["k1", "k2"], pieces), ["k1", "k2"])
-        else:
-            found = checked(codes.select(F.xxhash64("unit").alias("h0"), "unit", "times", "ids"), ["h0", "unit", "times"], pieces)
-        return found.select("unit", "times", "n", "h", (F.col("hex") == F.hex(F.encode("unit", "UTF-8"))).alias("same"))
-
-    facts = lexicon(docs.select("text"), then=facts_of)
-    rows = coded(docs, facts, ["n", "h", "same"], "doc_id", "text")
-    sums = [F.sum("n").alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("pos", "h"), 28)).alias("sum"), F.min("same").alias("same")]
-    per = rows.groupBy(*KEYS).agg(F.count("*").alias("rows"), (F.coalesce(F.max("pos"), F.lit(0)) + 1).alias("places"), *sums).withColumn("copies", F.expr("rows div places"))
-    pieces, checksum = F.expr("coalesce(n div copies, 0)"), F.expr("coalesce(sum div copies, 0)")
-    return repeated(per, [F.col("doc_id"), pieces.alias("n_pieces"), checksum.alias("ids_checksum"), (F.coalesce("same", F.lit(True)) & ~F.col("marked")).alias("decoded")])
+    """Per document: its pieces' number, a checksum of places and ids, and whether decoding its ids gives its own text back."""
+    rows = coded(table(spark, sf_dir, "documents"))
+    # the ids of a unit and its place, whatever unit they are of
+    each = F.transform("parts", lambda ids, at: F.shiftrightunsigned(F.xxhash64(at, F.xxhash64(ids)), 28))
+    checksum = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
+    back = spelt(rows.select("doc_id", "text", checksum.alias("ids_checksum"), F.flatten("parts").alias("ids")), "ids")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_checksum", F.coalesce(plain(F.col("bytes")) == F.col("text"), F.lit(True)).alias("decoded"))

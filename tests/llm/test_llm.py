@@ -906,6 +906,17 @@ def test_sentencepiece_query_tells_what_decoding_gives_back(spark, tmp_path):
     assert {i: r.n_pieces for i, r in got.items()} == {r.doc_id: len(r.ids or []) for r in encoded.collect()}
 
 
+def test_sentencepiece_query_decodes_documents(spark, tmp_path, monkeypatch):
+    """What the query decodes is each document's own ids: turned round, they don't give its text back."""
+    frame = spark.createDataFrame([(1, "one two three"), (2, ""), (3, None), (4, "ab" * sp.LONG + " y")], "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/d/documents.parquet")
+    own = sp.spelt
+    monkeypatch.setattr(sp, "spelt", lambda rows, ids, path=None: own(rows.withColumn(ids, F.reverse(ids)), ids, path))
+    got = {r.doc_id: r for r in sp.op10_sentencepiece(spark, f"{tmp_path}/d").collect()}
+    assert {i: r.decoded for i, r in got.items()} == {1: False, 2: True, 3: True, 4: False}
+    assert {i: r.n_pieces for i, r in got.items()} == {r.doc_id: len(r.ids or []) for r in sp.encode(frame).collect()}
+
+
 # Pipeline
 
 

@@ -1,12 +1,12 @@
-"""An inverted index as a table: blocks of postings by (term, range of documents), each with bounds of what it can add to a score.
+"""An inverted index as a table: blocks of postings by (range of documents, term), each with bounds of what it can add to a score.
 
 The index is a folder of segments.  A segment is what one `add` wrote, usually a micro-batch: `docs` has a row for each document
-(its range and length), `blocks` a row for each term of a range.  Blocks are sorted by term, so a search reads
-the row groups of its terms; their bounds stand in columns of their own, so that what can't reach the best k is ruled out
-before any postings are read.
+(its range and length), `blocks` a row for each range with the blocks of its terms, sorted by term.  Bounds stand in columns of their
+own, so that what can't reach the best k is ruled out before any postings are read.  A range is scored where it lies: no
+posting and no pair of query and document is shuffled.
 
-A search is for queries that are few beside the documents: it has a row for each query and range that share a term.  Query sets
-of many thousands are better served by `retrieval.bm25_top_k`, which passes over the documents once for all of them.
+A search is for queries that are few beside the documents: it has a row for each query and range that share a term, and tasks know
+the query set's terms.  Query sets of many thousands are better served by `retrieval.bm25_top_k`, which passes over the documents once for all of them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkwell import ship
 from sparkwell.functions.text import tokens
-from sparkwell.operators.retrieval import K1, B, top_k
+from sparkwell.operators.retrieval import K1, QUERIES, B, Best, all_of, found, id_parts, schema_of, top_k
 from sparkwell.storage import written
 
 ship(__name__)
@@ -31,8 +31,8 @@ RANGE = 64
 PROBE = 4
 
 
-def impact(tf: Column, length: Column, average: Column | float, k1: float = K1, b: float = B) -> Column:
-    """What a posting adds to a score but for the term's weight; it grows with tf and falls with length."""
+def impact(tf, length, average: Column | float, k1: float = K1, b: float = B):
+    """What a posting adds to a score but for the term's weight; it grows with tf and falls with length (columns or arrays)."""
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
@@ -67,6 +67,39 @@ def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), words.alias("w")).mapInArrow(run, schema)
 
 
+def inverted(ranges: DataFrame) -> DataFrame:
+    """(range, ids, lengths, terms, n, most, least, rows, tfs) of ranges (range, ids, lengths, held, words, counts), whose documents have `held` words each.
+
+    A term's postings are n of the rows (places in ids) and tfs, one term after the other.
+    """
+    names = ["range", "ids", "lengths", "terms", "n", "most", "least", "rows", "tfs"]
+    schema = T.StructType([*ranges.select(*names[:3]).schema.fields, *T.StructType.fromDDL("terms array<string>, n array<int>, most array<int>, least array<int>, rows array<int>, tfs array<int>").fields])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        numbers = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int32()))
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                length, held, tf = (one.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3, 5))
+                coded = one.column(4).flatten().dictionary_encode()
+                order = np.argsort(np.array(coded.dictionary.to_pylist(), dtype=object)) if len(coded.dictionary) else np.zeros(0, np.int64)
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                row, code = np.repeat(np.arange(len(held)), held), place[coded.indices.to_numpy()]
+                by = np.lexsort((row, code))
+                row, code, tf = row[by], code[by], tf[by]
+                first = np.searchsorted(code, np.arange(len(order)))
+                most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(length[row], first)) if len(first) else (first, first)
+                terms = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(pa.array(order)))
+                yield pa.RecordBatch.from_arrays([*one.columns[:3], terms, *map(numbers, (np.diff(first, append=len(code)), most, least, row, tf))], names)
+            batch = one = None
+
+    return ranges.mapInArrow(run, schema)
+
+
 @dataclass
 class Index:
     """An index in the folder at path.  A segment that is written again replaces itself, so a repeated batch changes nothing."""
@@ -92,12 +125,10 @@ class Index:
 
     def add_blocks(self, segment: int) -> None:
         own = self.spark.read.parquet(f"{self.path}/docs").where(F.col("segment") == segment)
-        one = own.select("range", "doc", "id", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("range", "doc", "id", "length", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
-        # Dealt by ranges of (term, range), so a term that all documents have is many parts; a group has one range's documents at most.
-        blocks = one.repartitionByRange("term", "range").groupBy("term", "range").agg(
-            F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.array_sort(F.collect_list(F.struct("doc", "id", "tf", "length"))).alias("postings")
-        )
-        self.write(blocks.sortWithinPartitions("term", "range"), "blocks", segment)
+        # a range's documents, with their words, are put together: no more than `size` of them
+        whole = own.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("doc", "id", "length", "terms", "tfs"))).alias("d"))
+        ranges = whole.select("range", F.col("d.id").alias("ids"), F.col("d.length").alias("lengths"), F.transform("d.terms", F.size).alias("held"), F.flatten("d.terms").alias("words"), F.flatten("d.tfs").alias("counts"))
+        self.write(inverted(ranges), "blocks", segment)
 
     def write(self, rows: DataFrame, name: str, segment: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={segment}")
@@ -108,6 +139,11 @@ class Index:
     def blocks(self) -> DataFrame:
         return self.stored("blocks")
 
+    def heads(self) -> DataFrame:
+        """(segment, range, term, n, most, least): the blocks without their postings."""
+        each = F.arrays_zip("terms", "n", "most", "least")
+        return self.blocks().select("segment", "range", F.explode(each).alias("h")).select("segment", "range", F.col("h.terms").alias("term"), "h.n", "h.most", "h.least")
+
     def docs(self) -> DataFrame:
         """The documents of finished segments."""
         done = [r.segment for r in self.blocks().select("segment").distinct().collect()]  # one for each segment
@@ -127,22 +163,66 @@ class Index:
         own = F.coalesce(F.col("k").cast("int"), F.lit(k)) if "k" in queries.columns else F.lit(k)
         # Written, so that its size is known where the join is planned: small ones are sent to the blocks.
         terms = written(queries.select("query_id", own.alias("k"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "postings-asked")
-        held = self.blocks().select("term", "n").join(terms.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("df"))
+        held = self.heads().select("term", "n").join(terms.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return terms.join(held, "term").select("query_id", "term", "k", idf.alias("idf")), average
 
     def bounds(self, terms: DataFrame, average: float) -> DataFrame:
         """(query_id, k, segment, range, bound, blocks): what no document of a range can exceed."""
-        heads = self.blocks().select("segment", "range", "term", "most", "least")
         most = F.col("idf") * impact(F.col("most"), F.col("least"), average)
-        return heads.join(terms, "term").groupBy("query_id", "segment", "range").agg(F.first("k").alias("k"), F.sum(most).alias("bound"), F.count("*").alias("blocks"))
+        return self.heads().join(terms, "term").groupBy("query_id", "segment", "range").agg(F.first("k").alias("k"), F.sum(most).alias("bound"), F.count("*").alias("blocks"))
 
     def scored(self, terms: DataFrame, wanted: DataFrame, average: float) -> DataFrame:
-        """(query_id, k, doc, id, score) of the documents of wanted (query_id, segment, range)."""
-        own = wanted.select("query_id", "segment", "range").join(terms, "query_id")
-        rows = own.join(self.blocks().select("segment", "range", "term", "postings"), ["segment", "range", "term"])
-        rows = rows.select("query_id", "k", "segment", "idf", F.explode("postings").alias("p"))
-        return rows.groupBy("query_id", "segment", "p.doc").agg(F.first("k").alias("k"), F.first("p.id").alias("id"), F.sum(F.col("idf") * impact(F.col("p.tf"), F.col("p.length"), average)).alias("score"))
+        """(query_id, id, score, k): the k best documents of each query that a task finds in the ranges of wanted (query_id, segment, range)."""
+        import numpy as np
+        import pyarrow as pa
+
+        blocks = self.blocks()
+        schema, query_kind, id_kind = schema_of(terms, blocks.select(F.col("ids")[0].alias("id")))
+        idf = {r.term: r.idf for r in terms.select("term", "idf").distinct().collect()}  # the query set's terms
+        asked = terms.groupBy("query_id").agg(F.first("k").alias("k"), F.collect_list("term").alias("terms")).collect()
+        place = {t: i for i, t in enumerate(sorted(idf))}
+        known, weights = pa.array(list(place), pa.string()), np.array([idf[t] for t in place], float)
+        out = []
+        for at in range(0, max(len(asked), 1), QUERIES):
+            some = asked[at : at + QUERIES]
+            names, sizes = [r.query_id for r in some], np.array([r.k for r in some], np.int64)
+            pairs = sorted((place[t], i) for i, r in enumerate(some) for t in r.terms)
+            term_of, query_of = (np.array([p[j] for p in pairs], np.int64) for j in (0, 1))
+
+            def run(batches, names=names, sizes=sizes, term_of=term_of, query_of=query_of):
+                import numpy as np
+                import pyarrow as pa
+                import pyarrow.compute as pc
+
+                best, own = Best(len(names), sizes), pa.array(names, query_kind)
+                for batch in batches:
+                    for at in range(batch.num_rows):
+                        asks, ids, length, words, n, row, tf = (c.flatten() for c in batch.slice(at, 1).columns)
+                        length, n, row, tf = (x.to_numpy(zero_copy_only=False) for x in (length, n, row, tf))
+                        asks = pc.fill_null(pc.index_in(asks, value_set=own), -1).to_numpy(zero_copy_only=False)
+                        asks = asks[asks >= 0]
+                        code = np.repeat(pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False), n)
+                        row, tf, code = row[code >= 0], tf[code >= 0], code[code >= 0]
+                        if not len(asks) or not len(code):
+                            continue
+                        here, col = np.unique(code, return_inverse=True)
+                        weight = np.zeros((len(length), len(here)))
+                        weight[row, col] = weights[code] * impact(tf, length[row], average)
+                        c = np.minimum(np.searchsorted(here, term_of), len(here) - 1)
+                        held = here[c] == term_of
+                        wants = np.zeros((len(here), len(names)))
+                        wants[c[held], query_of[held]] = 1.0
+                        score = np.zeros((len(names), len(length)))
+                        score[asks] = (weight @ wants[:, asks]).T
+                        best.offer(score, id_parts(ids), 0.0)
+                    batch = None
+                yield from found(best, names, query_kind, id_kind)
+
+            per = wanted.groupBy("segment", "range").agg(F.collect_list("query_id").alias("asks"))
+            rows = blocks.join(per, ["segment", "range"]).select("asks", "ids", "lengths", "terms", "n", "rows", "tfs")
+            out.append(rows.mapInArrow(run, schema))
+        return all_of(out).join(F.broadcast(terms.groupBy("query_id").agg(F.first("k").alias("k"))), "query_id")  # a row for each query
 
     def waves(self, queries: DataFrame, k: int = 10, probe: int = PROBE) -> tuple[DataFrame, DataFrame]:
         """(hits before the last choice, bounds with `wave`: 1 scored first, 2 scored then, null ruled out).

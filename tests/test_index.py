@@ -67,6 +67,19 @@ def test_an_unfinished_segment_isnt_there(spark, tmp_path):
     assert hits_of(index.search(q, 9)) == before
 
 
+def test_a_search_keeps_few_rows_of_a_task(spark, tmp_path):
+    """Every document is a hit, and a task gives the k best of each query alone, whatever ranges it scores."""
+    docs = spark.createDataFrame([(i, "red fox") for i in range(800)], "doc_id int, text string").repartition(2)
+    q = spark.createDataFrame([("a", "fox"), ("b", "red fox")], "query_id string, text string")
+    index = Index(spark, f"file://{tmp_path}/i", 8)
+    index.add(docs)
+    assert index.blocks().count() == index.docs().select("range").distinct().count() >= 100
+    hits, judged = index.waves(q, 3)
+    assert judged.where("wave is not null").count() >= 200
+    assert hits.count() <= 2 * 3 * hits.rdd.getNumPartitions() < 800
+    assert hits_of(index.search(q, 3)) == hits_of(retrieval.bm25_top_k(q, docs, "doc_id", "text", 3))
+
+
 def test_index_of_a_stream(spark, data, tmp_path):
     docs = c.read(spark, data, "documents").select("doc_id", "text")
     docs.repartition(3).write.parquet(f"file://{tmp_path}/in")

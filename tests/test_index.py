@@ -206,6 +206,15 @@ def test_communities_of_planted_groups(spark):
     assert links.louvain(spark.createDataFrame([], "a long, b long, weight double")).count() == 0
 
 
+def test_rounds_of_communities_collect_no_side_of_a_join(spark, monkeypatch):
+    plans, write = [], links.written
+    monkeypatch.setattr(links, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    rnd = random.Random(3)
+    edges = [(a, b, 1.0) for a, b in itertools.combinations(range(24), 2) if rnd.random() < (0.7 if a // 8 == b // 8 else 0.05)]
+    assert {r.community for r in links.louvain(spark.createDataFrame(edges, "a long, b long, weight double")).collect()} == {0, 8, 16}
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_linked_queries(spark, data):
     own = {r.doc_id: r.community for r in c.QUERIES["linked_communities"](spark, data).collect()}
     docs = c.read(spark, data, "documents")

@@ -1,5 +1,8 @@
 """Edge cases of the operators on small rows made by hand."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +160,28 @@ def test_pagerank_keeps_its_mass(spark):
     assert sum(r.values()) == pytest.approx(1) and len(r) == 5
 
 
+def test_pagerank_by_parts_deals_its_edges_once(spark, monkeypatch):
+    plans, write, rnd = {}, graph.written, random.Random(5)
+    monkeypatch.setattr(graph, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    edges = [(rnd.randrange(36), rnd.randrange(44), rnd.random()) for _ in range(150)]  # some lead nowhere, some nodes have none
+    frame, nodes = spark.createDataFrame(edges, "src long, dst long, weight double"), spark.range(40).toDF("node")
+    for seeds, least, part in ((None, 1e-6, 8), ({3: 2.0, 7: 1.0, 9: -1.0}, 1e-3, 4096)):
+        base = {d: max(seeds.get(d, 0), 0) / 3 if seeds else 1 / 40 for d in range(40)}
+        total, score = {s: sum(w for a, _, w in edges if a == s) for s, _, _ in edges}, base
+        for _ in range(50):
+            held = sum(r for d, r in score.items() if d not in total)
+            new = {d: 0.15 * b + 0.85 * held * b for d, b in base.items()}
+            for a, b, w in edges:
+                if b in new:
+                    new[b] += 0.85 * score[a] * w / total[a]
+            moved, score = sum(abs(new[d] - score[d]) for d in new), new
+            if moved < least:
+                break
+        found = graph.pagerank(nodes, frame, seeds and spark.createDataFrame(list(seeds.items()), "node long, weight double"), least=least, part=part)
+        assert {r.node: r["rank"] for r in found.collect()} == pytest.approx(score, abs=1e-12)
+    assert plans["rank-round"].count("InMemoryTableScan") >= 10 and not re.search(r"Exchange[^\n]*\n([^\n]*Project[^\n]*\n)*[^\n]*InMemoryTableScan", plans["rank-round"])
+
+
 def test_packed_units(spark):
     assert one(spark, variants.packed(F.col("u"), 5), u=["ab", "cd", "e", "longer", "x"]) == ["ab cd", "e", "longer", "x"]
 

@@ -253,6 +253,20 @@ def test_best_walked_equals_walks(spark, block, part):
     assert [got[x][1] for x in sorted(got)] == pytest.approx([want[x][1] for x in sorted(got)], abs=1e-9)
 
 
+def test_walks_shuffle_as_much_whatever_the_rounds(spark, monkeypatch):
+    """The graph is dealt to blocks of queries once; no round of a walk is a shuffle or writes a table."""
+    made, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: made.append(name) or write(df, name))
+    m = spark.createDataFrame([(d, f"n{(d + e) % 5}") for d in range(6) for e in range(2)], "doc_id long, entity string")
+    s = spark.createDataFrame([(q, f"n{q}", None, 1.0) for q in range(3)], "query_id int, entity string, doc_id string, weight double")
+    seen = []
+    for n in (2, 30):
+        made.clear()
+        plan = graph.best_walked(s, m, 2, rounds=n, block=2)._jdf.queryExecution().executedPlan().toString()
+        seen.append((plan.count("Exchange "), sorted(made)))
+    assert seen[0] == seen[1] and len(seen[0][1]) < 8
+
+
 def test_lists_of_sub_queries_are_found_once(spark, data):
     """The fused lists come from written hits, not from a search for each part of a question."""
     from sparkwell.catalogue import QUERIES

@@ -215,6 +215,13 @@ def test_rounds_of_communities_collect_no_side_of_a_join(spark, monkeypatch):
     assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
 
 
+def test_communities_know_names_behind_the_sixteenth(spark, tmp_path):
+    text = lambda d, *more: ", ".join([*(f"Alpha{x}{d}" for x in "bcdefghijklmnopqrs"), *more])
+    rows = [(1, text(1, "Zenith"), "s1"), (2, text(2, "Zenith"), "s2"), (3, text(3, "Omega Quuxa", "Omega Quuxb"), "s3")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.community for r in c.QUERIES["linked_communities"](spark, str(tmp_path)).collect()} == {1: "linked:1", 2: "linked:1", 3: "omega"}
+
+
 def test_linked_queries(spark, data):
     own = {r.doc_id: r.community for r in c.QUERIES["linked_communities"](spark, data).collect()}
     docs = c.read(spark, data, "documents")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwell import catalogue as c
-from sparkwell.operators import links, metrics, retrieval
+from sparkwell.operators import graph, links, metrics, retrieval
 from sparkwell.operators.postings import Index, counted, index_stream
 from sparkwell.plans import index as plans
 
@@ -222,6 +222,27 @@ def test_communities_know_names_behind_the_sixteenth(spark, tmp_path):
     assert {r.doc_id: r.community for r in c.QUERIES["linked_communities"](spark, str(tmp_path)).collect()} == {1: "linked:1", 2: "linked:1", 3: "omega"}
 
 
+def test_all_pairs_of_a_rare_name_link(spark):
+    rows = [(d, "five") for d in (5, 1, 2, 3, 9)] + [(d, "pair") for d in (1, 9)] + [(1, "pair"), (7, "alone"), (None, "pair")] + [(100 + d, "common") for d in range(links.RARE + 1)]
+    m = spark.createDataFrame(rows, "doc_id int, entity string")
+    got = {(r.a, r.b): r.weight for r in links.shared_names(m).collect()}
+    five = 1 / math.log2(6)
+    assert got == pytest.approx({p: five + (p == (1, 9)) / math.log2(3) for p in itertools.combinations((1, 2, 3, 5, 9), 2)})
+
+
+@pytest.mark.parametrize("part", [2, 4096])
+def test_ranks_by_names_equal_those_over_all_pairs(spark, part):
+    rnd = random.Random(4)
+    rows = [(d, f"n{e}") for d in range(30) for e in rnd.sample(range(14), 3)] + [(40, "alone"), (None, "n1")]
+    rare = links.rare_names(spark.createDataFrame(rows, "doc_id int, entity string")).select(F.col("doc_id").alias("node"), F.col("entity").alias("name"), "weight")
+    pairs = links.shared_names(spark.createDataFrame(rows, "doc_id int, entity string"))
+    nodes = spark.createDataFrame([(d,) for d in [*range(30), 40, 41]], "node int")
+    want = {r.node: r["rank"] for r in graph.pagerank(nodes, links.both_ways(pairs), rounds=12).collect()}
+    assert len(set(want.values())) > 20
+    assert {r.node: r["rank"] for r in graph.pagerank_by_names(nodes, rare, rounds=12, part=part).collect()} == pytest.approx(want, abs=1e-12)
+    assert graph.pagerank_by_names(nodes.where("false"), rare.where("false"), rounds=2).count() == 0
+
+
 def test_linked_queries(spark, data):
     own = {r.doc_id: r.community for r in c.QUERIES["linked_communities"](spark, data).collect()}
     docs = c.read(spark, data, "documents")

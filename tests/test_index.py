@@ -243,6 +243,26 @@ def test_ranks_by_names_equal_those_over_all_pairs(spark, part):
     assert graph.pagerank_by_names(nodes.where("false"), rare.where("false"), rounds=2).count() == 0
 
 
+def test_communities_by_names_equal_those_of_all_pairs(spark):
+    """A turn's gains are the same, whether a name's pairs are made or its nodes counted by community."""
+    rnd = random.Random(6)
+    rows = [(d, f"n{rnd.randrange(4) + 5 * (d // 12)}") for d in range(60) for _ in range(3)] + [(d, f"x{d % 7}") for d in rnd.sample(range(60), 12)]
+    m = spark.createDataFrame(rows + [(99, "alone")], "doc_id long, entity string")
+    names = links.rare_names(m).select(F.col("doc_id").alias("node"), F.col("entity").alias("name"), "weight")
+    pairs = links.shared_names(m)
+    edges = [tuple(r) for r in pairs.collect()]
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)})
+    k = {x: sum(w * ((a == x) + (b == x)) for a, b, w in edges) for x in nodes}
+    now = spark.createDataFrame([(x, k[x], x // 6) for x in nodes], "node long, k double, community long")
+    total = sum(k.values())
+    for turn in (0, 1):
+        want, got = ({r.node: r.community for r in links.moved(near, now, total, turn).collect()} for near in (links.by_links(links.both_ways(pairs)), links.by_names(names)))
+        assert got == want and got != {x: x // 6 for x in nodes}
+    found = {r.node: r.community for r in links.louvain_by_names(names).collect()}
+    assert found == {r.node: r.community for r in links.louvain(pairs).collect()} and set(found) == set(nodes)
+    assert links.louvain_by_names(names.where("false")).count() == 0
+
+
 def test_linked_queries(spark, data):
     own = {r.doc_id: r.community for r in c.QUERIES["linked_communities"](spark, data).collect()}
     docs = c.read(spark, data, "documents")
